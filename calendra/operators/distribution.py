@@ -136,7 +136,8 @@ def quantile_edges(dist: DataFrame, groups: Sequence[str], k: int) -> DataFrame:
             ),
         ),
     )
-    return dist.groupBy(*groups).agg(picks.alias("raw")).select(*groups, bumped.alias("edges"))
+    raw = dist.groupBy(*groups).agg(picks.alias("raw"), F.sum("n").alias("total"))
+    return raw.select(*groups, bumped.alias("edges"), "total")
 
 
 def choropleth_breaks(dist: DataFrame, groups: Sequence[str], classes: int) -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from calendra.plans.registry import ORACLES, QUERIES
 
-for _module in ("distribution_queries", "recurrence_queries", "calendar_queries"):
+for _module in ("distribution_queries", "recurrence_queries", "calendar_queries", "kpi_queries"):
     import_module(f"calendra.plans.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
