@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calendra.functions import numbers as N
 from calendra.functions import text as T
+from calendra.functions.lineage import cut
 from calendra.operators import matching as M
 from calendra.plans import views as V
 from calendra.plans.registry import query
@@ -385,7 +386,7 @@ def g19(spark: SparkSession, sf: str) -> DataFrame:
     SELECT c_custkey AS grp, coalesce(code, (SELECT mode FROM m)) AS code, code IS NULL AS fallback FROM customer LEFT JOIN d ON grp = c_custkey""",
 )
 def g19_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    c = counts(spark, sf)
+    c = cut(counts(spark, sf))
     groups = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("grp"))
     return M.with_fallback(groups, M.dominant(c.where("n >= 3")), c)
 
@@ -434,7 +435,7 @@ def g21(spark: SparkSession, sf: str) -> DataFrame:
     SELECT grp, code, CAST(1 AS INTEGER) AS rank FROM f UNION ALL SELECT grp, code, 2 FROM s""",
 )
 def g22(spark: SparkSession, sf: str) -> DataFrame:
-    return M.select_codes(counts(spark, sf), specs(spark, sf))
+    return M.select_codes(cut(counts(spark, sf)), specs(spark, sf))
 
 
 @query(
