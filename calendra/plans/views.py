@@ -17,6 +17,8 @@ YEARS = tuple(range(1995, 2002))
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # The tables hold times without zone; UTC keeps every conversion of them neutral.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
