@@ -31,18 +31,25 @@ def fold_rule(c: Column) -> Column:
     return collapse(F.regexp_replace(s, r"[^\x00-\x7F]+|-", " "))
 
 
+def _lookup(words: tuple[str, ...], base: int) -> Column:
+    pairs = [F.lit(x) for i, w in enumerate(words) for x in (w[:3], base + i)]
+    return F.create_map(*pairs)
+
+
 def positions(text: Column, words: tuple[str, ...], base: int) -> Column:
-    """Sorted positions of the words that occur in the text."""
-    hits = [F.when(F.contains(text, F.lit(w)), F.lit(base + i)) for i, w in enumerate(words)]
-    return F.array_compact(F.array(*hits))
+    """Sorted positions of the words that occur in the text.
+
+    The text is read once: all words are found by one pattern and looked up by their first
+    three letters, which are distinct.
+    """
+    lookup = _lookup(words, base)
+    found = F.regexp_extract_all(text, F.lit("(" + "|".join(words) + ")"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda w: lookup[F.left(w, F.lit(3))])))
 
 
 def stem_position(word: Column, words: tuple[str, ...], base: int) -> Column:
     """Position of the listed word that the (possibly inflected) word starts with."""
-    out = F.lit(None).cast("int")
-    for i, w in enumerate(words):
-        out = F.when(word.startswith(w), F.lit(base + i)).otherwise(out)
-    return out
+    return F.try_element_at(_lookup(words, base), F.left(word, F.lit(3)))
 
 
 def cyclic_range(lo: Column, hi: Column, first: int, last: int) -> Column:

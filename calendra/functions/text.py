@@ -23,7 +23,9 @@ LATIN, LATIN_BASE = _latin_bases()
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, LATIN, LATIN_BASE), r"\p{Mn}", "")
+    """Base letters for accented ones; plain ASCII text is passed through untouched."""
+    folded = F.regexp_replace(F.translate(c, LATIN, LATIN_BASE), r"\p{Mn}", "")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
 
 
 def collapse(c: Column) -> Column:

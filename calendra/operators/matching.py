@@ -441,8 +441,10 @@ def top_codes(counts: DataFrame, ratio: float = 0.8) -> DataFrame:
 
 def rule_specificity(rules: DataFrame, zone: str = "code") -> DataFrame:
     """Highest usefulness score of a zone's rules, never below zero."""
-    text = R.fold_rule(F.col("rule"))
-    kind = R.fold_rule(F.concat_ws(" ", "type", "rule"))
+    rules = rules.withColumns(
+        {"_t": R.fold_rule(F.col("rule")), "_k": R.fold_rule(F.concat_ws(" ", "type", "rule"))}
+    )
+    text, kind = F.col("_t"), F.col("_k")
     filled = F.trim("rule") != ""
     dated = (F.size(R.active_months_of(text)) > 0) | text.rlike(SCOPED)
     score = (

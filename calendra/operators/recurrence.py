@@ -128,8 +128,10 @@ def rule_specs(year: Column, weekday_text: Column, rule_text: Column) -> Column:
 
 
 def expand_rules(df: DataFrame, weekday_text: str, rule_text: str, year: Column) -> DataFrame:
-    specs = rule_specs(year, R.fold_rule(F.col(weekday_text)), R.fold_rule(F.col(rule_text)))
-    return expand_specs(df, year, specs)
+    folded = df.withColumns(
+        {"_w": R.fold_rule(F.col(weekday_text)), "_r": R.fold_rule(F.col(rule_text))}
+    )
+    return expand_specs(folded, year, rule_specs(year, F.col("_w"), F.col("_r"))).drop("_w", "_r")
 
 
 def dates_for_codes(choices: DataFrame, dated: DataFrame, year: int, target: str = "target") -> DataFrame:
@@ -144,8 +146,10 @@ def preferred_rules(rules: DataFrame, zone: str) -> DataFrame:
     Rules need ``type`` and ``rule`` text columns. The best rank per zone is a map-side
     combined minimum joined back, so a zone with many rules is not gathered.
     """
-    text = R.fold_rule(F.col("rule"))
-    kind = R.fold_rule(F.col("type"))
+    # Texts repeat across zones, so each distinct pair is folded and parsed once.
+    texts = rules.select("type", "rule").distinct()
+    folded = texts.withColumns({"_t": R.fold_rule(F.col("rule")), "_k": R.fold_rule(F.col("type"))})
+    text = F.col("_t")
     dated = (
         (F.size(R.ordinals_of(text)) > 0)
         | (F.size(R.active_months_of(text)) > 0)
@@ -153,10 +157,11 @@ def preferred_rules(rules: DataFrame, zone: str) -> DataFrame:
     )
     rank = (
         F.when((text != "") & dated, 0)
-        .when(kind.rlike("MECCANIZZATO|MISTO"), 1)
+        .when(F.col("_k").rlike("MECCANIZZATO|MISTO"), 1)
         .when(text != "", 2)
         .otherwise(3)
     )
-    graded = rules.withColumn("rank", rank)
+    ranks = folded.select("type", "rule", rank.alias("rank"))
+    graded = rules.join(ranks, ["type", "rule"])
     best = graded.groupBy(zone).agg(F.min("rank").alias("rank"))
-    return graded.join(best, [zone, "rank"])
+    return graded.join(best, [zone, "rank"]).select(*rules.columns, "rank")

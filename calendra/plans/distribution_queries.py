@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calendra.functions.lineage import cut
 from calendra.functions.numbers import round_to
 from calendra.operators import distribution as D
 from calendra.plans import views as V
@@ -200,9 +201,10 @@ DELTA_DIGITS = {"rd_pct": 2, "kg_ru": 1, "kg_ind": 1, "cost": 1}
 def peer_deltas(spark: SparkSession, sf: str) -> DataFrame:
     """Each unit's measures minus the medians of its country, region and province.
 
-    The medians are one row per area, so the join side is bounded by geography.
+    The medians are one row per area, so the join side is bounded by geography. The units
+    are read by the medians and by the result, so the join behind them is run once and cut.
     """
-    units = V.latest(V.unit(spark, sf))
+    units = cut(V.latest(V.unit(spark, sf)))
     wide = (
         D.area_medians(units, ["year"], ["region", "province"], MEASURES)
         .groupBy("level", "area")

@@ -165,9 +165,8 @@ def d07(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 3 == 1, F.concat(a, F.lit(" e "), b))
         .otherwise(F.concat(ranged, F.lit(" escluso "), c))
     )
-    return keyed(spark, sf, "part", "p_partkey").select(
-        "k", ints(R.weekdays_of(R.fold_rule(text))).alias("weekdays")
-    )
+    folded = keyed(spark, sf, "part", "p_partkey").withColumn("t", R.fold_rule(text))
+    return folded.select("k", ints(R.weekdays_of(F.col("t"))).alias("weekdays"))
 
 
 @query(
@@ -184,9 +183,8 @@ def d08(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(k % 2 == 0, F.concat(F.lit("("), a, F.lit(" - "), b, F.lit(")"))).otherwise(
         F.concat(a, F.lit(", "), b)
     )
-    return keyed(spark, sf, "part", "p_partkey").select(
-        "k", ints(R.months_of(R.fold_rule(text))).alias("months")
-    )
+    folded = keyed(spark, sf, "part", "p_partkey").withColumn("t", R.fold_rule(text))
+    return folded.select("k", ints(R.months_of(F.col("t"))).alias("months"))
 
 
 @query(
@@ -226,8 +224,8 @@ def d10(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 3 == 1, F.concat(F.lit("II martedì del mese mesi di "), m, F.lit(" e giugno")))
         .otherwise(F.concat(F.lit("Servizio interrotto nei mesi di "), m, F.lit(" mattino luglio")))
     )
-    t = R.fold_rule(text)
-    return keyed(spark, sf, "part", "p_partkey").select(
+    t = F.col("t")
+    return keyed(spark, sf, "part", "p_partkey").withColumn("t", R.fold_rule(text)).select(
         "k", ints(R.active_months_of(t)).alias("active"), ints(R.stopped_months_of(t)).alias("stopped")
     )
 

@@ -233,11 +233,8 @@ def weekday_hits(row: Column) -> Column:
     """Per cell the weekday it names (Mon=0) or null."""
 
     def named(c: Column) -> Column:
-        folded = R.fold_rule(c)
-        out = F.lit(None).cast("int")
-        for i, stem in enumerate(R.WEEKDAYS):
-            out = F.when(F.contains(folded, F.lit(stem)), F.lit(i)).otherwise(out)
-        return out
+        word = F.regexp_extract(R.fold_rule(c), "(" + "|".join(R.WEEKDAYS) + ")", 1)
+        return R.stem_position(word, R.WEEKDAYS, 0)
 
     return F.transform(row, named)
 
@@ -283,13 +280,14 @@ def weekly_grid(tables: DataFrame, page: str, rows: str) -> DataFrame:
             lambda p: p["d"].isNotNull() & (F.size(bins(F.coalesce(p["c"], F.lit("")))) > 0),
         )
 
-    a = by_zone.withColumn("body", F.filter("body", gives)).where(F.size("body") > 0)
+    by_zone = by_zone.withColumn("given", F.filter("body", gives))
+    a = by_zone.where(F.size("given") > 0).withColumn("body", F.col("given"))
     a_rows = (
         a.select(page, "days", F.explode("body").alias("row"))
         .select(page, zone_name(F.col("row")).alias("zone"), F.posexplode("row").alias("i", "cell"), "days")
         .select(page, "zone", F.try_element_at("days", F.col("i") + 1).alias("weekday"), "cell")
     )
-    b_base = by_zone.where(F.size(F.filter("body", gives)) == 0).select(page, "rows", "hb").unionByName(
+    b_base = by_zone.where(F.size("given") == 0).select(page, "rows", "hb").unionByName(
         base.where("ha = 0").select(page, "rows", "hb")
     ).where("hb > 0")
     b_rows = (
@@ -420,6 +418,7 @@ SWEEP_COLUMNS = {"zone": ("ZONA", "CODICE"), "street": ("TOPONIMO",), "day": ("G
 def sweep_tables(cells: DataFrame, table: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """Header-detected sweeping tables to (code, day) rules and (street, code) rows."""
     rows = project_by_header(cells, table, SWEEP_COLUMNS, ["street", "day"]).where(F.length("street") >= 3)
+    rows = rows.select("zone", "day", "street").distinct()
     code = F.when(F.col("zone") != "", F.concat(F.lit(f"{kind}:"), "zone")).otherwise(
         F.concat(F.lit(f"{kind}:rule:"), F.left(R.fold_rule(F.col("day")), F.lit(80)))
     )
