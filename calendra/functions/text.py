@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _latin_bases() -> tuple[str, str]:
-    """Composed Latin letters and their base letters, from Unicode decompositions."""
+def _letter_bases() -> tuple[str, str]:
+    """Composed Latin, Greek and Cyrillic letters and their bases, from Unicode decompositions."""
     source, target = [], []
-    for code in range(0xC0, 0x250):
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
         base = unicodedata.normalize("NFD", chr(code))[0]
         if base != chr(code):
             source.append(chr(code))
@@ -19,12 +19,12 @@ def _latin_bases() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-LATIN, LATIN_BASE = _latin_bases()
+COMPOSED, BASE_LETTERS = _letter_bases()
 
 
 def strip_accents(c: Column) -> Column:
     """Base letters for accented ones; plain ASCII text is passed through untouched."""
-    folded = F.regexp_replace(F.translate(c, LATIN, LATIN_BASE), r"\p{Mn}", "")
+    folded = F.regexp_replace(F.translate(c, COMPOSED, BASE_LETTERS), r"\p{Mn}", "")
     return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
 
 

@@ -40,11 +40,6 @@ def bin_text(bin_col: Column, field: int, unknown: str = "?") -> Column:
     return out
 
 
-def bin_dimension(df: DataFrame) -> DataFrame:
-    """The fixed bin dimension as rows, in the session of ``df``."""
-    return df.sparkSession.createDataFrame(list(BINS), "bin int, initial string, name string")
-
-
 def bins_per_day(cal: DataFrame, domain: tuple[int, ...] = DAY_BINS) -> DataFrame:
     """Distinct in-domain bins of each calendar day as a sorted array."""
     return (

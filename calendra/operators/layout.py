@@ -120,28 +120,43 @@ def keep_leftmost(marks: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return marks.groupBy(*keys).agg(F.min(F.struct(x, *rest)).alias("m")).select(*keys, "m.*")
 
 
-def bucket_rows(tokens: DataFrame, keys: Sequence[str], x: str, y: str, text: str) -> DataFrame:
-    """Tokens of about one line (20 units) joined from left to right."""
-    line = F.array_sort(F.collect_list(F.struct(x, text)))
-    return tokens.groupBy(*keys, F.bround(F.col(y) / TOKEN_BUCKET).cast("bigint").alias("row")).agg(
-        F.min(y).alias("y0"), F.array_join(F.transform(line, lambda t: t[text]), " ").alias("text")
-    )
+def token_rows(tokens: DataFrame, y: str, out: str = "row") -> DataFrame:
+    """Tokens with the number of their line of about 20 units."""
+    return tokens.withColumn(out, F.bround(F.col(y) / TOKEN_BUCKET).cast("bigint"))
 
 
-def cluster_tokens(
-    tokens: DataFrame, keys: Sequence[str], y: str, tie: str, text: str, bucket_width: float,
-    gap: Column | float = TOKEN_GAP,
+def token_runs(
+    tokens: DataFrame, keys: Sequence[str], y: str, tie: str, bucket_width: float,
+    gap: Column | float = TOKEN_GAP, out: str = "run",
 ) -> DataFrame:
-    """Runs of tokens without a gap above the limit, joined in order."""
-    cut = F.floor(F.col(y) / bucket_width)
-    runs = gap_runs(tokens, list(keys), [y, tie], y, gap, cut)
-    line = F.array_sort(F.collect_list(F.struct(y, tie, text)))
-    return runs.groupBy(*keys, "run").agg(
+    """Tokens with the number of their run; a gap above the limit starts a new one."""
+    return gap_runs(tokens, list(keys), [y, tie], y, gap, F.floor(F.col(y) / bucket_width), out)
+
+
+def group_extents(tokens: DataFrame, keys: Sequence[str], order: Sequence[str], y: str, text: str) -> DataFrame:
+    """Per line or run its top, number of tokens, and first and last text."""
+    at = F.struct(*order)
+    return tokens.groupBy(*keys).agg(
         F.min(y).alias("y0"), F.count(F.lit(1)).alias("tokens"),
-        F.array_join(F.transform(line, lambda t: t[text]), " ").alias("text"),
+        F.min_by(text, at).alias("first_text"), F.max_by(text, at).alias("last_text"),
     )
 
 
+def group_bins(tokens: DataFrame, keys: Sequence[str], bins: Column) -> DataFrame:
+    """Bins named by the tokens of a line or run: at most one value per bin is gathered."""
+    return (
+        tokens.select(*keys, F.explode(bins).alias("bin"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_set("bin")).alias("bins"))
+    )
+
+
+def line_text(tokens: DataFrame, keys: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
+    """Tokens of a printed line joined in order. Only for page lines, which are short."""
+    line = F.array_sort(F.collect_list(F.struct(*order, text)))
+    return tokens.groupBy(*keys).agg(F.array_join(F.transform(line, lambda t: t[text]), " ").alias("text"))
+
+
 def nearest_colour(r: Column, g: Column, b: Column, palette: Sequence[tuple[int, float, float, float]], limit: float) -> Column:
     """Bin of the closest palette colour by squared distance, null beyond the limit."""
     shades = F.array(*[

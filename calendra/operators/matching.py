@@ -380,8 +380,8 @@ def map_zones(calendars: DataFrame, zones: DataFrame) -> DataFrame:
     )
     # Own points alone: all zones of the municipality that reach the best without a feature.
     by_own = (
-        best.join(zns.where("own > 0"), "comune")
-        .where("best = own")
+        best.where("best = 1")
+        .join(zns.where("own = 1"), "comune")
         .select("calendar", "zone", F.col("own").alias("score"))
         .join(hits.select("calendar", "zone"), ["calendar", "zone"], "left_anti")
     )

@@ -32,7 +32,7 @@ def clock(spark: SparkSession, sf: str, kinds: tuple[str, ...]) -> DataFrame:
     """Events on a time axis in minutes of the month."""
     minutes = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(60e6)).alias("y")
     return V.table(spark, sf, "events").where(F.col("event_type").isin(*kinds)).select(
-        F.col("user_id").alias("page"), F.col("event_id").alias("id"), minutes, "value"
+        F.col("user_id").alias("page"), F.col("event_id").alias("id"), minutes, "value", "event_type"
     )
 
 
@@ -77,28 +77,35 @@ def c03(spark: SparkSession, sf: str) -> DataFrame:
 KINDS = ("view", "signup", "click", "error", "purchase")
 
 
+RUNS = f"""{CLOCK}, s AS (SELECT *, CASE WHEN y - lag(y) OVER w > 360 OR lag(y) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM ck WINDOW w AS (PARTITION BY page ORDER BY y, id)),
+r AS (SELECT *, CAST(sum(st) OVER (PARTITION BY page ORDER BY y, id) AS BIGINT) AS run FROM s)"""
+
+
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    return L.token_runs(clock(spark, sf, KINDS), ["page"], "y", "id", DAY, gap=360.0)
+
+
+@query("c04_token_runs", f"WITH {RUNS} SELECT page, id, run FROM r")
+def c04(spark: SparkSession, sf: str) -> DataFrame:
+    return runs(spark, sf).select("page", "id", "run")
+
+
 @query(
-    "c04_token_clusters",
-    f"""WITH {CLOCK}, s AS (SELECT *, CASE WHEN y - lag(y) OVER w > 360 OR lag(y) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM ck WINDOW w AS (PARTITION BY page ORDER BY y, id)),
-    r AS (SELECT *, sum(st) OVER (PARTITION BY page ORDER BY y, id) AS run FROM s)
-    SELECT page, CAST(run AS BIGINT) AS run, min(y) AS y0, count(*) AS tokens, string_agg(id::VARCHAR, ' ' ORDER BY y, id) AS text FROM r GROUP BY 1, 2""",
+    "c04_run_extents",
+    f"""WITH {RUNS} SELECT page, run, min(y) AS y0, count(*) AS tokens, arg_min(event_type, (y, id)) AS first_text, arg_max(event_type, (y, id)) AS last_text FROM r GROUP BY 1, 2""",
 )
-def c04(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = clock(spark, sf, KINDS).withColumn("text", F.col("id").cast("string"))
-    return L.cluster_tokens(tokens, ["page"], "y", "id", "text", DAY, gap=360.0)
+def c04_extents(spark: SparkSession, sf: str) -> DataFrame:
+    return L.group_extents(runs(spark, sf), ["page", "run"], ["y", "id"], "y", "event_type")
 
 
 @query(
-    "c04_bucket_rows",
-    """SELECT user_id AS page, CAST(round_even(value / 20e0, 0) AS BIGINT) AS row, min(value) AS y0, string_agg(event_id::VARCHAR, ' ' ORDER BY event_id, event_id::VARCHAR) AS text
-    FROM events GROUP BY 1, 2""",
+    "c04_line_bins",
+    """SELECT user_id AS page, CAST(round_even(value / 20e0, 0) AS BIGINT) AS row, string_agg(DISTINCT length(event_type)::VARCHAR, ',' ORDER BY length(event_type)::VARCHAR) AS bins FROM events GROUP BY 1, 2""",
 )
-def c04_rows(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = V.table(spark, sf, "events").select(
-        F.col("user_id").alias("page"), F.col("event_id").alias("x"), F.col("value").alias("y"),
-        F.col("event_id").cast("string").alias("text"),
-    )
-    return L.bucket_rows(tokens, ["page"], "x", "y", "text")
+def c04_bins(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = V.table(spark, sf, "events").select(F.col("user_id").alias("page"), F.col("value").alias("y"), "event_type")
+    bins = L.group_bins(L.token_rows(tokens, "y"), ["page", "row"], F.array(F.length("event_type")))
+    return bins.withColumn("bins", F.array_join(F.col("bins").cast("array<string>"), ","))
 
 
 PALETTE = ((0, 0.2, 0.0, 0.0), (1, 0.0, 0.2, 0.0), (2, 0.0, 0.0, 0.2), (3, -0.2, -0.1, 0.0), (4, 0.1, -0.2, -0.1))

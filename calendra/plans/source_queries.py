@@ -143,7 +143,7 @@ def a09(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
         F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("rd"), F.col("c_mktsegment").alias("segment"),
     )
-    B.write_records(records, folder, "segment")
+    B.write_records(records, folder, "segment", "id")
     return B.read_records(spark, folder, "id bigint, name string, rd double", "id")
 
 
@@ -154,7 +154,7 @@ def a09(spark: SparkSession, sf: str) -> DataFrame:
 def a10(spark: SparkSession, sf: str) -> DataFrame:
     folder = run_folder(spark, "segments")
     records = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
-    B.write_records(records, folder, "segment")
+    B.write_records(records, folder, "segment", "id")
     back = spark.read.schema("id bigint, segment string").json(folder)
     return back.groupBy("segment").agg(F.count(F.lit(1)).alias("records"), F.sum("id").alias("keys"))
 

@@ -76,10 +76,10 @@ def format_lines(cal: DataFrame) -> DataFrame:
 
 
 def write(cal: DataFrame, path: str) -> None:
-    """Sorted text files partitioned by calendar and year."""
+    """Sorted text files partitioned by calendar and year; a very large one is split by date."""
     (
         format_lines(cal)
-        .repartition("calendar_id", "year")
+        .repartitionByRange("calendar_id", "year", "date", "bin")
         .sortWithinPartitions("calendar_id", "year", "date", "bin")
         .select("calendar_id", "year", F.col("line").alias("value"))
         .write.mode("errorifexists")

@@ -85,9 +85,12 @@ def read_records(spark: SparkSession, path: str, schema: str, key: str) -> DataF
     return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, "r.*")
 
 
-def write_records(records: DataFrame, path: str, partition: str) -> None:
-    """JSON lines partitioned by area; null fields are left out."""
-    records.repartition(partition).write.partitionBy(partition).json(path)
+def write_records(records: DataFrame, path: str, partition: str, key: str) -> None:
+    """JSON lines partitioned by area; null fields are left out.
+
+    Ranges of (area, key) keep the files few and split a large area over several tasks.
+    """
+    records.repartitionByRange(partition, key).write.partitionBy(partition).json(path)
 
 
 def explode_zone_index(index: DataFrame) -> DataFrame:
