@@ -158,14 +158,17 @@ def percentile_rank(
     out: str,
     digits: int = 2,
     lower_is_better: bool = False,
+    lookups: DataFrame | None = None,
 ) -> DataFrame:
     """Share of the reference strictly below (or above) each record's value, one decimal.
 
     The records' values enter the distribution with weight zero, so any value can be
-    looked up by equality; an empty reference ranks as 0.
+    looked up by equality; an empty reference ranks as 0. ``lookups`` is a cheaper table
+    with the same values, where the records themselves are a long plan.
     """
     groups = list(groups)
-    dist = distribution(reference, groups, value, digits, lookups=records)
+    wanted = records if lookups is None else lookups
+    dist = distribution(reference, groups, value, digits, lookups=wanted)
     beaten = (
         F.col("total") - F.col("below") - F.col("n") if lower_is_better else F.col("below")
     )

@@ -242,16 +242,15 @@ def j10_subset(spark: SparkSession, sf: str) -> DataFrame:
     return K.with_calendar_only(records, calendars)
 
 
-def yearly_build(met: DataFrame) -> DataFrame:
+def yearly_build(met: DataFrame, units: DataFrame) -> DataFrame:
     """Served record per municipality: ranks and deltas against units, cluster and headline.
 
-    ``met`` is read by several branches, so callers pass a table or a checkpoint.
+    Both tables are read by several branches, so callers pass tables or checkpoints.
     """
-    units = K.statistical_units(met)
     ranked = D.percentile_rank(met, units, ["year"], "rd_pct", "rd_pctile")
-    ranked = D.percentile_rank(ranked, units, ["year"], "kg_ru", "kg_pctile", digits=1)
+    ranked = D.percentile_rank(ranked, units, ["year"], "kg_ru", "kg_pctile", digits=1, lookups=met)
     ranked = D.percentile_rank(
-        ranked, units, ["year"], "kg_ind", "ind_better_pctile", digits=1, lower_is_better=True
+        ranked, units, ["year"], "kg_ind", "ind_better_pctile", digits=1, lower_is_better=True, lookups=met
     )
     ranked = K.assign_clusters(ranked, units, ["year"])
     measures = ("rd_pct", "kg_ru", "kg_ind", "cost")
@@ -306,4 +305,5 @@ def rank_sql(v: str, op: str, digits: int) -> str:
     FROM rk k JOIN cm ON k.year = cm.year JOIN rm ON k.year = rm.year AND k.region = rm.region""",
 )
 def j11(spark: SparkSession, sf: str) -> DataFrame:
-    return yearly_build(cut(metrics(spark, sf)))
+    met = cut(metrics(spark, sf))
+    return yearly_build(met, cut(K.statistical_units(met)))

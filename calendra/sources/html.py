@@ -388,9 +388,10 @@ def header_columns(cells: DataFrame, table: str, wanted: dict[str, Sequence[str]
     """Per table the 1-based position of the first header cell with any keyword, 0 if none."""
 
     def position(words: Sequence[str]) -> Column:
-        return F.array_position(F.transform("cells", lambda c: R.fold_rule(c).rlike("|".join(words))), True)
+        return F.array_position(F.transform("_f", lambda c: c.rlike("|".join(words))), True)
 
-    return cells.where("row_no = 0").select(
+    heads = cells.where("row_no = 0").withColumn("_f", F.transform("cells", R.fold_rule))
+    return heads.select(
         table, *[position(words).cast("int").alias(f"_{name}") for name, words in wanted.items()]
     )
 

@@ -40,3 +40,9 @@ def test_every_twin_has_a_query():
 def test_entry_runs(spark):
     df = entry(spark)
     assert df.count() > 0 and "rd_pct_vs_country" in df.columns
+
+
+def test_headline_queries_are_registered():
+    from bench import HEADLINE
+
+    assert set(HEADLINE) <= set(queries())
