@@ -93,10 +93,19 @@ def ordinals_of(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda w: lookup[w])))
 
 
-# Where a list of months ends.
+# Where a list of months ends, and the clauses that hold such lists.
 NEXT_ORDINAL = r"\s+I{1,3}\b|\s+IV\b"
 ACTIVE_END = rf"(?={NEXT_ORDINAL}|$)"
 STOPPED_END = rf"(?={NEXT_ORDINAL}|\s+OFFERTA|\s+MATTINO|$)"
+STOPPED_CLAUSES = (
+    rf"SERVIZIO\s+INTERR\w*\s+(?:NEI\s+)?MESI?\s+DI\s+(.+?){STOPPED_END}",
+    rf"INTERR\w*\s+(?:NEL(?:LA|LE)?\s+)?MESE?\s+DI\s+(.+?){STOPPED_END}",
+)
+ACTIVE_CLAUSES = (
+    rf"ATTIVO\s+NEI\s+MESI\s+DI\s+(.+?){ACTIVE_END}",
+    r"DEL MESE.{0,10}?MESI\s+DI\s+(.+)",
+    r"^.*(?<!NEI )MESI\s+DI\s+(.+)",
+)
 
 
 def first_match(text: Column, *patterns: str) -> Column:
@@ -107,23 +116,12 @@ def first_match(text: Column, *patterns: str) -> Column:
 
 def stopped_months_of(text: Column) -> Column:
     """Months named in an interruption clause."""
-    body = first_match(
-        text,
-        rf"SERVIZIO\s+INTERR\w*\s+(?:NEI\s+)?MESI?\s+DI\s+(.+?){STOPPED_END}",
-        rf"INTERR\w*\s+(?:NEL(?:LA|LE)?\s+)?MESE?\s+DI\s+(.+?){STOPPED_END}",
-    )
-    return positions(body, MONTHS, 1)
+    return positions(first_match(text, *STOPPED_CLAUSES), MONTHS, 1)
 
 
 def active_months_of(text: Column) -> Column:
     """Months of the service clause: «attivo nei mesi di», «del mese mesi di», last «mesi di»."""
-    body = first_match(
-        text,
-        rf"ATTIVO\s+NEI\s+MESI\s+DI\s+(.+?){ACTIVE_END}",
-        r"DEL MESE.{0,10}?MESI\s+DI\s+(.+)",
-        r"^.*(?<!NEI )MESI\s+DI\s+(.+)",
-    )
-    return positions(body, MONTHS, 1)
+    return positions(first_match(text, *ACTIVE_CLAUSES), MONTHS, 1)
 
 
 def all_months() -> Column:
@@ -138,15 +136,21 @@ def every_week() -> Column:
     return F.array(*[F.lit(i) for i in range(1, 6)])
 
 
+# Frequency words; the first pattern that matches decides.
+FREQUENCIES = (
+    ("last", r"ULTIMO.*MESE|MESE.*ULTIMO"),
+    ("monthly", r"UNA\s+VOLTA\s+AL\s+MESE|OGNI\s+MESE"),
+    ("bimonthly", r"OGNI\s+DUE\s+MESI|UNA\s+VOLTA\s+OGNI\s+2\s+MESI"),
+    ("biweekly", r"OGNI\s+DUE\s+SETTIMANE|OGNI\s+15\s+GIORNI"),
+)
+
+
 def clause_kind(text: Column) -> Column:
-    """Frequency of a folded clause; the first matching kind wins."""
-    return (
-        F.when(F.contains(text, F.lit("ULTIMO")) & F.contains(text, F.lit("MESE")), F.lit("last"))
-        .when(text.rlike(r"UNA\s+VOLTA\s+AL\s+MESE|OGNI\s+MESE"), F.lit("monthly"))
-        .when(text.rlike(r"OGNI\s+(?:DUE|2)\s+MESI"), F.lit("bimonthly"))
-        .when(text.rlike(r"OGNI\s+DUE\s+SETTIMANE|OGNI\s+15\s+GIORNI"), F.lit("biweekly"))
-        .otherwise(F.lit("weekly"))
-    )
+    """Frequency of a folded clause; weekly if no pattern matches."""
+    kind = F.lit("weekly")
+    for name, pattern in reversed(FREQUENCIES):
+        kind = F.when(text.rlike(pattern), F.lit(name)).otherwise(kind)
+    return kind
 
 
 def clause_ordinals(kind: Column) -> Column:

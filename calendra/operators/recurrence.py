@@ -70,6 +70,7 @@ def expand_clauses(df: DataFrame, text: str, year: Column) -> DataFrame:
     )
 
 
+# A sub-rule «ordinals weekday del mese (months)».
 SCOPED = (
     r"((?:\b(?:IV|III|II|I|V|E)\b\s*)+)\s*" + R.ANY_WEEKDAY + r"\s+DEL MESE\s*\(([^)]+)\)"
 )

@@ -16,6 +16,7 @@ from calendra.functions.grams import NO_TEXTS
 from calendra.functions.text import collapse, fold_street, slug_ascii, strip_accents, title_name
 from calendra.operators.scans import carry_last, running_sum
 
+# An anchor with its address and content.
 LINK = r"""(?is)<a\b[^>]*\bhref=["']([^"']+)["'][^>]*>(.*?)</a>"""
 
 # Common entities, category words, blocking words and street prefixes.
@@ -143,8 +144,17 @@ def table_cells(pages: DataFrame, page: str, html: str, table="table", row="tr",
     return tables.select(page, "table_no", F.posexplode("rows").alias("row_no", "cells"))
 
 
+# Dashes in headings, weekday words and the words before the dates.
+DASH = r"\s*[—–\-]\s*"
+WORKDAY = r"(luned\S*|marted\S*|mercoled\S*|gioved\S*|venerd\S*|sabato)"
+DATES_OF = r"Date spazzamento\s*"
+
+
 def heading_dates(pages: DataFrame, page: str, html: str, year: int) -> DataFrame:
-    """(page, zone, date): ``dd/mm`` dates of the year listed in the body of an h3 heading."""
+    """(page, zone, date): ``dd/mm`` dates of the year listed in the body of an h3 heading.
+
+    Frequency and weekday behind the last dash of a heading are not part of the zone.
+    """
     clean = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1>", " ")
     blocks = F.slice(F.split(clean, r"(?i)<h3\b[^>]*>"), 2, 1_000_000)
     parts = pages.select(page, F.explode(blocks).alias("b")).select(
@@ -152,11 +162,10 @@ def heading_dates(pages: DataFrame, page: str, html: str, year: int) -> DataFram
         plain(F.substring_index(F.regexp_replace("b", "(?i)</h3>", "</h3>"), "</h3>", 1)).alias("title"),
         plain(F.regexp_replace(F.regexp_extract("b", r"(?is)</h3>(.*)$", 1), r"(?is)<h2.*$", "")).alias("body"),
     )
-    dash = r"\s*[—–\-]\s*"
-    title = F.regexp_replace("title", rf"(?i){dash}Ogni\b.*$", "")
-    title = F.regexp_replace(title, rf"(?i){dash}(luned\S*|marted\S*|mercoled\S*|gioved\S*|venerd\S*|sabato)\s*$", "")
-    zone = collapse(F.regexp_replace(title, dash, " "))
-    listed = F.regexp_extract("body", rf"(?i)Date spazzamento\s*{year}\s*:\s*(.+)", 1)
+    title = F.regexp_replace("title", rf"(?i){DASH}Ogni\b.*$", "")
+    title = F.regexp_replace(title, rf"(?i){DASH}{WORKDAY}\s*$", "")
+    zone = collapse(F.regexp_replace(title, DASH, " "))
+    listed = F.regexp_extract("body", rf"(?i){DATES_OF}{year}\s*:\s*(.+)", 1)
     days = groups(listed, r"(\d{1,2})/(\d{1,2})", "dd", "mm")
     iso = F.concat_ws("-", F.lit(str(year)), F.lpad("d.mm", 2, "0"), F.lpad("d.dd", 2, "0"))
     return (
@@ -168,6 +177,7 @@ def heading_dates(pages: DataFrame, page: str, html: str, year: int) -> DataFram
     )
 
 
+# One row of the wide month table, its first month and its number of months.
 WIDE_ROW = (
     r"SETT\s*([0-9][-–0-9]*)\s*\(\s*(\S+)\s*\)\s*((?:\d{1,2}(?:\s*[-–]\s*\d{1,2})?\s*)+?)(?=\s*SETT\s|\s*$)"
 )
