@@ -207,19 +207,18 @@ def peer_deltas(spark: SparkSession, sf: str) -> DataFrame:
     units = cut(V.latest(V.unit(spark, sf)))
     wide = (
         D.area_medians(units, ["year"], ["region", "province"], MEASURES)
-        .groupBy("level", "area")
+        .groupBy("year", "level", "area")
         .pivot("measure", list(MEASURES))
         .agg(F.first("median"))
     )
     out = units
     for level, key in (("country", None), ("region", "region"), ("province", "province")):
-        side = wide.where(F.col("level") == level).select(
-            F.col("area").alias("_area"), *[F.col(m).alias(f"{m}_{level}") for m in MEASURES]
-        )
+        medians_of = [F.col(m).alias(f"{m}_{level}") for m in MEASURES]
+        side = wide.where(F.col("level") == level)
         if key is None:
-            out = out.withColumn("_area", F.lit("*")).join(side, "_area", "left").drop("_area")
+            out = out.join(side.select("year", *medians_of), "year", "left")
         else:
-            out = out.join(side, F.col(key) == F.col("_area"), "left").drop("_area")
+            out = out.join(side.select("year", F.col("area").alias(key), *medians_of), ["year", key], "left")
     deltas = [
         round_to(F.col(m) - F.col(f"{m}_{level}"), digits).alias(f"{m}_vs_{level}")
         for m, digits in DELTA_DIGITS.items()
@@ -248,18 +247,14 @@ def with_country_median(spark: SparkSession, sf: str, measures: tuple[str, ...])
     """Latest units with the country and region median of each measure attached."""
     units = V.latest(V.unit(spark, sf))
     med = D.area_medians(units, ["year"], ["region"], measures)
-    wide = med.groupBy("level", "area").pivot("measure", list(measures)).agg(F.first("median"))
+    wide = med.groupBy("year", "level", "area").pivot("measure", list(measures)).agg(F.first("median"))
     country = wide.where("level = 'country'").select(
-        F.col("area").alias("_c"), *[F.col(m).alias(f"{m}_it") for m in measures]
+        "year", *[F.col(m).alias(f"{m}_it") for m in measures]
     )
     region = wide.where("level = 'region'").select(
-        F.col("area").alias("_r"), *[F.col(m).alias(f"{m}_reg") for m in measures]
-    )
-    return (
-        units.join(country, F.col("_c") == F.lit("*"), "left")
-        .join(region, F.col("region") == F.col("_r"), "left")
-        .drop("_c", "_r")
+        "year", F.col("area").alias("region"), *[F.col(m).alias(f"{m}_reg") for m in measures]
     )
+    return units.join(country, "year", "left").join(region, ["year", "region"], "left")
 
 
 WIDE = f"""{MEDIANS},
