@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,15 +156,29 @@ def _pack(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> dict[str, bytes]:
-    """Ids of the most frequent words, at most ``size`` of them, as the driver holds them."""
+def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> bytes:
+    """The most frequent words, at most ``size`` of them, and their ids, as an Arrow stream."""
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))).alias("word"))
     top = (
         words.groupBy("word").count().filter(F.octet_length("word") <= FOLD_BYTES)
         .orderBy(F.desc("count"), "word").limit(size).select("word")
     )
     table = top.repartition(FOLD_TASKS, "word").select("word", fold_merges(F.col("word"), path).alias("ids")).toArrow()
-    return dict(zip(table["word"].to_pylist(), map(_pack, table["ids"].to_pylist()), strict=True))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _dictionary(stream: bytes) -> dict[str, bytes]:
+    known: dict[str, bytes] = {}
+    with pa.ipc.open_stream(stream) as batches:
+        for batch in batches:
+            ids = batch.column("ids")
+            ends = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
+            raw = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            known.update(zip(batch.column("word").to_pylist(), map(raw.__getitem__, map(slice, ends, ends[1:])), strict=True))
+    return known
 
 
 def encode(
@@ -183,7 +198,7 @@ def encode(
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
-        words, table, by_bytes = regex.compile(pattern).findall, known.value, ranks.value
+        words, table, by_bytes = regex.compile(pattern).findall, _dictionary(known.value), ranks.value
         for batch in batches:
             parts, rare = [], []
             for text in batch["text"]:
