@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calendra.llm.common import ddl, without
+
 DICTIONARY_SIZE = 1 << 20
 FOLD_BYTES = 512
 FOLD_TASKS = 24
@@ -152,6 +154,13 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in small frames, so that few texts are held as objects at once."""
+    for batch in batches:
+        for at in range(0, len(batch), 200):
+            yield batch.iloc[at:at + 200]
+
+
 def _pack(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
@@ -182,24 +191,24 @@ def _dictionary(stream: bytes) -> dict[str, bytes]:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, *, dictionary_size: int = DICTIONARY_SIZE,
+    docs: DataFrame, path: str, pattern: str, *, keep: list[str] | None = None, dictionary_size: int = DICTIONARY_SIZE,
 ) -> DataFrame:
-    """Adds ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``.
+    """Adds ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens`` to ``keep``.
 
-    ``path`` is a rank file, ``pattern`` the split pattern of the tokenizer.
+    ``path`` is a rank file, ``pattern`` the split pattern of the tokenizer, ``keep`` the
+    columns to keep (all).
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent_words(docs, path, pattern, dictionary_size))
     ranks = spark.sparkContext.broadcast(read_ranks(path))
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    docs = docs.select(*kept)
-    fields = docs.schema.fields
+    docs = without(docs, "ids", "n_tokens")
+    kept = [c for c in docs.columns if keep is None or c in keep]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
         words, table, by_bytes = regex.compile(pattern).findall, _dictionary(known.value), ranks.value
-        for batch in batches:
+        for batch in _small(batches):
             parts, rare = [], []
             for text in batch["text"]:
                 found = words(text) if isinstance(text, str) else []
@@ -217,23 +226,24 @@ def encode(
                 pieces.append(b"".join(ids[start:]))
                 parts.append(pieces)
                 rare.append(own)
-            yield batch.assign(_parts=parts, _rare=rare)
+            yield batch[kept].assign(_parts=parts, _rare=rare)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _small(batches):
             ids = []
-            for parts, rare in zip(batch.pop("_parts"), batch.pop("_rare"), strict=True):
+            for parts, rare in zip(batch["_parts"], batch["_rare"], strict=True):
                 own = [parts[0]]
                 for word, part in zip(rare, parts[1:], strict=True):
                     own += (_pack(word), part)
                 ids.append(b"".join(own))
-            yield batch.assign(ids=ids, n_tokens=[len(x) // 4 for x in ids])
+            yield batch[kept].assign(ids=ids, n_tokens=[len(x) // 4 for x in ids])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = ddl(docs.select(*[F.col(f"`{c}`") for c in kept]))
+    schema += ", " if schema else ""
     return (
-        docs.mapInPandas(split, f"{schema}, _parts array<binary>, _rare array<string>")
+        docs.mapInPandas(split, f"{schema}_parts array<binary>, _rare array<string>")
         .withColumn("_rare", F.transform("_rare", lambda w: fold_merges(w, path)))
-        .mapInPandas(join, f"{schema}, ids binary, n_tokens bigint")
+        .mapInPandas(join, f"{schema}ids binary, n_tokens bigint")
     )
 
 
@@ -241,15 +251,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` (binary): the concatenated bytes of ``ids``; null ids count as none."""
     table = {rank: token for token, rank in read_ranks(path).items()}
     pieces = encoded.sparkSession.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])
-    kept = [c for c in encoded.columns if c != "decoded"]
-    encoded = encoded.select(*kept)
+    encoded = without(encoded, "decoded")
 
     def concat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         piece = pieces.value.__getitem__
-        for batch in batches:
+        for batch in _small(batches):
             yield batch.assign(decoded=[
                 b"".join(map(piece, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch["ids"]
             ])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInPandas(concat, f"{schema}, decoded binary")
+    return encoded.mapInPandas(concat, f"{ddl(encoded)}, decoded binary")
