@@ -23,14 +23,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calendra.llm.common import ddl, without
 
-DICTIONARY_SIZE = 1 << 20
+DICTIONARY_SIZE = 700_000
 FOLD_BYTES = 512
 FOLD_TASKS = 24
 BUCKETS = 1 << 16
@@ -154,11 +153,15 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same rows in small frames, so that few texts are held as objects at once."""
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are held as objects at once."""
     for batch in batches:
-        for at in range(0, len(batch), 200):
-            yield batch.iloc[at:at + 200]
+        for at in range(0, batch.num_rows, 200):
+            yield batch.slice(at, 200)
+
+
+def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
 
 
 def _pack(ids) -> bytes:
@@ -179,7 +182,9 @@ def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> bytes
     return sink.getvalue().to_pybytes()
 
 
+@lru_cache(maxsize=1)
 def _dictionary(stream: bytes) -> dict[str, bytes]:
+    """Once a worker, which gets the same broadcast object for all its tasks."""
     known: dict[str, bytes] = {}
     with pa.ipc.open_stream(stream) as batches:
         for batch in batches:
@@ -204,46 +209,46 @@ def encode(
     docs = without(docs, "ids", "n_tokens")
     kept = [c for c in docs.columns if keep is None or c in keep]
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         words, table, by_bytes = regex.compile(pattern).findall, _dictionary(known.value), ranks.value
         for batch in _small(batches):
             parts, rare = [], []
-            for text in batch["text"]:
-                found = words(text) if isinstance(text, str) else []
+            for text in batch.column("text").to_pylist():
+                found = words(text or "")
                 ids = list(map(table.get, found))
-                holes = [i for i, known_ids in enumerate(ids) if known_ids is None]
                 own, pieces, start = [], [], 0
-                for i in holes:
-                    raw = found[i].encode()
-                    if len(raw) > FOLD_BYTES:
-                        ids[i] = _pack(heap_merges(raw, by_bytes))
-                        continue
-                    pieces.append(b"".join(ids[start:i]))
-                    own.append(found[i])
-                    start = i + 1
+                if None in ids:
+                    for i in [i for i, known_ids in enumerate(ids) if known_ids is None]:
+                        raw = found[i].encode()
+                        if len(raw) > FOLD_BYTES:
+                            ids[i] = _pack(heap_merges(raw, by_bytes))
+                            continue
+                        pieces.append(b"".join(ids[start:i]))
+                        own.append(found[i])
+                        start = i + 1
                 pieces.append(b"".join(ids[start:]))
                 parts.append(pieces)
                 rare.append(own)
-            yield batch[kept].assign(_parts=parts, _rare=rare)
+            yield _with(batch.select(kept), _parts=pa.array(parts, pa.list_(pa.binary())), _rare=pa.array(rare, pa.list_(pa.string())))
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             ids = []
-            for parts, rare in zip(batch["_parts"], batch["_rare"], strict=True):
+            for parts, rare in zip(batch.column("_parts").to_pylist(), batch.column("_rare").to_pylist(), strict=True):
                 own = [parts[0]]
                 for word, part in zip(rare, parts[1:], strict=True):
                     own += (_pack(word), part)
                 ids.append(b"".join(own))
-            yield batch[kept].assign(ids=ids, n_tokens=[len(x) // 4 for x in ids])
+            yield _with(batch.select(kept), ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()))
 
     schema = ddl(docs.select(*[F.col(f"`{c}`") for c in kept]))
     schema += ", " if schema else ""
     return (
-        docs.mapInPandas(split, f"{schema}_parts array<binary>, _rare array<string>")
+        docs.mapInArrow(split, f"{schema}_parts array<binary>, _rare array<string>")
         .withColumn("_rare", F.transform("_rare", lambda w: fold_merges(w, path)))
-        .mapInPandas(join, f"{schema}ids binary, n_tokens bigint")
+        .mapInArrow(join, f"{schema}ids binary, n_tokens bigint")
     )
 
 
@@ -253,11 +258,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     pieces = encoded.sparkSession.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])
     encoded = without(encoded, "decoded")
 
-    def concat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def concat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces.value.__getitem__
         for batch in _small(batches):
-            yield batch.assign(decoded=[
-                b"".join(map(piece, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch["ids"]
-            ])
+            texts = [b"".join(map(piece, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch.column("ids").to_pylist()]
+            yield _with(batch, decoded=pa.array(texts, pa.binary()))
 
-    return encoded.mapInPandas(concat, f"{ddl(encoded)}, decoded binary")
+    return encoded.mapInArrow(concat, f"{ddl(encoded)}, decoded binary")
