@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendra.llm import byte_bpe, license_scan, quality
-from calendra.llm.common import documents
+from calendra.functions.lineage import cut
+from calendra.llm import byte_bpe, chunk_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, spotsigs
+from calendra.llm.common import documents, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +67,54 @@ def bpe_query(spark: SparkSession, sf: str) -> DataFrame:
     return _bpe(documents(spark, sf).select("doc_id", "text")).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_register("op4_mix_sources", mixing.ORACLE)
+def mix_query(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    return mixing.mix(sized, sized).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
+    )
+
+
+@_register("op5_spotsigs")
+def spotsigs_query(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = spotsigs.with_next(docs).withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
+    prints = pairs.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        *[spotsigs.fingerprint(F.col(c)).alias(f) for c, f in (("text", "own"), ("edited", "other"), ("next_text", "next"))],
+    )
+    return prints.select(
+        "doc_id", "n_chars", "edited_sha256",
+        spotsigs.as_text(F.col("own")).alias("fingerprint"), spotsigs.as_text(F.col("other")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        spotsigs.likeness(F.col("own"), F.col("next")).alias("near_next"),
+    )
+
+
+@_register("op7_secret_scan")
+def secret_query(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.samples(docs)))
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@_register("op8_jaccard_join")
+def jaccard_query(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf).select("doc_id", "text"))
+
+
+@_register("op9_chunk_dedup")
+def chunk_query(spark: SparkSession, sf: str) -> DataFrame:
+    spans = chunk_dedup.repeated_spans(documents(spark, sf).select("doc_id", "text"))
+    return spans.select("doc_id", "start", "end", "words", "chunks", "copies", "first_doc_id", "kept")
