@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from calendra.functions.lineage import cut
 from calendra.llm.common import ddl, without
 
 BASE_WORDS = 20
@@ -179,7 +180,7 @@ class References:
 
 def references(docs: DataFrame) -> list[dict]:
     """Rows for ``References``. At most (LANGUAGES + 1) x (COMMON_WORDS + classes) rows reach the driver."""
-    by_lang = histograms(docs)
+    by_lang = cut(histograms(docs))
     langs = (
         by_lang.filter("kind = 1 AND lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total"))
         .filter(F.col("total") >= REFERENCE_WORDS).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
