@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from calendra.llm.common import has_repeats
+
 WINDOW = 32
 MIN_CHUNK = 16
 MAX_CHUNK = 4096
@@ -114,7 +116,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``copies`` is the most places of one of its chunks; ``kept``: all its chunks stand here
     first. Equal rows of ``docs`` are one document.
     """
-    all_chunks = chunks(docs.select("doc_id", "text").dropDuplicates() if _has_repeats(docs) else docs)
+    all_chunks = chunks(docs.select("doc_id", "text").dropDuplicates() if has_repeats(docs) else docs)
     place = F.struct("doc_id", "version", "seq")
     known = (
         all_chunks.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
@@ -135,11 +137,6 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def _has_repeats(docs: DataFrame) -> bool:
-    """Whether any doc_id stands in more than one row; only ids are read."""
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-
-
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans that are kept elsewhere taken out of the texts."""
     version = F.col("version")

@@ -38,3 +38,8 @@ def lower_bytes(text) -> bytes:
 def word_count(text: Column) -> Column:
     """Number of words of ``WORD``; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def has_repeats(docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether a key stands in more than one row; only the keys are read."""
+    return not docs.groupBy(key).count().filter("count > 1").isEmpty()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from calendra.functions.lineage import cut
-from calendra.llm.common import lower_bytes
+from calendra.llm.common import has_repeats, lower_bytes
 from calendra.llm.components import components, maybe_in
 
 SHINGLE = 5
@@ -270,3 +270,10 @@ def join(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component; equal rows once."""
+    kept = join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]) if has_repeats(docs) else rows

@@ -25,10 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from calendra.functions.lineage import cut
 from calendra.llm.common import without
 
 BITS = 12
 LEVELS = 5
+#: With more sources than this, their thresholds are joined instead of broadcast.
+BROADCAST_SOURCES = 10_000
 ADDED = ("source_size", "target", "copies", "taken")
 
 
@@ -97,7 +100,9 @@ def mix(
     """
     docs = without(docs, *ADDED)
     hashed = sized.select("source", "size", key_hash(F.col("doc_id")).alias("hash"))
-    edges = thresholds(hashed, targets(sized, weights, share, most)).withColumnRenamed("source", "of")
+    edges = cut(thresholds(hashed, targets(sized, weights, share, most)).withColumnRenamed("source", "of"))
+    if edges.count() <= BROADCAST_SOURCES:
+        edges = F.broadcast(edges)
     more = (key_hash(F.col("doc_id")) < F.col("below")).cast("bigint")
     return (
         docs.join(edges, F.col("source").eqNullSafe(F.col("of")), "left")
