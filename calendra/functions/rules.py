@@ -96,10 +96,11 @@ def ordinals_of(text: Column) -> Column:
 # Where a list of months ends, and the clauses that hold such lists.
 NEXT_ORDINAL = r"\s+I{1,3}\b|\s+IV\b"
 ACTIVE_END = rf"(?={NEXT_ORDINAL}|$)"
-STOPPED_END = rf"(?={NEXT_ORDINAL}|\s+OFFERTA|\s+MATTINO|$)"
+MONTHS_STOPPED_END = rf"(?={NEXT_ORDINAL}|\s+OFFERTA|\s+MATTINO|$)"
+MONTH_STOPPED_END = rf"(?={NEXT_ORDINAL}|\s+MATTINO|$)"
 STOPPED_CLAUSES = (
-    rf"SERVIZIO\s+INTERR\w*\s+(?:NEI\s+)?MESI?\s+DI\s+(.+?){STOPPED_END}",
-    rf"INTERR\w*\s+(?:NEL(?:LA|LE)?\s+)?MESE?\s+DI\s+(.+?){STOPPED_END}",
+    rf"SERVIZIO\s+INTERR\w*\s+(?:NEI\s+)?MESI?\s+DI\s+(.+?){MONTHS_STOPPED_END}",
+    rf"INTERR\w*\s+(?:NEL(?:LA|LE)?\s+)?MESE?\s+DI\s+(.+?){MONTH_STOPPED_END}",
 )
 ACTIVE_CLAUSES = (
     rf"ATTIVO\s+NEI\s+MESI\s+DI\s+(.+?){ACTIVE_END}",

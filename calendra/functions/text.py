@@ -106,7 +106,7 @@ SMALL_WORDS = (
 
 
 def capital(w: Column) -> Column:
-    return F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1_000_000))
+    return F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))
 
 
 def title_name(c: Column) -> Column:
@@ -115,7 +115,7 @@ def title_name(c: Column) -> Column:
 
     def word(w: Column, i: Column) -> Column:
         left = F.substring_index(w, "'", 1)
-        right = F.substring(w, F.length(left) + 2, F.lit(1_000_000))
+        right = F.substring(w, F.length(left) + 2, F.length(w))
         joined = F.concat(left, F.lit("'"), capital(right))
         return (
             F.when(

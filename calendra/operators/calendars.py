@@ -40,10 +40,10 @@ def bin_text(bin_col: Column, field: int, unknown: str = "?") -> Column:
     return out
 
 
-def bins_per_day(cal: DataFrame, domain: tuple[int, ...] = DAY_BINS) -> DataFrame:
-    """Distinct in-domain bins of each calendar day as a sorted array."""
+def bins_per_day(cal: DataFrame, domain: tuple[int, ...] | None = DAY_BINS) -> DataFrame:
+    """Distinct bins of each calendar day as a sorted array; only those of ``domain``, if given."""
     return (
-        cal.where(F.col("bin").isin(*domain))
+        cal.where("bin IS NOT NULL" if domain is None else F.col("bin").isin(*domain))
         .groupBy("calendar_id", "date")
         .agg(F.array_sort(F.collect_set("bin")).alias("bins"))
     )
@@ -67,8 +67,8 @@ def pickups_tomorrow(cal: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def day_labels(cal: DataFrame) -> DataFrame:
-    """Initials joined by ``.`` and names joined by ``, `` per calendar day."""
-    return bins_per_day(cal, tuple(range(-1, 100))).select(
+    """Initials joined by ``.`` and names by ``, `` per calendar day; ``?`` for unknown bins."""
+    return bins_per_day(cal, None).select(
         "calendar_id",
         "date",
         F.array_join(F.transform("bins", lambda b: bin_text(b, 1)), ".").alias("initials"),

@@ -12,6 +12,8 @@ segments is bounded by the range of the measure and not by the number of rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,8 +67,11 @@ def running_counts(hist: DataFrame, groups: Sequence[str]) -> DataFrame:
         )
     )
     inside = W.partitionBy(*groups, "seg").orderBy("value")
+    by = [*groups, "seg"]
+    offsets = offsets.withColumnsRenamed({k: f"_j_{k}" for k in by})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in by])
     return (
-        hist.join(offsets, [*groups, "seg"])
+        hist.join(offsets, same)
         .withColumn(
             "below", F.col("seg_below") + F.sum("n").over(inside) - F.col("n")
         )

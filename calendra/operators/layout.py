@@ -23,7 +23,7 @@ TOKEN_GAP = 3.0
 GOOD_YIELD, FAIR_YIELD = 20, 12
 SPLIT_SPREAD = 120.0
 LETTER_BUCKET, LETTER_BAND = 6.0, 14.0
-LABEL_BAND, LABEL_REACH = 10.0, 80.0
+LABEL_BAND, LABEL_REACH, LABEL_SLACK = 10.0, 80.0, 5.0
 ICON_COLUMN, ICON_ROW = 48.0, 40.0
 MARK_REACH = 20.0
 
@@ -151,12 +151,6 @@ def group_bins(tokens: DataFrame, keys: Sequence[str], bins: Column) -> DataFram
     )
 
 
-def line_text(tokens: DataFrame, keys: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
-    """Tokens of a printed line joined in order. Only for page lines, which are short."""
-    line = F.array_sort(F.collect_list(F.struct(*order, text)))
-    return tokens.groupBy(*keys).agg(F.array_join(F.transform(line, lambda t: t[text]), " ").alias("text"))
-
-
 def nearest_colour(r: Column, g: Column, b: Column, palette: Sequence[tuple[int, float, float, float]], limit: float) -> Column:
     """Bin of the closest palette colour by squared distance, null beyond the limit."""
     shades = F.array(*[
@@ -216,23 +210,32 @@ def month_grid(
 
 
 def label_then_day(
-    labels: DataFrame, days: DataFrame, keys: Sequence[str], label_id: str, bucket_width: float = 200.0
+    labels: DataFrame, days: DataFrame, keys: Sequence[str], label_id: str
 ) -> DataFrame:
-    """Weekday labels paired with the closest day number to their right on the same line.
+    """Weekday labels paired with the leftmost day number of their window.
 
-    Both have x and y; lines are runs of tokens at most ten units apart.
+    Both have x and y. The window reaches ten units up and down, five to the left and eighty
+    to the right. Days are cut into cells of the window's size, and a label looks into the
+    cells that its window can touch, so both sides are read and shuffled once.
     """
     keys = list(keys)
-    both = labels.select(*keys, "x", "y", F.col(label_id).alias("label"), F.lit(None).cast("int").alias("day")).unionByName(
-        days.select(*keys, "x", "y", F.lit(None).cast("bigint").alias("label"), "day")
-    ).withColumn("_id", F.xxhash64("x", "y", "label", "day"))
-    lined = gap_runs(both, keys, ["y", "_id"], "y", LABEL_BAND, F.floor(F.col("y") / bucket_width), "line")
-    ls = lined.where("label IS NOT NULL").select(*keys, "line", "x", "label")
-    ds = lined.where("day IS NOT NULL").select(*keys, "line", "x", "day")
-    around = neighbours(ls, ds, [*keys, "line"], "x", "day", bucket_width, "label")
-    return around.where(F.col("after.at") - F.col("x") <= LABEL_REACH).select(
-        *keys, "label", F.col("after.value").alias("day")
+
+    def cells(at: str, low: float, high: float, size: float) -> Column:
+        return F.sequence(F.floor((F.col(at) + low) / size), F.floor((F.col(at) + high) / size))
+
+    across = LABEL_REACH + LABEL_SLACK
+    wide = labels.select(*keys, F.col(label_id).alias("label"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    wide = wide.withColumn("_row", F.explode(cells("ly", -LABEL_BAND, LABEL_BAND, LABEL_BAND)))
+    wide = wide.withColumn("_col", F.explode(cells("lx", -LABEL_SLACK, LABEL_REACH, across)))
+    found = wide.join(
+        days.select(
+            *keys, "x", "y", "day", F.floor(F.col("y") / LABEL_BAND).alias("_row"), F.floor(F.col("x") / across).alias("_col")
+        ),
+        [*keys, "_row", "_col"],
     )
+    dx = F.col("x") - F.col("lx")
+    inside = (F.abs(F.col("y") - F.col("ly")) <= LABEL_BAND) & (dx >= -LABEL_SLACK) & (dx <= LABEL_REACH)
+    return found.where(inside).groupBy(*keys, "label").agg(F.min_by("day", F.struct(dx, F.col("y"), F.col("day"))).alias("day"))
 
 
 def split_columns(letters: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,12 +9,22 @@ summaries of an entity meet in one window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def _rejoin(df: DataFrame, found: DataFrame, keys: Sequence[str], *cols: str) -> DataFrame:
+    """Adds columns of one summary row a key and bucket; null keys and buckets meet as well."""
+    by = [*keys, "_b"]
+    found = found.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(by)], *cols)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(by)])
+    return df.join(found, same).drop(*[f"_j{i}" for i in range(len(by))])
+
+
 def _ordered(keys: Sequence[str], *order: str):
     return W.partitionBy(*keys).orderBy(*order)
 
@@ -35,7 +45,7 @@ def previous_row(
     )
     inside = F.lag(payload).over(_ordered([*keys, "_b"], *order))
     return (
-        df.join(carried, [*keys, "_b"])
+        _rejoin(df, carried, keys, "_carried")
         .withColumn(out, F.coalesce(inside, F.col("_carried")))
         .drop("_b", "_carried")
     )
@@ -59,7 +69,7 @@ def carry_last(
     upto = _ordered([*keys, "_b"], *order).rowsBetween(W.unboundedPreceding, 0)
     inside = F.last(value, ignorenulls=True).over(upto)
     return (
-        df.join(carried, [*keys, "_b"])
+        _rejoin(df, carried, keys, "_carried")
         .withColumn(out, F.coalesce(inside, F.col("_carried")))
         .drop("_b", "_carried")
     )
@@ -79,7 +89,7 @@ def running_sum(
         *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in values.values()],
     )
     upto = _ordered([*keys, "_b"], *order).rowsBetween(W.unboundedPreceding, 0)
-    out = df.join(offsets, [*keys, "_b"])
+    out = _rejoin(df, offsets, keys, *[f"_o_{o}" for o in values.values()])
     for v, o in values.items():
         out = out.withColumn(o, F.sum(v).over(upto) + F.col(f"_o_{o}"))
     return out.drop("_b", *[f"_o_{o}" for o in values.values()])

@@ -220,19 +220,23 @@ def icon_x() -> Column:
 @query(
     "c07_label_then_day",
     """WITH b AS (SELECT p_partkey AS page, unnest([0, 1, 2]) AS k, p_size FROM part),
-    l AS (SELECT page, k, p_size + k * 50 AS x, k * 40e0 AS y FROM b)
-    SELECT page, CAST(k AS BIGINT) AS label, CAST(1 + (p_size + k) % 28 AS INTEGER) AS day FROM b WHERE p_size <= 30 OR k = 0""",
+    l AS (SELECT page, k, p_size + k * 50 AS x, k * 9e0 AS y FROM b),
+    d AS (SELECT page, 1 + (p_size + k) % 28 AS day, p_size + k * 50 + CASE WHEN p_size <= 30 OR k = 0 THEN 60 ELSE 200 END AS x, k * 9e0 + 3 AS y FROM b
+      UNION ALL SELECT page, 31, p_size + k * 50 - CASE WHEN p_size % 4 = 0 THEN 3 ELSE 9 END, k * 9e0 - 4 FROM b)
+    SELECT l.page, CAST(k AS BIGINT) AS label, CAST(min_by(day, (d.x - l.x) * 1000000 + d.y * 1000 + day) AS INTEGER) AS day
+    FROM l JOIN d ON l.page = d.page AND abs(d.y - l.y) <= 10 AND d.x - l.x BETWEEN -5 AND 80 GROUP BY ALL""",
 )
 def c07_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Three lines per part: a label, its number to the right (near or too far), one to the left."""
+    """Three lines nine units apart per part: a label, its number to the right (near or too
+    far), and one to the left, three units away or too far."""
     k, size = F.col("k"), F.col("p_size")
     lines = V.table(spark, sf, "part").select(
         F.col("p_partkey").alias("page"), "p_size", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("k")
     )
-    labels = lines.select("page", k.cast("bigint").alias("label"), (size + k * 50.0).alias("x"), (k * 40.0).alias("y"))
+    labels = lines.select("page", k.cast("bigint").alias("label"), (size + k * 50.0).alias("x"), (k * 9.0).alias("y"))
     reach = F.when((size <= 30) | (k == 0), 60.0).otherwise(200.0)
-    right = lines.select("page", (1 + (size + k) % 28).alias("day"), (size + k * 50.0 + reach).alias("x"), (k * 40.0 + 3).alias("y"))
-    left = lines.select("page", F.lit(31).alias("day"), (size + k * 50.0 - 9).alias("x"), (k * 40.0 - 4).alias("y"))
+    right = lines.select("page", (1 + (size + k) % 28).alias("day"), (size + k * 50.0 + reach).alias("x"), (k * 9.0 + 3).alias("y"))
+    left = lines.select("page", F.lit(31).alias("day"), (size + k * 50.0 - F.when(size % 4 == 0, 3.0).otherwise(9.0)).alias("x"), (k * 9.0 - 4).alias("y"))
     return L.label_then_day(labels, right.unionByName(left), ["page"], "label").select(
         "page", "label", F.col("day").cast("int").alias("day")
     )

@@ -213,7 +213,8 @@ def d09(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT p_partkey AS k,
       CASE WHEN p_partkey % 3 = 2 THEN '' WHEN p_partkey % 12 + 1 = 6 THEN '6'
         ELSE least(p_partkey % 12 + 1, 6) || ',' || greatest(p_partkey % 12 + 1, 6) END AS active,
-      CASE WHEN p_partkey % 3 = 2 THEN CAST(p_partkey % 12 + 1 AS VARCHAR) ELSE '' END AS stopped
+      CASE WHEN p_partkey % 3 <> 2 THEN '' WHEN p_partkey % 2 = 0 OR p_partkey % 12 + 1 = 9 THEN CAST(p_partkey % 12 + 1 AS VARCHAR)
+        ELSE least(p_partkey % 12 + 1, 9) || ',' || greatest(p_partkey % 12 + 1, 9) END AS stopped
     FROM part""",
 )
 def d10(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +223,8 @@ def d10(spark: SparkSession, sf: str) -> DataFrame:
     text = (
         F.when(k % 3 == 0, F.concat(F.lit("Servizio attivo nei mesi di "), m, F.lit(" (1/30) - giugno I e III lunedì")))
         .when(k % 3 == 1, F.concat(F.lit("II martedì del mese mesi di "), m, F.lit(" e giugno")))
-        .otherwise(F.concat(F.lit("Servizio interrotto nei mesi di "), m, F.lit(" mattino luglio")))
+        .when(k % 2 == 0, F.concat(F.lit("Servizio interrotto nei mesi di "), m, F.lit(" offerta luglio")))
+        .otherwise(F.concat(F.lit("Interrotto nel mese di "), m, F.lit(" offerta settembre mattino luglio")))
     )
     t = F.col("t")
     return keyed(spark, sf, "part", "p_partkey").withColumn("t", R.fold_rule(text)).select(

@@ -83,16 +83,21 @@ def a05(spark: SparkSession, sf: str) -> DataFrame:
 def a06(spark: SparkSession, sf: str) -> DataFrame:
     """Customers written as files with a preamble, header and tabs, then scanned back."""
     folder = run_folder(spark, "csv")
-    part = F.floor(F.col("c_custkey") / 50_000).alias("part")
+    part = F.pmod(F.xxhash64("c_custkey"), F.lit(4)).alias("part")
     customer = V.table(spark, sf, "customer")
-    rows = customer.select(
-        part, F.col("c_custkey").alias("pos"),
-        F.concat_ws(";", F.concat(F.lit("\t"), "c_custkey"), "c_name", F.floor("c_acctbal").cast("string"))
-        .alias("value"),
+    # every other file has its columns in another order
+    pop, swapped = F.floor("c_acctbal").cast("string"), F.col("part") % 2 == 1
+    code = F.concat(F.lit("\t"), "c_custkey")
+    rows = customer.withColumn("part", part).select(
+        "part", F.col("c_custkey").alias("pos"),
+        F.when(swapped, F.concat_ws(";", code, pop, "c_name")).otherwise(F.concat_ws(";", code, "c_name", pop)).alias("value"),
+    )
+    preamble = F.array(
+        F.lit("Rifiuti urbani;;"), F.lit("1;anno;2024"),
+        F.when(swapped, F.lit("IstatComune; Popolazione;Comune")).otherwise(F.lit("IstatComune;Comune; Popolazione")),
     )
-    preamble = ("Rifiuti urbani;;", "1;anno;2024", "IstatComune;Comune; Popolazione")
     top = customer.select(part).distinct().select(
-        "part", F.posexplode(F.array(*[F.lit(t) for t in preamble])).alias("i", "value")
+        "part", F.posexplode(preamble).alias("i", "value")
     ).select("part", (F.col("i") - 3).cast("bigint").alias("pos"), "value")
     (
         rows.unionByName(top).repartition("part").sortWithinPartitions("part", "pos")
@@ -340,10 +345,16 @@ def b06(spark: SparkSession, sf: str) -> DataFrame:
 def b06_options(spark: SparkSession, sf: str) -> DataFrame:
     zona = F.when(F.col("p_type") == "PROMO", F.lit("-")).otherwise(F.col("p_brand"))
     sett = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('" data-settimana="Settimana '), "p_size")).otherwise(F.lit(""))
-    doc = F.concat(F.lit('<select><option value=1 data-zona="'), zona, sett, F.lit('"> <b>'), "p_name",
-                   F.lit('</b></option><option data-zona="x">–</option></select>'))
+    other = F.lit('<select name=other><option data-zona="other">Altra via</option></select>')
+    doc = F.concat(
+        F.when(F.col("p_size") % 3 == 0, other).otherwise(F.lit("")),
+        F.when(F.col("p_size") % 3 == 0, F.lit('<select class=s id="vie">')).otherwise(F.lit("<select>")),
+        F.lit('<option value=1 data-zona="'), zona, sett, F.lit('"> <b>'), "p_name",
+        F.lit('</b></option><option data-zona="x">–</option></select>'), other,
+    )
     pages = V.table(spark, sf, "part").select(F.col("p_partkey").alias("page"), doc.alias("html"))
-    out = H.tagged_labels(pages, "page", "html", "option", "data-zona", ["data-settimana"])
+    options = H.first_block(F.col("html"), "select", "vie")
+    out = H.tagged_labels(pages, "page", options, "option", "data-zona", ["data-settimana"])
     return out.withColumnsRenamed({"data-zona": "zona", "data-settimana": "settimana"})
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from calendra.functions.numbers import round_to
 
@@ -78,12 +77,12 @@ def unit(spark: SparkSession, sf: str) -> DataFrame:
         orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .groupBy("id", "year")
         .agg(
-            F.count(F.lit(1)).alias("n"),
             F.sum("ru").alias("ru"),
             F.sum("rd").alias("rd"),
         )
-        .withColumn("pop", F.sum("n").over(W.partitionBy("id")) * 1000)
     )
+    # From orders alone: a window over the joined rows would keep year filters above it.
+    people = orders.groupBy("id").agg((F.count(F.lit(1)) * 1000).alias("pop"))
     customer = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("name"),
@@ -92,6 +91,7 @@ def unit(spark: SparkSession, sf: str) -> DataFrame:
     )
     return (
         yearly.where(F.col("ru").isNotNull())
+        .join(people, "id")
         .join(customer, "id")
         .join(F.broadcast(geography(spark, sf)), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(

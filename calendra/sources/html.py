@@ -150,13 +150,17 @@ WORKDAY = r"(luned\S*|marted\S*|mercoled\S*|gioved\S*|venerd\S*|sabato)"
 DATES_OF = r"Date spazzamento\s*"
 
 
-def heading_dates(pages: DataFrame, page: str, html: str, year: int) -> DataFrame:
+def heading_dates(
+    pages: DataFrame, page: str, html: str, year: int, longest_zone: int | None = None,
+) -> DataFrame:
     """(page, zone, date): ``dd/mm`` dates of the year listed in the body of an h3 heading.
 
-    Frequency and weekday behind the last dash of a heading are not part of the zone.
+    Frequency and weekday behind the last dash of a heading are not part of the zone. With
+    ``longest_zone``, longer headings are taken for prose and left out.
     """
     clean = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1>", " ")
-    blocks = F.slice(F.split(clean, r"(?i)<h3\b[^>]*>"), 2, 1_000_000)
+    pieces = F.split(clean, r"(?i)<h3\b[^>]*>")
+    blocks = F.slice(pieces, F.lit(2), F.size(pieces))
     parts = pages.select(page, F.explode(blocks).alias("b")).select(
         page,
         plain(F.substring_index(F.regexp_replace("b", "(?i)</h3>", "</h3>"), "</h3>", 1)).alias("title"),
@@ -170,7 +174,7 @@ def heading_dates(pages: DataFrame, page: str, html: str, year: int) -> DataFram
     iso = F.concat_ws("-", F.lit(str(year)), F.lpad("d.mm", 2, "0"), F.lpad("d.dd", 2, "0"))
     return (
         parts.select(page, zone.alias("zone"), F.explode(days).alias("d"))
-        .where((F.col("zone") != "") & (F.length("zone") <= 100))
+        .where((F.col("zone") != "") & (F.lit(longest_zone is None) | (F.length("zone") <= F.lit(longest_zone or 0))))
         .select(page, "zone", F.try_to_date(iso, "yyyy-MM-dd").alias("date"))
         .where("date IS NOT NULL")
         .distinct()
@@ -216,9 +220,18 @@ def attribute(attrs: Column, name: str) -> Column:
     return unescape(F.trim(F.regexp_extract(attrs, rf"""(?i)\b{name}=["']([^"']*)["']""", 1)))
 
 
-def tagged_labels(pages: DataFrame, page: str, html: str, tag: str, required: str, optional: Sequence[str] = ()) -> DataFrame:
+def first_block(html: Column, tag: str, ident: str) -> Column:
+    """Content of the page's first ``tag`` with this id, else of its first ``tag``."""
+    named = F.regexp_extract(html, rf"""(?is)<{tag}\b[^>]*\bid=["']{ident}["'][^>]*>(.*?)</{tag}>""", 1)
+    first = F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
+    return F.coalesce(F.nullif(named, F.lit("")), first)
+
+
+def tagged_labels(
+    pages: DataFrame, page: str, html: Column | str, tag: str, required: str, optional: Sequence[str] = (),
+) -> DataFrame:
     """(page, pos, label, attributes) of a tag; blank or dash-only labels and values dropped."""
-    found = groups(F.col(html), rf"(?is)<{tag}\b([^>]*)>(.*?)</{tag}>", "attrs", "inner")
+    found = groups(F.col(html) if isinstance(html, str) else html, rf"(?is)<{tag}\b([^>]*)>(.*?)</{tag}>", "attrs", "inner")
     rows = pages.select(page, F.posexplode(found).alias("pos", "o"))
     attrs = F.col("o.attrs")
     out = rows.select(
@@ -431,7 +444,7 @@ def sweep_tables(cells: DataFrame, table: str, kind: str) -> tuple[DataFrame, Da
     rows = project_by_header(cells, table, SWEEP_COLUMNS, ["street", "day"]).where(F.length("street") >= 3)
     rows = rows.select("zone", "day", "street").distinct()
     code = F.when(F.col("zone") != "", F.concat(F.lit(f"{kind}:"), "zone")).otherwise(
-        F.concat(F.lit(f"{kind}:rule:"), F.left(R.fold_rule(F.col("day")), F.lit(80)))
+        F.concat(F.lit(f"{kind}:rule:"), R.fold_rule(F.col("day")))
     )
     coded = rows.withColumn("code", code)
     names = F.array_distinct(

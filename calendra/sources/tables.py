@@ -32,8 +32,9 @@ def read_statistics_csv(spark: SparkSession, path: str, header_mark: str = HEADE
     """``;``-separated text with a preamble; all columns STRING, tabs stripped.
 
     A row counts when it lies after its file's header row, judged by the block offset of
-    the split and the row's position in it, so large files can be split. Only the header
-    line reaches the driver.
+    the split and the row's position in it, so large files can be split. Every file is read by
+    its own header: columns may stand in another order or be missing (null). Only the
+    distinct header lines reach the driver; a file without one is an error.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -48,19 +49,22 @@ def read_statistics_csv(spark: SparkSession, path: str, header_mark: str = HEADE
         .groupBy("file")
         .agg(F.min(F.struct("at", "value")).alias("head"))
     )
-    header = heads.select("head.value").first()
-    if header is None:
-        raise ValueError(f"no header row with {header_mark!r} in {path}")
-    names = [h.strip('"') for h in header[0].lstrip("﻿").split(";")]
+    bare = lines.select("file").distinct().join(heads, "file", "left_anti").first()
+    layouts = [row[0] for row in heads.select("head.value").distinct().collect()]
+    if bare is not None or not layouts:
+        raise ValueError(f"no header row with {header_mark!r} in {bare[0] if bare else path}")
+    headers = {line: [h.strip('"') for h in line.lstrip("﻿").split(";")] for line in sorted(layouts)}
+    names = list(dict.fromkeys(n for header in headers.values() for n in header))
     rows = lines.join(heads, "file").where((F.col("at") > F.col("head.at")) & (F.trim("value") != ""))
-    parsed = F.from_csv("value", _ddl(names), {"sep": ";"})
-    return rows.select("file", parsed.alias("r")).select(
-        "file", *[F.trim(F.regexp_replace(F.col(f"r.c{i}"), "^\t+", "")).alias(n) for i, n in enumerate(names)]
-    )
+    wide = ", ".join(f"c{i} string" for i in range(max(map(len, headers.values()))))
+    parsed = rows.select("file", F.col("head.value").alias("header"), F.from_csv("value", wide, {"sep": ";"}).alias("r"))
 
+    def column(name: str) -> Column:
+        places = [(line, header.index(name)) for line, header in headers.items() if name in header]
+        found = F.coalesce(*[F.when(F.col("header") == line, F.col(f"r.c{i}")) for line, i in places])
+        return F.trim(F.regexp_replace(found, "^\t+", "")).alias(name)
 
-def _ddl(names: list[str]) -> str:
-    return ", ".join(f"c{i} string" for i in range(len(names)))
+    return parsed.select("file", *[column(n) for n in names])
 
 
 def per_capita_costs(rows: DataFrame, key: str, places: str, cost: str, pos: str) -> DataFrame:

@@ -123,15 +123,17 @@ def dispatch_stream(
     """Start the dispatch stream over hourly ticks.
 
     ``send`` maps the planned sends to outcomes (key, status); it is the sink side effect.
-    A micro-batch holds a few ticks, which are played in order; every tick writes its own
-    folder of marks under a number fixed by the batch, so a repeated batch rewrites them.
+    The ticks of a micro-batch are played in order. Every tick writes its own folder of marks
+    under the seconds of its instant, so a repeated tick rewrites its folder and no backlog
+    can run into the numbers of another batch.
     """
 
     def play(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        # Ticks are one per hour: a handful of rows.
-        for i, row in enumerate(df.select("ts").distinct().orderBy("ts").collect()):
-            number = batch * 1000 + i
+        # Ticks are one per hour: even a backlog of years is a short list.
+        ticks_at = F.col("ts").cast("timestamp").cast("bigint").alias("number")
+        for row in df.select("ts", ticks_at).distinct().orderBy("ts").collect():
+            number = row["number"]
             tick = F.lit(row["ts"]).cast("timestamp_ntz")
             state = read_state(spark, state_path, marks_path, marks_before=number)
             planned = plan(state, cal, tick, years)
