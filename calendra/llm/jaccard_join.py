@@ -7,8 +7,8 @@ fewer words, that of the whole sequence. Two sets link when their Jaccard coeffi
 1. Every set is ordered by one global order, hash by hash with the hashes that many sets
    share last, and its prefix (n - ceil(0.75 n) + 1 hashes) is dealt out by hash. Partners
    have a hash of both prefixes in common. Hashes of one set only are dropped.
-2. Groups: each set is compared with one centre, the smallest set that it shares most
-   prefix hashes with; the components of these links are the groups.
+2. Groups: each set is compared with one centre, the one that it shares most prefix
+   hashes with; the components of these links are the groups.
 3. The token-group matrix has a row for each hash and group: the union of the prefixes of
    the group's sets. A set's number of hashes in a group's row, with what the sizes leave
    for the hashes behind the prefixes, bounds its overlap with any set of the group. Only
@@ -42,7 +42,7 @@ PERCENT = 75
 #: Hashes that many sets share and that stand last in the order: at most so many (1 MB).
 SHARED_HASHES = 1 << 17
 #: Sets that have a hash in common within one block of texts, to count it as shared.
-SHARED_IN_BLOCK = 3
+SHARED_IN_BLOCK = 2
 BLOCK_HASHES = 4_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,7 +121,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, shared: np.ndarray) -> DataFrame:
-    """Rows (hash, set, n) of every set's prefix; ``shared``: the hashes that stand last."""
+    """Rows (hash, set, n, place) of every set's prefix; ``shared``: the hashes that stand last."""
     last = docs.sparkSession.sparkContext.broadcast(np.sort(shared))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +147,7 @@ def prefixes(docs: DataFrame, shared: np.ndarray) -> DataFrame:
             if parts:
                 yield _rows(parts, owners, sizes)
 
-    return docs.select("text").mapInPandas(run, "hash bigint, `set` bigint, n int")
+    return docs.select("text").mapInPandas(run, "hash bigint, `set` bigint, n int, place int")
 
 
 def _rows(parts: list[np.ndarray], owners: list[int], sizes: list[int]) -> pd.DataFrame:
@@ -156,6 +156,7 @@ def _rows(parts: list[np.ndarray], owners: list[int], sizes: list[int]) -> pd.Da
         "hash": np.concatenate(parts).view(np.int64),
         "set": np.repeat(np.array(owners, np.int64), counts),
         "n": np.repeat(np.array(sizes, np.int32), counts),
+        "place": np.concatenate([np.arange(c, dtype=np.int32) for c in counts]),
     })
 
 
@@ -197,10 +198,17 @@ def _sizes_fit(n: str, other: str) -> Column:
 
 
 def centre_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each set and the centre with which it shares most prefix hashes."""
+    """(a, b): each set and the centre with which it shares most prefix hashes.
+
+    The centre of a hash is the set of it with most shared hashes: among near copies that is
+    one with few words of its own, which links with most of the others.
+    """
     n_b = F.col("centre.n").alias("n_b")
+    degrees = shared.groupBy("set").agg(F.count("*").alias("degree"))
+    ranked = shared.select("hash", "set", "n").join(degrees, "set")
+    centres = ranked.groupBy("hash").agg(F.max(F.struct("degree", "set", "n")).alias("centre"))
     counts = (
-        shared.filter(F.col("set") != F.col("centre.set")).select("set", "n", F.col("centre.set").alias("b"), n_b)
+        ranked.join(centres, "hash").filter(F.col("set") != F.col("centre.set")).select("set", "n", F.col("centre.set").alias("b"), n_b)
         .filter(_sizes_fit("n", "n_b")).groupBy("set", "n", "b").agg(F.count("*").alias("c"))
     )
     best = counts.groupBy("set", "n").agg(F.max(F.struct("c", F.col("b"))).alias("best"))
@@ -209,19 +217,31 @@ def centre_pairs(shared: DataFrame) -> DataFrame:
     return best.filter(enough).select(F.col("set").alias("a"), F.col("best.b").alias("b"))
 
 
+def _room(n: str, place: str) -> Column:
+    """A hash at this place (from 0) is common to partners first if 3 times the partner's size
+    is no more: place <= n - ceil(3 (n + partner) / 7)."""
+    return 4 * F.col(n) - 7 * F.col(place)
+
+
 def opened_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): sets, and the members of the groups that their bound opens."""
-    own = shared.select("hash", "set", "n").join(labels.withColumnRenamed("id", "set"), "set", "left").withColumn(
-        "label", F.coalesce("label", "set")
+    own = cut(
+        shared.select("hash", "set", "n", "place").join(labels.withColumnRenamed("id", "set"), "set", "left")
+        .withColumn("label", F.coalesce("label", "set")).withColumn("room", _room("n", "place"))
     )
-    own = cut(own)
-    matrix = own.groupBy("hash", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = own.groupBy("hash", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("widest"))
     several = matrix.groupBy("hash").agg(F.count("*").alias("groups")).filter("groups > 1").select("hash")
-    matrix = matrix.join(several, "hash").withColumnRenamed("label", "group")
-    overlap = (
-        own.join(matrix, "hash").filter(F.col("label") < F.col("group"))
+    matrix = cut(matrix.join(several, "hash").withColumnRenamed("label", "group"))
+    rows = own.join(several, "hash", "left_semi")
+    smallest = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100))
+    met = (
+        rows.filter("room >= 0").join(matrix.filter("widest >= 0"), "hash").filter(F.col("label") < F.col("group"))
         .filter((100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least")))
-        .groupBy("set", "n", "group")
+        .filter((F.col("widest") >= 3 * F.col("n")) & (F.col("room") >= 3 * smallest))
+        .select("set", "group").distinct()
+    )
+    overlap = (
+        met.join(rows.select("hash", "set", "n"), "set").join(matrix, ["hash", "group"]).groupBy("set", "n", "group")
         .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"))
     )
     low = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100))
@@ -255,9 +275,8 @@ def join(docs: DataFrame) -> DataFrame:
     by_hash = W.partitionBy("hash")
     shared = cut(
         prefixes(docs, shared_hashes)
-        .withColumn("centre", F.min(F.struct("set", "n")).over(by_hash))
-        .withColumn("other", F.max("set").over(by_hash))
-        .filter("other <> centre.set").drop("other")
+        .withColumn("low", F.min("set").over(by_hash)).withColumn("high", F.max("set").over(by_hash))
+        .filter("low <> high").drop("low", "high")
     )
     owners = sets.filter("n > 0").groupBy("set").agg(F.min(_key("doc_id")).alias("key"))
     first = cut(linked(centre_pairs(shared), docs, owners))
