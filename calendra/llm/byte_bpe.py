@@ -3,14 +3,14 @@
 Every distinct word (a match of the split pattern) is encoded by Spark's higher-order
 functions: an ``aggregate`` folds the merges over the array of the word's byte tokens, one
 merge a step, always the lowest rank and the leftmost of equals, looking ranks up in a
-literal map (hash buckets of token pairs). The ``dictionary_size`` most frequent words of
-the corpus are folded once and broadcast (bounded by this parameter, about 30 bytes a word);
-any other word is folded where it stands, so no row of words is shuffled back to its text.
-Decoding concatenates the tokens' bytes.
-
-Cases: a null text counts as empty and has no tokens; words of more than ``FOLD_BYTES``
-bytes (runs of blanks, endless letters) are merged with a heap instead of the fold, whose
-steps copy the whole array; equal texts give equal ids; an empty table gives an empty
+literal map (hash buckets of token pairs). The ``dictionary_size`` words that stand in most
+texts are folded once and become a second literal map (bounded by this parameter, about 30
+bytes a word); any other word is folded where it stands, so no row of words is shuffled back
+to its text. Decoding concatenates the tokens' bytes.
+
+Cases: a null text counts as empty and has no tokens; texts with a run of ``LONG_RUN`` or more
+characters with or without blanks are merged with a heap instead of the fold, whose steps
+copy a word's whole array; equal texts give equal ids; an empty table gives an empty
 table; all columns of the input except ``ids`` and ``n_tokens`` are kept as they are.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from calendra.llm.common import ddl, without
 
-DICTIONARY_SIZE = 700_000
-FOLD_BYTES = 512
+DICTIONARY_SIZE = 400_000
+LONG_RUN = 500
+LONG = rf"\S{{{LONG_RUN},}}+|\s{{{LONG_RUN},}}+"
+WORD_BUCKETS = 1 << 18
 FOLD_TASKS = 24
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
@@ -153,46 +156,33 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that few texts are held as objects at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            yield batch.slice(at, 200)
+def _pack(ids) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
 
 
-def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
+def _words(pattern: str) -> Column:
+    return F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))
 
 
-def _pack(ids) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+def _hex_ids(word: Column, path: str) -> Column:
+    """The ids of a word as hex digits, little-endian, eight to an id."""
+    size = max(read_ranks(path).values()) + 1
+    table = F.from_json(F.lit(json.dumps([_pack([i]).hex() for i in range(size)])), "array<string>")
+    return _let(table, lambda digits: F.array_join(F.transform(fold_merges(word, path), lambda i: F.get(digits, i)), ""))
 
 
-def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> bytes:
-    """The most frequent words, at most ``size`` of them, and their ids, as an Arrow stream."""
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))).alias("word"))
-    top = (
-        words.groupBy("word").count().filter(F.octet_length("word") <= FOLD_BYTES)
-        .orderBy(F.desc("count"), "word").limit(size).select("word")
-    )
-    table = top.repartition(FOLD_TASKS, "word").select("word", fold_merges(F.col("word"), path).alias("ids")).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-@lru_cache(maxsize=1)
-def _dictionary(stream: bytes) -> dict[str, bytes]:
-    """Once a worker, which gets the same broadcast object for all its tasks."""
-    known: dict[str, bytes] = {}
-    with pa.ipc.open_stream(stream) as batches:
-        for batch in batches:
-            ids = batch.column("ids")
-            ends = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
-            raw = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            known.update(zip(batch.column("word").to_pylist(), map(raw.__getitem__, map(slice, ends, ends[1:])), strict=True))
-    return known
+def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> str:
+    """JSON of the words that stand in most texts, at most ``size``, and their ids, by bucket."""
+    words = docs.filter(~F.col("text").rlike(LONG)).select(F.explode(F.array_distinct(_words(pattern))).alias("word"))
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).select("word")
+    rows = top.repartition(FOLD_TASKS, "word").select("word", _hex_ids(F.col("word"), path).alias("ids")).toArrow()
+    keys: list[list[str]] = [[] for _ in range(WORD_BUCKETS)]
+    values: list[list[str]] = [[] for _ in range(WORD_BUCKETS)]
+    for word, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True):
+        bucket = zlib.crc32(word.encode()) % WORD_BUCKETS
+        keys[bucket].append(word)
+        values[bucket].append(ids)
+    return json.dumps({"k": keys, "v": values}, ensure_ascii=False)
 
 
 def encode(
@@ -203,53 +193,46 @@ def encode(
     ``path`` is a rank file, ``pattern`` the split pattern of the tokenizer, ``keep`` the
     columns to keep (all).
     """
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(frequent_words(docs, path, pattern, dictionary_size))
-    ranks = spark.sparkContext.broadcast(read_ranks(path))
     docs = without(docs, "ids", "n_tokens")
     kept = [c for c in docs.columns if keep is None or c in keep]
+    known = F.from_json(F.lit(frequent_words(docs, path, pattern, dictionary_size)), "struct<k: array<array<string>>, v: array<array<string>>>")
+
+    def ids_of(table: Column) -> Column:
+        def one(word: Column) -> Column:
+            bucket = (F.crc32(F.encode(word, "UTF-8")) % WORD_BUCKETS).cast("int")
+            place = F.array_position(F.get(table["k"], bucket), word).cast("int") - 1
+            return F.coalesce(F.get(F.get(table["v"], bucket), place), _hex_ids(word, path))
+
+        return F.array_join(F.transform(_words(pattern), one), "")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    long = F.coalesce(F.col("text").rlike(LONG), F.lit(False))
+    table = F.struct(known["k"].alias("k"), known["v"].alias("v"))
+    usual = docs.filter(~long).select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.unhex(_let(table, ids_of)), F.lit(b"")).alias("ids"))
+    odd = _heap_encode(docs.filter(long), path, pattern, kept)
+    return usual.unionByName(odd).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
+
+
+def _heap_encode(docs: DataFrame, path: str, pattern: str, kept: list[str]) -> DataFrame:
+    """``kept`` and ``ids`` of texts with very long words."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        words, table, by_bytes = regex.compile(pattern).findall, _dictionary(known.value), ranks.value
-        for batch in _small(batches):
-            parts, rare = [], []
-            for text in batch.column("text").to_pylist():
-                found = words(text or "")
-                ids = list(map(table.get, found))
-                own, pieces, start = [], [], 0
-                if None in ids:
-                    for i in [i for i, known_ids in enumerate(ids) if known_ids is None]:
-                        raw = found[i].encode()
-                        if len(raw) > FOLD_BYTES:
-                            ids[i] = _pack(heap_merges(raw, by_bytes))
-                            continue
-                        pieces.append(b"".join(ids[start:i]))
-                        own.append(found[i])
-                        start = i + 1
-                pieces.append(b"".join(ids[start:]))
-                parts.append(pieces)
-                rare.append(own)
-            yield _with(batch.select(kept), _parts=pa.array(parts, pa.list_(pa.binary())), _rare=pa.array(rare, pa.list_(pa.string())))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
-            ids = []
-            for parts, rare in zip(batch.column("_parts").to_pylist(), batch.column("_rare").to_pylist(), strict=True):
-                own = [parts[0]]
-                for word, part in zip(rare, parts[1:], strict=True):
-                    own += (_pack(word), part)
-                ids.append(b"".join(own))
-            yield _with(batch.select(kept), ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()))
+        words = regex.compile(pattern).findall
+        for batch in batches:
+            ids = [
+                b"".join(_pack(heap_merges(w.encode(), ranks.value)) for w in words(text))
+                for text in batch.column("text").to_pylist()
+            ]
+            yield _with(batch.select(kept), ids=pa.array(ids, pa.binary()))
 
     schema = ddl(docs.select(*[F.col(f"`{c}`") for c in kept]))
-    schema += ", " if schema else ""
-    return (
-        docs.mapInArrow(split, f"{schema}_parts array<binary>, _rare array<string>")
-        .withColumn("_rare", F.transform("_rare", lambda w: fold_merges(w, path)))
-        .mapInArrow(join, f"{schema}ids binary, n_tokens bigint")
-    )
+    return docs.mapInArrow(run, f"{schema}, ids binary" if schema else "ids binary")
+
+
+def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -260,7 +243,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def concat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces.value.__getitem__
-        for batch in _small(batches):
+        for batch in batches:
             texts = [b"".join(map(piece, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch.column("ids").to_pylist()]
             yield _with(batch, decoded=pa.array(texts, pa.binary()))
 
