@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,8 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = _LOCAL[app]
     return folder
 
 

@@ -30,7 +30,8 @@ def group_manifest(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def replace_provider(catalog: DataFrame, fresh: DataFrame, provider: str) -> DataFrame:
-    return catalog.where(F.col("provider") != provider).unionByName(fresh)
+    """The catalog with ``fresh`` in place of the provider's rows; rows without one stay."""
+    return catalog.where(~F.col("provider").eqNullSafe(provider)).unionByName(fresh)
 
 
 def upsert_heads(existing: DataFrame, found: DataFrame) -> DataFrame:

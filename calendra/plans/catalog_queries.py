@@ -36,6 +36,22 @@ def i01_docs(spark: SparkSession, sf: str) -> DataFrame:
     return C.group_manifest(items(spark, sf))[1]
 
 
+@query(
+    "i01_replace_provider",
+    """SELECT o_orderkey AS id, left(o_orderpriority, 1) AS provider, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE left(o_orderpriority, 1) <> '1'
+    UNION ALL SELECT p_partkey, '1', CAST(2000 + p_size AS INTEGER) FROM part""",
+)
+def i01_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """Provider 1 delivers its whole list anew."""
+    catalog = V.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.left("o_orderpriority", F.lit(1)).alias("provider"), F.year("o_orderdate").alias("year")
+    )
+    fresh = V.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.lit("1").alias("provider"), (F.col("p_size") + 2000).cast("int").alias("year")
+    )
+    return C.replace_provider(catalog, fresh, "1")
+
+
 # Existing catalog: per street name; found: per street name with a suffix for some.
 UPS = """ex AS (SELECT p_name AS id, CASE WHEN length(p_name) % 3 = 0 THEN 'q' ELSE 'p' END AS provider, list_sort(list(DISTINCT p_size % 5)) AS years, ['n' || p_name] AS notes FROM part GROUP BY p_name),
 fo AS (SELECT p_name || CASE WHEN p_type = 'PROMO' THEN ' promo' ELSE '' END AS id, 'p' AS provider, list_sort(list(DISTINCT p_size % 7)) AS years, ['found'] AS notes FROM part WHERE p_type IN ('PROMO', 'SMALL') GROUP BY 1),

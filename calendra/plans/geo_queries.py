@@ -30,17 +30,20 @@ AGG = f"""CAST(sum(pop) AS BIGINT) AS pop, count(*) AS municipalities, count(rd_
     f"""WITH {UNIT}
     SELECT code, '{{"name":"' || name || '"' || coalesce(',"rd":' || rd, '') || coalesce(',"n":' || n, '') || '}}' AS properties FROM (
       SELECT n_nationkey || '-' || n_regionkey AS code, n_name AS name, n, rd FROM nation LEFT JOIN
-        (SELECT province, count(*) AS n, CAST(floor(avg(rd_pct)) AS BIGINT) AS rd FROM unit WHERE year = 2000 AND region <> 'ASIA' GROUP BY 1)
-      ON province = n_name)""",
+        (SELECT province, count(*) AS n, CAST(floor(avg(rd_pct)) AS BIGINT) AS rd FROM unit WHERE year = 2000 GROUP BY 1)
+      ON province = n_name AND n_nationkey % 5 <> 0)""",
 )
 def k01(spark: SparkSession, sf: str) -> DataFrame:
     nation = V.table(spark, sf, "nation")
     code = G.composite_code(F.concat("n_nationkey", F.lit("-")), F.col("n_regionkey"))
     boundaries = nation.select(code.alias("code"), F.col("n_name").alias("name"))
-    codes = boundaries.select("code", F.col("name").alias("province"))
+    # records of every fifth nation carry a code that no boundary has
+    other = F.when(F.col("n_nationkey") % 5 == 0, 90).otherwise(0) + F.col("n_regionkey")
+    codes = nation.select(
+        G.composite_code(F.concat("n_nationkey", F.lit("-")), other).alias("code"), F.col("n_name").alias("province")
+    )
     records = (
         V.latest(V.unit(spark, sf))
-        .where("region <> 'ASIA'")
         .groupBy("province")
         .agg(F.floor(F.avg("rd_pct")).alias("rd"), F.count(F.lit(1)).alias("n"))
         .join(codes, "province")
@@ -265,6 +268,17 @@ def k13(spark: SparkSession, sf: str) -> DataFrame:
     return G.provinces_or_region(asked, geo.where("region <> 'ASIA'").select("region", "province"), regions)
 
 
+@query(
+    "k13_macro_regions",
+    f"""WITH {V.GEO}
+    SELECT region, count(*) AS customers FROM customer JOIN geo ON c_nationkey = n_nationkey WHERE macro = 'east' GROUP BY 1""",
+)
+def k13_macro(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of the regions of one macro-area."""
+    placed = V.table(spark, sf, "customer").join(F.broadcast(V.geography(spark, sf)), F.col("c_nationkey") == F.col("n_nationkey"))
+    return G.regions_of(placed, "east").groupBy("region").agg(F.count(F.lit(1)).alias("customers"))
+
+
 @query(
     "k14_hierarchy_counts",
     """WITH d AS (SELECT CASE WHEN r_name = 'ASIA' THEN 'Altro' ELSE r_name END AS region, n_name AS province, c_acctbal > 0 AS has_calendar

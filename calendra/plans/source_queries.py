@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -200,10 +201,10 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "a13_date_matrix",
     f"""WITH {CAL} SELECT DISTINCT 'C' || calendar_id AS calendar_id, date, CAST(6 AS INTEGER) AS bin FROM cal
-    WHERE date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'""",
+    WHERE year(date) = 1998""",
 )
 def a13(spark: SparkSession, sf: str) -> DataFrame:
-    days = [f"1998-03-{d:02d}" for d in range(1, 32)]
+    days = [(datetime.date(1998, 1, 1) + datetime.timedelta(days=d)).isoformat() for d in range(365)]
     marks = [F.max(F.when(F.col("date") == F.to_date(F.lit(d)), F.lit(" X "))).alias(d) for d in days]
     sheet = V.cal(spark, sf).groupBy(F.concat(F.lit("C"), "calendar_id").alias("zona")).agg(*marks)
     return B.unpivot_date_matrix(sheet, "zona", 6)
