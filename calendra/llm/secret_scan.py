@@ -134,7 +134,10 @@ def samples(docs: DataFrame) -> DataFrame:
     known = docs.select(F.explode(values).alias("text")).filter(F.length("text") >= 16).withColumn("secret", F.lit(True))
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     made = spark.range(SAMPLE_STRINGS, numPartitions=1).select(F.substring(F.base64(digest), 1, 40).alias("text"), F.lit(True).alias("secret"))
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_DOCS)
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    # only hashes are ordered; rows of one id are taken together
+    edge = docs.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    some = docs.filter(order <= F.lit(edge))
     words = F.regexp_extract_all(F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit(r"[A-Za-z0-9+/_=-]{3,}"), F.lit(0))
     ordinary = some.select(F.explode(words).alias("text")).withColumn("secret", F.lit(False))
     return known.unionByName(made).unionByName(ordinary)
