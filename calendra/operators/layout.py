@@ -133,6 +133,30 @@ def token_runs(
     return gap_runs(tokens, list(keys), [y, tie], y, gap, F.floor(F.col(y) / bucket_width), out)
 
 
+def token_clusters(
+    tokens: DataFrame, keys: Sequence[str], y: str, tie: str, bucket_width: float,
+    gap: float = TOKEN_GAP, out: str = "cluster_y",
+) -> DataFrame:
+    """Tokens with the position of their cluster's first token, all within ``gap`` of it.
+
+    A gap above the limit always starts a cluster, so only the inside of a run needs an
+    ordered fold; it goes over the run's distinct positions, one small array a run.
+    """
+    keys = list(keys)
+    inside = token_runs(tokens, keys, y, tie, bucket_width, gap, "_run")
+
+    def grown(starts: Column, at: Column) -> Column:
+        new = (F.size(starts) == 0) | (at - F.element_at(starts, -1) > gap)
+        return F.when(new, F.concat(starts, F.array(at))).otherwise(starts)
+
+    spots = F.array_sort(F.collect_set(F.col(y).cast("double")))
+    starts = inside.groupBy(*keys, "_run").agg(spots.alias("_spots")).select(
+        *keys, "_run", F.aggregate("_spots", F.array().cast("array<double>"), grown).alias("_starts")
+    )
+    first = F.array_max(F.filter("_starts", lambda s: s <= F.col(y)))
+    return inside.join(starts, [*keys, "_run"]).withColumn(out, first).drop("_run", "_starts")
+
+
 def group_extents(tokens: DataFrame, keys: Sequence[str], order: Sequence[str], y: str, text: str) -> DataFrame:
     """Per line or run its top, number of tokens, and first and last text."""
     at = F.struct(*order)

@@ -90,6 +90,17 @@ def c04(spark: SparkSession, sf: str) -> DataFrame:
     return runs(spark, sf).select("page", "id", "run")
 
 
+@query(
+    "c04_token_clusters",
+    f"""WITH RECURSIVE {CLOCK}, st AS (
+      SELECT page, min(y) AS s FROM ck GROUP BY 1
+      UNION ALL SELECT st.page, (SELECT min(y) FROM ck WHERE ck.page = st.page AND ck.y > st.s + 360) FROM st WHERE st.s IS NOT NULL)
+    SELECT ck.page, id, max(s) AS cluster_y FROM ck JOIN st ON ck.page = st.page AND s <= y GROUP BY 1, 2""",
+)
+def c04_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return L.token_clusters(clock(spark, sf, KINDS), ["page"], "y", "id", DAY, 360.0).select("page", "id", "cluster_y")
+
+
 @query(
     "c04_run_extents",
     f"""WITH {RUNS} SELECT page, run, min(y) AS y0, count(*) AS tokens, arg_min(event_type, (y, id)) AS first_text, arg_max(event_type, (y, id)) AS last_text FROM r GROUP BY 1, 2""",

@@ -112,3 +112,9 @@ def test_backlog_of_ticks_uses_a_folder_for_each(spark, tmp_path):
     folders = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "marks").iterdir() if p.name.startswith("batch="))
     first = int(start.replace(tzinfo=dt.timezone.utc).timestamp())
     assert folders == [first + 3600 * h for h in range(4)]
+
+
+def test_clusters_are_measured_from_their_first_token(spark):
+    tokens = spark.createDataFrame([(1, i, float(y)) for i, y in enumerate((0, 2, 4, 6, 20, 23, 26))], "page int, id int, y double")
+    rows = {r.y: r.cluster_y for r in L.token_clusters(tokens, ["page"], "y", "id", 10.0).collect()}
+    assert rows == {0: 0, 2: 0, 4: 4, 6: 4, 20: 20, 23: 20, 26: 26}
