@@ -76,8 +76,9 @@ def classified(rows: DataFrame) -> DataFrame:
     )
 
 
-def group_facts(rows: DataFrame) -> DataFrame:
-    """One row per group key: head's waste, distinct members and their summed population.
+def group_facts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per ``by`` (a year) and group key: head's waste, distinct members and their
+    summed population.
 
     Rows are reduced to (key, id) and then to one row per key, both combined map-side, so
     a group that holds a third of the rows never meets in one task.
@@ -87,20 +88,20 @@ def group_facts(rows: DataFrame) -> DataFrame:
     return (
         classified(rows)
         .where(F.col("kind").isin("head", "member") & (F.col("key") != ""))
-        .groupBy("key", "id")
+        .groupBy(*by, "key", "id")
         .agg(
             F.max(F.when(F.col("pop") > 0, F.col("pop"))).alias("pop"),
             F.min("group_label").alias("any_label"),
             F.max(F.when(is_head, head)).alias("head"),
         )
-        .groupBy("key")
+        .groupBy(*by, "key")
         .agg(
             F.min("any_label").alias("any_label"),
             F.max_by("head", F.when(F.col("head").isNotNull(), F.col("id"))).alias("head"),
             F.count("pop").alias("group_n"),
             F.sum("pop").alias("group_pop"),
         )
-        .select("key", "any_label", "head.*", "group_n", "group_pop")
+        .select(*by, "key", "any_label", "head.*", "group_n", "group_pop")
     )
 
 
@@ -108,40 +109,40 @@ def usable_groups(facts: DataFrame) -> DataFrame:
     return facts.where("rd_pct IS NOT NULL AND ru_t IS NOT NULL AND group_n > 0")
 
 
-def group_warnings(facts: DataFrame) -> DataFrame:
+def group_warnings(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Groups that cannot be used, with the reason."""
     reason = (
         F.when(F.col("group_label").isNull(), F.lit("no head row"))
         .when(F.col("rd_pct").isNull() | F.col("ru_t").isNull(), F.lit("no waste"))
         .when(F.col("group_n") == 0, F.lit("no valid members"))
     )
-    return facts.select("key", "any_label", reason.alias("reason")).where("reason IS NOT NULL")
+    return facts.select(*by, "key", "any_label", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def shared_metrics(rows: DataFrame) -> DataFrame:
+def shared_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Own rows keep their data; group members get the head's data over the group's people.
 
-    Group rows win over own rows of the same id.
+    Group rows win over own rows of the same id. ``by`` keeps years apart.
     """
     c = classified(rows)
     own = (
         c.where("kind = 'own' AND pop > 0 AND rd_pct IS NOT NULL AND ru_t IS NOT NULL")
         .select(
-            "id", "pop", round_to("rd_pct", 2).alias("rd_pct"), *per_capita("pop"),
+            *by, "id", "pop", round_to("rd_pct", 2).alias("rd_pct"), *per_capita("pop"),
             F.lit(None).cast("string").alias("group_name"),
             F.lit(None).cast("bigint").alias("group_n"),
             F.lit(None).cast("bigint").alias("group_pop"),
             F.lit(0).alias("prio"),
         )
     )
-    members = c.where("kind IN ('head', 'member') AND pop > 0").select("key", "id", "pop").distinct()
-    facts = usable_groups(group_facts(rows)).drop("any_label")
-    shared = members.join(facts, "key").select(
-        "id", "pop", round_to("rd_pct", 2).alias("rd_pct"), *per_capita("group_pop"),
+    members = c.where("kind IN ('head', 'member') AND pop > 0").select(*by, "key", "id", "pop").distinct()
+    facts = usable_groups(group_facts(rows, by)).drop("any_label")
+    shared = members.join(facts, [*by, "key"]).select(
+        *by, "id", "pop", round_to("rd_pct", 2).alias("rd_pct"), *per_capita("group_pop"),
         F.col("group_label").alias("group_name"), "group_n", "group_pop", F.lit(1).alias("prio"),
     )
     best = F.max_by(F.struct(*SHARED[1:]), F.struct("prio", "group_name"))
-    return own.unionByName(shared).groupBy("id").agg(best.alias("m")).select("id", "m.*")
+    return own.unionByName(shared).groupBy(*by, "id").agg(best.alias("m")).select(*by, "id", "m.*")
 
 
 def attach_costs(metrics: DataFrame, costs: DataFrame) -> DataFrame:

@@ -15,12 +15,12 @@ from calendra.plans.registry import query
 from calendra.plans.views import LATEST_YEAR, UNIT, r
 
 
-def yearly_rows(spark: SparkSession, sf: str) -> DataFrame:
+def yearly_rows(spark: SparkSession, sf: str, every_year: bool = False) -> DataFrame:
     """Every seventh unit shares data within its province; every third of those has data.
 
     The head with the highest key wins, and a province without any head is reported.
     """
-    u = V.latest(V.unit(spark, sf))
+    u = V.unit(spark, sf) if every_year else V.latest(V.unit(spark, sf))
     label = F.concat(F.lit("Consorzio "), F.col("province"))
     shared = F.col("id") % 7 == 0
     is_head = F.col("id") % 21 == 0
@@ -112,6 +112,27 @@ def j04(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The same over all years: heads, members and people of each year.
+METRICS_BY_YEAR = (
+    METRICS.replace(" FROM unit WHERE year = 2000)", " FROM unit)")
+    .replace("gh AS (SELECT gname,", "gh AS (SELECT year, gname,").replace("gs AS (SELECT gname,", "gs AS (SELECT year, gname,")
+    .replace("WHERE kind = 'head' GROUP BY 1)", "WHERE kind = 'head' GROUP BY 1, 2)")
+    .replace("WHERE kind IN ('head', 'member') GROUP BY 1)", "WHERE kind IN ('head', 'member') GROUP BY 1, 2)")
+    .replace("JOIN gh USING (gname) JOIN gs USING (gname)", "JOIN gh USING (year, gname) JOIN gs USING (year, gname)")
+)
+
+
+@query(
+    "j04_shared_metrics_by_year",
+    f"""WITH {METRICS_BY_YEAR} SELECT year, id, pop, rd_pct, kg_ru, kg_ind, kg_rd, group_name,
+      CAST(group_n AS DOUBLE) AS group_n, CAST(group_pop AS DOUBLE) AS group_pop FROM met""",
+)
+def j04_years(spark: SparkSession, sf: str) -> DataFrame:
+    return K.shared_metrics(yearly_rows(spark, sf, every_year=True), ["year"]).withColumns(
+        {c: F.col(c).cast("double") for c in ("group_n", "group_pop")}
+    )
+
+
 @query(
     "j04_group_warnings",
     f"""WITH {ROWS} SELECT upper(replace(gname, ' ', '')) AS key, gname AS any_label, 'no head row' AS reason FROM kr
