@@ -269,6 +269,65 @@ def resolve_zone_keys(options: DataFrame, schedules: DataFrame) -> DataFrame:
     )
 
 
+# Sides of a town, weekdays of zone names, times of day at their end.
+SIDES = ("NORD", "SUD")
+ZONE_WEEKDAYS = ("LUNEDI", "MARTEDI", "MERCOLEDI", "GIOVEDI", "VENERDI", "SABATO", "DOMENICA")
+TIME_OF_DAY = r"\s+(MATTINA|POMERIGGIO)\s*$"
+
+
+def _zone_parts(options: DataFrame, *extra: str) -> DataFrame:
+    return options.select(
+        "option_id", *extra, F.posexplode(F.split("zone", r"\s*,\s*")).alias("pos", "part")
+    ).withColumn("n", fold_zone(F.col("part"))).where("n <> ''")
+
+
+def _first_places(found: DataFrame) -> DataFrame:
+    return found.groupBy("option_id", "key").agg(F.min("pos").alias("pos"))
+
+
+def week_side_keys(options: DataFrame, schedules: DataFrame) -> DataFrame:
+    """Keys of zones that name a side: that of the side's week, else all of side and weekday.
+
+    ``options`` has option_id, zone and week (text with a number, or null); ``schedules`` has n
+    and key. Schedules are looked up by side and weekday, of which there are few.
+    """
+
+    def first_in(text: Column, words: Sequence[str]) -> Column:
+        return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])
+
+    keyed = schedules.where("n <> ''").groupBy("n").agg(F.min("key").alias("key"))
+    parts = _zone_parts(options, "week").withColumn("side", first_in(F.col("n"), SIDES)).where("side IS NOT NULL")
+    number = F.nullif(F.regexp_extract("week", r"(\d+)", 1), F.lit(""))
+    parts = parts.withColumn("week_name", F.concat(F.lit("SETTIMANA "), number, F.lit(" "), F.col("side")))
+    exact = parts.join(keyed.withColumnRenamed("n", "week_name"), "week_name")
+    rest = parts.join(keyed.select(F.col("n").alias("week_name")), "week_name", "left_anti").select(
+        "option_id", "pos", "side", first_in(F.col("n"), ZONE_WEEKDAYS).alias("weekday")
+    )
+
+    def named(words: Sequence[str]) -> Column:
+        return F.array_compact(F.array(*[F.when(F.contains("n", F.lit(w)), F.lit(w)) for w in words]))
+
+    sides = keyed.select("key", "n", F.explode(named(SIDES)).alias("side"))
+    days = sides.select("key", "side", F.explode(named(ZONE_WEEKDAYS)).alias("weekday"))
+    by_day = rest.where("weekday IS NOT NULL").join(days, ["side", "weekday"])
+    by_side = rest.where("weekday IS NULL").join(sides.select("key", "side"), "side")
+    cols = ("option_id", "key", "pos")
+    return _first_places(exact.select(*cols).unionByName(by_day.select(*cols)).unionByName(by_side.select(*cols)))
+
+
+def timed_zone_keys(options: DataFrame, schedules: DataFrame) -> DataFrame:
+    """Keys of zones without their time of day: the equal name, else all contained either way."""
+    keyed = schedules.where("n <> ''").groupBy("n").agg(F.min("key").alias("key"))
+    parts = _zone_parts(options).withColumn("n", F.trim(F.regexp_replace("n", TIME_OF_DAY, ""))).where("n <> ''")
+    names = parts.select("n").distinct()
+    exact = names.join(keyed, "n")
+    rest = names.join(keyed, "n", "left_anti")
+    inside = rest.withColumn("_s", F.explode(substrings(F.col("n")))).join(keyed.withColumnRenamed("n", "_s"), "_s")
+    around = rest.join(keyed.select(F.explode(substrings(F.col("n"))).alias("n"), "key"), "n")
+    found = exact.unionByName(inside.select("n", "key")).unionByName(around.select("n", "key")).distinct()
+    return _first_places(parts.join(found, "n"))
+
+
 def fold_zone(c: Column) -> Column:
     s = F.regexp_replace(strip_accents(F.upper(c)), r"['’]", "")
     return collapse(F.regexp_replace(s, r"[–—\-./,()]", " "))

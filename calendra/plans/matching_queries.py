@@ -290,6 +290,50 @@ def g15(spark: SparkSession, sf: str) -> DataFrame:
     return M.resolve_zone_keys(options, schedules)
 
 
+@query(
+    "g15_week_side_keys",
+    """WITH o AS (SELECT p_partkey AS option_id, CASE p_size % 3 WHEN 0 THEN 'NORD' WHEN 1 THEN 'SUD' END AS side,
+      CASE WHEN p_size % 2 = 0 THEN 'MERCOLEDI' END AS weekday, CASE WHEN p_size % 5 > 0 THEN p_size % 7 END AS week FROM part),
+    s AS (SELECT n, min(k) AS key FROM (SELECT 'SETTIMANA ' || s_suppkey % 5 || CASE WHEN s_nationkey % 2 = 0 THEN ' NORD' ELSE ' SUD' END
+      || CASE s_suppkey % 3 WHEN 0 THEN ' MERCOLEDI' WHEN 1 THEN ' LUNEDI' ELSE '' END AS n, s_suppkey AS k FROM supplier) GROUP BY 1),
+    e AS (SELECT option_id, key FROM o JOIN s ON n = 'SETTIMANA ' || week || ' ' || side)
+    SELECT option_id, key, CAST(0 AS INTEGER) AS pos FROM e
+    UNION ALL SELECT option_id, key, 0 FROM o JOIN s ON contains(n, side) AND (weekday IS NULL OR contains(n, weekday))
+      WHERE option_id NOT IN (SELECT option_id FROM e)""",
+)
+def g15_week_sides(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    side = F.when(size % 3 == 0, F.lit("Nord")).when(size % 3 == 1, F.lit("sud"))
+    day = F.when(size % 2 == 0, F.lit(" - mercoledì pomeriggio")).otherwise(F.lit(" (centro)"))
+    options = V.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("option_id"), F.coalesce(F.concat(side, day), F.lit("est")).alias("zone"),
+        F.when(size % 5 > 0, F.concat(F.lit("Settimana "), size % 7)).alias("week"),
+    )
+    key = F.col("s_suppkey")
+    name = F.concat(
+        F.lit("SETTIMANA "), key % 5, F.when(F.col("s_nationkey") % 2 == 0, F.lit(" NORD")).otherwise(F.lit(" SUD")),
+        F.when(key % 3 == 0, F.lit(" MERCOLEDI")).when(key % 3 == 1, F.lit(" LUNEDI")).otherwise(F.lit("")),
+    )
+    return M.week_side_keys(options, V.table(spark, sf, "supplier").select(name.alias("n"), key.alias("key")))
+
+
+@query(
+    "g15_timed_zone_keys",
+    """WITH o AS (SELECT p_partkey AS option_id, 'SETT ' || (p_size % 9) AS n FROM part),
+    s AS (SELECT n, min(k) AS key FROM (SELECT 'SETT ' || (s_suppkey % 12) || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE ' LUNEDI' END AS n, s_suppkey AS k FROM supplier) GROUP BY 1)
+    SELECT option_id, key, CAST(0 AS INTEGER) AS pos FROM o JOIN s ON o.n = s.n
+    UNION ALL SELECT option_id, key, 0 FROM o JOIN s ON contains(o.n, s.n) OR contains(s.n, o.n) WHERE o.n NOT IN (SELECT n FROM s)""",
+)
+def g15_timed_zones(spark: SparkSession, sf: str) -> DataFrame:
+    size, key = F.col("p_size"), F.col("s_suppkey")
+    options = V.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("option_id"),
+        F.concat(F.lit("Sett "), size % 9, F.when(size % 2 == 0, F.lit(" mattina")).otherwise(F.lit(" Pomeriggio"))).alias("zone"),
+    )
+    name = F.concat(F.lit("SETT "), key % 12, F.when(key % 2 == 0, F.lit("")).otherwise(F.lit(" LUNEDI")))
+    return M.timed_zone_keys(options, V.table(spark, sf, "supplier").select(name.alias("n"), key.alias("key")))
+
+
 NEEDLES = (("hot gear", "hot-gear"), ("hot", "hot"), ("gear", "gear"), ("small", "small"), ("bolt", "bolt"))
 
 
