@@ -119,7 +119,7 @@ def _fold(word: Column, table: Column) -> Column:
         state = F.when(F.size(ids) < 2, start).otherwise(F.aggregate(steps, start, step))
         return F.transform(state, lambda e: ident(e).cast("int"))
 
-    raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
+    raw = F.decode(word.cast("binary"), "ISO-8859-1")  # a character for each byte
     return _let(F.transform(F.split(raw, ""), lambda c: F.get(table["b"], F.ascii(c))), fold)
 
 
@@ -199,7 +199,7 @@ def encode(
 
     def ids_of(table: Column) -> Column:
         def one(word: Column) -> Column:
-            bucket = (F.crc32(F.encode(word, "UTF-8")) % WORD_BUCKETS).cast("int")
+            bucket = (F.crc32(word.cast("binary")) % WORD_BUCKETS).cast("int")
             place = F.array_position(F.get(table["k"], bucket), word).cast("int") - 1
             return F.coalesce(F.get(F.get(table["v"], bucket), place), _hex_ids(word, path))
 
