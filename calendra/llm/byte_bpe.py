@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from calendra.llm.common import ddl, without
 
-DICTIONARY_SIZE = 400_000
+DICTIONARY_SIZE = 250_000
 LONG_RUN = 500
 LONG = rf"\S{{{LONG_RUN},}}+|\s{{{LONG_RUN},}}+"
 WORD_BUCKETS = 1 << 18
