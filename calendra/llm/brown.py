@@ -31,8 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calendra.functions.lineage import cut
-from calendra.llm.common import lower_bytes
+from calendra.llm.common import cut, lower_bytes
 
 CLUSTERED = 2048
 CLASSES = 64

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calendra.functions.lineage import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,6 +18,16 @@ def documents(spark: SparkSession, sf: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the cluster's shared folder and read again.
+
+    Unlike a checkpoint this computes the rows once, and small tables come back in few files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ddl(df: DataFrame, without: Iterable[str] = ()) -> str:
     """The frame's columns as a schema string."""
     drop = set(without)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calendra.functions.lineage import cut
+from calendra.llm.common import cut
 
 #: Bits of the filter that keeps texts without a partner from being shuffled: 2 MB.
 FILTER_BITS = 1 << 24

@@ -33,8 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from calendra.functions.lineage import cut
-from calendra.llm.common import has_repeats, lower_bytes
+from calendra.llm.common import cut, has_repeats, lower_bytes
 from calendra.llm.components import components, maybe_in
 
 SHINGLE = 5
@@ -240,10 +239,17 @@ def opened_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
         .filter((F.col("widest") >= 3 * F.col("n")) & (F.col("room") >= 3 * smallest))
         .select("set", "group").distinct()
     )
+    members = own.select(F.col("label").alias("group"), F.col("set").alias("b"), F.col("n").alias("n_b")).distinct()
+    alone = (
+        members.groupBy("group").agg(F.count("*").alias("sets"), F.min("b").alias("only"))
+        .filter((F.col("sets") == 1) & (F.col("only") == F.col("group"))).select("group")
+    )
+    met = cut(met.join(alone.withColumn("alone", F.lit(True)), "group", "left"))
     overlap = (
-        met.join(rows.select("hash", "set", "n"), "set").join(matrix, ["hash", "group"]).groupBy("set", "n", "group")
+        met.filter("alone IS NULL").join(rows.select("hash", "set", "n"), "set").join(matrix, ["hash", "group"]).groupBy("set", "n", "group")
         .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"))
     )
+    # groups of several sets, hash by hash
     low = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100))
     high = F.least("most", F.floor(F.col("n") * 100 / PERCENT))
 
@@ -256,11 +262,17 @@ def opened_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
     need = F.least(behind(low) - rest(F.col("n")), behind(high) - rest(high))
     opened = overlap.filter((low <= high) & (F.col("common") >= need)).select("set", "n", "group")
-    members = own.select(F.col("label").alias("group"), F.col("set").alias("b"), F.col("n").alias("n_b")).distinct()
-    return (
-        opened.join(members, "group").filter(_sizes_fit("n", "n_b"))
-        .select(F.col("set").alias("a"), "b").distinct()
+    several_sets = opened.join(members, "group").filter(_sizes_fit("n", "n_b")).select(F.col("set").alias("a"), "b")
+    # groups of one set, whose row of the matrix is the set's own prefix
+    own_rows = rows.groupBy("set", "n").agg(F.collect_list("hash").alias("hashes"))
+    partners = own_rows.select(F.col("set").alias("group"), F.col("n").alias("n_b"), F.col("hashes").alias("theirs"))
+    n_b = F.col("n_b")
+    enough = F.size(F.array_intersect("hashes", "theirs")) >= F.least(behind(n_b) - rest(F.col("n")), behind(n_b) - rest(n_b))
+    single_sets = (
+        met.filter("alone").select("set", "group").join(own_rows, "set").join(partners, "group")
+        .filter(_sizes_fit("n", "n_b") & enough).select(F.col("set").alias("a"), F.col("group").alias("b"))
     )
+    return several_sets.union(single_sets).distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:

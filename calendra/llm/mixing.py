@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from calendra.functions.lineage import cut
-from calendra.llm.common import without
+from calendra.llm.common import cut, without
 
 BITS = 12
 LEVELS = 5

@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from calendra.functions.lineage import cut
-from calendra.llm.common import ddl, without
+from calendra.llm.common import cut, ddl, without
 
 BASE_WORDS = 20
 WINDOW = 8

@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendra.functions.lineage import cut
 from calendra.llm import brown, byte_bpe, chat, chunk_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, spotsigs
-from calendra.llm.common import documents, word_count
+from calendra.llm.common import cut, documents, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendra.functions.lineage import cut, shared_folder
+from calendra.functions.lineage import shared_folder
 from calendra.llm import byte_bpe, jaccard_join, mixing, quality, secret_scan
-from calendra.llm.common import documents, word_count
+from calendra.llm.common import cut, documents, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
