@@ -35,9 +35,10 @@ ANCHORS = tuple(sorted(set(
     "al con como del el es las los no para por su una y".split()
 )))
 _ANY = "|".join(ANCHORS)
-#: The anchors before a content word, of which the last stays; the anchor of the text's start.
-_BIND = rf"(?<= )(?:(?:{_ANY}) )*({_ANY}) "
-_CHAIN = r"(?= ([^ |]+\|[^ |]+(?: (?:[^ |]+\|)?[^ |]+)?))"
+#: An anchor, bound to the word behind it by a bar; no group repeats, which would recurse.
+_BIND = rf"(?<= )({_ANY}) "
+#: The last anchor before a content word, this word, and the next one with its anchors.
+_CHAIN = r"(?=[ |]([^ |]+\|[^ |]+(?= )(?: (?:[^ ]*\|)?[^ |]+(?= ))?))"
 THRESHOLD = 0.75
 MAX_BUCKETS = 4096
 
@@ -48,7 +49,7 @@ def fingerprint(text: Column) -> Column:
     bound = F.regexp_replace(F.concat(F.lit(" "), F.ltrim(words), F.lit(" ")), _BIND, r"$1|")
     chains = F.regexp_extract_all(F.regexp_replace(bound, r"^ (?=[^ |]+ )", " ^|"), F.lit(_CHAIN), F.lit(1))
     whole = F.when(F.size(chains) > 0, chains).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
-    hashes = F.transform(whole, lambda s: F.shiftrightunsigned(F.xxhash64(F.regexp_replace(s, r" [^ |]+\|", " ")), 24))
+    hashes = F.transform(whole, lambda s: F.shiftrightunsigned(F.xxhash64(F.regexp_replace(s, r" [^ ]+\|", " ")), 24))
     return F.coalesce(F.array_sort(F.array_distinct(hashes)), F.array().cast("array<bigint>"))
 
 
