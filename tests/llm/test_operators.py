@@ -177,6 +177,41 @@ def test_brown_exchange_raises_likelihood(spark, docs):
     assert gain(better) > gain(flat)
 
 
+@pytest.mark.parametrize("head", [100, 10**6])
+def test_brown_all_words_seen_twice_have_classes(spark, docs, head):
+    """With rows joined by word and without; the scores follow from the classes."""
+    counts, sent, model = brown.train(docs.select("text"), classes=8, core=60, head=head, rounds=2)
+    rows = {r.word: r for r in counts.collect()}
+    several = {w for w, r in rows.items() if w and r.c > 1}
+    top = sorted(several, key=lambda w: (-rows[w].c, w.encode()))[:head]
+    assert model.size == model.clustered == len(top) and set(model.classes[:len(top)]) <= set(range(8))
+    assert {w for w, r in rows.items() if r.k is not None} == several - set(top)
+    own = dict(zip(top, model.classes[:len(top)].tolist())) | {w: rows[w].k for w in several - set(top)}
+    mass = Counter()
+    for w, k in own.items():
+        mass[k] += rows[w].c
+    rest = sum(r.c + 1 for w, r in rows.items() if w and r.c == 1) + 1
+    assert set(mass) <= set(range(8)) and model.tail == pytest.approx(rest)
+    table = np.zeros((11, 11))
+    for r in docs.collect():
+        chain = [10, *[own.get(w, 9) for w in words(lower(r.text))], 10]
+        np.add.at(table, (chain[:-1], chain[1:]), 1)
+    share = (table.sum(0) + 1) / (table.sum() + 11)
+    logs = np.log10((table + brown.SMOOTH * share) / (table.sum(1, keepdims=True) + brown.SMOOTH))
+    assert model.transitions == pytest.approx(logs)
+    new = spark.createDataFrame([(-1, "never-seen-1 never-seen-2 the never-seen-3")], "doc_id bigint, text string")
+    frame = docs.select("doc_id", "text").union(new)
+    got = {r.doc_id: r.score for r in brown.score(frame, counts, sent, model).collect()}
+    for r in frame.collect():
+        found = words(lower(r.text))
+        chain = [10, *[own.get(w, 9) for w in found], 10]
+        score = logs[chain[:-1], chain[1:]].sum()
+        for w in found:
+            c = rows[w].c if w in rows else 0
+            score += math.log10(c / mass[own[w]]) if w in own else math.log10((c + 1) / rest)
+        assert got[r.doc_id] == pytest.approx(score)
+
+
 def test_brown_odd_rows(odd, none):
     parts = brown.train(odd.select("text"))
     rows = brown.score(odd, *parts).collect()
