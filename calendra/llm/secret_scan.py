@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendra.llm.common import without
+from calendra.llm.common import cut, without
 
 #: Patterns by kind, with the least length of the group that decides.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,6 +36,7 @@ MIN_MEAN = 0.5
 #: Bounds of the samples that the query's models are trained on.
 SAMPLE_DOCS = 2000
 SAMPLE_STRINGS = 4096
+SAMPLE_VALUES = 1024
 SPAN = "array<struct<start: int, place: int, `end`: int, kind: string>>"
 MASK = "[secret]"
 
@@ -123,17 +124,31 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """Labelled strings: values of the patterns in all documents and ``SAMPLE_STRINGS``
-    generated random strings against the other words of ``SAMPLE_DOCS`` documents."""
+    """Labelled strings: ``SAMPLE_STRINGS`` generated random strings of two alphabets and
+    ``SAMPLE_VALUES`` values of the patterns against the other words of ``SAMPLE_DOCS`` documents.
+
+    The values are distinct ones, chosen by hash and repeated as often as fits when the table
+    has fewer, so their share of the sample depends neither on its size nor on copies.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     spark: SparkSession = docs.sparkSession
     values = F.concat(
         F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)),
         F.regexp_extract_all(text, F.lit(HEX), F.lit(0)),
     )
-    known = docs.select(F.explode(values).alias("text")).filter(F.length("text") >= 16).withColumn("secret", F.lit(True))
+    chosen = cut(
+        docs.select(F.explode(values).alias("text")).filter(F.length("text") >= 16).distinct()
+        .orderBy(F.xxhash64("text"), "text").limit(SAMPLE_VALUES)
+    )
+    times = SAMPLE_VALUES // max(1, chosen.count())
+    known = chosen.select("text", F.explode(F.sequence(F.lit(1), F.lit(times)))).select("text", F.lit(True).alias("secret"))
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
-    made = spark.range(SAMPLE_STRINGS, numPartitions=1).select(F.substring(F.base64(digest), 1, 40).alias("text"), F.lit(True).alias("secret"))
+    plain = F.translate(F.base64(digest), "+/=", "09")
+    kind = F.col("id") % 4
+    made = spark.range(SAMPLE_STRINGS, numPartitions=1).select(
+        F.substring(F.when(kind < 2, F.base64(digest)).otherwise(F.upper(plain)), 1, 40).alias("text"),
+        F.lit(True).alias("secret"),
+    )
     order = F.xxhash64(F.col("doc_id").cast("string"))
     # only hashes are ordered; rows of one id are taken together
     edge = docs.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]

@@ -388,6 +388,28 @@ def test_secret_markov_held_out(spark, docs):
     assert all(r.text[s.start:s.end] == r.text[2:-2] for r in rows for s in r.spans if s.kind == "markov" and r.secret)
 
 
+def test_secret_samples_do_not_depend_on_copies(spark, docs):
+    """Values repeated 1,000 times change nothing, and many new values of digits little."""
+    frame = docs.select("doc_id", "text")
+    ratios = secret_scan.train(secret_scan.samples(frame))
+    found = frame.select(F.explode(F.regexp_extract_all("text", F.lit(secret_scan.HEX), F.lit(0))).alias("v")).distinct()
+    top = frame.agg(F.max("doc_id")).first()[0]
+    edge = sorted(r[0] for r in frame.select(F.xxhash64(F.col("doc_id").cast("string"))).collect())
+    ids = [r[0] for r in spark.range(top + 1, top + 60000).filter(F.xxhash64(F.col("id").cast("string")) > edge[-1]).limit(1).collect()]
+    copies = found.select(F.lit(ids[0] if ids else None).cast("bigint").alias("doc_id"), F.array_join(F.array_repeat("v", 1000), " ").alias("text"))
+    assert copies.count() > 0
+    many = secret_scan.samples(frame.unionByName(copies)).filter("secret").groupBy("text").count()
+    once = secret_scan.samples(frame).filter("secret").groupBy("text").count()
+    assert many.exceptAll(once).count() == once.exceptAll(many).count() == 0
+    digits = spark.range(5000).select((F.col("id") + 10**6).alias("doc_id"), F.concat(F.lit("token="), F.rpad(F.translate(F.sha2(F.col("id").cast("string"), 256), "abcdef", ""), 20, "7")).alias("text"))
+    more = secret_scan.train(secret_scan.samples(frame.unionByName(digits)))
+    rng = np.random.default_rng(11)
+    keys = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20)) for _ in range(200)]
+    rows = spark.createDataFrame([(f"x {k} y",) for k in keys], "text string")
+    for r in (ratios, more):
+        assert secret_scan.scan(rows, r).filter(F.size("spans") > 0).count() > 190
+
+
 def test_secret_redaction_and_odd_rows(spark, odd, none):
     even = [0.0] * (128 * 128)
     frame = spark.createDataFrame([(t,) for t in [*TRICKY, None]], "text string")
