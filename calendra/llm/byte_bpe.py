@@ -32,7 +32,8 @@ from calendra.llm.common import ddl, without
 
 DICTIONARY_SIZE = 250_000
 LONG_RUN = 500
-LONG = rf"\S{{{LONG_RUN},}}+|\s{{{LONG_RUN},}}+"
+#: Blanks are those of the split pattern, so a word has under 4,096 bytes unless this matches.
+LONG = rf"(?U)\S{{{LONG_RUN},}}+|\s{{{LONG_RUN},}}+"
 WORD_BUCKETS = 1 << 18
 FOLD_TASKS = 24
 BUCKETS = 1 << 16

@@ -559,6 +559,14 @@ def test_bpe_heap_equals_fold(bpe):
         assert byte_bpe.heap_merges(word.encode(), ranks) == encoding._encode_single_piece(word)
 
 
+def test_bpe_long_runs_of_mixed_blanks(spark, bpe):
+    path, encoding = bpe
+    texts = ["a" + " \u00a0" * 1500 + "b", "\u3000 \t\u2003" * 800, "x" + "\u00a0" * 600]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in byte_bpe.encode(frame, path, public_tokenizers.PATTERN, dictionary_size=10).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == encoding.encode_ordinary(r.text)
+
+
 def test_bpe_empty_table(none, bpe):
     assert byte_bpe.encode(none, bpe[0], public_tokenizers.PATTERN).count() == 0
 
