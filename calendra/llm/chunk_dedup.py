@@ -1,10 +1,20 @@
 """Substring dedup: content-defined chunking with a gear rolling hash.
 
-A text's bytes are cut wherever the gear hash of the last 32 bytes has ``MASK``'s bits zero,
-so cuts depend on the neighbouring bytes only and come back after an insertion. Chunks are
-deduplicated by a 128-bit digest. Neighbouring chunks that also stand elsewhere form a
-repeated span, reported if it has ``MIN_WORDS`` words or more. A chunk's first place (smallest
-doc_id, then offset) is kept, the others are repeats.
+A text's bytes are cut where the gear hash of the last 16 bytes is the least of any ``SPREAD``
+places in a row, and not within ``MIN_CHUNK`` bytes of such a place before it. So cuts depend
+on the neighbouring bytes only, come back after an insertion and are about 37 bytes apart.
+Chunks are deduplicated by a 128-bit digest. Neighbouring chunks that also stand elsewhere
+form a run. A run of ``SEED_WORDS`` words or more is extended to both sides as far as the text
+equals the one around the first place of its outer chunk (or the last place, where the run
+itself is the first) and reported if it then has ``MIN_WORDS`` words or more. So a passage of
+over 50 words is found by any whole chunk in it and reported from end to end.
+
+A chunk's first place (smallest doc_id, then offset) is kept, the others are repeats. A run
+of which some chunks stand here first and others do not is reported in parts, each with its
+own ``kept``; the limit of words holds for the joint run. Every repeat that is taken out
+stands at a smaller place too, so one copy of each text stays. A chunk behind a repeat may
+be new only by what follows the passage: the repeat is extended into it, and its rest is
+reported from ``MIN_CHUNK`` code points on.
 
 Cases: null and empty texts have no chunks; a run without a cut is cut every ``MAX_CHUNK``
 bytes; rows of equal doc_id are told apart by a hash of the text, equal rows are one
@@ -14,21 +24,27 @@ code points.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from calendra.llm.common import has_repeats
+from calendra.llm.common import cut, has_repeats
 
-WINDOW = 32
-MIN_CHUNK = 16
+WINDOW = 16
+#: The hash's lowest bits, which the last 16 bytes decide.
+MASK = np.uint64((1 << WINDOW) - 1)
+SPREAD = 48
+MIN_CHUNK = 12
 MAX_CHUNK = 4096
-#: Five bits that the last 21 to 25 bytes decide: a cut every 32 bytes on average.
-MASK = np.uint64(0x1F00000)
+SEED_WORDS = 4
+#: Code points around a run that are compared: more than a chunk and what decides a cut.
+AROUND = 160
 MIN_WORDS = 25
 
 
@@ -56,7 +72,14 @@ def cuts(raw: bytes) -> np.ndarray:
         longer[width:] += rolled[:-width] << np.uint64(width)
         rolled, width = longer, width * 2
     starts = np.append((data[1:] & 0xC0) != 0x80, True)  # a character starts behind the byte
-    ends = np.flatnonzero((rolled & MASK == 0) & starts) + 1
+    # the place stands behind its hash: of equal hashes the first is the least
+    least = np.where(starts, rolled & MASK, MASK + np.uint64(1)) << np.uint64(40) | np.arange(n, dtype=np.uint64)
+    width = 1
+    while width < SPREAD and width < n:
+        more = min(width, SPREAD - width, n - width)
+        least, width = np.minimum(least[:-more], least[more:]), width + more
+    found = np.unique(least & np.uint64((1 << 40) - 1)).astype(np.int64)
+    ends = found[starts[found]] + 1 if n >= SPREAD else np.empty(0, np.int64)
     ends = ends[np.diff(ends, prepend=-MIN_CHUNK) >= MIN_CHUNK]
     ends = np.unique(np.append(ends, n))
     wide = np.flatnonzero(np.diff(ends, prepend=0) > MAX_CHUNK)
@@ -68,7 +91,7 @@ def cuts(raw: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, version, seq, start, end, words, digest) of all chunks of all texts."""
+    """Rows (doc_id, version, seq, start, end, words, digest) of all chunks of ``docs`` (doc_id, version, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -77,7 +100,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at:at + 500]
                 ids, versions, counts, seqs, starts, stops, words, digests = [], [], [], [], [], [], [], []
-                for doc_id, text in zip(part["doc_id"], part["text"]):
+                for doc_id, version, text in zip(part["doc_id"], part["version"], part["text"]):
                     raw = text.encode() if isinstance(text, str) else b""
                     if not raw:
                         continue
@@ -88,7 +111,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     blank = (data == 32) | ((data >= 9) & (data <= 13))
                     heads = np.append(0, np.cumsum(~blank & np.append(True, blank[:-1])))
                     ids.append(doc_id)
-                    versions.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(raw))))
+                    versions.append(version)
                     counts.append(len(ends))
                     seqs.append(np.arange(len(ends), dtype=np.int32))
                     starts.append(chars[begins])
@@ -98,61 +121,167 @@ def chunks(docs: DataFrame) -> DataFrame:
                 if counts:
                     yield pd.DataFrame({
                         "doc_id": pd.Series(ids, dtype=part["doc_id"].dtype).repeat(counts).to_numpy(),
-                        "version": np.repeat(np.array(versions), counts),
+                        "version": np.repeat(np.array(versions, np.int64), counts),
                         "seq": np.concatenate(seqs), "start": np.concatenate(starts).astype(np.int32),
                         "end": np.concatenate(stops).astype(np.int32), "words": np.concatenate(words).astype(np.int32),
                         "digest": digests,
                     })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select("doc_id", "version", "text").mapInPandas(
         run, f"doc_id {kind}, version bigint, seq int, start int, `end` int, words int, digest binary"
     )
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, version, start, end, words, chunks, copies, first_doc_id, kept) of each span.
+def versioned(docs: DataFrame) -> DataFrame:
+    """Adds ``version``, a hash of the text."""
+    return docs.withColumn("version", F.xxhash64("text"))
 
-    ``copies`` is the most places of one of its chunks; ``kept``: all its chunks stand here
-    first. Equal rows of ``docs`` are one document.
+
+def _runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, run, words, parts, low, high) of all runs of repeated chunks.
+
+    ``low`` and ``high``: the outer chunks that first stand elsewhere, or else the outer ones, with
+    the place to compare.
     """
-    all_chunks = chunks(docs.select("doc_id", "text").dropDuplicates() if has_repeats(docs) else docs)
-    place = F.struct("doc_id", "version", "seq")
+    all_chunks = chunks(docs)
+    place = F.struct("doc_id", "version", "seq", "start", "end")
     known = (
-        all_chunks.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
+        all_chunks.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last"))
         .filter("copies > 1")
     )
     found = all_chunks.join(known, "digest").withColumn("here", F.col("first") == place)
+    found = found.withColumn("other", F.when(F.col("here"), F.col("last")).otherwise(F.col("first")))
     document = ["doc_id", "version"]
-    order = W.partitionBy(*document).orderBy("seq")
-    runs = found.withColumn("run", F.col("seq") - F.row_number().over(order))
-    return (
-        runs.groupBy(*document, "run")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
-            F.count("*").alias("chunks"), F.max("copies").alias("copies"),
-            F.min("first.doc_id").alias("first_doc_id"), F.min("here").alias("kept"),
+    # neighbours have the same difference from their number, among all and among their kind
+    runs = (
+        found.withColumn("run", F.col("seq") - F.row_number().over(W.partitionBy(*document).orderBy("seq")))
+        .withColumn("part", F.col("seq") - F.row_number().over(W.partitionBy(*document, "here").orderBy("seq")))
+    )
+    outer = F.struct("seq", "start", "end", "other")
+    parts = runs.groupBy(*document, "run", "here", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"),
+        F.max("copies").alias("copies"), F.min("first.doc_id").alias("first_doc_id"), F.min(outer).alias("low"), F.max(outer).alias("high"),
+    )
+    return parts.groupBy(*document, "run").agg(
+        F.sum("words").alias("words"),
+        F.coalesce(F.min(F.when(~F.col("here"), F.col("low"))), F.min("low")).alias("low"),
+        F.coalesce(F.max(F.when(~F.col("here"), F.col("high"))), F.max("high")).alias("high"),
+        # as many as the document's length allows
+        F.array_sort(F.collect_list(F.struct("start", "end", "words", "chunks", "copies", "first_doc_id", F.col("here").alias("kept")))).alias("parts"),
+    )
+
+
+def _extensions(runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, version, run, side, chars, words): how far each run goes on to each side."""
+    def edge(side: int, chunk: str, at: str):
+        return runs.select(
+            "doc_id", "version", "run", F.lit(side).alias("side"), F.col(f"{chunk}.{at}").alias("at"),
+            F.col(f"{chunk}.other.doc_id").alias("other_id"), F.col(f"{chunk}.other.version").alias("other_version"),
+            F.col(f"{chunk}.other.{at}").alias("other_at"),
         )
-        .filter(F.col("words") >= min_words).drop("run")
+
+    edges = edge(0, "low", "start").union(edge(1, "high", "end"))
+    needed = edges.select("doc_id", "version", "at", "side").union(edges.select("other_id", "other_version", "other_at", "side")).distinct()
+    lists = needed.groupBy(F.col("doc_id").alias("_of"), F.col("version").alias("_version")).agg(F.collect_list(F.struct("at", "side")).alias("places"))
+    own = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("version") == F.col("_version"))
+    p = F.col("p")
+    begin = F.greatest(p["at"] - AROUND, F.lit(0))
+    around = F.when(p["side"] == 0, F.reverse(F.substring("text", begin + 1, p["at"] - begin))).otherwise(F.substring("text", p["at"] + 1, F.lit(AROUND)))
+    # the blank or other character in front tells whether a word begins with the first one
+    near = cut(
+        docs.join(lists, own).select("doc_id", "version", "text", F.explode("places").alias("p"))
+        .select("doc_id", "version", p["at"].alias("at"), p["side"].alias("side"), around.alias("near"),
+                F.when(p["side"] == 1, F.substring("text", p["at"], F.lit(1))).alias("front"))
+    )
+    other = near.select(F.col("doc_id").alias("o_id"), F.col("version").alias("other_version"), F.col("at").alias("other_at"), "side", F.col("near").alias("other_near"))
+    mine = near.select(F.col("doc_id").alias("m_id"), "version", "at", "side", "near", "front")
+    both = (
+        edges.join(mine, ["version", "at", "side"]).filter(F.col("doc_id").eqNullSafe(F.col("m_id")))
+        .join(other, ["other_version", "other_at", "side"]).filter(F.col("other_id").eqNullSafe(F.col("o_id")))
+        .select("doc_id", "version", "run", "side", "near", "other_near", F.when(F.col("at") > 0, F.col("front")).alias("front"))
+    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = " \t\n\v\f\r"
+        for batch in batches:
+            chars, words = [], []
+            for side, a, b, front in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True):
+                n = len(os.path.commonprefix([a, b]))
+                # in the text's order, with the character in front of it
+                whole = a[:n + 1][::-1] if side == 0 else (front or "") + a[:n]
+                if len(whole) == n:
+                    whole = " " + whole
+                chars.append(n)
+                words.append(sum(x in blank and y not in blank for x, y in zip(whole, whole[1:])))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(chars, pa.int32()), pa.array(words, pa.int32())], ["doc_id", "version", "run", "side", "chars", "more"]
+            )
+
+    return both.mapInArrow(run, f"doc_id {kind}, version bigint, run int, side int, chars int, more int")
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, version, start, end, words, chunks, copies, first_doc_id, kept) of each span.
+
+    ``copies`` is the most places of one of its chunks; ``kept``: all its chunks stand here
+    first. Equal rows of ``docs`` are one document. Spans of a document may overlap where
+    they were extended.
+    """
+    docs = docs.select("doc_id", "text")
+    docs = versioned(docs.dropDuplicates() if has_repeats(docs) else docs)
+    runs = cut(_runs(docs).filter(F.col("words") >= min(SEED_WORDS, min_words)))
+
+    def of_side(name: str, side: int):
+        return F.coalesce(F.max(F.when(F.col("side") == side, F.col(name))), F.lit(0))
+
+    more = _extensions(runs, docs).groupBy(F.col("doc_id").alias("_of"), "version", "run").agg(
+        of_side("chars", 0).alias("left"), of_side("chars", 1).alias("right"),
+        of_side("more", 0).alias("left_words"), of_side("more", 1).alias("right_words"),
+    )
+    whole = runs.join(more, ["version", "run"]).filter(F.col("doc_id").eqNullSafe(F.col("_of")))
+    # repeats of a run stand between at most one kept part on each side
+    repeat = F.filter("parts", lambda x: ~x["kept"])
+    n = F.size("parts")
+    lo = F.when(F.get("parts", 0)["kept"] & (F.size(repeat) > 0), 1).otherwise(0)
+    hi = F.when(F.get("parts", n - 1)["kept"] & (F.size(repeat) > 0), n - 2).otherwise(n - 1)
+    whole = whole.withColumn("lo", lo).withColumn("hi", hi)
+    head = F.when(F.col("lo") > 0, F.get("parts", 0)["words"]).otherwise(0)
+    foot = F.when(F.col("hi") < n - 1, F.get("parts", n - 1)["words"]).otherwise(0)
+    joint = F.col("words") + F.greatest(F.col("left_words") - head, F.lit(0)) + F.greatest(F.col("right_words") - foot, F.lit(0))
+    rows = whole.filter(joint >= min_words).select(
+        "doc_id", "version", "lo", "hi", "left_words", "right_words",
+        (F.get("parts", F.col("lo"))["start"] - F.col("left")).alias("from"), (F.get("parts", F.col("hi"))["end"] + F.col("right")).alias("to"),
+        F.posexplode("parts").alias("i", "p"),
+    )
+    i, lo, hi, p = F.col("i"), F.col("lo"), F.col("hi"), F.col("p")
+    start = F.when(i == lo, F.col("from")).when(i > hi, F.greatest(p["start"], F.col("to"))).otherwise(p["start"])
+    end = F.when(i == hi, F.col("to")).when(i < lo, F.least(p["end"], F.col("from"))).otherwise(p["end"])
+
+    def sign(at, beyond):
+        return F.when(i == at, 1).when(beyond, -1).otherwise(0)
+
+    words = p["words"] + sign(lo, i < lo) * F.col("left_words") + sign(hi, i > hi) * F.col("right_words")
+    return rows.filter(i.between(lo, hi) | (end - start >= MIN_CHUNK)).select(
+        "doc_id", "version", start.alias("start"), end.alias("end"), F.greatest(words, F.lit(0)).alias("words"),
+        p["chunks"].alias("chunks"), p["copies"].alias("copies"), p["first_doc_id"].alias("first_doc_id"), p["kept"].alias("kept"),
     )
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans that are kept elsewhere taken out of the texts."""
-    version = F.col("version")
-    gone = spans.filter("NOT kept").groupBy(F.col("doc_id").alias("_of"), version.alias("_version")).agg(
+    gone = spans.filter("NOT kept").groupBy(F.col("doc_id").alias("_of"), F.col("version").alias("_version")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone")
     )
     # a document has as many spans as its length allows
     rest = F.aggregate(
         "_gone", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
         lambda s, g: F.struct(
-            g["end"].alias("pos"), F.concat(s["out"], F.substring("text", s["pos"] + 1, g["start"] - s["pos"])).alias("out")
+            F.greatest(s["pos"], g["end"]).alias("pos"),
+            F.concat(s["out"], F.substring("text", s["pos"] + 1, F.greatest(g["start"] - s["pos"], F.lit(0)))).alias("out"),
         ),
         lambda s: F.concat(s["out"], F.substring("text", s["pos"] + 1, F.length("text"))),
     )
-    one = gone.groupBy("_of").agg(F.min_by("_gone", "_version").alias("_gone"))
-    return (
-        docs.join(one, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
-        .withColumn("text", F.coalesce(rest, "text")).drop("_of", "_gone")
-    )
+    own = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_version"))
+    return docs.join(gone, own, "left").withColumn("text", F.coalesce(rest, "text")).drop("_of", "_version", "_gone")

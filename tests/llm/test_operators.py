@@ -525,6 +525,46 @@ def test_chunks_find_shared_passages(spark):
     assert all(len(rest[i]) < len(texts[i]) - 100 for i in range(20, 80))
 
 
+def _own_words(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 9)))) for _ in range(n))
+
+
+def test_chunks_spans_reach_the_passages_ends(spark):
+    """Every passage of 51 words is found, in all its copies and from end to end."""
+    rng = np.random.default_rng(8)
+    passages = [_own_words(rng, 51) for _ in range(150)]
+    rows = [(i, f"{_own_words(rng, 40)} {'xy'[i // 150]} {passages[i % 150]} {'xy'[i // 150]} {_own_words(rng, 40)}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = defaultdict(list)
+    for r in chunk_dedup.repeated_spans(frame).collect():
+        spans[r.doc_id].append(r)
+    for i, text in rows:
+        at = text.index(passages[i % 150])
+        (r,) = spans[i]
+        assert (r.start, r.end, r.words) == (at - 1, at + len(passages[i % 150]) + 1, 51)
+        assert r.kept == (i < 150)
+
+
+def test_chunks_keep_one_copy_of_each_part(spark):
+    rng = np.random.default_rng(9)
+    one, two, line = _own_words(rng, 60), _own_words(rng, 60), _own_words(rng, 40)
+    own = lambda: _own_words(rng, 50)
+    rows = [
+        (3, f"{own()} {two} {own()}"), (5, f"{own()} {one} {two} {own()}"), (9, f"{own()} {one} {own()}"),
+        (10, "\n".join([line] * 30)), (11, f"{own()} {two} {own()}"), (11, f"{own()} no passage here {own()}"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rest = chunk_dedup.without_repeats(frame, chunk_dedup.repeated_spans(frame)).collect()
+    texts = defaultdict(list)
+    for r in rest:
+        texts[r.doc_id].append(r.text)
+    assert len(rest) == len(rows)
+    assert [d for d in sorted(texts) for t in texts[d] if two[40:-40] in t] == [3]
+    assert [d for d in sorted(texts) for t in texts[d] if one[40:-40] in t] == [5]
+    assert line in texts[10][0] and len(texts[10][0]) < 4 * len(line)
+    assert rows[5][1] in texts[11] and len(min(texts[11], key=len)) < len(rows[4][1]) - len(two) + 20
+
+
 def test_chunks_odd_rows(odd, none):
     assert {r.doc_id for r in chunk_dedup.repeated_spans(odd).collect()} <= {3, 6}
     assert chunk_dedup.repeated_spans(none).count() == 0
