@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendra.llm import brown, byte_bpe, chat, chunk_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, spotsigs
+from calendra.llm import brown, byte_bpe, chat, chunk_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, spotsigs, word_bpe
 from calendra.llm.common import cut, documents, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,12 @@ def chat_query(spark: SparkSession, sf: str) -> DataFrame:
     odd = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], turns.schema)
     return chat.read_back(chat.format_turns(chat.text_parts(turns.unionByName(more))))
+
+
+@_register("op12_word_bpe")
+def word_bpe_query(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = word_bpe.encode(documents(spark, sf).select("doc_id", "text"), path)
+    return word_bpe.decode(encoded.select("doc_id", "ids", "n_tokens"), path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
