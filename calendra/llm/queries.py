@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendra.llm import brown, byte_bpe, chat, chunk_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, spotsigs, word_bpe
+from calendra.llm import (
+    brown, byte_bpe, chat, chunk_dedup, importance, jaccard_join, license_scan, mixing, quality, secret_scan, spotsigs, word_bpe,
+)
 from calendra.llm.common import cut, documents, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +147,9 @@ def word_bpe_query(spark: SparkSession, sf: str) -> DataFrame:
     return word_bpe.decode(encoded.select("doc_id", "ids", "n_tokens"), path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@_register("op13_importance", importance.ORACLE)
+def importance_query(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = importance.resample(documents(spark, sf).select("doc_id", "text"), documents(spark, sf, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
