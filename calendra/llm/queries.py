@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calendra.llm import (
-    brown, byte_bpe, chat, chunk_dedup, importance, jaccard_join, license_scan, mixing, quality, secret_scan, spotsigs, word_bpe,
+    brown, byte_bpe, chat, chunk_dedup, importance, jaccard_join, license_scan, mixing, quality, secret_scan, spotsigs, turn_repair,
+    word_bpe,
 )
 from calendra.llm.common import cut, documents, word_count
 
@@ -153,3 +154,11 @@ def word_bpe_query(spark: SparkSession, sf: str) -> DataFrame:
 def importance_query(spark: SparkSession, sf: str) -> DataFrame:
     drawn = importance.resample(documents(spark, sf).select("doc_id", "text"), documents(spark, sf, "benchmark").select("text"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_register("op11_turn_repair", turn_repair.ORACLE)
+def repair_query(spark: SparkSession, sf: str) -> DataFrame:
+    turns = documents(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    rows = turn_repair.ordered(turn_repair.damaged(turns))
+    marked = cut(turn_repair.faults(rows))
+    return turn_repair.report(turns, rows, marked, turn_repair.plan(marked))
