@@ -1,8 +1,9 @@
 """Matching names and streets across sources, and choosing codes by votes.
 
-Containment and overlap are turned into equality joins: one side lists its substrings,
-prefixes, suffixes or token subsets, the other side keeps one best row for each of them.
-No step compares all pairs, and a popular name or token costs one row per row that has it.
+Containment and overlap are turned into equality joins: containment through a rare piece of
+the name that is looked for, overlap through a token index split by frequency, the others
+through prefixes and suffixes of which one side keeps one best row each. No step compares
+all pairs, and a popular name or token costs one row per row that has it.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from calendra.functions import rules as R
-from calendra.functions.grams import prefixes, subsets, substrings, suffixes
+from calendra.functions.grams import prefixes, substrings, suffixes
 from calendra.functions.numbers import round_to
 from calendra.functions.text import collapse, last_token, match_key, strip_accents
+from calendra.operators.containment import holding_pairs, lowest_holder
+from calendra.operators.overlap import overlap_best
 from calendra.operators.recurrence import SCOPED
 
 # Limits and weights of the matching rules.
@@ -30,10 +33,8 @@ STOP_WORDS = (
     "VIA", "VIALE", "CORSO", "PIAZZA", "PIAZZALE", "STRADA", "DI", "DEL", "DELLA", "DEI",
     "E", "DA", "A", "AL", "LA", "IL", "PER", "CIVICO",
 )
-# Names with more tokens than this are compared through shared tokens instead of subsets.
-STREET_TOKENS = 10
-# Up to six tokens the overlap of a pair can never beat its containment score.
-ZONE_TOKENS = 6
+# Up to six common tokens the overlap of a pair can never beat its containment score.
+BELOW_CONTAINED = 6
 
 
 def first_hit(tiers: Sequence[DataFrame], key: str, order: str) -> DataFrame:
@@ -46,24 +47,17 @@ def first_hit(tiers: Sequence[DataFrame], key: str, order: str) -> DataFrame:
     return tagged.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 
 
-def contained(left: DataFrame, right: DataFrame, name: str, payload: str, min_len: int = 1) -> DataFrame:
+def contained(left: DataFrame, right: DataFrame, name: str, payload: str) -> DataFrame:
     """Lowest right payload whose name contains, or is contained in, the left name.
 
     Both sides have a ``name`` column; the result has the left name and ``payload``.
     """
-    inner = (
-        left.select(name).distinct()
-        .withColumn("_s", F.explode(substrings(F.col(name), 1)))
-        .join(right.select(F.col(name).alias("_s"), payload), "_s")
-        .select(name, payload)
+    names = left.select(name).distinct()
+    inside = holding_pairs(names, right.withColumnRenamed(name, "needle"), name).join(
+        right.select(F.col(name).alias("needle"), payload), "needle"
     )
-    index = (
-        right.withColumn("_s", F.explode(substrings(F.col(name), min_len)))
-        .groupBy("_s")
-        .agg(F.min(payload).alias(payload))
-    )
-    outer = left.select(name).distinct().join(index, F.col(name) == F.col("_s")).select(name, payload)
-    return inner.unionByName(outer).groupBy(name).agg(F.min(payload).alias(payload))
+    around = lowest_holder(names, right.withColumnRenamed(name, "holder"), name, "holder", payload)
+    return inside.select(name, payload).unionByName(around).groupBy(name).agg(F.min(payload).alias(payload))
 
 
 def match_records(
@@ -105,14 +99,10 @@ def codes_by_containment(streets: DataFrame, zones: DataFrame) -> DataFrame:
     rest = names.join(codes.select("n").distinct(), "n", "left_anti").where(
         F.length("n") >= MIN_CONTAINED
     )
-    inside = rest.withColumn("_s", F.explode(substrings(F.col("n")))).join(
-        codes.withColumnRenamed("n", "_s"), "_s"
-    )
-    index = codes.select(
-        F.explode(substrings(F.col("n"), MIN_CONTAINED)).alias("_s"), "code"
-    ).distinct()
-    around = rest.join(index, F.col("n") == F.col("_s"))
-    partial = inside.select("n", "code").unionByName(around.select("n", "code")).distinct()
+    other = codes.withColumnRenamed("n", "other")
+    inside = holding_pairs(rest, other, "n", "other")
+    around = holding_pairs(other, rest, "other", "n")
+    partial = inside.unionByName(around).join(other, "other").select("n", "code").distinct()
     return exact.withColumn("how", F.lit("exact")).unionByName(
         partial.withColumn("how", F.lit("contained"))
     )
@@ -150,61 +140,6 @@ def _token_score(common: Column) -> Column:
     return F.size(common) * COMMON_POINTS + F.when(long, LONG_POINTS).otherwise(0)
 
 
-def overlap_best(
-    left: DataFrame, right: DataFrame, score, max_tokens: int, min_common: int = 1,
-    type_points: int = 0,
-) -> DataFrame:
-    """Best right row per left name by token overlap: columns n, score, key.
-
-    Both sides have n, tokens (sorted, distinct) and first; right has key. ``score`` maps the
-    common tokens to points and must grow with them. The right side keeps its lowest key for
-    each token subset, so a left name meets one row per subset of its own tokens. Names with
-    many tokens on either side are compared through single tokens instead, exactly.
-    """
-    few = F.size("tokens") <= max_tokens
-
-    def indexed(df: DataFrame) -> DataFrame:
-        return df.where(few).withColumn("s", F.explode(subsets(F.col("tokens")))).where(
-            F.size("s") >= min_common
-        )
-
-    lsub = indexed(left).select("n", "first", "s")
-    rsub = indexed(right)
-    plain = rsub.groupBy("s").agg(F.min("key").alias("key"))
-    cands = lsub.join(plain, "s").select("n", score(F.col("s")).alias("score"), "key")
-    if type_points:
-        typed = rsub.groupBy("s", "first").agg(F.min("key").alias("key"))
-        cands = cands.unionByName(
-            lsub.join(typed, ["s", "first"]).select(
-                "n", (score(F.col("s")) + type_points).alias("score"), "key"
-            )
-        )
-
-    def by_token(df: DataFrame, side: str) -> DataFrame:
-        cols = [F.col(c).alias(f"{side}_{c}") for c in df.columns]
-        return df.select(*cols, F.explode("tokens").alias("t"))
-
-    def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-        pairs = by_token(a, "l").join(by_token(b, "r"), "t").drop("t").distinct()
-        common = F.array_intersect("l_tokens", "r_tokens")
-        same = F.when(F.col("l_first") == F.col("r_first"), type_points).otherwise(0)
-        return pairs.withColumn("common", common).where(F.size("common") >= min_common).select(
-            F.col("l_n").alias("n"), (score(F.col("common")) + same).alias("score"),
-            F.col("r_key").alias("key"), F.col("r_n").alias("other"),
-        )
-
-    long_pairs = paired(left.where(~few), right).unionByName(
-        paired(left.where(few), right.where(~few))
-    )
-    # A pair that is contained has its own score and takes no part here.
-    apart = ~(F.contains("n", F.col("other")) | F.contains(F.col("other"), F.col("n")))
-    cands = cands.unionByName(long_pairs.where(apart).drop("other"))
-    best = F.max(F.struct(F.col("score"), (-F.col("key")).alias("neg")))
-    return cands.groupBy("n").agg(best.alias("b")).select(
-        "n", F.col("b.score").alias("score"), (-F.col("b.neg")).alias("key")
-    )
-
-
 def _named(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(
         "n", name_tokens(F.col("n")).alias("tokens"), F.substring_index("n", " ", 1).alias("first"), *extra
@@ -220,7 +155,7 @@ def best_street_match(streets: DataFrame, rows: DataFrame) -> DataFrame:
     keyed = rows.where("n <> ''").groupBy("n").agg(F.min("key").alias("key"))
     direct = contained(names, keyed, "n", "key").select("n", F.lit(None).cast("int").alias("score"), "key")
     rest = names.join(direct, "n", "left_anti")
-    scored = overlap_best(_named(rest), _named(keyed, "key"), _token_score, STREET_TOKENS, 1, TYPE_POINTS)
+    scored = overlap_best(_named(rest), _named(keyed, "key"), _token_score, 1, TYPE_POINTS)
     return direct.unionByName(scored.where(F.col("score") >= ACCEPT_FROM))
 
 
@@ -237,14 +172,11 @@ def resolve_zone_keys(options: DataFrame, schedules: DataFrame) -> DataFrame:
     keyed = schedules.where("n <> ''").groupBy("n").agg(F.min("key").alias("key"))
     exact = names.join(keyed, "n").select("n", F.lit(100).alias("score"), "key")
     rest = names.join(exact, "n", "left_anti")
-    inside = rest.withColumn("_s", F.explode(substrings(F.col("n")))).join(
-        keyed.withColumnRenamed("n", "_s"), "_s"
-    ).select("n", (F.lit(CONTAIN_POINTS) + F.length("_s")).alias("score"), "key")
-    index = (
-        keyed.withColumn("_s", F.explode(substrings(F.col("n"))))
-        .groupBy("_s").agg(F.min("key").alias("key"))
+    other = keyed.withColumnRenamed("n", "other")
+    inside = holding_pairs(rest, other, "n", "other").join(other, "other").select(
+        "n", (F.lit(CONTAIN_POINTS) + F.length("other")).alias("score"), "key"
     )
-    around = rest.join(index, F.col("n") == F.col("_s")).select(
+    around = lowest_holder(rest, other, "n", "other", "key").select(
         "n", (F.lit(CONTAIN_POINTS) + F.length("n")).alias("score"), "key"
     )
 
@@ -255,7 +187,7 @@ def resolve_zone_keys(options: DataFrame, schedules: DataFrame) -> DataFrame:
         )
 
     overlap = overlap_best(
-        all_words(rest), all_words(keyed, "key"), lambda c: F.size(c) * COMMON_POINTS, ZONE_TOKENS, 2
+        all_words(rest), all_words(keyed, "key"), lambda c: F.size(c) * COMMON_POINTS, 2, held=BELOW_CONTAINED
     )
     cands = exact.unionByName(inside).unionByName(around).unionByName(overlap)
     best = (
@@ -322,9 +254,9 @@ def timed_zone_keys(options: DataFrame, schedules: DataFrame) -> DataFrame:
     names = parts.select("n").distinct()
     exact = names.join(keyed, "n")
     rest = names.join(keyed, "n", "left_anti")
-    inside = rest.withColumn("_s", F.explode(substrings(F.col("n")))).join(keyed.withColumnRenamed("n", "_s"), "_s")
-    around = rest.join(keyed.select(F.explode(substrings(F.col("n"))).alias("n"), "key"), "n")
-    found = exact.unionByName(inside.select("n", "key")).unionByName(around.select("n", "key")).distinct()
+    other = keyed.withColumnRenamed("n", "other")
+    pairs = holding_pairs(rest, other, "n", "other").unionByName(holding_pairs(other, rest, "other", "n"))
+    found = exact.unionByName(pairs.join(other, "other").select("n", "key")).distinct()
     return _first_places(parts.join(found, "n"))
 
 
