@@ -12,6 +12,7 @@ from calendra.plans import views as V
 from calendra.plans.registry import query
 from calendra.plans.views import CAL
 from calendra.streaming import dispatch as P
+from calendra.streaming import reminders as R
 from calendra.streaming import subscriptions as S
 
 # Civil time in SQL by the European rule: last Sundays of March and October at 01:00 UTC.
@@ -94,7 +95,7 @@ def l02_stream(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {STATE_SQL} SELECT key, updated_at FROM st WHERE gone",
 )
 def l03(spark: SparkSession, sf: str) -> DataFrame:
-    log = S.read_log(spark, two_batches(spark, sf), f"{S.STATE_SCHEMA}, deleted boolean")
+    log = S.read_log(spark, two_batches(spark, sf), S.LOG_SCHEMA)
     newest = log.groupBy("key").agg(F.max_by(F.struct("updated_at", "deleted"), "batch").alias("s"))
     return newest.where("s.deleted").select("key", "s.updated_at")
 
@@ -214,6 +215,62 @@ def l08_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("user_id bigint, civil_date date").parquet(f"{root}/out")
 
 
+# Hours after the first midnight at which arrivals end: events come in so many slices.
+ARRIVALS = (9, 21, 33, 45, 400)
+SLICE_SQL = "CASE " + " ".join(f"WHEN ts < TIMESTAMP '2024-01-01' + INTERVAL {h} HOUR THEN {i}" for i, h in enumerate(ARRIVALS)) + f" ELSE {len(ARRIVALS)} END"
+
+
+def arrivals(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events as requests and as ticks, each with the slice it arrives in.
+
+    Views are ticks: hours without one are missed, every fifth comes again a slice later.
+    """
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    slice_no = F.lit(len(ARRIVALS))
+    for i, hour in reversed(list(enumerate(ARRIVALS))):
+        slice_no = F.when(F.col("ts") < start + F.make_dt_interval(F.lit(0), F.lit(hour)), i).otherwise(slice_no)
+    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    action = F.when(F.col("event_type") == "error", "unsubscribe").when(F.col("event_type") == "click", "failed").otherwise("subscribe")
+    cut_in = events.withColumn("slice", slice_no)
+    instant = F.col("ts").cast("timestamp").alias("ts")
+    requests = cut_in.where("event_type <> 'view'").select(
+        F.col("user_id").cast("string").alias("key"), action.alias("action"), F.concat(F.lit("calendars/c"), "user_id").alias("calendar_id"),
+        (1 + k % 23).alias("hour"), instant, F.col("event_id").alias("seq"), "slice",
+    )
+    again = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    ticks = cut_in.where("event_type = 'view'").withColumn("later", F.explode(again)).select(instant, (F.col("slice") + F.col("later")).alias("slice"))
+    return requests, ticks
+
+
+@query(
+    "l08_reminder_stream",
+    f"""WITH x AS (SELECT *, {SLICE_SQL} AS slice, epoch_us(ts) // 1000 AS ms, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k FROM events),
+    w AS (SELECT s AS slice, make_timestamp(max(ms) * 1000) AS now FROM x JOIN range({len(ARRIVALS) + 1}) r(s) ON slice <= s WHERE event_type = 'view' GROUP BY 1),
+    c AS (SELECT slice, now, CAST({rome_sql('now')} AS DATE) AS day, hour({rome_sql('now')}) AS hr FROM w),
+    st AS (SELECT user_id, c.slice, now, day, hr, max(x.ms) AS since, arg_max(1 + k % 23, (ts, event_id)) FILTER (event_type NOT IN ('click', 'error')) AS wish,
+        max((ts, event_id)) FILTER (event_type NOT IN ('click', 'error')) AS on_at, max((ts, event_id)) FILTER (event_type = 'error') AS off_at,
+        count(*) FILTER (event_type IN ('click', 'error')) AS life FROM x JOIN c ON x.slice <= c.slice WHERE event_type <> 'view' GROUP BY 1, 2, 3, 4, 5)
+    SELECT CAST(user_id AS VARCHAR) AS key, 'calendars/c' || user_id AS calendar_id, day AS civil_date, min(now) AS sent_at FROM st
+    WHERE wish <= hr AND (off_at IS NULL OR on_at > off_at) AND since <= epoch_us(now) // 1000 GROUP BY user_id, day, life""",
+)
+def l08_reminders(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyed state with timers over slices that arrive one after another."""
+    root = f"{shared_folder(spark)}/reminders-{uuid.uuid4().hex}"
+    requests, ticks = arrivals(V.table(spark, sf, "events"))
+
+    def arrived(kind: str, df: DataFrame) -> DataFrame:
+        schema = df.drop("slice").schema
+        return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/{kind}")
+
+    for number in range(len(ARRIVALS) + 1):
+        for kind, df in (("requests", requests), ("ticks", ticks)):
+            df.where(F.col("slice") == number).drop("slice").write.parquet(f"{root}/{kind}/{number}")
+        due = R.reminders(arrived("requests", requests), arrived("ticks", ticks))
+        R.start(due, f"{root}/out", f"{root}/cp").awaitTermination()
+    sent = spark.read.schema(R.OUT).parquet(f"{root}/out")
+    return sent.select("key", "calendar_id", "civil_date", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"))
+
+
 @query(
     "l09_calendar_memo",
     f"""WITH {SUBS}, {CAL} SELECT DISTINCT calendar_id, calendar_id IN (SELECT calendar_id FROM cal WHERE year(date) IN (1998, 1999)) AS known FROM sub""",

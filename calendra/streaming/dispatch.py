@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from calendra.functions.dates import rome_time
 from calendra.operators.calendars import bins_per_day
-from calendra.streaming.subscriptions import read_state, write_marks
+from calendra.streaming.log import FOLD_FROM, fold_if_long
+from calendra.streaming.subscriptions import MARK_SCHEMA, last_marks, read_state, write_marks
 
 # Delivery answers that remove a subscription, and the lateness allowed.
 GONE = (404, 410)
@@ -42,7 +43,7 @@ def plan(subscriptions: DataFrame, cal: DataFrame, tick: Column, years: Sequence
     pickup = F.date_add(date, 1)
     staged = subscriptions.withColumn(
         "_early",
-        F.when(~F.coalesce(due, F.lit(False)), F.lit("not due")).when(F.col("last_sent_date") == date, F.lit("done today")),
+        F.when(~F.coalesce(due, F.lit(False)), F.lit("not due")).when(F.col("last_sent_date") >= date, F.lit("done today")),
     )
     waiting = staged.where("_early IS NULL")
     memo = calendar_memo(waiting, cal, years)
@@ -118,21 +119,25 @@ def once_a_day(stream: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def dispatch_stream(
-    ticks: DataFrame, state_path: str, marks_path: str, cal: DataFrame, years: Sequence[int], send, checkpoint: str
+    ticks: DataFrame, state_path: str, marks_path: str, cal: DataFrame, years: Sequence[int], send, checkpoint: str,
+    fold_from: int = FOLD_FROM,
 ):
     """Start the dispatch stream over hourly ticks.
 
     ``send`` maps the planned sends to outcomes (key, status); it is the sink side effect.
     The ticks of a micro-batch are played in order. Every tick writes its own folder of marks
     under the seconds of its instant, so a repeated tick rewrites its folder and no backlog
-    can run into the numbers of another batch.
+    can run into the numbers of another batch. Marks are folded before the first tick of a
+    micro-batch only, so a repeated micro-batch finds the state that it began with.
     """
 
     def play(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         # Ticks are one per hour: even a backlog of years is a short list.
         ticks_at = F.col("ts").cast("timestamp").cast("bigint").alias("number")
-        for row in df.select("ts", ticks_at).distinct().orderBy("ts").collect():
+        for place, row in enumerate(df.select("ts", ticks_at).distinct().orderBy("ts").collect()):
+            if place == 0:
+                fold_if_long(spark, marks_path, MARK_SCHEMA, last_marks, row["number"], fold_from)
             number = row["number"]
             tick = F.lit(row["ts"]).cast("timestamp_ntz")
             state = read_state(spark, state_path, marks_path, marks_before=number)

@@ -2,18 +2,19 @@
 
 State is kept as a change log: every micro-batch writes only the keys it touched, as full
 rows or as deletions, into its own folder. A repeated batch overwrites its folder, so a
-lost executor or a restarted query never applies a batch twice. ``compact`` folds old
-batches into one. Dispatch writes its marks and removals to a log of its own; reading the
+lost executor or a restarted query never applies a batch twice. Both logs are folded into
+a base now and then (see ``log``), so reading them meets a bounded number of folders.
+``compact`` copies the state of a batch into a new log. Dispatch writes its marks and removals to a log of its own; reading the
 state joins both, so the two streams never wait for each other.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calendra.sources.calendar_text import calendar_base
+from calendra.streaming.log import FOLD_FROM, fold_if_long, read_log
 
 # Default hour and zone, accepted address start.
 DEFAULT_HOUR, ZONE = 20, "Europe/Rome"
@@ -93,15 +94,24 @@ def changes(requests: DataFrame, current: DataFrame) -> DataFrame:
 MARK_SCHEMA = "key string, tick_ts timestamp_ntz, last_sent_date date, removed boolean"
 
 
-def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All batches of a log; empty before the first one is written."""
-    full = f"{schema}, batch bigint"
-    try:
-        return spark.read.option("basePath", path).schema(full).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], full)
+LOG_SCHEMA = f"{STATE_SCHEMA}, deleted boolean"
+
+
+def newest_rows(log: DataFrame) -> DataFrame:
+    """The last row of every key."""
+    newest = F.max_by(F.struct(*STATE[1:], "deleted"), "batch")
+    return log.groupBy("key").agg(newest.alias("s")).select("key", *[f"s.{c}" for c in (*STATE[1:], "deleted")])
+
+
+def live_rows(log: DataFrame) -> DataFrame:
+    """The state log folded: removed keys are as good as unknown ones."""
+    return newest_rows(log).where("NOT deleted")
+
+
+def last_marks(marks: DataFrame) -> DataFrame:
+    """The mark log folded: the last mark and the last removal of every key."""
+    last = F.max(F.struct("tick_ts", "last_sent_date")).alias("m")
+    return marks.groupBy("key", "removed").agg(last).select("key", "m.*", "removed")
 
 
 def read_state(
@@ -109,18 +119,10 @@ def read_state(
     marks_before: int | None = None,
 ) -> DataFrame:
     """Live subscriptions, optionally as of the start of a batch of either log."""
-    log = read_log(spark, path, f"{STATE_SCHEMA}, deleted boolean")
-    if before is not None:
-        log = log.where(F.col("batch") < before)
-    newest = F.max_by(F.struct(*STATE[1:], "deleted"), "batch")
-    live = log.groupBy("key").agg(newest.alias("s")).where("NOT s.deleted").select(
-        "key", *[f"s.{c}" for c in STATE[1:]]
-    )
+    live = newest_rows(read_log(spark, path, LOG_SCHEMA, before)).where("NOT deleted").drop("deleted")
     if marks_path is None:
         return live
-    marks = read_log(spark, marks_path, MARK_SCHEMA)
-    if marks_before is not None:
-        marks = marks.where(F.col("batch") < marks_before)
+    marks = read_log(spark, marks_path, MARK_SCHEMA, marks_before)
     per_key = marks.groupBy("key").agg(
         F.max(F.when(~F.col("removed"), F.struct("tick_ts", "last_sent_date"))).alias("mark"),
         F.max(F.when(F.col("removed"), F.col("tick_ts"))).alias("removed_at"),
@@ -145,7 +147,10 @@ def write_marks(rows: DataFrame, path: str, batch: int) -> None:
     )
 
 
-def apply_batch(requests: DataFrame, path: str, batch: int, marks_path: str | None = None) -> None:
+def apply_batch(
+    requests: DataFrame, path: str, batch: int, marks_path: str | None = None, fold_from: int = FOLD_FROM,
+) -> None:
+    fold_if_long(requests.sparkSession, path, LOG_SCHEMA, live_rows, batch, fold_from)
     current = read_state(requests.sparkSession, path, marks_path, before=batch)
     touched = accepted(requests).select("key").distinct()
     write_changes(changes(requests, current.join(touched, "key", "left_semi")), path, batch)
