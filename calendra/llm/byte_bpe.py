@@ -1,17 +1,22 @@
 """Byte-level BPE encoding and decoding.
 
-Every distinct word (a match of the split pattern) is encoded by Spark's higher-order
-functions: an ``aggregate`` folds the merges over the array of the word's byte tokens, one
-merge a step, always the lowest rank and the leftmost of equals, looking ranks up in a
-literal map (hash buckets of token pairs). The ``dictionary_size`` words that stand in most
-texts are folded once and become a second literal map (bounded by this parameter, about 30
-bytes a word); any other word is folded where it stands, so no row of words is shuffled back
-to its text. Decoding concatenates the tokens' bytes.
-
-Cases: a null text counts as empty and has no tokens; texts with a run of ``LONG_RUN`` or more
-characters with or without blanks are merged with a heap instead of the fold, whose steps
-copy a word's whole array; equal texts give equal ids; an empty table gives an empty
-table; all columns of the input except ``ids`` and ``n_tokens`` are kept as they are.
+Distinct words (matches of the split pattern) are encoded by Spark's higher-order functions:
+an ``aggregate`` folds the merges over the array of a word's byte tokens, one merge a step,
+always the lowest rank and the leftmost of equals, looking ranks up in a literal map (hash
+buckets of token pairs). The words of a bounded sample that stand in most of its texts are
+folded first and become a dictionary that every worker holds. Each text asks for its other
+words, once each; what is asked is a row (text key, word), distinct words are folded once,
+and the answers meet the texts by key. A text is then written out word by word from the
+dictionary and its answers. Decoding concatenates the tokens' bytes.
+
+The key of a text is a 64-bit hash, and copies of a text ask once a task. Should different
+texts have one key, they share their answers, and a word without an answer is merged with a
+heap. The dictionary only saves work: its size and sample change no result.
+
+Cases: a null text counts as empty and has no tokens; words of over ``LONG_WORD`` bytes, whose
+fold would copy long arrays at each step, are merged with a heap where they stand; equal
+texts give equal ids; an empty table gives an empty table; all columns of the input except
+``ids`` and ``n_tokens`` are kept as they are.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calendra.llm.common import ddl, without
+from calendra.llm.common import cut, ddl, without
 
-DICTIONARY_SIZE = 250_000
-LONG_RUN = 500
-#: Blanks are those of the split pattern, so a word has under 4,096 bytes unless this matches.
-LONG = rf"(?U)\S{{{LONG_RUN},}}+|\s{{{LONG_RUN},}}+"
-WORD_BUCKETS = 1 << 18
-FOLD_TASKS = 24
+#: Words of the dictionary, and texts of the sample they are taken from.
+DICTIONARY_SIZE = 1 << 15
+SAMPLE = 4096
+#: Bytes of a word from which it is merged with a heap; offsets of the fold have 12 bits.
+LONG_WORD = 500
+#: Texts that a worker takes out of a batch at once, and texts that a task remembers to have asked for.
+SLICE = 256
+REMEMBERED = 1 << 18
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
 ID_MASK = (1 << 20) - 1
@@ -161,10 +168,6 @@ def _pack(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def _words(pattern: str) -> Column:
-    return F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))
-
-
 def _hex_ids(word: Column, path: str) -> Column:
     """The ids of a word as hex digits, little-endian, eight to an id."""
     size = max(read_ranks(path).values()) + 1
@@ -172,18 +175,82 @@ def _hex_ids(word: Column, path: str) -> Column:
     return _let(table, lambda digits: F.array_join(F.transform(fold_merges(word, path), lambda i: F.get(digits, i)), ""))
 
 
-def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> str:
-    """JSON of the words that stand in most texts, at most ``size``, and their ids, by bucket."""
-    words = docs.filter(~F.col("text").rlike(LONG)).select(F.explode(F.array_distinct(_words(pattern))).alias("word"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).select("word")
-    rows = top.repartition(FOLD_TASKS, "word").select("word", _hex_ids(F.col("word"), path).alias("ids")).toArrow()
-    keys: list[list[str]] = [[] for _ in range(WORD_BUCKETS)]
-    values: list[list[str]] = [[] for _ in range(WORD_BUCKETS)]
-    for word, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True):
-        bucket = zlib.crc32(word.encode()) % WORD_BUCKETS
-        keys[bucket].append(word)
-        values[bucket].append(ids)
-    return json.dumps({"k": keys, "v": values}, ensure_ascii=False)
+@lru_cache(maxsize=1)
+def _newer_letters():
+    """A pattern of the letters and digits that the regex library knows and Python's tables do not yet.
+
+    Tokenizer libraries may know fewer of them than the regex library.
+    """
+    import regex
+
+    unknown = "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn")
+    return regex.compile("[" + "".join(f"{run[0]}-{run[-1]}" for run in regex.findall(r"[\p{L}\p{N}]+", unknown)) + "]")
+
+
+def word_splitter(pattern: str) -> Callable[[str], list[str]]:
+    """The words of a text by a split pattern, as tokenizer libraries find them.
+
+    Texts with letters of the newest Unicode versions are split by a tokenizer library, whose
+    tables decide what counts as a letter.
+    """
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    find, newer = regex.compile(pattern).findall, _newer_letters().search
+    careful = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+    def split(text: str) -> list[str]:
+        if text.isascii() or not newer(text):
+            return find(text)
+        return [word for word, _ in careful.pre_tokenize_str(text)]
+
+    return split
+
+
+def _is_long(word: str) -> bool:
+    return len(word) * 4 > LONG_WORD and len(word.encode()) > LONG_WORD
+
+
+def _asking(pattern: str, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Maps (_key, text) to a row (_key, word) for each distinct word of a text outside ``known``, a broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, dictionary, seen = word_splitter(pattern), known.value.keys(), set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                keys, words = [], []
+                for key, text in zip(part.column("_key").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if not text or key in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    asked = [w for w in set(find(text)) - dictionary if not _is_long(w)]
+                    words += asked
+                    keys += [key] * len(asked)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["_key", "word"])
+
+    return run
+
+
+def folded_words(words: DataFrame, path: str) -> DataFrame:
+    """word and its ``ids`` (binary) of rows with distinct words, by the fold."""
+    return words.select("word", F.unhex(_hex_ids(F.col("word"), path)).alias("ids"))
+
+
+def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> dict[str, bytes]:
+    """At most ``size`` words that stand in most texts of a sample, and their ids."""
+    spark = docs.sparkSession
+    total = docs.count()
+    if not size or not total:
+        return {}
+    texts = docs.select(F.monotonically_increasing_id().alias("_key"), "text")
+    sampled = texts.sample(False, min(1.0, SAMPLE / total), seed=1) if total > SAMPLE else texts
+    found = sampled.mapInArrow(_asking(pattern, spark.sparkContext.broadcast({})), "_key bigint, word string")
+    top = found.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
+    rows = folded_words(top.repartition(spark.sparkContext.defaultParallelism, "word"), path).toArrow()
+    return dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True))
 
 
 def encode(
@@ -194,42 +261,38 @@ def encode(
     ``path`` is a rank file, ``pattern`` the split pattern of the tokenizer, ``keep`` the
     columns to keep (all).
     """
-    docs = without(docs, "ids", "n_tokens")
+    docs = without(docs, "ids", "n_tokens", "_key", "_words", "_ids")
     kept = [c for c in docs.columns if keep is None or c in keep]
-    known = F.from_json(F.lit(frequent_words(docs, path, pattern, dictionary_size)), "struct<k: array<array<string>>, v: array<array<string>>>")
-
-    def ids_of(table: Column) -> Column:
-        def one(word: Column) -> Column:
-            bucket = (F.crc32(word.cast("binary")) % WORD_BUCKETS).cast("int")
-            place = F.array_position(F.get(table["k"], bucket), word).cast("int") - 1
-            return F.coalesce(F.get(F.get(table["v"], bucket), place), _hex_ids(word, path))
-
-        return F.array_join(F.transform(_words(pattern), one), "")
-
-    long = F.coalesce(F.col("text").rlike(LONG), F.lit(False))
-    table = F.struct(known["k"].alias("k"), known["v"].alias("v"))
-    usual = docs.filter(~long).select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.unhex(_let(table, ids_of)), F.lit(b"")).alias("ids"))
-    odd = _heap_encode(docs.filter(long), path, pattern, kept)
-    return usual.unionByName(odd).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
-
-
-def _heap_encode(docs: DataFrame, path: str, pattern: str, kept: list[str]) -> DataFrame:
-    """``kept`` and ``ids`` of texts with very long words."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    context = docs.sparkSession.sparkContext
+    known = context.broadcast(frequent_words(docs.select("text"), path, pattern, dictionary_size))
+    ranks = context.broadcast(read_ranks(path))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])], F.xxhash64("text").alias("_key"))
+    asked = cut(keyed.select("_key", "text").mapInArrow(_asking(pattern, known), "_key bigint, word string"))
+    answered = asked.join(folded_words(asked.select("word").distinct(), path), "word")
+    pairs = F.collect_set(F.struct("word", "ids"))
+    answers = answered.groupBy("_key").agg(pairs.alias("a")).select(
+        F.col("_key").alias("_of"), F.transform("a", lambda p: p["word"]).alias("_words"), F.transform("a", lambda p: p["ids"]).alias("_ids"),
+    )
+    met = keyed.join(answers, F.col("_key") == F.col("_of"), "left").drop("_key", "_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        words = regex.compile(pattern).findall
+        find, dictionary, rank_of = word_splitter(pattern), known.value, ranks.value
         for batch in batches:
-            ids = [
-                b"".join(_pack(heap_merges(w.encode(), ranks.value)) for w in words(text))
-                for text in batch.column("text").to_pylist()
-            ]
-            yield _with(batch.select(kept), ids=pa.array(ids, pa.binary()))
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = []
+                for text, words, own in zip(part.column("text").to_pylist(), part.column("_words").to_pylist(), part.column("_ids").to_pylist(), strict=True):
+                    more = dict(zip(words, own, strict=True)) if words else {}
+                    packed = []
+                    for word in find(text or ""):
+                        found = dictionary.get(word) or more.get(word)
+                        packed.append(_pack(heap_merges(word.encode(), rank_of)) if found is None else found)
+                    ids.append(b"".join(packed))
+                yield _with(part.select(kept), ids=pa.array(ids, pa.binary()))
 
     schema = ddl(docs.select(*[F.col(f"`{c}`") for c in kept]))
-    return docs.mapInArrow(run, f"{schema}, ids binary" if schema else "ids binary")
+    coded = met.mapInArrow(run, f"{schema}, ids binary" if schema else "ids binary")
+    return coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
 
 
 def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:

@@ -580,7 +580,7 @@ def bpe():
     return path, encoding
 
 
-@pytest.mark.parametrize("size", [1, 2000])
+@pytest.mark.parametrize("size", [0, 1, 2000])
 def test_bpe_matches_library(docs, odd, bpe, size):
     path, encoding = bpe
     frame = docs.unionByName(odd)
@@ -607,6 +607,23 @@ def test_bpe_long_runs_of_mixed_blanks(spark, bpe):
         assert np.frombuffer(r.ids, "<u4").tolist() == encoding.encode_ordinary(r.text)
 
 
+def test_bpe_of_odd_code_points(spark, bpe):
+    path, encoding = bpe
+    texts = [f"a{chr(c)}b {chr(c)}1'{chr(c)}{chr(c)}'ll {chr(c)}  {chr(c)}!" for c in [*range(0x80, 0x3000, 11), 0x1C89, 0xA7CE, 0x10940, 0x1F600]]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = byte_bpe.encode(frame.unionByName(frame), path, public_tokenizers.PATTERN, dictionary_size=50).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        assert np.frombuffer(r.ids, "<u4").tolist() == encoding.encode_ordinary(r.text)
+
+
+def test_bpe_copies_ask_once_a_task(spark):
+    frame = spark.createDataFrame([("one two",), ("",), (None,)] * 50, "text string").coalesce(1)
+    asks = byte_bpe._asking(public_tokenizers.PATTERN, spark.sparkContext.broadcast({" two": b""}))
+    asked = frame.select(F.xxhash64("text").alias("_key"), "text").mapInArrow(asks, "_key bigint, word string")
+    assert [r.word for r in asked.collect()] == ["one"]
+
+
 def test_bpe_empty_table(none, bpe):
     assert byte_bpe.encode(none, bpe[0], public_tokenizers.PATTERN).count() == 0
 
