@@ -3,20 +3,19 @@
 Distinct words (matches of the split pattern) are encoded by Spark's higher-order functions:
 an ``aggregate`` folds the merges over the array of a word's byte tokens, one merge a step,
 always the lowest rank and the leftmost of equals, looking ranks up in a literal map (hash
-buckets of token pairs). The words of a bounded sample that stand in most of its texts are
-folded first and become a dictionary that every worker holds. Each text asks for its other
-words, once each; what is asked is a row (text key, word), distinct words are folded once,
-and the answers meet the texts by key. A text is then written out word by word from the
-dictionary and its answers. Decoding concatenates the tokens' bytes.
+buckets of token pairs). The words that stand in several texts of a bounded sample are
+folded first and become a dictionary that every Python worker holds. It writes the words it
+knows in place; the others of a text are folded once each where the text is, by the same
+expression, and put into the gaps. No row of a word is shuffled but for the sample's counts.
+Decoding concatenates the tokens' bytes.
 
-The key of a text is a 64-bit hash, and copies of a text ask once a task. Should different
-texts have one key, they share their answers, and a word without an answer is merged with a
-heap. The dictionary only saves work: its size and sample change no result.
+The dictionary only saves work: its size and sample change no result.
 
 Cases: a null text counts as empty and has no tokens; words of over ``LONG_WORD`` bytes, whose
-fold would copy long arrays at each step, are merged with a heap where they stand; equal
-texts give equal ids; an empty table gives an empty table; all columns of the input except
-``ids`` and ``n_tokens`` are kept as they are.
+fold would copy long arrays at each step, are merged with a heap; texts with code points that
+the JVM's tables do not know are split by a tokenizer library; equal texts give equal ids;
+an empty table gives an empty table; all columns of the input except ``ids`` and ``n_tokens``
+are kept as they are.
 """
 
 from __future__ import annotations
@@ -24,8 +23,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,14 +33,13 @@ from pyspark.sql import functions as F
 
 from calendra.llm.common import cut, ddl, without
 
-#: Words of the dictionary, and texts of the sample they are taken from.
-DICTIONARY_SIZE = 1 << 15
-SAMPLE = 4096
+#: Words of the dictionary (about 250 bytes each in a worker), and texts of the sample they are taken from.
+DICTIONARY_SIZE = 1 << 19
+SAMPLE = 1 << 16
 #: Bytes of a word from which it is merged with a heap; offsets of the fold have 12 bits.
 LONG_WORD = 500
-#: Texts that a worker takes out of a batch at once, and texts that a task remembers to have asked for.
+#: Texts that a worker takes out of a batch at once.
 SLICE = 256
-REMEMBERED = 1 << 18
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
 ID_MASK = (1 << 20) - 1
@@ -175,82 +172,53 @@ def _hex_ids(word: Column, path: str) -> Column:
     return _let(table, lambda digits: F.array_join(F.transform(fold_merges(word, path), lambda i: F.get(digits, i)), ""))
 
 
-@lru_cache(maxsize=1)
-def _newer_letters():
-    """A pattern of the letters and digits that the regex library knows and Python's tables do not yet.
-
-    Tokenizer libraries may know fewer of them than the regex library.
-    """
-    import regex
-
-    unknown = "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn")
-    return regex.compile("[" + "".join(f"{run[0]}-{run[-1]}" for run in regex.findall(r"[\p{L}\p{N}]+", unknown)) + "]")
-
-
-def word_splitter(pattern: str) -> Callable[[str], list[str]]:
-    """The words of a text by a split pattern, as tokenizer libraries find them.
-
-    Texts with letters of the newest Unicode versions are split by a tokenizer library, whose
-    tables decide what counts as a letter.
-    """
-    import regex
-    from tokenizers import Regex, pre_tokenizers
-
-    find, newer = regex.compile(pattern).findall, _newer_letters().search
-    careful = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
-
-    def split(text: str) -> list[str]:
-        if text.isascii() or not newer(text):
-            return find(text)
-        return [word for word, _ in careful.pre_tokenize_str(text)]
-
-    return split
-
-
 def _is_long(word: str) -> bool:
     return len(word) * 4 > LONG_WORD and len(word.encode()) > LONG_WORD
 
 
-def _asking(pattern: str, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Maps (_key, text) to a row (_key, word) for each distinct word of a text outside ``known``, a broadcast."""
+def _splits(pattern: str) -> tuple[Column, Column]:
+    """The words of ``text``, and the text itself where the JVM's tables may split it wrongly."""
+    unknown = F.coalesce(F.col("text").rlike(r"\p{Cn}"), F.lit(False))
+    words = F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))
+    return F.when(~unknown, words), F.when(unknown, F.col("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, dictionary, seen = word_splitter(pattern), known.value.keys(), set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                keys, words = [], []
-                for key, text in zip(part.column("_key").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    if not text or key in seen:
-                        continue
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(key)
-                    asked = [w for w in set(find(text)) - dictionary if not _is_long(w)]
-                    words += asked
-                    keys += [key] * len(asked)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["_key", "word"])
 
-    return run
+def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> pa.Table:
+    """word and hex ids of at most ``size`` words, those that stand in most texts of a sample."""
+    total = docs.count()
+    texts = docs.select("text")
+    sampled = texts.sample(False, min(1.0, SAMPLE / total), seed=1) if total > SAMPLE else texts
+    words = sampled.select(F.explode(F.array_distinct(_splits(pattern)[0])).alias("word")).where(F.octet_length("word") <= LONG_WORD)
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    # the least number of texts that leaves no more words than wanted, from a histogram of these numbers
+    least, room = 2, size
+    for n, many in sorted((tuple(r) for r in counts.groupBy("n").count().collect()), reverse=True):
+        room -= many
+        if room < 0:
+            least = n + 1
+            break
+    frequent = counts.where(F.col("n") >= least).repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "word")
+    return frequent.select("word", _hex_ids(F.col("word"), path).alias("ids")).toArrow()
 
 
-def folded_words(words: DataFrame, path: str) -> DataFrame:
-    """word and its ``ids`` (binary) of rows with distinct words, by the fold."""
-    return words.select("word", F.unhex(_hex_ids(F.col("word"), path)).alias("ids"))
+_KNOWN: dict[int, dict[str, str]] = {}
 
 
-def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> dict[str, bytes]:
-    """At most ``size`` words that stand in most texts of a sample, and their ids."""
-    spark = docs.sparkSession
-    total = docs.count()
-    if not size or not total:
-        return {}
-    texts = docs.select(F.monotonically_increasing_id().alias("_key"), "text")
-    sampled = texts.sample(False, min(1.0, SAMPLE / total), seed=1) if total > SAMPLE else texts
-    found = sampled.mapInArrow(_asking(pattern, spark.sparkContext.broadcast({})), "_key bigint, word string")
-    top = found.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
-    rows = folded_words(top.repartition(spark.sparkContext.defaultParallelism, "word"), path).toArrow()
-    return dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True))
+def _dictionary(sent) -> dict[str, str]:
+    """A worker's copy of a broadcast table of words, kept between tasks."""
+    key = hash(sent.value)
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        table = pa.ipc.open_stream(sent.value).read_all()
+        _KNOWN[key] = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
+    return _KNOWN[key]
+
+
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def encode(
@@ -261,37 +229,57 @@ def encode(
     ``path`` is a rank file, ``pattern`` the split pattern of the tokenizer, ``keep`` the
     columns to keep (all).
     """
-    docs = without(docs, "ids", "n_tokens", "_key", "_words", "_ids")
+    docs = without(docs, "ids", "n_tokens", "_words", "_text", "_parts", "_places", "_missed")
     kept = [c for c in docs.columns if keep is None or c in keep]
     context = docs.sparkSession.sparkContext
-    known = context.broadcast(frequent_words(docs.select("text"), path, pattern, dictionary_size))
+    known = context.broadcast(_stream(frequent_words(docs, path, pattern, dictionary_size)))
     ranks = context.broadcast(read_ranks(path))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])], F.xxhash64("text").alias("_key"))
-    asked = cut(keyed.select("_key", "text").mapInArrow(_asking(pattern, known), "_key bigint, word string"))
-    answered = asked.join(folded_words(asked.select("word").distinct(), path), "word")
-    pairs = F.collect_set(F.struct("word", "ids"))
-    answers = answered.groupBy("_key").agg(pairs.alias("a")).select(
-        F.col("_key").alias("_of"), F.transform("a", lambda p: p["word"]).alias("_words"), F.transform("a", lambda p: p["ids"]).alias("_ids"),
-    )
-    met = keyed.join(answers, F.col("_key") == F.col("_of"), "left").drop("_key", "_of")
+    words, odd = _splits(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, dictionary, rank_of = word_splitter(pattern), known.value, ranks.value
+        from tokenizers import Regex, pre_tokenizers
+
+        dictionary, rank_of = _dictionary(known), ranks.value
+        careful = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids = []
-                for text, words, own in zip(part.column("text").to_pylist(), part.column("_words").to_pylist(), part.column("_ids").to_pylist(), strict=True):
-                    more = dict(zip(words, own, strict=True)) if words else {}
-                    packed = []
-                    for word in find(text or ""):
-                        found = dictionary.get(word) or more.get(word)
-                        packed.append(_pack(heap_merges(word.encode(), rank_of)) if found is None else found)
-                    ids.append(b"".join(packed))
-                yield _with(part.select(kept), ids=pa.array(ids, pa.binary()))
+                parts, places, missed = [], [], []
+                for words, text in zip(part.column("_words").to_pylist(), part.column("_text").to_pylist(), strict=True):
+                    if text is not None:
+                        words = [word for word, _ in careful.pre_tokenize_str(text)]
+                    gaps: dict[str, int] = {}
+                    runs, run_of, order = [], [], []
+                    for word in words or ():
+                        ids = dictionary.get(word)
+                        if ids is None and _is_long(word):
+                            ids = _pack(heap_merges(word.encode(), rank_of)).hex()
+                        if ids is None:
+                            runs.append("".join(run_of))
+                            run_of = []
+                            order.append(gaps.setdefault(word, len(gaps)))
+                        else:
+                            run_of.append(ids)
+                    runs.append("".join(run_of))
+                    parts.append(runs)
+                    places.append([*order, None])
+                    missed.append(list(gaps))
+                yield _with(
+                    part.select(kept), _parts=pa.array(parts, pa.list_(pa.string())), _places=pa.array(places, pa.list_(pa.int32())),
+                    _missed=pa.array(missed, pa.list_(pa.string())),
+                )
 
     schema = ddl(docs.select(*[F.col(f"`{c}`") for c in kept]))
-    coded = met.mapInArrow(run, f"{schema}, ids binary" if schema else "ids binary")
+    gapped = docs.select(*[F.col(f"`{c}`") for c in kept], words.alias("_words"), odd.alias("_text")).mapInArrow(
+        run, f"{schema + ', ' if schema else ''}_parts array<string>, _places array<int>, _missed array<string>"
+    )
+    folded = F.transform("_missed", lambda word: _hex_ids(word, path))
+
+    def filled(gaps: Column) -> Column:
+        return F.array_join(F.zip_with("_parts", "_places", lambda part, place: F.concat(part, F.coalesce(F.get(gaps, place), F.lit("")))), "")
+
+    ids = F.coalesce(F.unhex(_let(folded, filled)), F.lit(b""))
+    coded = gapped.select(*[F.col(f"`{c}`") for c in kept], ids.alias("ids"))
     return coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
 
 

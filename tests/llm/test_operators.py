@@ -617,11 +617,12 @@ def test_bpe_of_odd_code_points(spark, bpe):
         assert np.frombuffer(r.ids, "<u4").tolist() == encoding.encode_ordinary(r.text)
 
 
-def test_bpe_copies_ask_once_a_task(spark):
-    frame = spark.createDataFrame([("one two",), ("",), (None,)] * 50, "text string").coalesce(1)
-    asks = byte_bpe._asking(public_tokenizers.PATTERN, spark.sparkContext.broadcast({" two": b""}))
-    asked = frame.select(F.xxhash64("text").alias("_key"), "text").mapInArrow(asks, "_key bigint, word string")
-    assert [r.word for r in asked.collect()] == ["one"]
+def test_bpe_dictionary_is_bounded(spark, docs, bpe):
+    path, encoding = bpe
+    table = byte_bpe.frequent_words(docs, path, public_tokenizers.PATTERN, 300)
+    assert 0 < table.num_rows <= 300
+    for word, ids in zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True):
+        assert np.frombuffer(bytes.fromhex(ids), "<u4").tolist() == encoding._encode_single_piece(word)
 
 
 def test_bpe_empty_table(none, bpe):
