@@ -199,32 +199,68 @@ def area_medians(
     Raw units are counted once at the finest grain; coarser levels are summed from those
     counts. Blank areas are left out at their level.
     """
-    keys = list(keys)
-    long = unpivot_measures(units, [*keys, *levels], measures)
-    fine = long.groupBy(*keys, *levels, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
-    places = F.array(
-        F.struct(F.lit("country").alias("level"), F.lit("*").alias("area")),
-        *[
-            F.struct(F.lit(name).alias("level"), F.trim(F.col(name)).alias("area"))
-            for name in levels
-        ],
-    )
-    hist = (
-        fine.withColumn("place", F.explode(places))
-        .select(*keys, "place.level", "place.area", "measure", "value", "n")
-        .where(F.col("area") != "")
-        .groupBy(*keys, "level", "area", "measure", "value")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("seg", F.floor(F.col("value") / (SEGMENT / 100.0)))
-    )
     groups = [*keys, "level", "area", "measure"]
     return (
-        running_counts(hist, groups)
+        area_frame(units, keys, levels, measures)
         .groupBy(*groups)
         .agg(round_to(median_agg(), 2).alias("median"), F.sum("n").alias("n"))
     )
 
 
+def area_frame(
+    units: DataFrame, keys: Sequence[str], levels: Sequence[str], measures: Sequence[str], lookups: DataFrame | None = None,
+) -> DataFrame:
+    """One distribution frame of all measures for the whole country and each level's areas.
+
+    Its groups are keys, ``level``, ``area`` and ``measure``, so one frame answers summaries,
+    medians and ranks alike. Units are counted once at the finest grain and coarser levels
+    are summed from these counts. ``lookups`` (keys and measures) adds values that are ranked
+    in the whole country without counting. Null and blank areas are left out at their level.
+    """
+    keys, levels = list(keys), list(levels)
+    fine = unpivot_measures(units, [*keys, *levels], measures).groupBy(*keys, *levels, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    places = F.array(
+        F.struct(F.lit("country").alias("level"), F.lit("*").alias("area")),
+        *[F.struct(F.lit(name).alias("level"), F.trim(F.col(name)).alias("area")) for name in levels],
+    )
+    columns = [*keys, "level", "area", "measure", "value", "n"]
+    rows = fine.withColumn("place", F.explode(places)).select(*keys, "place.level", "place.area", "measure", "value", "n").where("area <> ''")
+    if lookups is not None:
+        asked = unpivot_measures(lookups, keys, measures).withColumns({"level": F.lit("country"), "area": F.lit("*"), "n": F.lit(0).cast("bigint")})
+        rows = rows.select(*columns).unionByName(asked.select(*columns))
+    groups = [*keys, "level", "area", "measure"]
+    hist = rows.groupBy(*groups, "value").agg(F.sum("n").alias("n")).withColumn("seg", F.floor(F.col("value") / (SEGMENT / 100.0)))
+    return running_counts(hist, groups)
+
+
+def medians_by_key(medians: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """keys and ``areas``: a map from level and area to its medians, one small row a key.
+
+    The map is bounded by the number of areas, so records need one join for all levels.
+    """
+    wide = medians.groupBy(*keys, "level", "area").agg(
+        F.struct(*[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(m) for m in measures]).alias("medians")
+    )
+    entry = F.struct(F.concat_ws("|", "level", "area"), "medians")
+    return wide.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("areas"))
+
+
+def median_of(level: str, area: Column, measure: str) -> Column:
+    """A median out of ``areas``; null where there is none."""
+    return F.try_element_at("areas", F.concat_ws("|", F.lit(level), F.trim(area)))[measure]
+
+
+def ranks_by_value(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, measure, value, and the shares of the country strictly ``below`` and ``above`` it, one decimal."""
+    whole = frame.where("level = 'country'")
+
+    def share(beaten: Column) -> Column:
+        return F.when(F.col("total") == 0, F.lit(0.0)).otherwise(round_to(F.lit(100.0) * beaten / F.col("total"), 1))
+
+    above = F.col("total") - F.col("below") - F.col("n")
+    return whole.select(*keys, "measure", "value", share(F.col("below")).alias("below"), share(above).alias("above"), "total")
+
+
 # --- classes and messages over already computed numbers -----------------------------
 
 # Target share, dead bands and rank bands.

@@ -289,3 +289,84 @@ def directory(records: DataFrame, calendars: DataFrame) -> DataFrame:
 
 def with_calendar_only(records: DataFrame, calendars: DataFrame) -> DataFrame:
     return records.join(calendars.select("id").distinct(), "id", "left_semi").orderBy("name", "id")
+
+
+YEARLY_MEASURES = {"rd_pct": 2, "kg_ru": 1, "kg_ind": 1, "kg_rd": 1, "cost": 1}
+LEVELS = ("region", "province", "cluster")
+
+
+def with_cluster(rows: DataFrame, edges: DataFrame, by: Sequence[str], pop: Column) -> DataFrame:
+    return rows.join(edges, list(by), "left").withColumn(
+        "cluster", F.concat(F.lit("p"), band(pop, F.col("edges")))
+    ).drop("edges")
+
+
+def yearly_frame(met: DataFrame, units: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Population edges, and the distribution frame of all measures over all areas and clusters.
+
+    The frame is the only one of a build: summaries, medians and ranks read it.
+    """
+    edges = cluster_edges(units, by)
+    clustered = with_cluster(units, edges, by, F.col("pop"))
+    # clusters count units with a population and a rate only
+    clustered = clustered.withColumn("cluster", F.when(F.col("pop").isNotNull() & F.col("rd_pct").isNotNull(), F.col("cluster")))
+    return edges, D.area_frame(clustered, by, LEVELS, list(YEARLY_MEASURES), lookups=met)
+
+
+def baselines(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Summary of every measure and area, with the share that reaches the target rate."""
+    groups = [*by, "level", "area", "measure"]
+    reached = F.sum(F.when(F.col("value") >= D.TARGET_PCT, F.col("n")).otherwise(0))
+    share = F.when(F.col("measure") == "rd_pct", round_to(F.lit(100.0) * reached / F.sum("n"), 1))
+    return frame.groupBy(*groups).agg(
+        F.sum("n").alias("n"), round_to(D.mean_agg(), 2).alias("mean"), round_to(D.median_agg(), 2).alias("median"),
+        D.at_index(D.floor_index(0.10)).alias("p10"), D.at_index(D.floor_index(0.90)).alias("p90"), share.alias("share_ok"),
+    )
+
+
+def yearly_records(
+    met: DataFrame, edges: DataFrame, frame: DataFrame, ids: DataFrame, by: str, first: int, last: int,
+) -> DataFrame:
+    """Served record of every municipality and year.
+
+    Ranks and deltas against units of the country, region, province and population cluster,
+    headline, national rank band, series of years with its change, and public id. ``met`` and
+    ``frame`` are read by several branches, so callers pass tables or checkpoints. ``ids`` has
+    id and public_id, ``by`` is the year.
+    """
+    keys, measures = [by], list(YEARLY_MEASURES)
+    medians = frame.groupBy(by, "level", "area", "measure").agg(round_to(D.median_agg(), 2).alias("median"), F.sum("n").alias("n"))
+    areas = D.medians_by_key(medians, keys, measures)
+    peers = medians.where("level = 'cluster' AND measure = 'rd_pct'").select(by, F.col("area").alias("cluster"), F.col("n").alias("rd_n"))
+    ranked = ("rd_pct", "kg_ru", "kg_ind")
+    found = D.unpivot_measures(met, [by, "id"], ranked).join(D.ranks_by_value(frame, keys), [by, "measure", "value"])
+
+    def rank(measure: str, column: str) -> Column:
+        return F.max(F.when(F.col("measure") == measure, F.col(column)))
+
+    ranks = found.groupBy(by, "id").agg(
+        rank("rd_pct", "below").alias("rd_pctile"), rank("rd_pct", "total").alias("ranked"),
+        rank("kg_ru", "below").alias("kg_pctile"), rank("kg_ind", "above").alias("ind_better_pctile"),
+    )
+    series = D.year_series(met, "id", "rd_pct").withColumn("delta_pp", D.series_delta(F.col("series"), first, last))
+    text = F.transform(F.map_entries("series"), lambda e: F.format_string("%s:%.2f", e["key"], e["value"]))
+    out = (
+        with_cluster(met, edges, keys, cluster_pop())
+        .join(areas, by, "left").join(peers, [by, "cluster"], "left")
+        .join(ranks, [by, "id"], "left").join(series, "id", "left").join(ids, "id", "left")
+    )
+    area_of = {"country": F.lit("*"), "region": F.col("region"), "province": F.col("province"), "cluster": F.col("cluster")}
+
+    def delta(measure: str, level: str) -> Column:
+        return round_to(F.col(measure) - D.median_of(level, area_of[level], measure), YEARLY_MEASURES[measure])
+
+    hook = D.headline(F.col("rd_pct"), F.col("rd_pctile"))
+    return out.select(
+        "id", "public_id", "name", "province", "region", by, "pop", *measures, "rd_pctile", "kg_pctile", "ind_better_pctile",
+        D.rank_band(F.col("rd_pctile"), F.col("ranked")).alias("rank_band"),
+        round_to(F.col("rd_pct") - D.TARGET_PCT, 2).alias("gap_target"),
+        *[delta(m, level).alias(f"{m}_vs_{level}") for m in measures for level in ("country", "region", "province")],
+        "cluster", delta("rd_pct", "cluster").alias("rd_vs_peers"), delta("cost", "cluster").alias("cost_vs_peers"),
+        F.coalesce(F.col("rd_n") >= MIN_PEERS, F.lit(False)).alias("peer_shown"),
+        hook["key"].alias("hook_key"), hook["text"].alias("hook_text"), F.array_join(text, ",").alias("series"), "delta_pp",
+    )

@@ -205,24 +205,13 @@ def peer_deltas(spark: SparkSession, sf: str) -> DataFrame:
     are read by the medians and by the result, so the join behind them is run once and cut.
     """
     units = cut(V.latest(V.unit(spark, sf)))
-    wide = (
-        D.area_medians(units, ["year"], ["region", "province"], MEASURES)
-        .groupBy("year", "level", "area")
-        .pivot("measure", list(MEASURES))
-        .agg(F.first("median"))
-    )
-    out = units
-    for level, key in (("country", None), ("region", "region"), ("province", "province")):
-        medians_of = [F.col(m).alias(f"{m}_{level}") for m in MEASURES]
-        side = wide.where(F.col("level") == level)
-        if key is None:
-            out = out.join(side.select("year", *medians_of), "year", "left")
-        else:
-            out = out.join(side.select("year", F.col("area").alias(key), *medians_of), ["year", key], "left")
+    medians = D.area_medians(units, ["year"], ["region", "province"], MEASURES)
+    out = units.join(D.medians_by_key(medians, ["year"], MEASURES), "year", "left")
+    area_of = {"country": F.lit("*"), "region": F.col("region"), "province": F.col("province")}
     deltas = [
-        round_to(F.col(m) - F.col(f"{m}_{level}"), digits).alias(f"{m}_vs_{level}")
+        round_to(F.col(m) - D.median_of(level, area, m), digits).alias(f"{m}_vs_{level}")
         for m, digits in DELTA_DIGITS.items()
-        for level in ("country", "region", "province")
+        for level, area in area_of.items()
     ]
     return out.select("id", "name", "province", "region", *MEASURES, *deltas)
 
@@ -244,17 +233,16 @@ query("f10_peer_deltas", PEER_SQL)(peer_deltas)
 
 
 def with_country_median(spark: SparkSession, sf: str, measures: tuple[str, ...]) -> DataFrame:
-    """Latest units with the country and region median of each measure attached."""
-    units = V.latest(V.unit(spark, sf))
-    med = D.area_medians(units, ["year"], ["region"], measures)
-    wide = med.groupBy("year", "level", "area").pivot("measure", list(measures)).agg(F.first("median"))
-    country = wide.where("level = 'country'").select(
-        "year", *[F.col(m).alias(f"{m}_it") for m in measures]
-    )
-    region = wide.where("level = 'region'").select(
-        "year", F.col("area").alias("region"), *[F.col(m).alias(f"{m}_reg") for m in measures]
-    )
-    return units.join(country, "year", "left").join(region, ["year", "region"], "left")
+    """Latest units with the country and region median of each measure attached.
+
+    The units are read by the medians and by the result, so the join behind them is cut.
+    """
+    units = cut(V.latest(V.unit(spark, sf)))
+    areas = D.medians_by_key(D.area_medians(units, ["year"], ["region"], measures), ["year"], measures)
+    return units.join(areas, "year", "left").withColumns({
+        **{f"{m}_it": D.median_of("country", F.lit("*"), m) for m in measures},
+        **{f"{m}_reg": D.median_of("region", F.col("region"), m) for m in measures},
+    }).drop("areas")
 
 
 WIDE = f"""{MEDIANS},

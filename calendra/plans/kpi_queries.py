@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calendra.functions.lineage import cut
-from calendra.functions.numbers import per_head_kg, round_to
+from calendra.functions.numbers import per_head_kg
 from calendra.functions.text import slug_unicode
 from calendra.operators import distribution as D
 from calendra.operators import kpi as K
@@ -143,30 +143,31 @@ def j04_warnings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cut(yearly_rows(spark, sf))
+    """Metrics of every year; the rows behind them are read by several branches and cut."""
+    rows = cut(yearly_rows(spark, sf, every_year=True))
     places = rows.select("id", "name", "region", "province", "year")
     costs = V.table(spark, sf, "customer").where("c_acctbal >= 0").select(
         F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("cost")
     )
-    return K.attach_costs(K.shared_metrics(rows).join(places, "id"), costs)
+    return K.attach_costs(K.shared_metrics(rows, ["year"]).join(places, ["year", "id"]), costs)
 
 
-@query("j05_attach_costs", f"WITH {METRICS} SELECT id, rd_pct, cost FROM met")
+@query("j05_attach_costs", f"WITH {METRICS_BY_YEAR} SELECT year, id, rd_pct, cost FROM met")
 def j05(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics(spark, sf).select("id", "rd_pct", "cost")
+    return metrics(spark, sf).select("year", "id", "rd_pct", "cost")
 
 
-UNITS = f"""{METRICS},
+UNITS = f"""{METRICS_BY_YEAR},
 mk AS (SELECT *, CASE WHEN group_n >= 2 THEN 'g:' || upper(replace(group_name, ' ', '')) ELSE 'm:' || id END AS unit_key FROM met),
-su AS (SELECT unit_key, arg_min(id, id) AS id, arg_min(region, id) AS region, arg_min(province, id) AS province, any_value(year) AS year,
+su AS (SELECT year, unit_key, arg_min(id, id) AS id, arg_min(region, id) AS region, arg_min(province, id) AS province,
   arg_min(CASE WHEN group_n >= 2 THEN group_pop ELSE pop END, id) AS pop, arg_min(rd_pct, id) AS rd_pct,
-  max(cost) FILTER (mk.id = first_id) AS cost, arg_min(kg_ru, id) AS kg_ru, arg_min(kg_ind, id) AS kg_ind
-  FROM (SELECT *, min(id) OVER (PARTITION BY unit_key) AS first_id FROM mk) mk GROUP BY 1)"""
+  max(cost) FILTER (mk.id = first_id) AS cost, arg_min(kg_ru, id) AS kg_ru, arg_min(kg_ind, id) AS kg_ind, arg_min(kg_rd, id) AS kg_rd
+  FROM (SELECT *, min(id) OVER (PARTITION BY year, unit_key) AS first_id FROM mk) mk GROUP BY 1, 2)"""
 
 
-@query("j06_statistical_units", f"WITH {UNITS} SELECT unit_key, id, pop, rd_pct, cost FROM su")
+@query("j06_statistical_units", f"WITH {UNITS} SELECT year, unit_key, id, pop, rd_pct, cost FROM su")
 def j06(spark: SparkSession, sf: str) -> DataFrame:
-    return K.statistical_units(metrics(spark, sf)).select("unit_key", "id", "pop", "rd_pct", "cost")
+    return K.statistical_units(metrics(spark, sf), ["year"]).select("year", "unit_key", "id", "pop", "rd_pct", "cost")
 
 
 def pop_label_sql(x: str) -> str:
@@ -192,7 +193,7 @@ clu AS (SELECT b.*, {r("median(rd_pct)", 2)} AS rd_median, count(rd_pct) AS rd_n
     f"WITH {CLUSTERS} SELECT * REPLACE (CAST(hi AS DOUBLE) AS hi) FROM clu",
 )
 def j07(spark: SparkSession, sf: str) -> DataFrame:
-    return K.population_clusters(K.statistical_units(cut(metrics(spark, sf))), ["year"]).withColumn(
+    return K.population_clusters(K.statistical_units(cut(metrics(spark, sf)), ["year"]), ["year"]).withColumn(
         "hi", F.col("hi").cast("double")
     )
 
@@ -205,12 +206,12 @@ asg AS (SELECT m.*, cluster, {r("m.rd_pct - rd_median", 2)} AS rd_vs_peers, {r("
 
 @query(
     "j08_assign_clusters",
-    f"WITH {ASSIGNED} SELECT id, cluster, rd_vs_peers, cost_vs_peers, peer_shown FROM asg",
+    f"WITH {ASSIGNED} SELECT year, id, cluster, rd_vs_peers, cost_vs_peers, peer_shown FROM asg",
 )
 def j08(spark: SparkSession, sf: str) -> DataFrame:
     m = cut(metrics(spark, sf))
-    return K.assign_clusters(m, K.statistical_units(m), ["year"]).select(
-        "id", "cluster", "rd_vs_peers", "cost_vs_peers", "peer_shown"
+    return K.assign_clusters(m, K.statistical_units(m, ["year"]), ["year"]).select(
+        "year", "id", "cluster", "rd_vs_peers", "cost_vs_peers", "peer_shown"
     )
 
 
@@ -263,68 +264,78 @@ def j10_subset(spark: SparkSession, sf: str) -> DataFrame:
     return K.with_calendar_only(records, calendars)
 
 
-def yearly_build(met: DataFrame, units: DataFrame) -> DataFrame:
-    """Served record per municipality: ranks and deltas against units, cluster and headline.
+def boroughs(met: DataFrame) -> DataFrame:
+    """Public ids of municipalities named after one of 400 boroughs; every fortieth is known."""
+    borough = F.concat(F.lit("Borgo "), F.col("id") % 400)
+    names = met.groupBy("id").agg(F.max("province").alias("province")).withColumn("name", borough)
+    known = names.where("id % 40 = 0").select("id", F.concat(F.lit("noto-"), "id").alias("public_id"))
+    return K.assign_ids(names, known).select("id", "public_id")
 
-    Both tables are read by several branches, so callers pass tables or checkpoints.
-    """
-    ranked = D.percentile_rank(met, units, ["year"], "rd_pct", "rd_pctile")
-    ranked = D.percentile_rank(ranked, units, ["year"], "kg_ru", "kg_pctile", digits=1, lookups=met)
-    ranked = D.percentile_rank(
-        ranked, units, ["year"], "kg_ind", "ind_better_pctile", digits=1, lower_is_better=True, lookups=met
-    )
-    ranked = K.assign_clusters(ranked, units, ["year"])
-    measures = ("rd_pct", "kg_ru", "kg_ind", "cost")
-    med = D.area_medians(units, ["year"], ["region", "province"], measures)
-    wide = med.groupBy("year", "level", "area").pivot("measure", list(measures)).agg(F.first("median"))
-
-    def side(level: str, key: str) -> DataFrame:
-        return wide.where(F.col("level") == level).select(
-            "year", F.col("area").alias(key), *[F.col(m).alias(f"{m}_{level}") for m in measures]
-        )
-
-    out = (
-        ranked.withColumn("country", F.lit("*"))
-        .join(side("country", "country"), ["year", "country"], "left")
-        .join(side("region", "region"), ["year", "region"], "left")
-    )
-    digits = {"rd_pct": 2, "kg_ru": 1, "kg_ind": 1, "cost": 1}
-    hook = D.headline(F.col("rd_pct"), F.col("rd_pctile"))
-    return out.select(
-        "id", "name", "province", "region", "year", "pop", *measures,
-        "rd_pctile", "kg_pctile", "ind_better_pctile",
-        round_to(F.col("rd_pct") - D.TARGET_PCT, 2).alias("gap_target"),
-        *[
-            round_to(F.col(m) - F.col(f"{m}_{lv}"), d).alias(f"{m}_vs_{lv}")
-            for m, d in digits.items()
-            for lv in ("country", "region")
-        ],
-        "cluster", "rd_vs_peers", "cost_vs_peers", "peer_shown",
-        hook["key"].alias("hook_key"), hook["text"].alias("hook_text"),
-    )
+
+def frame_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    met = cut(metrics(spark, sf))
+    edges, frame = K.yearly_frame(met, K.statistical_units(met, ["year"]), ["year"])
+    return met, edges, frame
+
+
+BASES = f"""{CLUSTERS},
+cu AS (SELECT su.*, cluster FROM su LEFT JOIN bands b ON su.year = b.year AND pop >= lo AND (hi IS NULL OR pop <= hi) AND rd_pct IS NOT NULL),
+lg AS ({' UNION ALL '.join(f"SELECT year, region, province, cluster, '{m}' AS measure, {m} AS value FROM cu WHERE {m} IS NOT NULL" for m in K.YEARLY_MEASURES)}),
+ar AS (SELECT year, 'country' AS level, '*' AS area, measure, value FROM lg
+  {' '.join(f"UNION ALL SELECT year, '{lv}', {lv}, measure, value FROM lg WHERE {lv} IS NOT NULL" for lv in K.LEVELS)}),
+base AS (SELECT year, level, area, measure, count(*) AS n, {r("CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*)", 2)} AS mean,
+  {r("median(value)", 2)} AS median, list_sort(list(value))[CAST(floor(0.1e0 * (count(*) - 1)) AS BIGINT) + 1] AS p10,
+  list_sort(list(value))[CAST(floor(0.9e0 * (count(*) - 1)) AS BIGINT) + 1] AS p90,
+  CASE WHEN measure = 'rd_pct' THEN {r("100e0 * count(*) FILTER (value >= 65) / count(*)", 1)} END AS share_ok FROM ar GROUP BY 1, 2, 3, 4)"""
 
 
-def rank_sql(v: str, op: str, digits: int) -> str:
+@query("j11_baselines", f"WITH {BASES} SELECT * FROM base")
+def j11_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    return K.baselines(frame_of(spark, sf)[2], ["year"])
+
+
+def rank_sql(v: str, op: str) -> str:
     return f"""(SELECT {r(f"100e0 * count(*) FILTER (s.{v} {op} a.{v}) / count(s.{v})", 1)} FROM su s WHERE s.year = a.year)"""
 
 
+def vs_sql(m: str, alias: str, digits: int) -> str:
+    return r(f"k.{m} - {alias}.{m}", digits)
+
+
+BUILD = f"""{BASES},
+wd AS (SELECT year, level, area, {', '.join(f"max(median) FILTER (measure = '{m}') AS {m}, max(n) FILTER (measure = '{m}') AS {m}_n" for m in K.YEARLY_MEASURES)}
+  FROM base GROUP BY 1, 2, 3),
+mc AS (SELECT m.*, cluster FROM met m LEFT JOIN bands b ON m.year = b.year AND (CASE WHEN m.group_n >= 2 THEN m.group_pop ELSE m.pop END) >= lo
+  AND (hi IS NULL OR (CASE WHEN m.group_n >= 2 THEN m.group_pop ELSE m.pop END) <= hi)),
+rk AS (SELECT a.*, {rank_sql('rd_pct', '<')} AS rd_pctile, {rank_sql('kg_ru', '<')} AS kg_pctile, {rank_sql('kg_ind', '>')} AS ind_better_pctile,
+  (SELECT count(s.rd_pct) FROM su s WHERE s.year = a.year) AS total, {r("rd_pct - 65e0", 1)} AS gap FROM mc a),
+rb AS (SELECT *, greatest(1, CAST(floor(total * (1 - rd_pctile / 100e0) + 0.5e0) AS BIGINT)) AS best FROM rk),
+sr AS (SELECT id, string_agg(year || ':' || printf('%.2f', rd_pct), ',' ORDER BY year) AS series,
+  {r("max(rd_pct) FILTER (year = 2000) - max(rd_pct) FILTER (year = 1998)", 2)} AS delta_pp FROM met GROUP BY 1),
+bo AS (SELECT DISTINCT id, 'borgo-' || id % 400 AS bs, replace(replace(lower(province), ' ', '-'), '_', '') AS pv FROM met),
+pe AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY bs) > 1 THEN bs || '-' || pv ELSE bs END AS cid FROM bo WHERE id % 40 <> 0),
+pu AS (SELECT id, CASE WHEN min(id) OVER (PARTITION BY cid) <> id THEN cid || '-' || right(CAST(id AS VARCHAR), 4) ELSE cid END AS public_id FROM pe
+  UNION ALL SELECT id, 'noto-' || id FROM bo WHERE id % 40 = 0)"""
+
+
 @query(
     "j11_yearly_build",
-    f"""WITH {ASSIGNED},
-    cm AS (SELECT year, {', '.join(f"{r(f'median({m})', 2)} AS {m}_c" for m in ('rd_pct', 'kg_ru', 'kg_ind', 'cost'))} FROM su GROUP BY 1),
-    rm AS (SELECT year, region, {', '.join(f"{r(f'median({m})', 2)} AS {m}_r" for m in ('rd_pct', 'kg_ru', 'kg_ind', 'cost'))} FROM su GROUP BY 1, 2),
-    rk AS (SELECT a.*, {rank_sql('rd_pct', '<', 2)} AS rd_pctile, {rank_sql('kg_ru', '<', 1)} AS kg_pctile, {rank_sql('kg_ind', '>', 1)} AS ind_better_pctile,
-      {r("rd_pct - 65e0", 1)} AS gap FROM asg a)
-    SELECT id, name, province, k.region, k.year, pop, rd_pct, kg_ru, kg_ind, cost, rd_pctile, kg_pctile, ind_better_pctile,
-      {r("rd_pct - 65e0", 2)} AS gap_target,
-      {', '.join(f"{r(f'{m} - {m}_c', d)} AS {m}_vs_country, {r(f'{m} - {m}_r', d)} AS {m}_vs_region" for m, d in (('rd_pct', 2), ('kg_ru', 1), ('kg_ind', 1), ('cost', 1)))},
-      cluster, rd_vs_peers, cost_vs_peers, peer_shown,
-      CASE WHEN rd_pctile >= 90 THEN 'top_pctile' WHEN rd_pct < 65 THEN 'below_target' ELSE 'target_met' END AS hook_key,
+    f"""WITH {BUILD}
+    SELECT k.id, public_id, name, k.province, k.region, k.year, k.pop, {', '.join(f'k.{m}' for m in K.YEARLY_MEASURES)}, rd_pctile, kg_pctile, ind_better_pctile,
+      CASE {' '.join(f"WHEN best <= {b} THEN 'top-{b}'" for b in D.RANK_BANDS)}
+        {' '.join(f"WHEN greatest(1, total - best + 1) <= {b} THEN 'last-{b}'" for b in D.RANK_BANDS)}
+        WHEN rd_pctile >= 50 THEN 'upper-half' ELSE 'lower-half' END AS rank_band,
+      {r("k.rd_pct - 65e0", 2)} AS gap_target,
+      {', '.join(f"{vs_sql(m, a, d)} AS {m}_vs_{lv}" for m, d in K.YEARLY_MEASURES.items() for a, lv in (('c', 'country'), ('g', 'region'), ('p', 'province')))},
+      k.cluster, {vs_sql('rd_pct', 'q', 2)} AS rd_vs_peers, {vs_sql('cost', 'q', 1)} AS cost_vs_peers, coalesce(q.rd_pct_n >= 30, false) AS peer_shown,
+      CASE WHEN rd_pctile >= 90 THEN 'top_pctile' WHEN k.rd_pct < 65 THEN 'below_target' ELSE 'target_met' END AS hook_key,
       CASE WHEN rd_pctile >= 90 THEN printf('Tra i migliori in Italia (meglio del %.0f%%)', floor(rd_pctile + 0.5e0))
-        WHEN rd_pct < 65 THEN printf('A -%.1f punti percentuali dall''obiettivo nazionale del 65%%', abs(gap))
-        ELSE printf('Obiettivo 65%% raggiunto · %+.1f punti percentuali', gap) END AS hook_text
-    FROM rk k JOIN cm ON k.year = cm.year JOIN rm ON k.year = rm.year AND k.region = rm.region""",
+        WHEN k.rd_pct < 65 THEN printf('A -%.1f punti percentuali dall''obiettivo nazionale del 65%%', abs(gap))
+        ELSE printf('Obiettivo 65%% raggiunto · %+.1f punti percentuali', gap) END AS hook_text, series, delta_pp
+    FROM rb k LEFT JOIN wd c ON c.year = k.year AND c.level = 'country' LEFT JOIN wd g ON g.year = k.year AND g.level = 'region' AND g.area = k.region
+      LEFT JOIN wd p ON p.year = k.year AND p.level = 'province' AND p.area = k.province
+      LEFT JOIN wd q ON q.year = k.year AND q.level = 'cluster' AND q.area = k.cluster JOIN sr ON sr.id = k.id JOIN pu ON pu.id = k.id""",
 )
 def j11(spark: SparkSession, sf: str) -> DataFrame:
-    met = cut(metrics(spark, sf))
-    return yearly_build(met, cut(K.statistical_units(met)))
+    met, edges, frame = frame_of(spark, sf)
+    return K.yearly_records(met, edges, cut(frame), boroughs(met), "year", 1998, 2000)
