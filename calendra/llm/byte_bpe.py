@@ -4,18 +4,20 @@ Distinct words (matches of the split pattern) are encoded by Spark's higher-orde
 an ``aggregate`` folds the merges over the array of a word's byte tokens, one merge a step,
 always the lowest rank and the leftmost of equals, looking ranks up in a literal map (hash
 buckets of token pairs). The words that stand in several texts of a bounded sample are
-folded first and become a dictionary that every Python worker holds. It writes the words it
-knows in place; the others of a text are folded once each where the text is, by the same
-expression, and put into the gaps. No row of a word is shuffled but for the sample's counts.
-Decoding concatenates the tokens' bytes.
+folded first and become a dictionary that every Python worker holds. It cuts a text before
+each run of blanks, where a word always begins, looks the pieces up in a bounded memory,
+splits those it has forgotten, and writes the words it knows; the others of a text are folded
+once each where the text is, by the same expression, and put into the gaps. No row of a word
+is shuffled but for the sample's counts. Decoding concatenates the tokens' bytes.
 
 The dictionary only saves work: its size and sample change no result.
 
 Cases: a null text counts as empty and has no tokens; words of over ``LONG_WORD`` bytes, whose
-fold would copy long arrays at each step, are merged with a heap; texts with code points that
-the JVM's tables do not know are split by a tokenizer library; equal texts give equal ids;
-an empty table gives an empty table; all columns of the input except ``ids`` and ``n_tokens``
-are kept as they are.
+fold would copy long arrays at each step, are merged with a heap; pieces
+outside ASCII are split by a tokenizer library, whose tables say what a letter is; equal texts
+give equal ids; an empty table gives an empty table; all columns of the input except ``ids``
+and ``n_tokens`` are kept as they are. The split pattern must begin a word at each run of
+blanks that follows another character, as those of public byte-level tokenizers do.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,12 +37,17 @@ from pyspark.sql import functions as F
 from calendra.llm.common import cut, ddl, without
 
 #: Words of the dictionary (about 250 bytes each in a worker), and texts of the sample they are taken from.
-DICTIONARY_SIZE = 1 << 19
+DICTIONARY_SIZE = 1 << 18
 SAMPLE = 1 << 16
 #: Bytes of a word from which it is merged with a heap; offsets of the fold have 12 bits.
 LONG_WORD = 500
-#: Texts that a worker takes out of a batch at once.
+#: Texts that a worker takes out of a batch at once, pieces that it remembers, and the longest of them.
 SLICE = 256
+REMEMBERED = 1 << 17
+LONGEST = 48
+#: A run of blanks (those of Unicode) and what follows up to the next one.
+BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+PIECE = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
 ID_MASK = (1 << 20) - 1
@@ -176,19 +184,13 @@ def _is_long(word: str) -> bool:
     return len(word) * 4 > LONG_WORD and len(word.encode()) > LONG_WORD
 
 
-def _splits(pattern: str) -> tuple[Column, Column]:
-    """The words of ``text``, and the text itself where the JVM's tables may split it wrongly."""
-    unknown = F.coalesce(F.col("text").rlike(r"\p{Cn}"), F.lit(False))
-    words = F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))
-    return F.when(~unknown, words), F.when(unknown, F.col("text"))
-
-
 def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> pa.Table:
     """word and hex ids of at most ``size`` words, those that stand in most texts of a sample."""
     total = docs.count()
     texts = docs.select("text")
     sampled = texts.sample(False, min(1.0, SAMPLE / total), seed=1) if total > SAMPLE else texts
-    words = sampled.select(F.explode(F.array_distinct(_splits(pattern)[0])).alias("word")).where(F.octet_length("word") <= LONG_WORD)
+    found = F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))
+    words = sampled.select(F.explode(F.array_distinct(found)).alias("word")).where(F.octet_length("word") <= LONG_WORD)
     counts = cut(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
     # the least number of texts that leaves no more words than wanted, from a histogram of these numbers
     least, room = 2, size
@@ -201,17 +203,64 @@ def frequent_words(docs: DataFrame, path: str, pattern: str, size: int) -> pa.Ta
     return frequent.select("word", _hex_ids(F.col("word"), path).alias("ids")).toArrow()
 
 
-_KNOWN: dict[int, dict[str, str]] = {}
+class Encoder:
+    """A worker's dictionary of words (hex ids), and its memory of pieces that it knows whole."""
 
+    def __init__(self, words: pa.Table, pattern: str, ranks: dict[bytes, int]) -> None:
+        import regex
+        from tokenizers import Regex, pre_tokenizers
 
-def _dictionary(sent) -> dict[str, str]:
-    """A worker's copy of a broadcast table of words, kept between tasks."""
-    key = hash(sent.value)
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        table = pa.ipc.open_stream(sent.value).read_all()
-        _KNOWN[key] = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
-    return _KNOWN[key]
+        self.words = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
+        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.careful = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        self.pieces: dict[str, str] = {}
+
+    def split(self, piece: str) -> list[str]:
+        return self.find(piece) if piece.isascii() else [word for word, _ in self.careful.pre_tokenize_str(piece)]
+
+    def encode(self, text: str | None) -> tuple[list[str], list[int | None], list[str]]:
+        """Hex ids between the gaps, the unknown word in each gap (none after the last), and the unknown words."""
+        gaps: dict[str, int] = {}
+        runs: list[str] = []
+        order: list[int | None] = []
+        run: list[str] = []
+        known, words = self.pieces.get, self.words
+        for piece in PIECE.findall(text or ""):
+            ids = known(piece)
+            if ids is not None:
+                run.append(ids)
+                continue
+            whole, before = True, len(run)
+            for word in self.split(piece):
+                ids = words.get(word)
+                if ids is None and _is_long(word):
+                    ids = _pack(heap_merges(word.encode(), self.ranks)).hex()
+                if ids is None:
+                    runs.append("".join(run))
+                    run = []
+                    order.append(gaps.setdefault(word, len(gaps)))
+                    whole = False
+                else:
+                    run.append(ids)
+            if whole and len(piece) <= LONGEST:
+                if len(self.pieces) >= REMEMBERED:
+                    self.pieces.clear()
+                self.pieces[piece] = "".join(run[before:])
+        runs.append("".join(run))
+        order.append(None)
+        return runs, order, list(gaps)
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(sent, pattern: str, ranks) -> Encoder:
+    """A worker's encoder of broadcast words and ranks, kept between tasks."""
+    key = hash((sent.value, pattern))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(pa.ipc.open_stream(sent.value).read_all(), pattern, ranks.value)
+    return _ENCODERS[key]
 
 
 def _stream(table: pa.Table) -> bytes:
@@ -229,48 +278,26 @@ def encode(
     ``path`` is a rank file, ``pattern`` the split pattern of the tokenizer, ``keep`` the
     columns to keep (all).
     """
-    docs = without(docs, "ids", "n_tokens", "_words", "_text", "_parts", "_places", "_missed")
+    docs = without(docs, "ids", "n_tokens", "_parts", "_places", "_missed")
     kept = [c for c in docs.columns if keep is None or c in keep]
     context = docs.sparkSession.sparkContext
     known = context.broadcast(_stream(frequent_words(docs, path, pattern, dictionary_size)))
     ranks = context.broadcast(read_ranks(path))
-    words, odd = _splits(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Regex, pre_tokenizers
-
-        dictionary, rank_of = _dictionary(known), ranks.value
-        careful = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        encoder = _encoder(known, pattern, ranks)
+        strings, numbers = pa.list_(pa.string()), pa.list_(pa.int32())
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                parts, places, missed = [], [], []
-                for words, text in zip(part.column("_words").to_pylist(), part.column("_text").to_pylist(), strict=True):
-                    if text is not None:
-                        words = [word for word, _ in careful.pre_tokenize_str(text)]
-                    gaps: dict[str, int] = {}
-                    runs, run_of, order = [], [], []
-                    for word in words or ():
-                        ids = dictionary.get(word)
-                        if ids is None and _is_long(word):
-                            ids = _pack(heap_merges(word.encode(), rank_of)).hex()
-                        if ids is None:
-                            runs.append("".join(run_of))
-                            run_of = []
-                            order.append(gaps.setdefault(word, len(gaps)))
-                        else:
-                            run_of.append(ids)
-                    runs.append("".join(run_of))
-                    parts.append(runs)
-                    places.append([*order, None])
-                    missed.append(list(gaps))
+                texts = [encoder.encode(text) for text in part.column("text").to_pylist()]
+                parts, places, missed = zip(*texts, strict=True)
                 yield _with(
-                    part.select(kept), _parts=pa.array(parts, pa.list_(pa.string())), _places=pa.array(places, pa.list_(pa.int32())),
-                    _missed=pa.array(missed, pa.list_(pa.string())),
+                    part.select(kept), _parts=pa.array(parts, strings), _places=pa.array(places, numbers), _missed=pa.array(missed, strings),
                 )
 
     schema = ddl(docs.select(*[F.col(f"`{c}`") for c in kept]))
-    gapped = docs.select(*[F.col(f"`{c}`") for c in kept], words.alias("_words"), odd.alias("_text")).mapInArrow(
+    gapped = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])]).mapInArrow(
         run, f"{schema + ', ' if schema else ''}_parts array<string>, _places array<int>, _missed array<string>"
     )
     folded = F.transform("_missed", lambda word: _hex_ids(word, path))

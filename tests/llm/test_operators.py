@@ -617,6 +617,21 @@ def test_bpe_of_odd_code_points(spark, bpe):
         assert np.frombuffer(r.ids, "<u4").tolist() == encoding.encode_ordinary(r.text)
 
 
+def test_bpe_pieces_split_like_whole_texts(bpe):
+    import pyarrow as pa
+    import random
+
+    path, encoding = bpe
+    draw = random.Random(8)
+    empty = pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.string())})
+    encoder = byte_bpe.Encoder(empty, public_tokenizers.PATTERN, byte_bpe.read_ranks(path))
+    parts = [" ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "a", "Bé", "'s", "'", "1", "٣", "!", "?!", "中", "\U0001F600", "\ufeff", "'ll"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(12)))
+        words = [word for piece in byte_bpe.PIECE.findall(text) for word in encoder.split(piece)]
+        assert [i for w in words for i in encoding._encode_single_piece(w)] == encoding.encode_ordinary(text), repr(text)
+
+
 def test_bpe_dictionary_is_bounded(spark, docs, bpe):
     path, encoding = bpe
     table = byte_bpe.frequent_words(docs, path, public_tokenizers.PATTERN, 300)
