@@ -15,7 +15,7 @@ from calendra.functions.numbers import round_to
 from calendra.operators.distribution import (
     at_index, distribution, half_even_index, median_agg,
 )
-from calendra.operators.scans import previous_row
+from calendra.operators.scans import numbered, previous_row
 
 # Bin numbers with initial and name.
 BINS = (
@@ -287,19 +287,25 @@ def without_streets(municipalities: DataFrame, streets: DataFrame) -> DataFrame:
     return municipalities.join(streets.select("comune").distinct(), "comune", "left_anti")
 
 
-def failure_digest(errors: DataFrame, samples: int = 5) -> DataFrame:
+#: Municipalities in one row of a digest.
+PLACES_A_ROW = 100
+
+
+def failure_digest(errors: DataFrame, samples: int = 5, places: int = PLACES_A_ROW) -> DataFrame:
     """Per failing calendar: error, streets, municipalities and the first samples.
 
-    Counts and the municipality list come from combined (calendar, municipality) rows;
-    samples are limited per calendar before they are shuffled.
+    The list of municipalities is cut into rows of at most ``places``, numbered by ``part``, so
+    that a calendar that fails in very many is many rows. Counts come from combined (calendar,
+    municipality) rows; samples are limited per calendar before they are shuffled.
     """
     per_place = errors.groupBy("calendar_id", "comune").agg(
         F.count(F.lit(1)).alias("n"), F.min("error").alias("error")
     )
-    head = per_place.groupBy("calendar_id").agg(
-        F.min("error").alias("error"),
-        F.sum("n").alias("streets"),
-        F.array_join(F.array_sort(F.collect_list("comune")), ", ").alias("places"),
+    head = per_place.groupBy("calendar_id").agg(F.min("error").alias("error"), F.sum("n").alias("streets"))
+    listed = (
+        numbered(per_place.where("comune IS NOT NULL").select("calendar_id", "comune"), ["calendar_id"], ["comune"])
+        .groupBy("calendar_id", F.floor((F.col("number") - 1) / places).alias("part"))
+        .agg(F.array_join(F.array_sort(F.collect_list("comune")), ", ").alias("places"))
     )
     label = F.concat_ws(" / ", "comune", "street")
     first = (
@@ -311,7 +317,7 @@ def failure_digest(errors: DataFrame, samples: int = 5) -> DataFrame:
         .groupBy("calendar_id")
         .agg(F.array_join(F.array_sort(F.collect_list("label")), "; ").alias("samples"))
     )
-    return head.join(first, "calendar_id")
+    return listed.join(head, "calendar_id").join(first, "calendar_id")
 
 
 def diff(expected: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -565,12 +565,12 @@ def is_zone_label(c: Column) -> Column:
     return F.trim(c).rlike(r"(?i)^zona\b")
 
 
-def streets_of_calendars(names: DataFrame, mapped: DataFrame, everything: DataFrame) -> DataFrame:
+def street_groups(names: DataFrame, mapped: DataFrame) -> DataFrame:
     """Streets per calendar: two or more real names, else mapped zone streets, else any real
-    name, else all zone streets of the municipality.
+    name, else the municipality as a whole.
 
-    ``names`` has comune, calendar and name; ``mapped`` calendar and name; ``everything``
-    comune and name.
+    ``names`` has comune, calendar and name; ``mapped`` calendar and name. A calendar of the
+    fourth tier is one row with its comune and no name; ``expanded_streets`` lists its names.
     """
     real = names.where(~is_zone_label(F.col("name")))
     cals = names.groupBy("comune", "calendar").agg(
@@ -586,11 +586,18 @@ def streets_of_calendars(names: DataFrame, mapped: DataFrame, everything: DataFr
     tiers = cals.join(has_map, "calendar", "left").select("comune", "calendar", tier.alias("tier"))
     own = tiers.where("tier IN (1, 3)").join(real.drop("comune"), "calendar")
     by_map = tiers.where("tier = 2").join(mapped, "calendar")
-    rest = tiers.where("tier = 4").join(everything, "comune")
-    cols = ["calendar", "tier", "name"]
+    rest = tiers.where("tier = 4").withColumn("name", F.lit(None).cast("string"))
+    cols = ["calendar", "tier", "comune", "name"]
     return own.select(*cols).unionByName(by_map.select(*cols)).unionByName(rest.select(*cols))
 
 
+def expanded_streets(groups: DataFrame, everything: DataFrame) -> DataFrame:
+    """Calendar, tier and name, with all of ``everything`` (comune and name) for whole municipalities."""
+    whole = F.col("tier") == 4
+    named = groups.where(~whole).select("calendar", "tier", "name")
+    return named.unionByName(groups.where(whole).drop("name").join(everything, "comune").select("calendar", "tier", "name"))
+
+
 def directory_label(name: Column, province: Column) -> Column:
     known = F.nullif(F.trim(F.coalesce(province, F.lit(""))), F.lit(""))
     return F.when(known.isNotNull(), F.concat(name, F.lit(" ("), known, F.lit(")"))).otherwise(name)

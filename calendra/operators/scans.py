@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from calendra.functions.lineage import cut
+
 
 def _rejoin(df: DataFrame, found: DataFrame, keys: Sequence[str], *cols: str) -> DataFrame:
     """Adds columns of one summary row a key and bucket; null keys and buckets meet as well."""
@@ -105,3 +107,24 @@ def gap_runs(
     starts = F.col("_p").isNull() | (F.col(axis) - F.col(f"_p.{axis}") > limit)
     flagged = stepped.withColumn("_start", starts.cast("int")).drop("_p")
     return running_sum(flagged, keys, order, {"_start": out}, bucket).drop("_start")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "number") -> DataFrame:
+    """Adds the place of each row (1, 2, ...) in its key's order, without a window over a key.
+
+    Rows are sorted by ranges of keys and order and written once; a key's rows in one range
+    are numbered by their place in the range, after those of the ranges before. Of a key only
+    one row a range meets in a window.
+    """
+    place = F.monotonically_increasing_id()
+    ordered = cut(
+        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn("_place", place).withColumn("_b", F.shiftright("_place", 33))
+    )
+    before = _ordered(keys, "_b").rowsBetween(W.unboundedPreceding, -1)
+    first = ordered.groupBy(*keys, "_b").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).select(
+        *keys, "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    return _rejoin(ordered, first, keys, "_first", "_before").withColumn(
+        out, F.col("_place") - F.col("_first") + 1 + F.col("_before")
+    ).drop("_b", "_place", "_first", "_before")

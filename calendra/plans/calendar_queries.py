@@ -282,13 +282,14 @@ def e15_places(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "e16_failure_digest",
     f"""WITH {ERRORS}, rk AS (SELECT *, comune || ' / ' || street AS label,
-      row_number() OVER (PARTITION BY calendar_id ORDER BY comune || ' / ' || street, street_id) AS rn FROM err)
-    SELECT calendar_id, min(error) AS error, count(*) AS streets,
-      array_to_string(list_sort(list(DISTINCT comune)), ', ') AS places,
-      string_agg(label, '; ' ORDER BY label) FILTER (rn <= 5) AS samples FROM rk GROUP BY 1""",
+      row_number() OVER (PARTITION BY calendar_id ORDER BY comune || ' / ' || street, street_id) AS rn FROM err),
+    hd AS (SELECT calendar_id, min(error) AS error, count(*) AS streets,
+      string_agg(label, '; ' ORDER BY label) FILTER (rn <= 5) AS samples FROM rk GROUP BY 1),
+    pl AS (SELECT calendar_id, comune, (row_number() OVER (PARTITION BY calendar_id ORDER BY comune) - 1) // 20 AS part FROM (SELECT DISTINCT calendar_id, comune FROM rk))
+    SELECT calendar_id, part, error, streets, string_agg(comune, ', ' ORDER BY comune) AS places, samples FROM pl JOIN hd USING (calendar_id) GROUP BY ALL""",
 )
 def e16(spark: SparkSession, sf: str) -> DataFrame:
-    return C.failure_digest(errors(spark, sf)).orderBy(F.col("streets").desc(), "calendar_id")
+    return C.failure_digest(errors(spark, sf), places=20).orderBy(F.col("streets").desc(), "calendar_id", "part")
 
 
 DIFF = f"""{CAL}, a AS (SELECT * FROM cal WHERE year(date) = 1998 AND bin <> 5),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calendra.functions.lineage import cut
 from calendra.functions.numbers import round_to
 from calendra.operators import distribution as D
+from calendra.operators import kpi as K
 from calendra.plans import views as V
 from calendra.plans.registry import query
 from calendra.plans.views import UNIT, r
@@ -416,17 +417,22 @@ mix AS (SELECT l_suppkey AS supplier, l_returnflag AS part, {r("100e0 * sum(l_qu
   FROM lineitem JOIN mixt ON l_suppkey = supplier WHERE l_returnflag <> 'R' GROUP BY 1, 2)"""
 
 
+def flag_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    """Yearly rows of suppliers: kept quantity as separate waste, its flags as parts; every ninth has no rate."""
+    kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))
+    sums = V.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(
+        F.sum("l_quantity").alias("ru_t"), F.sum(kept).alias("kept_t"),
+        *[F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity"))).alias(flag.lower()) for flag in ("A", "N")],
+    )
+    return sums.withColumn("rd_t", F.col("ru_t")).withColumn("rd_pct", F.when(F.col("supplier") % 9 != 0, F.lit(100.0) * F.col("kept_t") / F.col("ru_t")))
+
+
 def mix(spark: SparkSession, sf: str) -> DataFrame:
     """Shares of a supplier's quantity by flag; flag R is left for the residual."""
-    parts = V.table(spark, sf, "lineitem").groupBy(
-        F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("part")
-    ).agg(F.sum("l_quantity").alias("qty"))
-    total = parts.groupBy("supplier").agg(F.sum("qty").alias("total"))
-    share = round_to(F.lit(100.0) * F.col("qty") / F.nullif(F.col("total"), F.lit(0.0)), 2)
-    return (
-        parts.where("part <> 'R'")
-        .join(total, "supplier")
-        .select("supplier", "part", share.alias("share"))
+    rows = flag_quantities(spark, sf).withColumn("rd_pct", F.coalesce("rd_pct", F.lit(0.0)))
+    wide = K.waste(rows, ("a", "n"))
+    return D.unpivot_measures(wide, ["supplier"], ["mix_a", "mix_n"]).select(
+        "supplier", F.upper(F.substring("measure", 5, 1)).alias("part"), F.col("value").alias("share")
     )
 
 
@@ -435,6 +441,18 @@ def f18(spark: SparkSession, sf: str) -> DataFrame:
     return mix(spark, sf)
 
 
+@query(
+    "f18_waste_rows",
+    f"""WITH s AS (SELECT l_suppkey AS supplier, sum(l_quantity) AS t, sum(l_quantity) FILTER (l_returnflag <> 'R') AS k,
+      sum(l_quantity) FILTER (l_returnflag = 'A') AS a, sum(l_quantity) FILTER (l_returnflag = 'N') AS n FROM lineitem GROUP BY 1)
+    SELECT supplier, {r("100e0 * k / t", 2)} AS rd_pct, {r("100e0 * a / t", 2)} AS mix_a, {r("100e0 * n / t", 2)} AS mix_n
+    FROM s WHERE supplier % 9 <> 0 AND k IS NOT NULL""",
+)
+def f18_waste(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a rate are left out, as a municipality without separate collection."""
+    return K.waste(flag_quantities(spark, sf), ("a", "n")).select("supplier", "rd_pct", "mix_a", "mix_n")
+
+
 @query(
     "f19_mix_items",
     f"""WITH {MIX},

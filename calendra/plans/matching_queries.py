@@ -529,18 +529,17 @@ def g25(spark: SparkSession, sf: str) -> DataFrame:
     return M.resolve_by_prefix(who, options, aliases)
 
 
-@query(
-    "g26_streets_of_calendars",
-    """WITH nm AS (SELECT p_type AS comune, p_type || '-' || p_size AS calendar, CASE WHEN p_size % 2 = 1 AND p_partkey % 20 <> 0 THEN 'Zona ' || p_brand ELSE p_name END AS name FROM part),
+TIERS = """nm AS (SELECT p_type AS comune, p_type || '-' || p_size AS calendar, CASE WHEN p_size % 2 = 1 AND p_partkey % 20 <> 0 THEN 'Zona ' || p_brand ELSE p_name END AS name FROM part),
     mp AS (SELECT p_type || '-' || p_size AS calendar, 'via ' || p_name AS name FROM part WHERE p_size % 6 = 1),
     ev AS (SELECT DISTINCT p_type AS comune, 'all ' || p_name AS name FROM part),
     t AS (SELECT comune, calendar, count(*) FILTER (NOT starts_with(name, 'Zona')) AS k FROM nm GROUP BY 1, 2),
-    u AS (SELECT *, CAST(CASE WHEN k >= 2 THEN 1 WHEN calendar IN (SELECT calendar FROM mp) THEN 2 WHEN k >= 1 THEN 3 ELSE 4 END AS INTEGER) AS tier FROM t)
-    SELECT u.calendar, tier, name FROM u JOIN nm ON u.calendar = nm.calendar WHERE tier IN (1, 3) AND NOT starts_with(name, 'Zona')
-    UNION ALL SELECT u.calendar, tier, name FROM u JOIN mp USING (calendar) WHERE tier = 2
-    UNION ALL SELECT u.calendar, tier, name FROM u JOIN ev USING (comune) WHERE tier = 4""",
-)
-def g26(spark: SparkSession, sf: str) -> DataFrame:
+    u AS (SELECT *, CAST(CASE WHEN k >= 2 THEN 1 WHEN calendar IN (SELECT calendar FROM mp) THEN 2 WHEN k >= 1 THEN 3 ELSE 4 END AS INTEGER) AS tier FROM t),
+    gr AS (SELECT u.calendar, tier, u.comune, name FROM u JOIN nm ON u.calendar = nm.calendar WHERE tier IN (1, 3) AND NOT starts_with(name, 'Zona')
+      UNION ALL SELECT u.calendar, tier, u.comune, name FROM u JOIN mp USING (calendar) WHERE tier = 2
+      UNION ALL SELECT calendar, tier, comune, NULL FROM u WHERE tier = 4)"""
+
+
+def tiered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     part = V.table(spark, sf, "part")
     cal = F.concat_ws("-", "p_type", "p_size")
     zoned = (F.col("p_size") % 2 == 1) & (F.col("p_partkey") % 20 != 0)
@@ -554,7 +553,21 @@ def g26(spark: SparkSession, sf: str) -> DataFrame:
     everything = part.select(
         F.col("p_type").alias("comune"), F.concat(F.lit("all "), "p_name").alias("name")
     ).distinct()
-    return M.streets_of_calendars(names, mapped, everything)
+    return M.street_groups(names, mapped), everything
+
+
+@query("g26_street_groups", f"WITH {TIERS} SELECT calendar, tier, comune, name FROM gr")
+def g26_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return tiered(spark, sf)[0]
+
+
+@query(
+    "g26_streets_of_calendars",
+    f"""WITH {TIERS} SELECT calendar, tier, name FROM gr WHERE tier < 4
+    UNION ALL SELECT calendar, tier, ev.name FROM gr JOIN ev USING (comune) WHERE tier = 4""",
+)
+def g26(spark: SparkSession, sf: str) -> DataFrame:
+    return M.expanded_streets(*tiered(spark, sf))
 
 
 @query(

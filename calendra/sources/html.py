@@ -391,19 +391,21 @@ def tagged_rows(
     """State scan of lines: each start line with its continuation lines, under the last tag.
 
     ``tag`` is non-null on tag lines; ``is_start`` marks lines that open a row. Lines before
-    the first tag or before the first start of a text are dropped.
+    the first tag or before the first start of a text are dropped. A row is cut at the borders
+    of the buckets: its lines in each are one ``part``, so a row of any length is many rows.
     """
     cut = F.floor(F.col(pos) / bucket)
     marked = lines.withColumn("_tag", tag).withColumn(
         "_start", (is_start & F.col("_tag").isNull()).cast("int")
     )
     zoned = carry_last(marked, [doc], [pos], "_tag", cut, "zone")
-    numbered = running_sum(zoned.where("_tag IS NULL AND zone IS NOT NULL"), [doc], [pos], {"_start": "row_no"}, cut)
+    counted = running_sum(zoned.where("_tag IS NULL AND zone IS NOT NULL"), [doc], [pos], {"_start": "row_no"}, cut)
+    opened = carry_last(counted.withColumn("_own", F.when(F.col("_start") == 1, F.struct("zone", pos))), [doc], [pos], "_own", cut, "_row")
     texts = F.array_sort(F.collect_list(F.struct(pos, line)))
     return (
-        numbered.where("row_no > 0")
-        .groupBy(doc, "row_no")
-        .agg(F.min_by("zone", pos).alias("zone"), F.array_join(F.transform(texts, lambda t: t[line]), ", ").alias("text"))
+        opened.where("row_no > 0")
+        .groupBy(doc, "row_no", (cut - F.floor(F.col(f"_row.{pos}") / bucket)).alias("part"))
+        .agg(F.min("_row.zone").alias("zone"), F.array_join(F.transform(texts, lambda t: t[line]), ", ").alias("text"))
     )
 
 

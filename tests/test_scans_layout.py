@@ -94,3 +94,44 @@ def test_country_equals_weighted_base(spark):
     assert (country.pop, country.municipalities, country.with_rd, country.rd_pct) == (450, 4, 3, 65.0)
     south = [r for r in out if r.level == 1 and r.macro == "s"][0]
     assert south.rd_pct is None
+
+
+def test_numbered_over_many_ranges(spark):
+    from calendra.operators.scans import numbered
+
+    rows = [("hot", (i * 7919) % 30_000) for i in range(30_000)] + [(None, 5), (None, None), ("b", 1)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+        got = numbered(df, ["k"], ["v"])
+        assert got.columns == ["k", "v", "number"]
+        by_key = {}
+        for r in got.collect():
+            by_key.setdefault(r.k, []).append((r.number, r.v))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(by_key["hot"]) == [(i + 1, i) for i in range(30_000)]
+    assert sorted(by_key[None]) == [(1, None), (2, 5)] and by_key["b"] == [(1, 1)]
+
+
+def test_digest_of_a_hot_calendar_is_many_rows(spark):
+    from calendra.operators import calendars as C
+
+    ids = spark.range(100_000)
+    errors = ids.select(
+        F.lit("c").alias("calendar_id"), F.format_string("M%06d", "id").alias("comune"), F.lit("via").alias("street"), F.col("id").alias("street_id"),
+        F.lit("e").alias("error"),
+    )
+    rows = C.failure_digest(errors).select("part", "streets", F.size(F.split("places", ", ")).alias("n"), F.split("places", ", ")[0].alias("first")).collect()
+    assert len(rows) == 1000 and {r.n for r in rows} == {100} and {r.streets for r in rows} == {100_000}
+    assert all(r.first == f"M{r.part * 100:06d}" for r in rows)
+
+
+def test_a_long_row_of_lines_is_cut_into_parts(spark):
+    from calendra.sources import html as H
+
+    lines = spark.range(10_000).select(F.lit(1).alias("doc"), F.col("id").alias("pos"), F.col("id").cast("string").alias("line"))
+    out = H.tagged_rows(lines, "doc", "pos", "line", F.when(F.col("pos") == 0, "Z"), F.col("pos") == 5, bucket=100).collect()
+    assert sorted(r.part for r in out) == list(range(100)) and {r.zone for r in out} == {"Z"} and {r.row_no for r in out} == {1}
+    texts = {r.part: r.text.split(", ") for r in out}
+    assert [int(x) for p in range(100) for x in texts[p]] == list(range(5, 10_000))
