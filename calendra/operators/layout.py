@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from calendra.operators.scans import carry_last, gap_runs, previous_row
+from calendra.operators.scans import gap_runs, previous_row, rejoin
 
 # Colour limits, row overlap, strip and bucket sizes, yields and grid presets.
 COLOUR_LIMITS = {"loose": 0.12, "tight": 0.08}
@@ -34,13 +35,15 @@ def neighbours(
 ) -> DataFrame:
     """Marks with structs ``before`` and ``after``: the anchors around them on one axis.
 
-    An anchor at the mark's own position counts as before. ``mark_id`` orders equal marks.
+    An anchor at the mark's own position counts as before; of equal anchors the lowest
+    payload is met. ``mark_id`` orders equal marks. Both directions are windows over one sort
+    of the buckets, and one pass over their first and last anchors carries across buckets.
     """
     keys = list(keys)
     anchor = F.struct(F.col(axis).cast("double").alias("at"), F.col(payload).alias("value"))
     a = anchors.select(
         *keys, F.col(axis).cast("double").alias("_x"), F.lit(0).alias("_kind"),
-        F.col(payload).cast("bigint").alias("_tie"), anchor.alias("_anchor"),
+        (-F.col(payload).cast("bigint")).alias("_tie"), anchor.alias("_anchor"),
         F.lit(None).cast(marks.select(F.struct("*")).schema[0].dataType).alias("_mark"),
     )
     m = marks.select(
@@ -48,16 +51,80 @@ def neighbours(
         F.col(mark_id).cast("bigint").alias("_tie"),
         F.lit(None).cast(a.schema["_anchor"].dataType).alias("_anchor"), F.struct("*").alias("_mark"),
     )
-    # Equal anchors: the lowest payload is met last from below and first from above.
-    merged = a.unionByName(m).withColumn("_tie", F.when(F.col("_kind") == 0, -F.col("_tie")).otherwise(F.col("_tie")))
-    up = F.floor(F.col("_x") / bucket_width)
-    seen = carry_last(merged, keys, ["_x", "_kind", "_tie"], "_anchor", up, "before")
-    back = seen.withColumns({"_nx": -F.col("_x"), "_nk": F.col("_kind")})
-    both = carry_last(back, keys, ["_nx", "_nk", "_tie"], "_anchor", -up, "after")
-    # Going down, anchors at the mark's own position also come first, so "after" includes them.
+    merged = a.unionByName(m).withColumn("_b", F.floor(F.col("_x") / bucket_width))
+    by_key = W.partitionBy(*keys).orderBy("_b")
+    is_anchor = F.col("_kind") == 0
+    last_at = F.when(is_anchor, F.struct("_x", "_tie"))
+    first_at = F.when(is_anchor, F.struct("_x", -F.col("_tie")))
+    carried = merged.groupBy(*keys, "_b").agg(
+        F.max_by("_anchor", last_at).alias("_last"), F.min_by("_anchor", first_at).alias("_first")
+    ).select(
+        *keys, "_b",
+        F.last("_last", ignorenulls=True).over(by_key.rowsBetween(W.unboundedPreceding, -1)).alias("_below"),
+        F.first("_first", ignorenulls=True).over(by_key.rowsBetween(1, W.unboundedFollowing)).alias("_above"),
+    )
+    inside = W.partitionBy(*keys, "_b").orderBy("_x", "_kind", "_tie")
+    # the last of equal anchors has the lowest payload
+    follows = F.struct(F.lead("_kind").over(inside).alias("kind"), F.lead("_x").over(inside).alias("x"))
+    lowest = is_anchor & ~F.coalesce((follows["kind"] == 0) & (follows["x"] == F.col("_x")), F.lit(False))
+    both = rejoin(merged.withColumn("_lowest", F.when(lowest, F.col("_anchor"))), carried, keys, "_below", "_above").withColumns({
+        "before": F.coalesce(F.last("_anchor", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_below")),
+        "after": F.coalesce(F.first("_lowest", ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing)), F.col("_above")),
+    })
     return both.where("_kind = 1").select("_mark.*", "before", "after")
 
 
+def nearest_in_reach(
+    marks: DataFrame, anchors: DataFrame, keys: Sequence[str], axis: str, payload: str, reach: float, out: str = "anchor",
+) -> DataFrame:
+    """Each mark's closest anchor on one axis within ``reach``; the lower one wins a tie.
+
+    Anchors go to every bucket of the reach's width that they reach into, so that a mark finds
+    them in its own bucket: one exchange, and nothing is carried across buckets.
+    """
+    keys = list(keys)
+    at, value = F.col(axis).cast("double"), F.col(payload)
+    low, high = (F.floor((at + d) / reach) for d in (-reach, reach))
+    a = anchors.where(at.isNotNull()).select(
+        *keys, F.struct(at.alias("at"), value.alias("value")).alias("_anchor"), F.explode(F.sequence(low, high)).alias("_b"), F.lit(0).alias("_kind"), at.alias("_x"),
+        (-value.cast("bigint")).alias("_tie"), F.lit(None).cast(marks.select(F.struct("*")).schema[0].dataType).alias("_mark"),
+    )
+    m = marks.where(at.isNotNull()).select(
+        *keys, F.lit(None).cast(a.schema["_anchor"].dataType).alias("_anchor"), F.floor(at / reach).alias("_b"), F.lit(1).alias("_kind"), at.alias("_x"),
+        F.lit(None).cast("bigint").alias("_tie"), F.struct("*").alias("_mark"),
+    )
+    inside = W.partitionBy(*keys, "_b").orderBy("_x", "_kind", "_tie")
+    follows = F.struct(F.lead("_kind").over(inside).alias("kind"), F.lead("_x").over(inside).alias("x"))
+    lowest = (F.col("_kind") == 0) & ~F.coalesce((follows["kind"] == 0) & (follows["x"] == F.col("_x")), F.lit(False))
+    around = a.unionByName(m).withColumn("_lowest", F.when(lowest, F.col("_anchor"))).withColumns({
+        "_below": F.last("_anchor", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)),
+        "_above": F.first("_lowest", ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing)),
+    })
+    down, up = F.col("_x") - F.col("_below.at"), F.col("_above.at") - F.col("_x")
+    best = F.when(F.col("_below").isNotNull() & (F.col("_above").isNull() | (down <= up)), F.col("_below")).otherwise(F.col("_above"))
+    return around.where("_kind = 1").withColumn("_best", best).select(
+        "_mark.*", F.col("_best.value").alias(out), F.abs(F.col("_x") - F.col("_best.at")).alias("dist")
+    ).where(F.col("dist") <= reach)
+
+
+def nearest_of_few(
+    marks: DataFrame, anchors: DataFrame, keys: Sequence[str], axis: str, payload: str, reach: float | None = None, out: str = "anchor",
+) -> DataFrame:
+    """Each mark's closest anchor where a key has a handful of them (columns or rows of a page).
+
+    They become one small array a key, so marks are read once and joined by key alone; the
+    lower anchor wins a tie, then the lowest payload.
+    """
+    keys = list(keys)
+    few = anchors.where(F.col(axis).isNotNull()).groupBy(*keys).agg(
+        F.collect_set(F.struct(F.col(axis).cast("double").alias("at"), F.col(payload).alias("value"))).alias("_few")
+    )
+    ways = F.transform("_few", lambda x: F.struct(F.abs(F.col(axis) - x["at"]).alias("d"), x["at"].alias("at"), x["value"].alias("value")))
+    met = marks.where(F.col(axis).isNotNull()).join(few, keys).withColumn("_best", F.array_min(ways)).drop("_few")
+    met = met.withColumns({out: F.col("_best.value"), "dist": F.col("_best.d")}).drop("_best")
+    return met if reach is None else met.where(F.col("dist") <= reach)
+
+
 def nearest(
     marks: DataFrame, anchors: DataFrame, keys: Sequence[str], axis: str, payload: str,
     mark_id: str, max_dist: float | None, bucket_width: float, out: str = "anchor",
@@ -66,6 +133,8 @@ def nearest(
 
     With ``max_dist`` marks without an anchor in reach are dropped.
     """
+    if max_dist is not None:
+        return nearest_in_reach(marks, anchors, keys, axis, payload, max_dist, out)
     around = neighbours(marks, anchors, keys, axis, payload, bucket_width, mark_id)
     down = F.col(axis) - F.col("before.at")
     up = F.col("after.at") - F.col(axis)
@@ -74,8 +143,6 @@ def nearest(
     matched = around.withColumn("_b", best).where("_b IS NOT NULL").withColumns(
         {out: F.col("_b.value"), "dist": F.abs(F.col(axis) - F.col("_b.at"))}
     )
-    if max_dist is not None:
-        matched = matched.where(F.col("dist") <= max_dist)
     return matched.drop("_b", "before", "after")
 
 
@@ -104,10 +171,9 @@ def in_rows(
     marks: DataFrame, headers: DataFrame, keys: Sequence[str], axis: str, payload: str,
     mark_id: str, bucket_width: float,
 ) -> DataFrame:
-    """Marks inside a header's interval, found as-of and then checked against its end."""
-    rows = row_intervals(headers, keys, axis, bucket_width)
-    around = neighbours(marks, rows, keys, axis, payload, bucket_width, mark_id)
-    inside = F.col("after").isNull() | (F.col("after.at") == F.col(axis)) | (
+    """Marks inside a header's interval, found as-of and then checked against the next header."""
+    around = neighbours(marks, headers, keys, axis, payload, bucket_width, mark_id)
+    inside = F.col("after").isNull() | (F.col("before.at") == F.col(axis)) | (
         F.col(axis) < F.col("after.at") - ROW_OVERLAP
     )
     return around.where(F.col("before").isNotNull() & inside).withColumn(
@@ -219,7 +285,7 @@ def valid_days(df: DataFrame, year: Column, month: Column, day: Column) -> DataF
 
 def month_grid(
     marks: DataFrame, months: DataFrame, days: DataFrame, keys: Sequence[str], year: int,
-    mark_id: str, reach: float = MARK_REACH, bucket_width: float = 200.0,
+    reach: float = MARK_REACH,
 ) -> DataFrame:
     """Coloured marks to dated bins: nearest month column, nearest day row, largest mark.
 
@@ -227,8 +293,8 @@ def month_grid(
     columns at the midpoints of neighbours is the same as taking the nearest month.
     """
     keys = list(keys)
-    columned = nearest(marks, months, keys, "x", "month", mark_id, None, bucket_width, "month").drop("dist")
-    rowed = nearest(columned, days, [*keys, "month"], "y", "day", mark_id, reach, bucket_width, "day").drop("dist")
+    columned = nearest_of_few(marks, months, keys, "x", "month", None, "month").drop("dist")
+    rowed = nearest_of_few(columned, days, [*keys, "month"], "y", "day", reach, "day").drop("dist")
     best = rowed.groupBy(*keys, "month", "day", "bin").agg(F.max("area").alias("area"))
     return valid_days(best, F.lit(year), F.col("month"), F.col("day")).select(*keys, "date", "bin", "area")
 
@@ -289,13 +355,11 @@ def letters_of_days(letters: DataFrame, days: DataFrame, keys: Sequence[str], ye
     return dated.select(*keys, "date", "bin").distinct()
 
 
-def icon_grid(
-    icons: DataFrame, columns: DataFrame, rows: DataFrame, keys: Sequence[str], icon_id: str, bucket_width: float = 200.0
-) -> DataFrame:
+def icon_grid(icons: DataFrame, columns: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Icons to (weekday, bin): nearest weekday column and nearest bin row within reach."""
     keys = list(keys)
-    c = nearest(icons, columns, keys, "x", "weekday", icon_id, ICON_COLUMN, bucket_width, "weekday").drop("dist")
-    r = nearest(c, rows, keys, "y", "bin", icon_id, ICON_ROW, bucket_width, "bin").drop("dist")
+    c = nearest_of_few(icons, columns, keys, "x", "weekday", ICON_COLUMN, "weekday").drop("dist")
+    r = nearest_of_few(c, rows, keys, "y", "bin", ICON_ROW, "bin").drop("dist")
     return r.select(*keys, "weekday", "bin").distinct()
 
 

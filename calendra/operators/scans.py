@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from calendra.functions.lineage import cut
 
 
-def _rejoin(df: DataFrame, found: DataFrame, keys: Sequence[str], *cols: str) -> DataFrame:
+def rejoin(df: DataFrame, found: DataFrame, keys: Sequence[str], *cols: str) -> DataFrame:
     """Adds columns of one summary row a key and bucket; null keys and buckets meet as well."""
     by = [*keys, "_b"]
     found = found.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(by)], *cols)
@@ -47,7 +47,7 @@ def previous_row(
     )
     inside = F.lag(payload).over(_ordered([*keys, "_b"], *order))
     return (
-        _rejoin(df, carried, keys, "_carried")
+        rejoin(df, carried, keys, "_carried")
         .withColumn(out, F.coalesce(inside, F.col("_carried")))
         .drop("_b", "_carried")
     )
@@ -71,7 +71,7 @@ def carry_last(
     upto = _ordered([*keys, "_b"], *order).rowsBetween(W.unboundedPreceding, 0)
     inside = F.last(value, ignorenulls=True).over(upto)
     return (
-        _rejoin(df, carried, keys, "_carried")
+        rejoin(df, carried, keys, "_carried")
         .withColumn(out, F.coalesce(inside, F.col("_carried")))
         .drop("_b", "_carried")
     )
@@ -91,7 +91,7 @@ def running_sum(
         *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in values.values()],
     )
     upto = _ordered([*keys, "_b"], *order).rowsBetween(W.unboundedPreceding, 0)
-    out = _rejoin(df, offsets, keys, *[f"_o_{o}" for o in values.values()])
+    out = rejoin(df, offsets, keys, *[f"_o_{o}" for o in values.values()])
     for v, o in values.items():
         out = out.withColumn(o, F.sum(v).over(upto) + F.col(f"_o_{o}"))
     return out.drop("_b", *[f"_o_{o}" for o in values.values()])
@@ -101,12 +101,36 @@ def gap_runs(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], axis: str, gap: Column | float,
     bucket: Column, out: str = "run",
 ) -> DataFrame:
-    """Numbers the runs of a key: a new run starts when ``axis`` jumps by more than ``gap``."""
+    """Numbers the runs of a key: a new run starts when ``axis`` jumps by more than ``gap``.
+
+    A bucket's summary is its first and last position and the starts inside it, so one pass
+    over the summaries tells where its first row starts a run and how many came before.
+    """
+    keys, order = list(keys), list(order)
+    inside = _ordered([*keys, "_b"], *order)
+    at = F.struct(*order)
     limit = gap if isinstance(gap, Column) else F.lit(gap)
-    stepped = previous_row(df, keys, order, [axis], bucket, "_p")
-    starts = F.col("_p").isNull() | (F.col(axis) - F.col(f"_p.{axis}") > limit)
-    flagged = stepped.withColumn("_start", starts.cast("int")).drop("_p")
-    return running_sum(flagged, keys, order, {"_start": out}, bucket).drop("_start")
+    stepped = df.withColumn("_b", bucket).withColumn("_gap", limit).withColumn(
+        "_start", (F.col(axis) - F.lag(axis).over(inside) > F.col("_gap")).cast("int")
+    )
+    by_key = _ordered(keys, "_b")
+    before = by_key.rowsBetween(W.unboundedPreceding, -1)
+    borders = (
+        stepped.groupBy(*keys, "_b")
+        .agg(
+            F.min_by(axis, at).alias("_first"), F.min_by("_gap", at).alias("_limit"), F.max_by(axis, at).alias("_last"),
+            F.coalesce(F.sum("_start"), F.lit(0)).alias("_inner"),
+        )
+        .withColumn("_prev", F.lag("_last").over(by_key))
+        .withColumn("_opens", (F.col("_prev").isNull() | (F.col("_first") - F.col("_prev") > F.col("_limit"))).cast("int"))
+        .withColumn("_before", F.coalesce(F.sum(F.col("_inner") + F.col("_opens")).over(before), F.lit(0)) + F.col("_opens"))
+    )
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    return (
+        rejoin(stepped, borders, keys, "_before")
+        .withColumn(out, F.col("_before") + F.coalesce(F.sum("_start").over(upto), F.lit(0)))
+        .drop("_b", "_gap", "_start", "_before")
+    )
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "number") -> DataFrame:
@@ -125,6 +149,6 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     first = ordered.groupBy(*keys, "_b").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).select(
         *keys, "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    return _rejoin(ordered, first, keys, "_first", "_before").withColumn(
+    return rejoin(ordered, first, keys, "_first", "_before").withColumn(
         out, F.col("_place") - F.col("_first") + 1 + F.col("_before")
     ).drop("_b", "_place", "_first", "_before")

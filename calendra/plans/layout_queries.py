@@ -180,7 +180,7 @@ n AS (SELECT *, least(12, greatest(1, CAST(ceil(x / 100e0 - 0.5e0) AS INTEGER)))
     WHERE abs(y - day * 20e0) <= 20 AND day <= day(last_day(make_date(2026, month, 1))) GROUP BY ALL""",
 )
 def c07(spark: SparkSession, sf: str) -> DataFrame:
-    return L.month_grid(grid_marks(spark, sf), *grid_axes(spark, sf), ["page"], 2026, "id")
+    return L.month_grid(grid_marks(spark, sf), *grid_axes(spark, sf), ["page"], 2026)
 
 
 @query(
@@ -221,7 +221,7 @@ def c07_icons(spark: SparkSession, sf: str) -> DataFrame:
     pages = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"))
     cols = pages.select("page", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday")).withColumn("x", F.col("weekday") * 100.0)
     rows = pages.select("page", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("bin")).withColumn("y", F.col("bin") * 100.0)
-    return L.icon_grid(icons, cols, rows, ["page"], "id")
+    return L.icon_grid(icons, cols, rows, ["page"])
 
 
 def icon_x() -> Column:

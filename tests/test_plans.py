@@ -35,3 +35,17 @@ def test_group_limits_run_before_the_shuffle(spark, name):
 def test_scans_read_only_the_needed_columns(spark):
     text = plan(spark, "g18_count_votes")
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in text
+
+
+@pytest.mark.parametrize("name, scans, exchanges", [
+    ("c01_nearest_anchor", 2, 1), ("c02_row_intervals", 4, 3), ("c03_last_header_above", 4, 3), ("c04_token_runs", 2, 3),
+    ("c07_month_grid", 6, 6), ("c07_icon_grid", 6, 6),
+])
+def test_ordered_merges_read_their_input_once_or_twice(spark, name, scans, exchanges):
+    text = plan(spark, name)
+    assert text.count("FileScan") <= scans and text.count("Exchange hash") <= exchanges
+
+
+def test_yearly_build_shares_one_frame(spark):
+    assert plan(spark, "j11_yearly_build").count("Exchange hash") <= 45
+    assert plan(spark, "f11_percent_vs_median").count("Scan ") <= 10

@@ -135,3 +135,38 @@ def test_a_long_row_of_lines_is_cut_into_parts(spark):
     assert sorted(r.part for r in out) == list(range(100)) and {r.zone for r in out} == {"Z"} and {r.row_no for r in out} == {1}
     texts = {r.part: r.text.split(", ") for r in out}
     assert [int(x) for p in range(100) for x in texts[p]] == list(range(5, 10_000))
+
+
+def around(marks, anchors):
+    """Brute force: the anchor at or before and the one at or after, the lowest payload of equal ones."""
+    out = {}
+    for _, i, x in marks:
+        below = max(((a, -v) for _, v, a in anchors if a <= x), default=None)
+        above = min(((a, v) for _, v, a in anchors if a > x), default=None)
+        out[i] = (below and (below[0], -below[1]), above)
+    return out
+
+
+def test_neighbours_in_both_directions_over_many_buckets(spark):
+    rng = random.Random(9)
+    marks = [("p", i, float(rng.randint(0, 900))) for i in range(200)] + [("q", 900, 5.0)]
+    anchors = [("p", i, float(rng.choice([10, 10, 300, 301, 650, rng.randint(0, 900)]))) for i in range(60)]
+    m = spark.createDataFrame(marks, "page string, id bigint, x double")
+    a = spark.createDataFrame(anchors, "page string, val bigint, x double")
+    got = {r.id: (tuple(r.before) if r.before else None, tuple(r.after) if r.after else None)
+           for r in L.neighbours(m, a, ["page"], "x", "val", 7.0, "id").collect()}
+    want = around([t for t in marks if t[0] == "p"], anchors)
+    assert {i: v for i, v in got.items() if i != 900} == want and got[900] == (None, None)
+
+
+def test_nearest_of_few_and_in_reach_agree(spark):
+    rng = random.Random(10)
+    marks = spark.createDataFrame([(f"p{i % 3}", i, rng.uniform(-50, 500)) for i in range(400)] + [("p0", 1000, None)], "page string, id bigint, x double")
+    anchors = spark.createDataFrame([(f"p{i % 3}", i, float(rng.randint(-40, 480))) for i in range(30)] + [("p0", 77, None)], "page string, val bigint, x double")
+    few = L.nearest_of_few(marks, anchors, ["page"], "x", "val", 9.0)
+    reach = L.nearest_in_reach(marks, anchors, ["page"], "x", "val", 9.0)
+    rows = sorted((r.id, r.anchor, round(r.dist, 9)) for r in few.collect())
+    assert rows and rows == sorted((r.id, r.anchor, round(r.dist, 9)) for r in reach.collect())
+    everywhere = {r.id: r.anchor for r in L.nearest_of_few(marks, anchors, ["page"], "x", "val").collect()}
+    unlimited = {r.id: r.anchor for r in L.nearest(marks.where("x IS NOT NULL"), anchors.where("x IS NOT NULL"), ["page"], "x", "val", "id", None, 20.0).collect()}
+    assert everywhere == unlimited
