@@ -61,7 +61,7 @@ def quality_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bpe(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"]), path)
+    return byte_bpe.decode(cut(byte_bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])), path)
 
 
 @_register("op10_byte_bpe")
