@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calendra.operators import layout as L
+from calendra.operators import page_grid as G
 from calendra.plans import views as V
 from calendra.plans.registry import query
 
@@ -253,6 +254,84 @@ def c07_labels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+MONTH_NAMES = ("GENNAIO", "FEBBRAIO", "MARZO", "APRILE", "MAGGIO", "GIUGNO", "LUGLIO", "AGOSTO", "SETTEMBRE", "OTTOBRE", "NOVEMBRE", "DICEMBRE")
+PAGE_BINS = {"organico": 0, "carta": 1, "vetro": 5}
+# A header per month, three in a row; a year left of each row and one right of it, nearer to the third month.
+PAGE_SQL = """it AS (SELECT l_suppkey AS page, CAST(month(l_shipdate) AS INTEGER) AS m, CAST(day(l_shipdate) AS INTEGER) AS d, l_linenumber AS k FROM lineitem),
+dy AS (SELECT DISTINCT page, m, d FROM it),
+lb AS (SELECT DISTINCT page, m, d, [0, 1, 5][k % 4 + 1] AS bin FROM it WHERE k % 4 < 3),
+ph AS (SELECT dy.*, CASE WHEN EXISTS (SELECT 1 FROM lb WHERE lb.page = dy.page AND lb.m = dy.m AND lb.d = dy.d) THEN d ELSE d - 1 END AS ld FROM dy)"""
+
+
+def page_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Words of a page per supplier: headers in four rows, days seven units apart, labels two
+    and three units below their day. Every fourth line has a day and no label."""
+    items = V.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("page"), F.month("l_shipdate").alias("m"), F.dayofmonth("l_shipdate").alias("d"), F.col("l_linenumber").alias("k")
+    ).distinct()
+    pages = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.lit(480.0).alias("width"), F.lit(1500.0).alias("height"))
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("text")) for i, n in enumerate(MONTH_NAMES)])
+    row, left = F.floor(F.col("i") / 3), 100.0 + (F.col("i") % 3) * 120.0
+    heads = pages.select("page", F.inline(names)).select("page", F.col("i").alias("seq"), left.alias("x"), (60.0 + row * 300.0).alias("y"), "text")
+    sides = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(x).alias("x"), F.lit(y).alias("year")) for r in range(4) for x, y in ((50.0, 2024 + r), (590.0, 2031))])
+    years = pages.select("page", F.inline(sides)).select(
+        "page", (100 + F.col("r") * 2 + (F.col("x") > 100).cast("int")).alias("seq"), "x", (65.0 + F.col("r") * 300.0).alias("y"), F.col("year").cast("string").alias("text")
+    )
+    i = F.col("m") - 1
+    hx, hy = 100.0 + (i % 3) * 120.0, 60.0 + F.floor(i / 3) * 300.0
+    down = hy + 20.0 + F.col("d") * 7.0
+    at = 1000 + F.col("m") * 10_000 + F.col("d") * 100 + F.col("k")
+    days = items.select("page", at.alias("seq"), (hx - 10.0).alias("x"), down.alias("y"), F.col("d").cast("string").alias("text"))
+    word = F.try_element_at(F.array(F.lit("Organico"), F.lit("carta"), F.lit("VETRO")), (F.col("k") % 4 + 1).cast("int"))
+    labels = items.where("k % 4 < 3").select(
+        "page", (at + 50).alias("seq"), (hx + 20.0 + F.col("k")).alias("x"), (down + F.when(F.col("k") % 4 == 2, 3.0).otherwise(2.0)).alias("y"), word.alias("text")
+    )
+    every = [df.withColumn("seq", F.col("seq").cast("bigint")) for df in (heads, years, days, labels)]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]), pages
+
+
+def page_bins(text: Column) -> Column:
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(word)), F.lit(bin_no)) for word, bin_no in PAGE_BINS.items()]))
+
+
+@query(
+    "c07_header_rows",
+    f"""WITH {PAGE_SQL}, x AS (SELECT ph.*, bin, CASE WHEN (ph.m - 1) % 3 = 2 THEN 2031 ELSE 2024 + (ph.m - 1) // 3 END AS year FROM ph JOIN lb ON lb.page = ph.page AND lb.m = ph.m AND lb.d = ld)
+    SELECT DISTINCT page, make_date(year, m, d) AS date, bin FROM x WHERE d <= day(last_day(make_date(year, m, 1)))""",
+)
+def c07_headers(spark: SparkSession, sf: str) -> DataFrame:
+    words, pages = page_words(spark, sf)
+    months = {name: i + 1 for i, name in enumerate(MONTH_NAMES)}
+    return G.page_entries(words, pages, months, ("LUN", "MAR", "MER", "GIO", "VEN", "SAB", "DOM"), page_bins)
+
+
+@query(
+    "c07_chips",
+    """WITH it AS (SELECT l_suppkey AS page, CAST(month(l_shipdate) AS INTEGER) AS month, CAST(day(l_shipdate) AS INTEGER) AS day, l_linenumber AS k, l_partkey % 3 AS o, l_quantity AS area FROM lineitem),
+    a AS (SELECT DISTINCT page, month, day FROM it),
+    f AS (SELECT page, month, day + CASE WHEN o = 2 THEN 1 ELSE 0 END AS day, CAST(k % 5 AS INTEGER) AS bin, area FROM it WHERE k < 7)
+    SELECT page, month, day, bin, max(area) AS area FROM f JOIN a USING (page, month, day) GROUP BY ALL""",
+)
+def c07_chips(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers a hundred units apart by month and twenty by day; fills right of them or, on the
+    pages of odd suppliers, below them; every third fill lies nearer to the next day."""
+    items = V.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("page"), F.month("l_shipdate").alias("month"), F.dayofmonth("l_shipdate").alias("day"),
+        F.col("l_linenumber").alias("k"), (F.col("l_partkey") % 3).alias("o"), F.col("l_quantity").alias("area"),
+    )
+    landscape = F.col("page") % 2 == 0
+    along, across = F.col("month") * 100.0, F.col("day") * 20.0
+
+    def at(df: DataFrame, a: Column, b: Column) -> DataFrame:
+        return df.withColumns({"x": F.when(landscape, a).otherwise(b), "y": F.when(landscape, b).otherwise(a)})
+
+    anchors = at(items.select("page", "month", "day").distinct(), along, across)
+    fills = at(items, along + 10.0 + F.col("k") * 7.0, across + F.col("o") * 6.0).select("page", "x", "y", (F.col("k") % 5).cast("int").alias("bin"), "area")
+    pages = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), (F.col("s_suppkey") % 2 == 0).alias("landscape"))
+    return G.chips_of_days(anchors, fills, pages)
+
+
 @query(
     "c08_page_carry",
     """WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN md5(text) END AS own FROM conversations)
