@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calendra.functions.text import collapse
+from calendra.functions.text import collapse, slug_unicode
+from calendra.operators import matching as M
 
 # The overlay bin and the guards of the overlay driver.
 SWEEP_BIN = 6
@@ -175,3 +178,52 @@ def failed_sources(sources: DataFrame, entries: DataFrame) -> DataFrame:
     return sources.join(entries.select("slug").distinct(), "slug", "left_anti").withColumn(
         "error", F.lit("no entries")
     )
+
+
+def zone_import(
+    schedules: DataFrame, options: DataFrame, entries: DataFrame, index: DataFrame, rules: Sequence[tuple[str, str]], comune: str,
+    bin_no: int = SWEEP_BIN,
+) -> dict[str, DataFrame]:
+    """Import of dated zones as one flow: zone calendars, union calendars, collection calendars.
+
+    ``schedules`` has key (number), zone and date; ``options`` option_id, street and zone (of
+    several parts); ``rules`` are ordered needles of zone names with the collection calendar
+    they belong to. One relation of option and key (``zone_keys``) decides everything:
+
+    * ``entries``: every zone becomes a calendar, every distinct list of two or more zones of
+      a street a calendar of their union; collection calendars that exist get their zones'
+      dates in place of the category; all other entries stay.
+    * ``index``: streets with their calendar and zones with theirs in place of the rows
+      generated before.
+    * ``report``: streets by whether a calendar was found.
+
+    Generated calendars are replaced as a whole, so a second run changes nothing.
+    """
+    prefix = F.lit(f"calendars/{comune}{GENERATED}")
+    zones = schedules.select("key", "zone").distinct()
+    names = zones.select("key", "zone", M.fold_zone(F.col("zone")).alias("n"), slug_unicode(F.col("zone")).alias("slug"))
+    zone_keys = M.resolve_zone_keys(options.select("option_id", "zone"), names.select("n", "key"))
+    # a street has a handful of zones, in the order of its parts
+    listed = (
+        zone_keys.join(names.select("key", "slug"), "key").groupBy("option_id")
+        .agg(F.array_sort(F.collect_set(F.struct("pos", "key", "slug"))).alias("own"))
+        .select("option_id", F.transform("own", lambda z: z["key"]).alias("keys"), F.array_join(F.transform("own", lambda z: z["slug"]), "-").alias("slug"))
+        .withColumn("calendar", F.concat(prefix, "slug"))
+    )
+    dates = schedules.where("date IS NOT NULL").select("key", "date").distinct()
+    sweep = F.lit(bin_no).alias("bin")
+    of_zone = names.select("key", F.concat(prefix, "slug").alias("calendar_id"))
+    of_list = listed.where(F.size("keys") > 1).select(F.col("calendar").alias("calendar_id"), F.explode("keys").alias("key")).distinct()
+    generated = of_zone.unionByName(of_list.select("key", "calendar_id")).join(dates, "key").select("calendar_id", "date", sweep).distinct()
+
+    collected = names.select("key", M.ordered_needles(F.col("n"), rules).alias("calendar_id")).where("calendar_id IS NOT NULL")
+    known = entries.select("calendar_id").distinct()
+    overlay = collected.join(known, "calendar_id", "left_semi").join(dates, "key").select("calendar_id", "date")
+    others = entries.join(generated.select("calendar_id").distinct(), "calendar_id", "left_anti")
+    after = replace_category(others, overlay, bin_no).unionByName(generated.select(*ENTRY)).distinct()
+
+    place = F.lit(comune).alias("comune")
+    of_streets = options.join(listed, "option_id").select(place, F.col("street").alias("name"), "calendar")
+    of_zones = names.select(place, F.concat(F.lit("Zona "), "zone").alias("name"), F.concat(prefix, "slug").alias("calendar"))
+    report = options.join(listed, "option_id", "left").groupBy(F.col("calendar").isNotNull().alias("found")).agg(F.count("*").alias("streets"))
+    return {"entries": after, "index": replace_generated(index, of_streets.unionByName(of_zones)), "report": report}

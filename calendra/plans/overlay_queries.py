@@ -104,6 +104,66 @@ def h03_union(spark: SparkSession, sf: str) -> DataFrame:
     return O.composite_entries(O.composite_ids(keys, "spa-"), dates)
 
 
+# Zones are part names with the ship dates of their lowest part; a street has two of them or one.
+ZONE_RULES = (("HOT GEAR", "calendars/x-gear"), ("HOT", "calendars/x-hot"), ("BOLT", "calendars/x-none"))
+IMPORT = """zn AS (SELECT p_name AS zone, min(p_partkey) AS key, replace(p_name, ' ', '-') AS slug, upper(p_name) AS n FROM part GROUP BY 1),
+zdt AS (SELECT DISTINCT key, CAST(l_shipdate AS DATE) AS date FROM zn JOIN lineitem ON l_partkey = key WHERE year(l_shipdate) = 1996),
+op AS (SELECT p_partkey AS id, upper(p_name) AS a, CASE WHEN p_size % 3 > 0 THEN (SELECT upper(z.zone) FROM zn z WHERE z.key = (SELECT min(key) FROM zn)) END AS b, p_size % 11 = 0 AS lost FROM part),
+pt AS (SELECT id, 0 AS pos, a AS n FROM op WHERE NOT lost UNION ALL SELECT id, 1, b FROM op WHERE NOT lost AND b IS NOT NULL AND b <> a),
+zk AS (SELECT id, pos, key, slug FROM pt JOIN zn USING (n)),
+ls AS (SELECT id, 'calendars/x-spa-' || string_agg(slug, '-' ORDER BY pos) AS calendar, count(*) AS k FROM zk GROUP BY 1),
+ge AS (SELECT 'calendars/x-spa-' || slug AS calendar_id, date FROM zn JOIN zdt USING (key)
+  UNION SELECT calendar, date FROM ls JOIN zk USING (id) JOIN zdt USING (key) WHERE k > 1),
+old AS (SELECT DISTINCT ['calendars/x-gear', 'calendars/x-hot', 'calendars/x-other', 'calendars/x-spa-hot-gear'][o_custkey % 4 + 1] AS calendar_id,
+  CAST(o_orderdate AS DATE) AS date, CAST(1 + o_custkey % 6 AS INTEGER) AS bin FROM orders),
+ov AS (SELECT CASE WHEN contains(n, 'HOT GEAR') THEN 'calendars/x-gear' ELSE 'calendars/x-hot' END AS calendar_id, date FROM zn JOIN zdt USING (key) WHERE contains(n, 'HOT')),
+af AS (SELECT calendar_id, date, bin FROM old WHERE calendar_id NOT IN (SELECT calendar_id FROM ge) AND (bin <> 6 OR calendar_id NOT IN (SELECT calendar_id FROM ov))
+  UNION SELECT calendar_id, date, 6 FROM ov UNION SELECT calendar_id, date, 6 FROM ge)"""
+
+
+def imported(spark: SparkSession, sf: str, twice: bool = False) -> dict[str, DataFrame]:
+    part = V.table(spark, sf, "part")
+    zones = part.groupBy(F.col("p_name").alias("zone")).agg(F.min("p_partkey").alias("key"))
+    ships = V.table(spark, sf, "lineitem").where((F.col("l_shipdate") >= "1996-01-01") & (F.col("l_shipdate") < "1997-01-01"))
+    schedules = cut(zones.join(ships.select(F.col("l_partkey").alias("key"), F.to_date("l_shipdate").alias("date")).distinct(), "key", "left"))
+    common = F.lit(zones.agg(F.min_by("zone", "key")).first()[0])
+    both = F.when((F.col("p_size") % 3 > 0) & (common != F.col("p_name")), F.concat_ws(", ", "p_name", common)).otherwise(F.col("p_name"))
+    options = part.select(
+        F.col("p_partkey").alias("option_id"), F.concat(F.lit("Via "), "p_partkey").alias("street"),
+        F.when(F.col("p_size") % 11 != 0, both).otherwise(F.lit("?")).alias("zone"),
+    )
+    ids = F.array(*[F.lit(f"calendars/x-{name}") for name in ("gear", "hot", "other", "spa-hot-gear")])
+    k = F.col("o_custkey")
+    entries = V.table(spark, sf, "orders").select(
+        F.get(ids, (k % 4).cast("int")).alias("calendar_id"), F.to_date("o_orderdate").alias("date"), (1 + k % 6).cast("int").alias("bin")
+    ).distinct()
+    index = part.where("p_size = 7").select(F.lit("x").alias("comune"), F.col("p_brand").alias("name"), F.concat(F.lit("calendars/x"), F.when(F.col("p_partkey") % 2 == 0, "-spa-old").otherwise("-b")).alias("calendar"))
+    out = O.zone_import(schedules, options, entries, index, ZONE_RULES, "x")
+    if twice:
+        out = O.zone_import(schedules, options, cut(out["entries"]), cut(out["index"]), ZONE_RULES, "x")
+    return out
+
+
+@query("h03_zone_import", f"WITH {IMPORT} SELECT calendar_id, date, CAST(bin AS INTEGER) AS bin FROM af")
+def h03_import(spark: SparkSession, sf: str) -> DataFrame:
+    return imported(spark, sf)["entries"]
+
+
+@query("h03_zone_import_again", f"WITH {IMPORT} SELECT calendar_id, date, CAST(bin AS INTEGER) AS bin FROM af")
+def h03_import_again(spark: SparkSession, sf: str) -> DataFrame:
+    """The same import over its own result."""
+    return imported(spark, sf, twice=True)["entries"]
+
+
+@query(
+    "h03_zone_index",
+    f"""WITH {IMPORT} SELECT DISTINCT 'x' AS comune, p_brand AS name, 'calendars/x-b' AS calendar FROM part WHERE p_size = 7 AND p_partkey % 2 = 1
+    UNION SELECT 'x', 'Via ' || id, calendar FROM ls UNION SELECT 'x', 'Zona ' || zone, 'calendars/x-spa-' || slug FROM zn""",
+)
+def h03_index(spark: SparkSession, sf: str) -> DataFrame:
+    return imported(spark, sf)["index"]
+
+
 BASES = f"""{SETS}, {CAL_N},
 st AS (SELECT c_custkey AS street, 'n' || c_nationkey AS base, 1 AS sp FROM customer
   UNION ALL SELECT c_custkey, 'n' || c_nationkey || '-p2', 2 FROM customer WHERE c_mktsegment = 'BUILDING'),
