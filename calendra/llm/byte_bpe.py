@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from calendra.llm.common import cut, ddl, without
 
 #: Words of the dictionary (about 250 bytes each in a worker), and texts of the sample they are taken from.
-DICTIONARY_SIZE = 1 << 18
+DICTIONARY_SIZE = 1 << 17
 SAMPLE = 1 << 16
 #: Bytes of a word from which it is merged with a heap; offsets of the fold have 12 bits.
 LONG_WORD = 500
 #: Texts that a worker takes out of a batch at once, pieces that it remembers, and the longest of them.
 SLICE = 128
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 15
 LONGEST = 48
 #: A run of blanks (those of Unicode) and what follows up to the next one.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
