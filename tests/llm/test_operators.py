@@ -670,3 +670,24 @@ def test_pipeline_stages(spark, docs, bpe):
     for r in last:
         assert np.frombuffer(r.ids, "<u4").tolist() == bpe[1].encode_ordinary(before[r.doc_id])
         assert r.decoded_sha256 == hashlib.sha256(before[r.doc_id].encode()).hexdigest()
+
+
+def test_pipeline_stages_take_odd_rows(spark, docs, odd, none, bpe):
+    import corpus_pipeline as pipeline
+
+    frame = clash(docs.limit(40).unionByName(odd).unionByName(odd), "kept", "spans", "copies", "size", "ids", "component_id")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, frame, SF)
+        rows = out.collect()
+        if name != "byte_bpe":
+            assert out.columns == docs.columns
+            assert stage(spark, none, SF).count() == 0
+        if name == "secret_scan":
+            assert len(rows) == frame.count() and sum(r.text is None for r in rows) == 2
+        if name == "jaccard_join":
+            wordless = [r for r in rows if not words(r.text)]
+            assert len(rows) < frame.count() and wordless
+        if name == "byte_bpe":
+            assert len(rows) == frame.count()
+            texts = Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in frame.collect())
+            assert Counter((r.doc_id, r.decoded_sha256) for r in rows) == texts
