@@ -11,11 +11,15 @@ text has ``MIN_BYTES`` bytes in UTF-8 (classes) or ``MIN_WORDS`` words (words).
 The base rules reject texts of under ``BASE_WORDS`` words, and texts in which more than 30 %
 of the words stand in an 8-word window that occurs twice or more in the text.
 
-Cases: a null text is an empty one (no words: rejected by the base rules); a null language,
-a language with under ``REFERENCE_WORDS`` words and languages beyond the ``LANGUAGES`` with
-the most words are compared with the reference of all languages together, which bounds what
-is broadcast; ties among common words go by code point; repeated rows get equal verdicts; an
-empty table gives an empty one; columns of the input that are written anew are replaced.
+Every language has its reference, however many there are: those of the ``LANGUAGES`` with the
+most words are broadcast, documents of the others meet theirs in a join. This bounds what is
+broadcast and changes no verdict.
+
+Cases: a null text is an empty one (no words: rejected by the base rules); a null language
+and a language with under ``REFERENCE_WORDS`` words are compared with the reference of all
+languages together; ties among common words go by code point; repeated rows get equal
+verdicts; an empty table gives an empty one; columns of the input that are written anew are
+replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +39,10 @@ from calendra.llm.common import cut, ddl, without
 BASE_WORDS = 20
 WINDOW = 8
 COMMON_WORDS = 64
+#: Languages whose references are broadcast; a plan limit only.
 LANGUAGES = 1024
+#: Parts of a language's words that are limited before they meet.
+PARTS = 64
 REFERENCE_WORDS = 1000
 MIN_WORDS = 50
 MIN_BYTES = 300
@@ -177,44 +184,72 @@ class References:
         return by_class, by_word
 
 
-def references(docs: DataFrame) -> list[dict]:
-    """Rows for ``References``. At most (LANGUAGES + 1) x (COMMON_WORDS + classes) rows reach the driver."""
+def references(docs: DataFrame) -> DataFrame:
+    """One row a language (null: all together): ``lang``, its ``total`` words and ``rows``.
+
+    ``rows`` has (kind, key, n) of the classes and of the common words, most frequent first.
+    """
     by_lang = cut(histograms(docs))
-    langs = (
-        by_lang.filter("kind = 1 AND lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total"))
-        .filter(F.col("total") >= REFERENCE_WORDS).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
-    )
-    named = by_lang.join(langs, "lang").select("lang", "kind", "key", "n")
+    langs = by_lang.filter("kind = 1 AND lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= REFERENCE_WORDS)
+    named = by_lang.join(langs.select("lang"), "lang").select("lang", "kind", "key", "n")
     pooled = by_lang.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "key", "n")
     both = named.unionByName(pooled)
     totals = both.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
-    top = ranked.filter(F.col("rank") <= COMMON_WORDS).alias("t").join(
-        totals.alias("s"), F.col("t.lang").eqNullSafe(F.col("s.lang")), "left"
-    ).select("t.lang", "kind", "key", "n", "rank", "total").orderBy("lang", "kind", "rank")
-    return [row.asDict() for row in top.collect()]
+    order = [F.desc("n"), F.asc("key")]
+    parts = both.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    few = parts.withColumn("_rank", F.row_number().over(W.partitionBy("lang", "kind", "_part").orderBy(*order))).filter(F.col("_rank") <= COMMON_WORDS)
+    ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("lang", "kind").orderBy(*order)))
+    top = ranked.filter(F.col("rank") <= COMMON_WORDS).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("kind", "rank", "key", "n"))).alias("rows"))
+    return cut(top.alias("t").join(totals.alias("s"), F.col("t.lang").eqNullSafe(F.col("s.lang")), "left").select("t.lang", "s.total", "t.rows"))
+
 
+def _as_rows(refs: list[dict]) -> list[dict]:
+    """Rows for ``References``."""
+    return [{"lang": r["lang"], "kind": x["kind"], "key": x["key"], "n": x["n"], "total": r["total"]} for r in refs for x in r["rows"]]
 
-def judge(docs: DataFrame, *, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+
+def judge(
+    docs: DataFrame, *, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, languages: int = LANGUAGES,
+) -> DataFrame:
     """Adds the measures, ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``."""
     added = (*MEASURES, "class_distance", "word_distance", "base_failed", "kept")
-    docs = without(docs, *added)
-    known = docs.sparkSession.sparkContext.broadcast(references(docs))
+    docs = without(docs, *added, "_total", "_rows")
+    refs = references(docs)
+    named = refs.filter("lang IS NOT NULL").orderBy(F.desc("total"), "lang")
+    first = [r.asDict(recursive=True) for r in named.limit(languages).collect()]
+    all_together = [r.asDict(recursive=True) for r in refs.filter("lang IS NULL").collect()]
+    known = docs.sparkSession.sparkContext.broadcast(_as_rows(first + all_together))
+    kinds = ", ".join(f"{m} bigint" for m in MEASURES)
+    schema = f"{ddl(docs)}, {kinds}, class_distance double, word_distance double, base_failed boolean, kept boolean"
+
+    def verdict(refs: References, lang, text) -> tuple:
+        found, raw, _ = measures(text)
+        bad = failed(found[0], found[4])
+        by_class, by_word = refs.distances(lang if isinstance(lang, str) else None, raw, found[0])
+        return (*found, by_class, by_word, bad, not bad and (by_class or 0) <= class_limit and (by_word or 0) <= word_limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refs = References(known.value)
+        for batch in batches:
+            rows = [verdict(refs, lang, text) for lang, text in zip(batch["lang"], batch["text"])]
+            yield pd.concat([batch, pd.DataFrame(rows, columns=added, index=batch.index)], axis=1)
+
+    def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        refs, of = None, None
         for batch in batches:
             rows = []
-            for lang, text in zip(batch["lang"], batch["text"]):
-                found, raw, _ = measures(text)
-                bad = failed(found[0], found[4])
-                by_class, by_word = refs.distances(lang if isinstance(lang, str) else None, raw, found[0])
-                kept = not bad and (by_class or 0) <= class_limit and (by_word or 0) <= word_limit
-                rows.append((*found, by_class, by_word, bad, kept))
+            for lang, text, total, own in zip(batch["lang"], batch["text"], batch["_total"], batch["_rows"]):
+                if refs is None or of != lang:
+                    refs, of = References(_as_rows([{"lang": lang, "total": int(total), "rows": own}])), lang
+                rows.append(verdict(refs, lang, text))
             new = pd.DataFrame(rows, columns=added, index=batch.index)
-            yield pd.concat([batch, new], axis=1)
+            yield pd.concat([batch.drop(columns=["_total", "_rows"]), new], axis=1)
 
-    kinds = ", ".join(f"{m} bigint" for m in MEASURES)
-    return docs.mapInPandas(
-        run, f"{ddl(docs)}, {kinds}, class_distance double, word_distance double, base_failed boolean, kept boolean"
+    if len(first) < languages:
+        return docs.mapInPandas(run, schema)
+    others = refs.filter("lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.col("total").alias("_total"), F.col("rows").alias("_rows")).filter(
+        ~F.col("_lang").isin([r["lang"] for r in first])
     )
+    beyond = docs.join(others, F.col("lang") == F.col("_lang")).drop("_lang").mapInPandas(run_joined, schema)
+    usual = docs.join(others.select("_lang"), F.col("lang") == F.col("_lang"), "left_anti").mapInPandas(run, schema)
+    return usual.unionByName(beyond)

@@ -123,6 +123,51 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
 
 
+def plain_references(rows):
+    """Sums of classes and of the 64 most frequent words by language, and of all together (None)."""
+    shapes, counts = defaultdict(Counter), defaultdict(Counter)
+    for lang, text in rows:
+        own = words(text)
+        repeats = quality.repeated_words([w.encode() for w in own])
+        if len(own) < 20 or 100 * repeats > 30 * len(own):
+            continue
+        for to in {lang, None}:
+            shapes[to].update({i: n for i, n in enumerate(quality.classes(text.encode()).tolist()) if n})
+            counts[to].update(w.encode().lower() for w in own)
+    return shapes, counts
+
+
+def plain_distance(p, q):
+    keys = set(p) | set(q)
+    sp, sq = sum(p.values()), sum(q.values())
+    terms = 0.0
+    for k in keys:
+        a, b = p.get(k, 0) / sp, q.get(k, 0) / sq
+        m = (a + b) / 2
+        terms += (a * math.log2(a / m) if a else 0) + (b * math.log2(b / m) if b else 0)
+    return math.sqrt(max(0.0, terms / 2))
+
+
+@pytest.mark.parametrize("languages", [1024, 1, 2])
+def test_quality_distances_equal_a_plain_version(spark, docs, odd, languages):
+    # many languages: some with few words, and more than are broadcast
+    named = docs.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("l"), F.col("doc_id"))).otherwise(F.col("lang"))).unionByName(odd)
+    rows = quality.judge(named, languages=languages).collect()
+    shapes, counts = plain_references([(r.lang, r.text) for r in rows])
+    assert len(rows) == named.count()
+    for r in rows:
+        raw = (r.text or "").encode()
+        lang = r.lang if r.lang is not None and sum(counts[r.lang].values()) >= quality.REFERENCE_WORDS else None
+        top = dict(sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:64])
+        own = Counter(w if w in top else None for w in raw.lower().split())
+        rest = sum(counts[lang].values()) - sum(top.values())
+        by_word = plain_distance(own, {**top, None: rest}) if r.n_words >= 50 else None
+        by_class = plain_distance({i: n for i, n in enumerate(quality.classes(raw).tolist()) if n}, shapes[lang]) if len(raw) >= 300 else None
+        assert r.class_distance == (None if by_class is None else pytest.approx(by_class, abs=1e-6))
+        assert r.word_distance == (None if by_word is None else pytest.approx(by_word, abs=1e-6))
+        assert r.kept == (not r.base_failed and (by_class or 0) <= quality.CLASS_LIMIT and (by_word or 0) <= quality.WORD_LIMIT)
+
+
 def test_quality_odd_rows(odd, none):
     rows = quality.judge(clash(odd, "kept", "n_words")).collect()
     assert len(rows) == len(ODD) and not any(r.kept for r in rows if not r.text)
