@@ -199,6 +199,11 @@ def token_runs(
     return gap_runs(tokens, list(keys), [y, tie], y, gap, F.floor(F.col(y) / bucket_width), out)
 
 
+#: Before the first position of a run, and buckets that are chained at once.
+NOWHERE = -1e300
+CHAINED = 256
+
+
 def token_clusters(
     tokens: DataFrame, keys: Sequence[str], y: str, tie: str, bucket_width: float,
     gap: float = TOKEN_GAP, out: str = "cluster_y",
@@ -206,21 +211,59 @@ def token_clusters(
     """Tokens with the position of their cluster's first token, all within ``gap`` of it.
 
     A gap above the limit always starts a cluster, so only the inside of a run needs an
-    ordered fold; it goes over the run's distinct positions, one small array a run.
+    ordered fold. A bucket of positions is a function from the last start before it to its own
+    last start; as a run has no wider gap, its first start lies within two gaps of its first
+    position, so a short list of (first start, last start) is the whole function. The lists of
+    ``CHAINED`` buckets make one list, those of a run give the start that each comes after,
+    and this goes back down to the buckets, which list their starts. A run of any length is
+    many rows; what one row holds is a bucket's positions or ``CHAINED`` short lists.
     """
     keys = list(keys)
-    inside = token_runs(tokens, keys, y, tie, bucket_width, gap, "_run")
-
-    def grown(starts: Column, at: Column) -> Column:
-        new = (F.size(starts) == 0) | (at - F.element_at(starts, -1) > gap)
-        return F.when(new, F.concat(starts, F.array(at))).otherwise(starts)
-
-    spots = F.array_sort(F.collect_set(F.col(y).cast("double")))
-    starts = inside.groupBy(*keys, "_run").agg(spots.alias("_spots")).select(
-        *keys, "_run", F.aggregate("_spots", F.array().cast("array<double>"), grown).alias("_starts")
-    )
-    first = F.array_max(F.filter("_starts", lambda s: s <= F.col(y)))
-    return inside.join(starts, [*keys, "_run"]).withColumn(out, first).drop("_run", "_starts")
+    width = max(bucket_width, 2 * gap)
+    run = [*keys, "_run"]
+    inside = token_runs(tokens, keys, y, tie, bucket_width, gap, "_run").withColumn("_b", F.floor(F.col(y).cast("double") / width))
+    spots = inside.where(F.col(y).isNotNull()).groupBy(*run, "_b").agg(F.array_sort(F.collect_set(F.col(y).cast("double"))).alias("_ps"))
+
+    def last_start(positions: Column, before: Column) -> Column:
+        return F.aggregate(positions, before, lambda last, p: F.when(p > last + gap, p).otherwise(last))
+
+    def applied(ways: Column, last: Column) -> Column:
+        return F.coalesce(F.get(F.filter(ways, lambda way: way["first"] > last + gap), 0)["last"], last)
+
+    def entering(rows: Column, number: str, before: Column) -> Column:
+        """Each row's number with the last start before it; ``rows`` are (number, ways), in order."""
+        state = F.struct(before.alias("last"), F.array().cast(f"array<struct<{number}: bigint, came: double>>").alias("done"))
+
+        def step(acc: Column, row: Column) -> Column:
+            came = F.struct(row[number].alias(number), acc["last"].alias("came"))
+            return F.struct(applied(row["ways"], acc["last"]).alias("last"), F.concat(acc["done"], F.array(came)).alias("done"))
+
+        return F.aggregate(rows, state, step)["done"]
+
+    def ways_from(starts: Column) -> Column:
+        """The ways that the first start may be: those within two gaps of the first position."""
+        return F.filter(starts, lambda way: way["first"] < F.get(starts, 0)["first"] + 2 * gap)
+
+    own = F.transform("_ps", lambda p: F.struct(p.alias("first"), last_start(F.col("_ps"), p).alias("last"), F.col("_b").alias("at")))
+    buckets = spots.select(*run, "_b", F.floor(F.col("_b") / CHAINED).alias("_s"), ways_from(own).alias("ways"))
+    supers = buckets.groupBy(*run, "_s").agg(F.array_sort(F.collect_list(F.struct("_b", "ways"))).alias("_subs"))
+    firsts = F.flatten(F.transform(F.slice("_subs", 1, 2), lambda sub: sub["ways"]))
+
+    def chained(way: Column) -> Column:
+        later = F.filter("_subs", lambda sub: sub["_b"] > way["at"])
+        return F.struct(way["first"].alias("first"), F.aggregate(later, way["last"], lambda last, sub: applied(sub["ways"], last)).alias("last"))
+
+    linked = supers.select(*run, "_s", F.transform(ways_from(firsts), chained).alias("ways"))
+    heads = linked.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("_s", "ways"))).alias("_rows"))
+    came = heads.select(*run, F.inline(entering(F.col("_rows"), "_s", F.lit(NOWHERE))))
+    after = supers.join(came, [*run, "_s"]).select(*run, F.inline(entering(F.col("_subs"), "_b", F.col("came"))))
+    starts = F.aggregate(
+        "_ps", F.struct(F.col("came").alias("last"), F.array().cast("array<double>").alias("done")),
+        lambda acc, p: F.when(p > acc["last"] + gap, F.struct(p.alias("last"), F.concat(acc["done"], F.array(p)).alias("done"))).otherwise(acc),
+    )["done"]
+    found = spots.join(after, [*run, "_b"]).select(*run, "_b", "came", starts.alias("_starts"))
+    first = F.coalesce(F.array_max(F.filter("_starts", lambda s: s <= F.col(y))), F.col("came"))
+    return inside.join(found, [*run, "_b"], "left").withColumn(out, first).drop("_run", "_b", "_starts", "came")
 
 
 def group_extents(tokens: DataFrame, keys: Sequence[str], order: Sequence[str], y: str, text: str) -> DataFrame:

@@ -170,3 +170,43 @@ def test_nearest_of_few_and_in_reach_agree(spark):
     everywhere = {r.id: r.anchor for r in L.nearest_of_few(marks, anchors, ["page"], "x", "val").collect()}
     unlimited = {r.id: r.anchor for r in L.nearest(marks.where("x IS NOT NULL"), anchors.where("x IS NOT NULL"), ["page"], "x", "val", "id", None, 20.0).collect()}
     assert everywhere == unlimited
+
+
+def plain_clusters(positions, gap):
+    out, start = {}, None
+    for p in sorted(set(positions)):
+        start = p if start is None or p - start > gap else start
+        out[p] = start
+    return out
+
+
+def test_clusters_of_a_very_long_run(spark):
+    rng = random.Random(3)
+    at, positions = 0.0, []
+    for _ in range(100_000):
+        at += rng.choice([0.0, 0.25, 0.5, 1.0, 2.75])
+        positions.append(at)
+    df = spark.createDataFrame([("p", i, y) for i, y in enumerate(positions)], "page string, id bigint, y double")
+    got = L.token_clusters(df, ["page"], "y", "id", 20.0)
+    want = plain_clusters(positions, 3.0)
+    assert {r.y: r.cluster_y for r in got.select("y", "cluster_y").distinct().collect()} == want
+
+
+def test_clusters_equal_the_fold_for_every_chain_length(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for page in range(6):
+        at = float(rng.randint(-50, 50))
+        for i in range(300):
+            at += rng.choice([0.0, 0.5, 1.0, 2.5, 3.0, 3.5, 30.0])
+            rows.append((None if page == 0 else page, i, at))
+    df = spark.createDataFrame([*rows, (1, 999, None)], "page int, id bigint, y double")
+    want = {}
+    for page in {r[0] for r in rows}:
+        for y, s in plain_clusters([r[2] for r in rows if r[0] == page], 3.0).items():
+            want[page, y] = s
+    for chained, width in ((2, 1.0), (3, 6.0), (256, 40.0)):
+        monkeypatch.setattr(L, "CHAINED", chained)
+        got = {(r.page, r.y): r.cluster_y for r in L.token_clusters(df.where("page IS NOT NULL"), ["page"], "y", "id", width).collect()}
+        assert got.pop((1, None)) is None
+        assert got == {k: v for k, v in want.items() if k[0] is not None}
