@@ -93,17 +93,13 @@ def ordinals_of(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda w: lookup[w])))
 
 
-# Where a list of months ends, and the clauses that hold such lists.
-NEXT_ORDINAL = r"\s+I{1,3}\b|\s+IV\b"
-ACTIVE_END = rf"(?={NEXT_ORDINAL}|$)"
-MONTHS_STOPPED_END = rf"(?={NEXT_ORDINAL}|\s+OFFERTA|\s+MATTINO|$)"
-MONTH_STOPPED_END = rf"(?={NEXT_ORDINAL}|\s+MATTINO|$)"
+# The clauses that hold lists of months, and where the lists end.
 STOPPED_CLAUSES = (
-    rf"SERVIZIO\s+INTERR\w*\s+(?:NEI\s+)?MESI?\s+DI\s+(.+?){MONTHS_STOPPED_END}",
-    rf"INTERR\w*\s+(?:NEL(?:LA|LE)?\s+)?MESE?\s+DI\s+(.+?){MONTH_STOPPED_END}",
+    r"SERVIZIO\s+INTERR\w*\s+(?:NEI\s+)?MESI?\s+DI\s+(.+?)(?=\s+I\b|\s+II\b|\s+III\b|\s+IV\b|\s+OFFERTA|\s+MATTINO|$)",
+    r"INTERR\w*\s+(?:NEL(?:LA|LE)?\s+)?MESE?\s+DI\s+(.+?)(?=\s+I\b|\s+II\b|\s+III\b|\s+IV\b|\s+MATTINO|$)",
 )
 ACTIVE_CLAUSES = (
-    rf"ATTIVO\s+NEI\s+MESI\s+DI\s+(.+?){ACTIVE_END}",
+    r"ATTIVO\s+NEI\s+MESI\s+DI\s+(.+?)(?=\s+I\b|\s+II\b|\s+III\b|\s+IV\b|$)",
     r"DEL MESE.{0,10}?MESI\s+DI\s+(.+)",
     r"^.*(?<!NEI )MESI\s+DI\s+(.+)",
 )

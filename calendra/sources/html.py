@@ -415,10 +415,12 @@ def header_columns(cells: DataFrame, table: str, wanted: dict[str, Sequence[str]
     def position(words: Sequence[str]) -> Column:
         return F.array_position(F.transform("_f", lambda c: c.rlike("|".join(words))), True)
 
-    heads = cells.where("row_no = 0").withColumn("_f", F.transform("cells", R.fold_rule))
-    return heads.select(
-        table, *[position(words).cast("int").alias(f"_{name}") for name, words in wanted.items()]
+    # tables share a few layouts, so each distinct one is folded once
+    heads = cells.where("row_no = 0").select(table, "cells")
+    layouts = heads.select("cells").distinct().withColumn("_f", F.transform("cells", R.fold_rule)).select(
+        F.col("cells").alias("_cells"), *[position(words).cast("int").alias(f"_{name}") for name, words in wanted.items()]
     )
+    return heads.join(layouts, F.col("cells").eqNullSafe(F.col("_cells"))).drop("cells", "_cells")
 
 
 def project_by_header(cells: DataFrame, table: str, wanted: dict[str, Sequence[str]], required: Sequence[str]) -> DataFrame:
@@ -445,14 +447,15 @@ def sweep_tables(cells: DataFrame, table: str, kind: str) -> tuple[DataFrame, Da
     """Header-detected sweeping tables to (code, day) rules and (street, code) rows."""
     rows = project_by_header(cells, table, SWEEP_COLUMNS, ["street", "day"]).where(F.length("street") >= 3)
     rows = rows.select("zone", "day", "street").distinct()
-    code = F.when(F.col("zone") != "", F.concat(F.lit(f"{kind}:"), "zone")).otherwise(
-        F.concat(F.lit(f"{kind}:rule:"), R.fold_rule(F.col("day")))
-    )
-    coded = rows.withColumn("code", code)
+    # days and streets recur in many rows: each distinct text is folded once
+    days = rows.select(F.col("day").alias("_day")).distinct().withColumn("_rule", R.fold_rule(F.col("_day")))
+    code = F.when(F.col("zone") != "", F.concat(F.lit(f"{kind}:"), "zone")).otherwise(F.concat(F.lit(f"{kind}:rule:"), "_rule"))
+    coded = rows.join(days, F.col("day") == F.col("_day")).select("street", "day", code.alias("code"))
     names = F.array_distinct(
-        F.array(fold_street(F.col("street")), F.replace(R.fold_rule(F.col("street")), F.lit("'"), F.lit("")))
+        F.array(fold_street(F.col("_street")), F.replace(R.fold_rule(F.col("_street")), F.lit("'"), F.lit("")))
     )
+    named = rows.select(F.col("street").alias("_street")).distinct().withColumn("_names", names)
     return (
         coded.select("code", "day").distinct(),
-        coded.select(F.explode(names).alias("street"), "code").distinct(),
+        coded.join(named, F.col("street") == F.col("_street")).select(F.explode("_names").alias("street"), "code").distinct(),
     )
