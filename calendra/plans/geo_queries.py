@@ -30,7 +30,7 @@ AGG = f"""CAST(sum(pop) AS BIGINT) AS pop, count(*) AS municipalities, count(rd_
     f"""WITH {UNIT}
     SELECT code, '{{"name":"' || name || '"' || coalesce(',"rd":' || rd, '') || coalesce(',"n":' || n, '') || '}}' AS properties FROM (
       SELECT n_nationkey || '-' || n_regionkey AS code, n_name AS name, n, rd FROM nation LEFT JOIN
-        (SELECT province, count(*) AS n, CAST(floor(avg(rd_pct)) AS BIGINT) AS rd FROM unit WHERE year = 2000 GROUP BY 1)
+        (SELECT province, count(*) AS n, CAST(floor(avg(rd_pct)) AS BIGINT) AS rd FROM unit GROUP BY 1)
       ON province = n_name AND n_nationkey % 5 <> 0)""",
 )
 def k01(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +43,7 @@ def k01(spark: SparkSession, sf: str) -> DataFrame:
         G.composite_code(F.concat("n_nationkey", F.lit("-")), other).alias("code"), F.col("n_name").alias("province")
     )
     records = (
-        V.latest(V.unit(spark, sf))
+        V.unit(spark, sf)
         .groupBy("province")
         .agg(F.floor(F.avg("rd_pct")).alias("rd"), F.count(F.lit(1)).alias("n"))
         .join(codes, "province")

@@ -53,23 +53,23 @@ kr AS (SELECT id, name, region, province, pop, year, cost,
   FROM kr0)"""
 
 
-@query("j01_row_class", f"WITH {ROWS} SELECT id, kind, gname AS group_name FROM kr")
+@query("j01_row_class", f"WITH {ROWS.replace(' WHERE year = 2000', '')} SELECT year, id, kind, gname AS group_name FROM kr")
 def j01(spark: SparkSession, sf: str) -> DataFrame:
     c = K.row_class(F.col("dato"))
-    return yearly_rows(spark, sf).select(
-        "id", c["kind"].alias("kind"), c["name"].alias("group_name")
+    return yearly_rows(spark, sf, every_year=True).select(
+        "year", "id", c["kind"].alias("kind"), c["name"].alias("group_name")
     )
 
 
 @query(
     "j02_identity",
-    f"""WITH {UNIT} SELECT CAST(id AS VARCHAR) AS id, name, region, province, pop FROM unit
-    WHERE year = 2000 AND id % 10 <> 3""",
+    f"""WITH {UNIT} SELECT id || '/' || year AS id, name, region, province, pop FROM unit WHERE id % 10 <> 3""",
 )
 def j02(spark: SparkSession, sf: str) -> DataFrame:
-    u = V.latest(V.unit(spark, sf))
+    """Rows of all years; those with a blank name are the ones that identity drops."""
+    u = V.unit(spark, sf)
     raw = u.select(
-        F.concat(F.lit("\t"), F.col("id").cast("string"), F.lit(" ")).alias("id"),
+        F.concat(F.lit("\t"), F.concat_ws("/", "id", "year"), F.lit(" ")).alias("id"),
         F.when(F.col("id") % 10 == 3, F.lit(" ")).otherwise(F.concat(F.lit(" "), "name")).alias("name"),
         "region", "province", "pop",
     )

@@ -187,26 +187,27 @@ def c07(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "c07_letters_of_days",
     """WITH l AS (SELECT DISTINCT l_suppkey AS page, round_even((l_partkey % 640) / 6e0, 0) * 6 AS ky, CAST(l_linenumber % 6 AS INTEGER) AS bin FROM lineitem),
-    d AS (SELECT s_suppkey AS page, unnest(range(1, 32)) AS day FROM supplier)
-    SELECT DISTINCT page, make_date(2026, 2, 1) + CAST(day - 1 AS INTEGER) AS date, bin FROM d JOIN l USING (page) WHERE abs(ky - day * 20) <= 14 AND day <= 28""",
+    d AS (SELECT s_suppkey AS page, m, unnest(range(1, 32)) AS day FROM supplier, range(1, 13) r(m))
+    SELECT DISTINCT page, make_date(2026, CAST(m AS INTEGER), 1) + CAST(day - 1 AS INTEGER) AS date, bin FROM d JOIN l USING (page)
+    WHERE abs(ky - day * 20) <= 14 AND day <= day(last_day(make_date(2026, CAST(m AS INTEGER), 1)))""",
 )
 def c07_letters(spark: SparkSession, sf: str) -> DataFrame:
     letters = V.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 640).cast("double").alias("y"), (F.col("l_linenumber") % 6).alias("bin")
     )
-    days = grid_axes(spark, sf)[1].where("month = 2")
-    return L.letters_of_days(letters, days, ["page"], 2026)
+    return L.letters_of_days(letters, grid_axes(spark, sf)[1], ["page"], 2026)
 
 
 @query(
     "c07_split_columns",
-    """WITH s AS (SELECT l_suppkey AS page, l_orderkey, l_linenumber, l_quantity * 3e0 + l_suppkey AS x FROM lineitem WHERE l_suppkey % 2 = 0 OR l_quantity <= 30),
+    """WITH s AS (SELECT l_suppkey AS page, l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 THEN l_quantity ELSE least(l_quantity, 30) END * 3e0 + l_suppkey AS x FROM lineitem),
     m AS (SELECT page, min(x) AS lo, max(x) AS hi FROM s GROUP BY 1)
     SELECT page, l_orderkey, l_linenumber, CASE WHEN hi - lo > 120 AND x >= (lo + hi) / 2e0 THEN 'c2' ELSE 'c1' END AS "column" FROM s JOIN m USING (page)""",
 )
 def c07_split(spark: SparkSession, sf: str) -> DataFrame:
-    letters = V.table(spark, sf, "lineitem").where("l_suppkey % 2 = 0 OR l_quantity <= 30").select(
-        F.col("l_suppkey").alias("page"), "l_orderkey", "l_linenumber", (F.col("l_quantity") * 3.0 + F.col("l_suppkey")).alias("x")
+    spread = F.when(F.col("l_suppkey") % 2 == 0, F.col("l_quantity")).otherwise(F.least("l_quantity", F.lit(30.0)))
+    letters = V.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("page"), "l_orderkey", "l_linenumber", (spread * 3.0 + F.col("l_suppkey")).alias("x")
     )
     return L.split_columns(letters, ["page"]).select("page", "l_orderkey", "l_linenumber", "column")
 
