@@ -43,6 +43,8 @@ SHARED_HASHES = 1 << 17
 #: Sets that have a hash in common within one block of texts, to count it as shared.
 SHARED_IN_BLOCK = 2
 BLOCK_HASHES = 4_000_000
+#: Words whose hashes a worker remembers.
+REMEMBERED = 250_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +52,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
