@@ -82,13 +82,14 @@ def months_of(text: Column) -> Column:
     )
 
 
+ORDINAL_WORDS = "|".join(sorted(ORDINALS, key=len, reverse=True))
+NEAR_WORDS = "|".join(rf".{{0,{ORDINAL_WINDOW - len(w)}}}{w}" for w in (*WEEKDAYS, "MESE"))
+ORDINAL_PATTERN = rf"\b({ORDINAL_WORDS})\b(?:(?={NEAR_WORDS})|(?<=MESE.{{1,4}}))"
+
+
 def ordinals_of(text: Column) -> Column:
     """Roman, digit or word ordinals that stand close to a weekday or to «mese»."""
-    words = "|".join(sorted(ORDINALS, key=len, reverse=True))
-    near = "|".join(rf".{{0,{ORDINAL_WINDOW - len(w)}}}{w}" for w in (*WEEKDAYS, "MESE"))
-    found = F.regexp_extract_all(
-        text, F.lit(rf"\b({words})\b(?:(?={near})|(?<=MESE.{{1,4}}))"), F.lit(1)
-    )
+    found = F.regexp_extract_all(text, F.lit(ORDINAL_PATTERN), F.lit(1))
     lookup = F.create_map(*[F.lit(x) for pair in ORDINALS.items() for x in pair])
     return F.array_sort(F.array_distinct(F.transform(found, lambda w: lookup[w])))
 

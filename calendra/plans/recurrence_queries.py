@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calendra.functions import rule_table as T
 from calendra.functions import rules as R
 from calendra.functions.dates import free_street_day
 from calendra.operators import recurrence as E
@@ -85,6 +86,17 @@ def d03(spark: SparkSession, sf: str) -> DataFrame:
     return E.expand_rules(df, "weekday", "rule", F.lit(YEAR)).select("zone", "date")
 
 
+@query("d03_rule_table_function", RULE_SQL)
+def d03_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rules by the table function, in plain SQL."""
+    T.register(spark)
+    k = F.col("k")
+    rules = keyed(spark, sf, "supplier", "s_suppkey").select(
+        k.alias("zone"), word(DAYS, k % 7).alias("weekday"), rule_text(k).alias("rule")
+    )
+    return spark.sql(f"SELECT zone, date FROM {{rules}}, LATERAL expand_rule(weekday, rule, {YEAR})", rules=rules)
+
+
 @query(
     "d04_month_scoped_rules",
     f"""WITH {DATES} SELECT DISTINCT s_suppkey AS zone, date FROM supplier JOIN days ON wd = s_suppkey % 7
