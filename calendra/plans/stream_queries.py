@@ -277,3 +277,23 @@ def l08_reminders(spark: SparkSession, sf: str) -> DataFrame:
 )
 def l09(spark: SparkSession, sf: str) -> DataFrame:
     return P.calendar_memo(subs(spark, sf), V.cal(spark, sf), (1998, 1999))
+
+
+@query(
+    "l09_planned_stream",
+    f"""WITH {CAL}, d AS (SELECT event_id, user_id AS calendar_id, CAST(ts AS DATE) - INTERVAL 26 YEAR + INTERVAL 1 DAY AS p FROM events),
+    a AS (SELECT * FROM cal WHERE year(date) = 1998), kn AS (SELECT DISTINCT calendar_id FROM a),
+    bn AS (SELECT calendar_id, date, string_agg(bin, ',' ORDER BY bin) AS bins FROM a GROUP BY 1, 2)
+    SELECT event_id, CASE WHEN kn.calendar_id IS NULL THEN 'no calendar' WHEN bins IS NULL THEN 'empty day' ELSE 'send' END AS status, coalesce(bins, '') AS bins
+    FROM d LEFT JOIN kn ON kn.calendar_id = d.calendar_id LEFT JOIN bn ON bn.calendar_id = d.calendar_id AND bn.date = CAST(p AS DATE)""",
+)
+def l09_planned(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of due reminders (events moved to 1998) met with the calendars."""
+    root = f"{shared_folder(spark)}/planned-{uuid.uuid4().hex}"
+    due = event_stream(spark, sf).select(
+        "event_id", F.col("user_id").alias("calendar_id"), F.date_add(F.add_months(F.to_date("ts"), -26 * 12), 1).alias("pickup_date")
+    )
+    bins = F.coalesce(F.array_join(F.col("bins").cast("array<string>"), ","), F.lit("")).alias("bins")
+    out = R.planned(due, V.cal(spark, sf), (1998,)).select("event_id", "status", bins)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.schema("event_id bigint, status string, bins string").parquet(f"{root}/out")

@@ -16,13 +16,15 @@ support timers (RocksDB); its provider is read when the stream starts.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from calendra.operators.calendars import bins_per_day
+
 ROME = ZoneInfo("Europe/Rome")
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -135,6 +137,23 @@ def reminders(requests: DataFrame, ticks: DataFrame) -> DataFrame:
     )
 
 
+def planned(due: DataFrame, cal: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Due reminders of a stream met with the calendars as they stand when a batch runs.
+
+    Adds ``status``, as the dispatch plan has it: no calendar (to be answered by ``failed``, so
+    that a later tick tries again), empty day, or send with the day's ``bins``. ``cal`` has
+    calendar_id, date and bin; it is cut to the active years and read once a batch.
+    """
+    active = cal.where(F.year("date").isin(*years))
+    known = active.select(F.col("calendar_id").alias("_known")).distinct()
+    days = bins_per_day(active).select(F.col("calendar_id").alias("_of"), F.col("date").alias("_date"), "bins")
+    met = due.join(known, F.col("calendar_id") == F.col("_known"), "left").join(
+        days, (F.col("calendar_id") == F.col("_of")) & (F.col("pickup_date") == F.col("_date")), "left"
+    )
+    status = F.when(F.col("_known").isNull(), "no calendar").when(F.col("bins").isNull(), "empty day").otherwise("send")
+    return met.withColumn("status", status).drop("_known", "_of", "_date")
+
+
 def start(due: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Write due reminders as files, with the state store that timers need."""
     spark = due.sparkSession
