@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calendra.functions.lineage import cut
 from calendra.functions.text import collapse, slug_unicode
 from calendra.operators import matching as M
 
@@ -203,8 +204,8 @@ def zone_import(
     zones = schedules.select("key", "zone").distinct()
     names = zones.select("key", "zone", M.fold_zone(F.col("zone")).alias("n"), slug_unicode(F.col("zone")).alias("slug"))
     zone_keys = M.resolve_zone_keys(options.select("option_id", "zone"), names.select("n", "key"))
-    # a street has a handful of zones, in the order of its parts
-    listed = (
+    # a street has a handful of zones, in the order of its parts; all results read this, so it is cut
+    listed = cut(
         zone_keys.join(names.select("key", "slug"), "key").groupBy("option_id")
         .agg(F.array_sort(F.collect_set(F.struct("pos", "key", "slug"))).alias("own"))
         .select("option_id", F.transform("own", lambda z: z["key"]).alias("keys"), F.array_join(F.transform("own", lambda z: z["slug"]), "-").alias("slug"))
