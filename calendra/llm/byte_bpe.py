@@ -175,9 +175,13 @@ def _pack(ids) -> bytes:
 
 def _hex_ids(word: Column, path: str) -> Column:
     """The ids of a word as hex digits, little-endian, eight to an id."""
-    size = max(read_ranks(path).values()) + 1
-    table = F.from_json(F.lit(json.dumps([_pack([i]).hex() for i in range(size)])), "array<string>")
-    return _let(table, lambda digits: F.array_join(F.transform(fold_merges(word, path), lambda i: F.get(digits, i)), ""))
+
+    def digits(i: Column) -> Column:
+        low, high = i.bitwiseAND(255), F.shiftright(i, 8).bitwiseAND(255)
+        turned = F.shiftleft(low.cast("bigint"), 24) + F.shiftleft(high.cast("bigint"), 16) + F.shiftleft(F.shiftright(i, 16).cast("bigint"), 8)
+        return F.lpad(F.hex(turned), 8, "0")
+
+    return F.array_join(F.transform(fold_merges(word, path), digits), "")
 
 
 def _is_long(word: str) -> bool:
