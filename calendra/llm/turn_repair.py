@@ -215,7 +215,9 @@ def ordered(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, place and part of the rows, written in their order.
 
     ``place`` grows with the order; its upper bits are ``part``, the range it was sorted in.
-    Equal rows may go to different ranges, so that many copies of one row are spread.
+    Equal rows may go to different ranges, so that many copies of one row are spread; they are
+    told apart by their place in the input, which must come in the same order when a lost
+    executor's part of it is read again, as files do.
     """
     order = ["conv_id", F.asc_nulls_first("turn"), "role", "text", "_row"]
     place = F.monotonically_increasing_id()
