@@ -42,9 +42,9 @@ PERCENT = 75
 SHARED_HASHES = 1 << 17
 #: Sets that have a hash in common within one block of texts, to count it as shared.
 SHARED_IN_BLOCK = 2
-BLOCK_HASHES = 4_000_000
+BLOCK_HASHES = 1_500_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
