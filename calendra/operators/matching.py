@@ -76,7 +76,9 @@ def match_records(
     aliased = seekers.join(aliases, "seeker_id").select(
         "seeker_id", match_key(F.col("alias")).alias("k")
     )
-    partial = named.join(contained(named, in_scope, "k", "record_id"), "k")
+    # an exact name anywhere comes before a contained one, so only the others are looked for
+    rest = named.select("k").distinct().join(any_exact, "k", "left_anti")
+    partial = named.join(contained(rest, in_scope, "k", "record_id"), "k")
     tiers = [
         aliased.join(in_scope, "k"), aliased.join(any_exact, "k"),
         named.join(in_scope, "k"), named.join(any_exact, "k"), partial,
