@@ -292,9 +292,11 @@ def map_zones(calendars: DataFrame, zones: DataFrame) -> DataFrame:
     """Best-scoring zones of each calendar within its municipality.
 
     ``calendars`` has comune, calendar and slug (ending ``-z<token>``), ``zones`` comune and
-    zone. Every way a token can score is a feature listed by both sides and joined by
-    equality; a zone's own points come on top, and zones without any common feature only
-    count where their own points are the best on offer. ``UNICA`` takes every zone.
+    zone. Calendars of one municipality and token have the same zones, so each pair of these
+    is scored once and only the result meets the calendars. Every way a token can score is a
+    feature listed by both sides and joined by equality; a zone's own points come on top, and
+    zones without any common feature only count where their own points are the best on offer.
+    ``UNICA`` takes every zone.
     """
     token = F.upper(F.regexp_extract("slug", r"-z([a-z0-9]+)$", 1))
     cals = calendars.select("comune", "calendar", token.alias("token"))
@@ -333,9 +335,7 @@ def map_zones(calendars: DataFrame, zones: DataFrame) -> DataFrame:
         feature("named", named),
         feature("inside", substrings(F.replace("zf", F.lit(" "), F.lit("")))),
     )
-    zrows = zns.select("comune", "zone", "own", F.explode(zone_features).alias("f")).select(
-        "comune", "zone", "own", "f.*"
-    ).distinct()
+    zrows = zns.distinct().select("comune", "zone", "own", F.inline(F.array_distinct(zone_features)))
     asked = F.concat(
         F.transform(
             F.array(*[F.lit(k) for k in ("zona", "z", "letter", "zletter", "inside")]),
@@ -351,40 +351,35 @@ def map_zones(calendars: DataFrame, zones: DataFrame) -> DataFrame:
             ])
         ),
     )
-    usable = cals.where((F.col("token") != "") & (F.col("token") != "UNICA"))
-    crows = usable.select("comune", "calendar", F.explode(asked).alias("f")).select(
-        "comune", "calendar", "f.*"
-    )
+    pair = ["comune", "token"]
+    tokens = cals.where("token <> 'UNICA'").select(*pair).distinct()
     hits = (
-        crows.join(zrows, ["comune", "kind", "k"])
-        .groupBy("comune", "calendar", "zone")
+        tokens.where("token <> ''").select(*pair, F.inline(asked))
+        .join(zrows, ["comune", "kind", "k"])
+        .groupBy(*pair, "zone")
         .agg((F.sum("w") + F.max("own")).alias("score"))
     )
     base = zns.groupBy("comune").agg(F.max("own").alias("base"))
     best = (
-        cals.where("token <> 'UNICA'")
-        .join(base, "comune")
-        .join(hits.groupBy("calendar").agg(F.max("score").alias("hit")), "calendar", "left")
-        .select("comune", "calendar", F.greatest("base", F.coalesce("hit", "base")).alias("best"))
+        tokens.join(base, "comune")
+        .join(hits.groupBy(*pair).agg(F.max("score").alias("hit")), pair, "left")
+        .select(*pair, F.greatest("base", F.coalesce("hit", "base")).alias("best"))
         .where("best > 0")
     )
-    by_hit = hits.join(best, ["comune", "calendar"]).where("score = best").select(
-        "calendar", "zone", "score"
-    )
+    by_hit = hits.join(best, pair).where("score = best").select(*pair, "zone", "score")
     # Own points alone: all zones of the municipality that reach the best without a feature.
     by_own = (
         best.where("best = 1")
         .join(zns.where("own = 1"), "comune")
-        .select("calendar", "zone", F.col("own").alias("score"))
-        .join(hits.select("calendar", "zone"), ["calendar", "zone"], "left_anti")
+        .select(*pair, "zone", F.col("own").alias("score"))
+        .join(hits.select(*pair, "zone"), [*pair, "zone"], "left_anti")
     )
+    cast = F.col("score").cast("int").alias("score")
+    scored = by_hit.unionByName(by_own).select(*pair, "zone", cast)
     everything = cals.where("token = 'UNICA'").join(zns, "comune").select(
         "calendar", "zone", F.lit(None).cast("int").alias("score")
     )
-    cast = F.col("score").cast("int").alias("score")
-    return by_hit.select("calendar", "zone", cast).unionByName(
-        by_own.select("calendar", "zone", cast)
-    ).unionByName(everything)
+    return cals.join(scored, pair).select("calendar", "zone", "score").unionByName(everything)
 
 
 # --- votes --------------------------------------------------------------------------
