@@ -349,7 +349,8 @@ def label_then_day(
 
     Both have x and y. The window reaches ten units up and down, five to the left and eighty
     to the right. Days are cut into cells of the window's size, and a label looks into the
-    cells that its window can touch, so both sides are read and shuffled once.
+    cells that its window can touch, so both sides are read and shuffled once. Both sides are
+    sorted: Spark takes exploded rows for fewer than they are and would broadcast them.
     """
     keys = list(keys)
 
@@ -363,7 +364,7 @@ def label_then_day(
     found = wide.join(
         days.select(
             *keys, "x", "y", "day", F.floor(F.col("y") / LABEL_BAND).alias("_row"), F.floor(F.col("x") / across).alias("_col")
-        ),
+        ).hint("merge"),
         [*keys, "_row", "_col"],
     )
     dx = F.col("x") - F.col("lx")
