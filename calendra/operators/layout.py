@@ -386,17 +386,22 @@ def split_columns(letters: DataFrame, keys: Sequence[str]) -> DataFrame:
 def letters_of_days(letters: DataFrame, days: DataFrame, keys: Sequence[str], year: int) -> DataFrame:
     """Letters in six-unit buckets given to every day of the month within fourteen units.
 
-    Letters are first reduced to one row per (bucket, bin); a day looks at a fixed handful
-    of buckets by equality.
+    Letters are first reduced to one row per (bucket, bin). Only the distinct heights of a
+    page's days look at their fixed handful of buckets by equality; the days then take the
+    bins of their height, gathered as sets, since bins are few. All sides are sorted: Spark
+    takes exploded days for fewer than they are and would broadcast them.
     """
     keys = list(keys)
     marks = letters.select(*keys, F.bround(F.col("y") / LETTER_BUCKET).cast("bigint").alias("_k"), "bin").distinct()
     lo = F.floor((F.col("y") - LETTER_BAND) / LETTER_BUCKET).cast("bigint")
     hi = F.ceil((F.col("y") + LETTER_BAND) / LETTER_BUCKET).cast("bigint")
-    near = days.withColumn("_k", F.explode(F.sequence(lo, hi))).join(marks, [*keys, "_k"])
+    heights = days.select(*keys, "y").distinct().withColumn("_k", F.explode(F.sequence(lo, hi)))
     close = F.abs(F.col("_k") * LETTER_BUCKET - F.col("y")) <= LETTER_BAND
-    dated = valid_days(near.where(close), F.lit(year), F.col("month"), F.col("day"))
-    return dated.select(*keys, "date", "bin").distinct()
+    found = heights.join(marks.hint("merge"), [*keys, "_k"]).where(close)
+    bins = found.groupBy(*keys, "y").agg(F.collect_set(F.struct("bin")).alias("_bins"))
+    dated = valid_days(days.join(bins.hint("merge"), [*keys, "y"]), F.lit(year), F.col("month"), F.col("day"))
+    every = dated.groupBy(*keys, "date").agg(F.array_distinct(F.flatten(F.collect_list("_bins"))).alias("_bins"))
+    return every.select(*keys, "date", F.inline("_bins"))
 
 
 def icon_grid(icons: DataFrame, columns: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
