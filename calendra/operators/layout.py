@@ -113,14 +113,15 @@ def nearest_of_few(
     """Each mark's closest anchor where a key has a handful of them (columns or rows of a page).
 
     They become one small array a key, so marks are read once and joined by key alone; the
-    lower anchor wins a tie, then the lowest payload.
+    lower anchor wins a tie, then the lowest payload. Keys are as many as pages, and Spark
+    takes exploded anchors for smaller than they are, so both sides are sorted.
     """
     keys = list(keys)
     few = anchors.where(F.col(axis).isNotNull()).groupBy(*keys).agg(
         F.collect_set(F.struct(F.col(axis).cast("double").alias("at"), F.col(payload).alias("value"))).alias("_few")
     )
     ways = F.transform("_few", lambda x: F.struct(F.abs(F.col(axis) - x["at"]).alias("d"), x["at"].alias("at"), x["value"].alias("value")))
-    met = marks.where(F.col(axis).isNotNull()).join(few, keys).withColumn("_best", F.array_min(ways)).drop("_few")
+    met = marks.where(F.col(axis).isNotNull()).join(few.hint("merge"), keys).withColumn("_best", F.array_min(ways)).drop("_few")
     met = met.withColumns({out: F.col("_best.value"), "dist": F.col("_best.d")}).drop("_best")
     return met if reach is None else met.where(F.col("dist") <= reach)
 
