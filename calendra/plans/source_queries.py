@@ -460,16 +460,16 @@ def b11(spark: SparkSession, sf: str) -> DataFrame:
     "b12_tagged_rows",
     """WITH l AS (SELECT conv_id, turn, role, md5(text) AS line, CASE WHEN turn % 4 = 0 THEN 'Z' || length(text) % 5 END AS tag FROM conversations),
     t AS (SELECT *, arg_max(tag, turn) FILTER (tag IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn) AS zone FROM l),
-    g AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS row_no FROM t WHERE tag IS NULL AND zone IS NOT NULL),
-    f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, row_no) AS opened, arg_min(zone, turn) OVER (PARTITION BY conv_id, row_no) AS own FROM g WHERE row_no > 0)
-    SELECT conv_id, CAST(row_no AS BIGINT) AS row_no, turn // 2 - opened // 2 AS part, own AS zone, string_agg(line, ', ' ORDER BY turn) AS text FROM f GROUP BY ALL""",
+    g AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS row_no FROM t WHERE tag IS NULL AND zone IS NOT NULL)
+    SELECT conv_id, CAST(row_no AS BIGINT) AS row_no, arg_min(zone, turn) AS zone, string_agg(line, ', ' ORDER BY turn) AS text FROM g WHERE row_no > 0 GROUP BY 1, 2""",
 )
 def b12(spark: SparkSession, sf: str) -> DataFrame:
     lines = V.table(spark, sf, "conversations").select(
         "conv_id", "turn", "role", F.length("text").alias("size"), F.md5("text").alias("line")
     )
     tag = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Z"), F.col("size") % 5))
-    return H.tagged_rows(lines, "conv_id", "turn", "line", tag, F.col("role") == "assistant", bucket=2)
+    parts = H.tagged_rows(lines, "conv_id", "turn", "line", tag, F.col("role") == "assistant", bucket=2)
+    return H.whole_rows(parts, "conv_id")
 
 
 def sweep_cells(spark: SparkSession, sf: str) -> DataFrame:

@@ -409,6 +409,14 @@ def tagged_rows(
     )
 
 
+def whole_rows(parts: DataFrame, doc: str) -> DataFrame:
+    """The parts of ``tagged_rows`` put together: one row a start line, with its whole text."""
+    texts = F.array_sort(F.collect_list(F.struct("part", "text")))
+    return parts.groupBy(doc, "row_no").agg(
+        F.min("zone").alias("zone"), F.array_join(F.transform(texts, lambda t: t["text"]), ", ").alias("text")
+    )
+
+
 def header_columns(cells: DataFrame, table: str, wanted: dict[str, Sequence[str]]) -> DataFrame:
     """Per table the 1-based position of the first header cell with any keyword, 0 if none."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from calendra.functions.text import index_letter, strip_accents
 from calendra.operators import layout as L
 from calendra.operators import matching as M
+from calendra.sources import html as H
 
 
 def shown(df) -> str:
@@ -51,3 +52,10 @@ def test_index_letter_is_one_letter(spark, text, letter):
 
 def test_accents_of_all_scripts_are_stripped(spark):
     assert spark.range(1).select(strip_accents(F.lit("がきé़क़Ω̈")).alias("s")).first().s == "かきeकΩ"
+
+
+def test_tagged_rows_are_put_together(spark):
+    lines = spark.createDataFrame([("d", i, f"l{i}") for i in range(10)], "doc string, pos int, line string")
+    parts = H.tagged_rows(lines, "doc", "pos", "line", F.when(F.col("pos") == 0, "Z"), F.col("pos").isin(1, 8), bucket=3)
+    rows = {r.row_no: (r.zone, r.text) for r in H.whole_rows(parts, "doc").collect()}
+    assert rows == {1: ("Z", ", ".join(f"l{i}" for i in range(1, 8))), 2: ("Z", "l8, l9")}
