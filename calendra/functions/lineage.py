@@ -32,3 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as a shuffle has, before each of them becomes many.
+
+    A small file is read in one task, which would do all the work of what is made of its rows.
+    Grouping by these keys, and by more columns, needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from calendra.functions import rules as R
 from calendra.functions.grams import NO_TEXTS
+from calendra.functions.lineage import spread
 from calendra.functions.text import collapse, fold_street, slug_ascii, strip_accents, title_name
 from calendra.operators.scans import carry_last, running_sum
 
@@ -191,9 +192,10 @@ FIRST_MONTH, MONTHS_SHOWN = 3, 10
 def wide_month_rows(pages: DataFrame, page: str, text: str, year: int) -> DataFrame:
     """Rows «SETT n (weekday) cells…» to (page, label, date) with one row per alias.
 
-    The last ten cells are March to December; a cell holds one day or two.
+    The last ten cells are March to December; a cell holds one day or two. Pages are spread
+    before their rows are made, so that these are made distinct where they are.
     """
-    rows = pages.select(page, F.explode(groups(plain(F.col(text)), WIDE_ROW, "sett", "wd", "cells")).alias("r"))
+    rows = spread(pages.select(page, text), page).select(page, F.explode(groups(plain(F.col(text)), WIDE_ROW, "sett", "wd", "cells")).alias("r"))
     sett = F.replace(F.col("r.sett"), F.lit("–"), F.lit("-"))
     wd = F.lower(strip_accents(F.col("r.wd")))
     cells = F.regexp_extract_all("r.cells", F.lit(r"\d{1,2}(?:\s*[-–]\s*\d{1,2})?"), F.lit(0))
@@ -210,8 +212,9 @@ def wide_month_rows(pages: DataFrame, page: str, text: str, year: int) -> DataFr
     )
     return (
         month_cells.select(page, "aliases", "i", F.explode(days).alias("d"))
-        .select(page, F.explode("aliases").alias("label"), F.try_to_date(iso, "yyyy-MM-dd").alias("date"))
+        .select(page, "aliases", F.try_to_date(iso, "yyyy-MM-dd").alias("date"))
         .where("date IS NOT NULL")
+        .select(page, F.explode("aliases").alias("label"), "date")
         .distinct()
     )
 

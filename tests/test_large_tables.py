@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from calendra.functions.text import index_letter, strip_accents
 from calendra.operators import layout as L
 from calendra.operators import matching as M
+from calendra.operators import overlay as O
+from calendra.operators import recurrence as E
 from calendra.sources import html as H
 
 
@@ -59,3 +61,50 @@ def test_tagged_rows_are_put_together(spark):
     parts = H.tagged_rows(lines, "doc", "pos", "line", F.when(F.col("pos") == 0, "Z"), F.col("pos").isin(1, 8), bucket=3)
     rows = {r.row_no: (r.zone, r.text) for r in H.whole_rows(parts, "doc").collect()}
     assert rows == {1: ("Z", ", ".join(f"l{i}" for i in range(1, 8))), 2: ("Z", "l8, l9")}
+
+
+def test_pages_are_spread_before_their_rows_are_made(spark):
+    pages = spark.createDataFrame([(1, "SETT 1–2 (lunedì) 1-15 2-16"), (1, "SETT 1 (lunedì) 1-15 2-16")], "page int, text string").coalesce(1)
+    out = H.wide_month_rows(pages, "page", "text", 2026)
+    assert shown(out).count("Exchange hash") == 1 and out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    days = [dt.date(2026, m, d) for m, d in ((3, 1), (3, 15), (4, 2), (4, 16))]
+    labels = ("SETT 1-2 (lunedi)", "SETT 1-2 lunedi", "SETT 1 lunedi", "SETT 2 lunedi", "SETT 1 (lunedi)")
+    assert sorted((r.label, r.date) for r in out.collect()) == sorted((label, day) for label in labels for day in days)
+
+
+def test_weekly_tables_are_spread_and_read_once(spark):
+    rows = [["Zona", "Lunedì", "Martedì", "Venerdì"], ["A", "Carta", "Vetro", ""], ["Utenze non domestiche", "Carta", "Carta", "Carta"]]
+    tables = spark.createDataFrame([(1, rows), (2, [["Giorno", "Nord", ""], ["lunedì", "carta", "vetro"], [], ["nota", "carta", "x"]]), (3, [])], "page int, rows array<array<string>>")
+    out = H.weekly_grid(tables, "page", "rows")
+    assert shown(out).count("Scan ") == 1 and shown(out).count("Exchange hash") == 1
+    assert {tuple(r) for r in out.collect()} == {(1, "A", 0, 0), (1, "A", 1, 5), (2, "Nord", 0, 0)}
+
+
+def test_clauses_of_a_rule_are_united_without_a_shuffle_of_dates(spark):
+    rules = spark.createDataFrame([(1, "dal lunedì al venerdì (marzo - giugno) dal lunedì al martedì (giugno - luglio)"), (2, "da definire"), (3, "")], "zone int, rule string")
+    out = E.expand_clauses(rules, "rule", F.lit(2026))
+    text = shown(out)
+    assert text.index("Generate") < text.index("Exchange hash")
+    found = [r.date for r in out.collect()]
+    year = [dt.date(2026, 1, 1) + dt.timedelta(days=d) for d in range(365)]
+    assert sorted(found) == [d for d in year if (3 <= d.month <= 6 and d.weekday() < 5) or (d.month == 7 and d.weekday() < 2)]
+
+
+def test_streets_are_folded_after_they_are_made_distinct(spark):
+    cells = spark.createDataFrame([(1, 0, ["Zona", "Toponimo", "Giorno di pulizia"]), (1, 1, ["S1", "Via Po", "lunedì"]), (1, 2, ["S1", "Via Po", "martedì"])], "table int, row_no int, cells array<string>")
+    streets = H.sweep_tables(cells, "table", "manuale")[1]
+    assert {tuple(r) for r in streets.collect()} == {("PO", "manuale:S1"), ("VIA PO", "manuale:S1")}
+    for line in shown(streets).splitlines():
+        assert "array_distinct" not in line or "Filter" not in line
+
+
+def test_dates_of_codes_are_met_as_sets(spark):
+    day = dt.date(2026, 1, 1)
+    selected = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 11, 1), (3, 12, 1)], "grp int, code int, rank int")
+    dated = spark.createDataFrame([(c, day + dt.timedelta(days=d)) for c in (10, 11) for d in range(c - 10, 5)], "code int, date date")
+    coverage = spark.createDataFrame([(g, 5, 9) for g in (1, 2, 3)], "grp int, matched int, total int")
+    plan = O.overlay_plan(coverage, selected, dated)
+    assert {r.grp: (r.codes, r.days, r.status) for r in plan.collect()} == {1: (2, 5, "merged"), 2: (1, 4, "merged"), 3: (1, 0, "few days")}
+    entries = O.overlay_entries(plan, selected, dated)
+    assert sorted((r.calendar_id, r.date.day) for r in entries.collect()) == [(1, d) for d in range(1, 6)] + [(2, d) for d in range(2, 6)]
+    assert not [line for line in shown(entries).splitlines() if "Aggregate" in line and "keys=[grp" in line and "date" in line.split("functions")[0]]
