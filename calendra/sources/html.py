@@ -281,7 +281,7 @@ def weekly_grid(tables: DataFrame, page: str, rows: str) -> DataFrame:
     def zone_name(row: Column) -> Column:
         return collapse(F.coalesce(F.try_element_at(row, F.lit(1)), F.lit("")))
 
-    base = tables.select(
+    base = spread(tables.select(page, rows), page).select(
         page,
         r.alias("rows"),
         F.array_position(
@@ -292,11 +292,7 @@ def weekly_grid(tables: DataFrame, page: str, rows: str) -> DataFrame:
             True,
         ).alias("hb"),
     )
-    by_zone = (
-        base.where("ha > 0")
-        .select(page, "rows", "hb", weekday_hits(F.element_at("rows", F.col("ha").cast("int"))).alias("days"),
-                F.slice("rows", F.col("ha").cast("int") + 1, F.size("rows")).alias("body"))
-    )
+    rest, days = F.slice("rows", F.col("ha").cast("int") + 1, F.size("rows")), weekday_hits(F.get("rows", F.col("ha").cast("int") - 1))
 
     def gives(row: Column) -> Column:
         z = zone_name(row)
@@ -306,29 +302,33 @@ def weekly_grid(tables: DataFrame, page: str, rows: str) -> DataFrame:
             lambda p: p["d"].isNotNull() & (F.size(bins(F.coalesce(p["c"], F.lit("")))) > 0),
         )
 
-    by_zone = by_zone.withColumn("given", F.filter("body", gives))
-    a = by_zone.where(F.size("given") > 0).withColumn("body", F.col("given"))
-    a_rows = (
-        a.select(page, "days", F.explode("body").alias("row"))
-        .select(page, zone_name(F.col("row")).alias("zone"), F.posexplode("row").alias("i", "cell"), "days")
-        .select(page, "zone", F.try_element_at("days", F.col("i") + 1).alias("weekday"), "cell")
-    )
-    b_base = by_zone.where(F.size("given") == 0).select(page, "rows", "hb").unionByName(
-        base.where("ha = 0").select(page, "rows", "hb")
-    ).where("hb > 0")
-    b_rows = (
-        b_base.select(page, F.element_at("rows", F.col("hb").cast("int")).alias("head"),
-                      F.explode(F.slice("rows", F.col("hb").cast("int") + 1, F.size("rows"))).alias("row"))
-        .withColumn("weekday", F.element_at(weekday_hits(F.col("row")), 1))
-        .where("weekday IS NOT NULL")
-        .select(page, "head", "weekday", F.posexplode("row").alias("i", "cell"))
-        .where("i > 0")
-        .select(page, collapse(F.coalesce(F.try_element_at("head", F.col("i") + 1), F.lit(""))).alias("zone"), "weekday", "cell")
-        .where("zone <> ''")
+    def cells(rows: Column, entry) -> Column:
+        return F.flatten(F.transform(rows, lambda row: F.transform(row, lambda cell, i: entry(row, cell, i))))
+
+    def of_zone(row: Column, cell: Column, i: Column) -> Column:
+        return F.struct(zone_name(row).alias("zone"), F.get("days", i).alias("weekday"), cell.alias("cell"))
+
+    def of_day(row: Column, cell: Column, i: Column) -> Column:
+        named = collapse(F.coalesce(F.get("head", i), F.lit("")))
+        # the first column names the days
+        zone = F.when((i > 0) & (named != ""), named)
+        return F.struct(zone.alias("zone"), row["day"].alias("weekday"), cell.alias("cell"))
+
+    below = F.filter(
+        F.transform(
+            F.slice("rows", F.col("hb").cast("int") + 1, F.size("rows")),
+            lambda row: F.struct(row.alias("row"), F.get(weekday_hits(F.slice(row, 1, 1)), 0).alias("day")),
+        ),
+        lambda row: row["day"].isNotNull(),
     )
+    by_zone = cells(F.col("given"), of_zone)
+    by_day = F.flatten(F.transform(below, lambda row: F.transform(row["row"], lambda cell, i: of_day(row, cell, i))))
+    # one pass without a filter, which would be met before the tables are spread
     return (
-        a_rows.unionByName(b_rows)
-        .where("weekday IS NOT NULL")
+        base.withColumn("days", days)
+        .withColumns({"given": F.filter(F.when(F.col("ha") > 0, rest), gives), "head": F.get("rows", F.col("hb").cast("int") - 1)})
+        .select(page, F.inline_outer(F.when(F.size("given") > 0, by_zone).when(F.col("hb") > 0, by_day)))
+        .where("zone IS NOT NULL AND weekday IS NOT NULL")
         .select(page, "zone", "weekday", F.explode(bins(F.col("cell"))).alias("bin"))
         .distinct()
     )
