@@ -458,7 +458,8 @@ def sweep_tables(cells: DataFrame, table: str, kind: str) -> tuple[DataFrame, Da
     """Header-detected sweeping tables to (code, day) rules and (street, code) rows."""
     rows = project_by_header(cells, table, SWEEP_COLUMNS, ["street", "day"]).where(F.length("street") >= 3)
     rows = rows.select("zone", "day", "street").distinct()
-    # days and streets recur in many rows: each distinct text is folded once
+    # days and streets recur in many rows: each distinct text is folded once (the inner explode
+    # would be met by a filter on the folded names before the texts are made distinct)
     days = rows.select(F.col("day").alias("_day")).distinct().withColumn("_rule", R.fold_rule(F.col("_day")))
     code = F.when(F.col("zone") != "", F.concat(F.lit(f"{kind}:"), "zone")).otherwise(F.concat(F.lit(f"{kind}:rule:"), "_rule"))
     coded = rows.join(days, F.col("day") == F.col("_day")).select("street", "day", code.alias("code"))
@@ -468,5 +469,5 @@ def sweep_tables(cells: DataFrame, table: str, kind: str) -> tuple[DataFrame, Da
     named = rows.select(F.col("street").alias("_street")).distinct().withColumn("_names", names)
     return (
         coded.select("code", "day").distinct(),
-        coded.join(named, F.col("street") == F.col("_street")).select(F.explode("_names").alias("street"), "code").distinct(),
+        coded.join(named, F.col("street") == F.col("_street")).select(F.explode_outer("_names").alias("street"), "code").distinct(),
     )
