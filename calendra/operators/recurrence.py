@@ -45,29 +45,24 @@ def expand_weekly(schedule: DataFrame, year: Column, weekday: str = "weekday") -
 
 
 def expand_clauses(df: DataFrame, text: str, year: Column) -> DataFrame:
-    """Free-text seasonal rule to dates: split in clauses, parse each, unite the dates."""
+    """Free-text seasonal rule to dates: split in clauses, parse each, unite the dates.
+
+    All clauses of a rule are compared with each date at once, so a date comes once and
+    nothing has to be made distinct but the rules.
+    """
     raw = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
     by_bracket = F.split(raw, r"(?i)(?<=\))\s+(?=dal\s)")
     by_day = F.split(raw, r"(?i)\s+(?=dal\s+lun)")
     clauses = F.when(F.size(by_bracket) > 1, by_bracket).otherwise(by_day)
-    folded = df.withColumn("_clause", F.explode(clauses)).withColumn(
-        "_t", R.fold_rule(F.col("_clause"))
-    )
-    usable = folded.where((F.col("_t") != "") & ~F.contains(F.col("_t"), F.lit("DEFINIR")))
-    kind = R.clause_kind(F.col("_t"))
-    months = R.or_default(R.months_of(F.col("_t")), R.all_months())
-    odd = F.filter(months, lambda m: m % 2 == 1)
-    return (
-        expand(
-            usable,
-            year,
-            R.weekdays_of(F.col("_t")),
-            F.when(kind == "bimonthly", odd).otherwise(months),
-            R.clause_ordinals(kind),
-        )
-        .drop("_clause", "_t")
-        .distinct()
-    )
+    folded = F.filter(F.transform(clauses, R.fold_rule), lambda t: (t != "") & ~F.contains(t, F.lit("DEFINIR")))
+
+    def parsed(t: Column) -> Column:
+        kind = R.clause_kind(t)
+        months = R.or_default(R.months_of(t), R.all_months())
+        odd = F.filter(months, lambda m: m % 2 == 1)
+        return spec(R.weekdays_of(t), F.when(kind == "bimonthly", odd).otherwise(months), R.clause_ordinals(kind))
+
+    return expand_specs(df.distinct(), year, F.transform(folded, parsed))
 
 
 # A sub-rule «ordinals weekday del mese (months)».
