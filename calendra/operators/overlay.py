@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calendra.functions.lineage import cut
@@ -43,15 +43,25 @@ def category_counts(before: DataFrame, after: DataFrame, bin_no: int = SWEEP_BIN
     )
 
 
+def _days_of(selected: DataFrame, dated: DataFrame) -> DataFrame:
+    """Choices with the dates of their code as one array: the days of a code are few, and rows
+    of (group, date) are many. Both sides are sorted, as Spark takes expanded rules for few."""
+    return selected.join(dated.groupBy("code").agg(F.collect_set("date").alias("_days")).hint("merge"), "code")
+
+
+def _united(days: Column) -> Column:
+    return F.array_distinct(F.flatten(F.collect_list(days)))
+
+
 def overlay_plan(coverage: DataFrame, selected: DataFrame, dated: DataFrame) -> DataFrame:
     """Guarded choice per calendar: codes used, days and status.
 
     ``coverage`` has grp, matched and total, ``selected`` grp, code and rank, ``dated`` code
     and date. Too many days with two codes are retried with the better one alone.
     """
-    chosen = selected.join(dated, "code").groupBy("grp", "date").agg(F.min("rank").alias("rank"))
-    days = chosen.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("days_all"), F.count_if(F.col("rank") == 1).alias("days_first")
+    days = _days_of(selected, dated).groupBy("grp").agg(
+        F.size(_united(F.col("_days"))).cast("bigint").alias("days_all"),
+        F.size(_united(F.when(F.col("rank") == 1, F.col("_days")))).cast("bigint").alias("days_first"),
     )
     codes = selected.groupBy("grp").agg(F.max("rank").alias("codes"))
     plan = coverage.join(codes, "grp", "left").join(days, "grp", "left")
@@ -74,7 +84,8 @@ def overlay_entries(plan: DataFrame, selected: DataFrame, dated: DataFrame) -> D
     """Overlay dates of the calendars whose plan says merged."""
     going = plan.where("status = 'merged'").select("grp", "codes")
     used = selected.join(going, "grp").where(F.col("rank") <= F.col("codes"))
-    return used.join(dated, "code").select(F.col("grp").alias("calendar_id"), "date").distinct()
+    united = _days_of(used, dated).groupBy("grp").agg(_united(F.col("_days")).alias("_days"))
+    return united.select(F.col("grp").alias("calendar_id"), F.explode("_days").alias("date"))
 
 
 def composite_ids(street_keys: DataFrame, prefix: str) -> DataFrame:
