@@ -31,8 +31,6 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: What a request asks for; ``failed`` takes back the day's mark, so that the next tick tries again.
 ACTIONS = ("subscribe", "unsubscribe", "failed")
 OUT = "key string, calendar_id string, civil_date date, pickup_date date, sent_at timestamp"
-#: The key of ticks, which has no state.
-NO_KEY = ""
 
 
 def civil(ms: int) -> tuple[dt.date, int]:
@@ -47,71 +45,85 @@ def instant(date: dt.date, hour: int) -> int:
 
 
 class Reminders(StatefulProcessor):
-    """State of one subscription: hour and calendar, last reminded day, next timer."""
+    """State of one subscription: hour and calendar, last reminded day, next timer.
+
+    They are one value: each call of the state store is a message to the JVM, and a key needs
+    one read and one write.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.wish = handle.getValueState("wish", "hour int, calendar_id string")
-        self.last = handle.getValueState("last", "date date")
-        self.next = handle.getValueState("next", "at bigint")
+        self.state = handle.getValueState("state", "hour int, calendar_id string, last date, next bigint")
+
+    def _read(self) -> None:
+        self.before = self.state.get()
+        self.hour, self.calendar_id, self.last, self.next = self.before or (None, None, None, None)
+        self.timer = self.next
+
+    def _write(self) -> None:
+        """What has changed; a state without anything is removed."""
+        after = (self.hour, self.calendar_id, self.last, self.next)
+        if self.timer != self.next:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            if self.next is not None:
+                self.handle.registerTimer(self.next)
+        if after == (None, None, None, None):
+            if self.before is not None:
+                self.state.clear()
+        elif self.before is None or tuple(self.before) != after:
+            self.state.update(after)
 
     def _due(self, key: str, now: int) -> Iterator[Row]:
         """The reminder of the clock's civil day, if it is due and not sent."""
-        if not self.wish.exists():
+        if self.hour is None:
             return
-        hour, calendar_id = self.wish.get()
         date, at = civil(now)
-        if at >= hour and (not self.last.exists() or self.last.get()[0] < date):
-            self.last.update((date,))
+        if at >= self.hour and (self.last is None or self.last < date):
+            self.last = date
             yield Row(
-                key=key, calendar_id=calendar_id, civil_date=date, pickup_date=date + dt.timedelta(days=1),
+                key=key, calendar_id=self.calendar_id, civil_date=date, pickup_date=date + dt.timedelta(days=1),
                 sent_at=dt.datetime.fromtimestamp(now / 1000, dt.timezone.utc),
             )
 
     def _set_timer(self, since: int) -> None:
         """One timer, at the next due instant from ``since`` on."""
-        self._drop_timer()
         date, _ = civil(since)
-        if self.last.exists() and self.last.get()[0] >= date:
+        if self.last is not None and self.last >= date:
             date += dt.timedelta(days=1)
         # timers fire when the clock is past them
-        at = max(instant(date, self.wish.get()[0]), since) - 1
-        self.handle.registerTimer(at)
-        self.next.update((at,))
-
-    def _drop_timer(self) -> None:
-        if self.next.exists():
-            self.handle.deleteTimer(self.next.get()[0])
-            self.next.clear()
+        self.next = max(instant(date, self.hour), since) - 1
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         (name,) = key
-        if name == NO_KEY:
-            return
         now = timerValues.getCurrentWatermarkInMs()
-        if self.next.exists() and self.next.get()[0] < now:
+        self._read()
+        if self.next is not None and self.next < now:
             yield from self._due(name, now)
         since = now
         for row in sorted(rows, key=lambda r: (r.ts, r.seq)):
             since = max(since, int(row.ts.replace(tzinfo=row.ts.tzinfo or dt.timezone.utc).timestamp() * 1000))
             if row.action == "subscribe":
-                self.wish.update((row.hour, row.calendar_id))
+                self.hour, self.calendar_id = row.hour, row.calendar_id
             elif row.action == "unsubscribe":
-                self.wish.clear()
-                self.last.clear()
+                self.hour = self.calendar_id = self.last = None
             elif row.action == "failed":
-                self.last.clear()
-        if self.wish.exists():
+                self.last = None
+        if self.hour is not None:
             self._set_timer(since)
         else:
-            self._drop_timer()
+            self.next = None
+        self._write()
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        self.next.clear()
-        if self.wish.exists():
+        self._read()
+        # the store removes a timer that has fired
+        self.next = self.timer = None
+        if self.hour is not None:
             yield from self._due(key[0], now)
             self._set_timer(now)
+        self._write()
 
     def close(self) -> None:
         pass
@@ -128,11 +140,12 @@ def reminders(requests: DataFrame, ticks: DataFrame) -> DataFrame:
     )
     none = F.lit(None)
     ran = ticks.select(
-        F.lit(NO_KEY).alias("key"), none.cast("string").alias("action"), none.cast("string").alias("calendar_id"), none.cast("int").alias("hour"),
+        none.cast("string").alias("key"), none.cast("string").alias("action"), none.cast("string").alias("calendar_id"), none.cast("int").alias("hour"),
         "ts", F.lit(0).cast("bigint").alias("seq"), F.col("ts").alias("clock"),
     )
+    # ticks only move the clock: behind the watermark they are dropped, or all would meet as one key
     return (
-        asked.unionByName(ran).withWatermark("clock", "0 seconds").groupBy("key")
+        asked.unionByName(ran).withWatermark("clock", "0 seconds").where("clock IS NULL").groupBy("key")
         .transformWithState(Reminders(), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
     )
 
