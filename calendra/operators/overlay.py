@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calendra.functions.lineage import cut
+from calendra.functions.lineage import cut, spread
 from calendra.functions.text import collapse, slug_unicode
 from calendra.operators import matching as M
 
@@ -22,13 +22,14 @@ ENTRY = ["calendar_id", "date", "bin"]
 def replace_category(cal: DataFrame, overlay: DataFrame, bin_no: int = SWEEP_BIN) -> DataFrame:
     """Old entries of a category out, the overlay's dates in, for calendars it covers.
 
-    Only rows of that category meet the covered calendars in an anti join.
+    Only rows of that category meet the covered calendars in an anti join. All are spread by
+    calendar before they are made distinct, so that no task holds the keys of a larger share.
     """
     fresh = overlay.select("calendar_id", "date", F.lit(bin_no).alias("bin"))
     covered = overlay.select("calendar_id").distinct()
     other = cal.where(F.col("bin") != bin_no).select(*ENTRY)
     kept = cal.where(F.col("bin") == bin_no).join(covered, "calendar_id", "left_anti").select(*ENTRY)
-    return other.unionByName(kept).unionByName(fresh).distinct()
+    return spread(other.unionByName(kept).unionByName(fresh), "calendar_id").distinct()
 
 
 def category_counts(before: DataFrame, after: DataFrame, bin_no: int = SWEEP_BIN) -> DataFrame:
