@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calendra.functions import rules as R
 from calendra.functions.dates import recurs_on, year_days
+from calendra.functions.lineage import spread
 
 
 def spec(weekdays: Column, months: Column, ordinals: Column) -> Column:
@@ -62,7 +63,7 @@ def expand_clauses(df: DataFrame, text: str, year: Column) -> DataFrame:
         odd = F.filter(months, lambda m: m % 2 == 1)
         return spec(R.weekdays_of(t), F.when(kind == "bimonthly", odd).otherwise(months), R.clause_ordinals(kind))
 
-    return expand_specs(df.distinct(), year, F.transform(folded, parsed))
+    return expand_specs(spread(df, *df.columns).distinct(), year, F.transform(folded, parsed))
 
 
 # A sub-rule «ordinals weekday del mese (months)».
