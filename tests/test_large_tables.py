@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from calendra.functions.text import index_letter, strip_accents
 from calendra.operators import layout as L
 from calendra.operators import matching as M
@@ -108,3 +110,11 @@ def test_dates_of_codes_are_met_as_sets(spark):
     entries = O.overlay_entries(plan, selected, dated)
     assert sorted((r.calendar_id, r.date.day) for r in entries.collect()) == [(1, d) for d in range(1, 6)] + [(2, d) for d in range(2, 6)]
     assert not [line for line in shown(entries).splitlines() if "Aggregate" in line and "keys=[grp" in line and "date" in line.split("functions")[0]]
+
+
+@pytest.mark.parametrize("name", ["c07_label_then_day", "c07_letters_of_days", "c07_month_grid", "c07_icon_grid"])
+def test_exploded_tables_are_not_broadcast(spark, name):
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("test data not present")
+    assert "BroadcastHashJoin" not in shown(queries()[name](spark, sf))
