@@ -3,7 +3,10 @@
 A text's bytes are cut where the gear hash of the last 16 bytes is the least of any ``SPREAD``
 places in a row, and not within ``MIN_CHUNK`` bytes of such a place before it. So cuts depend
 on the neighbouring bytes only, come back after an insertion and are about 37 bytes apart.
-Chunks are deduplicated by a 128-bit digest. Neighbouring chunks that also stand elsewhere
+Chunks are deduplicated by a 128-bit digest: each is shuffled once to its digest, as two
+numbers with its packed place, and only repeated ones go back to their document. Chunks that
+stand often in a sample of the texts (lines of all documents) are dealt to ``SALTS`` tasks
+each, which changes no result. Neighbouring chunks that also stand elsewhere
 form a run. A run of ``SEED_WORDS`` words or more is extended to both sides as far as the text
 equals the one around the first place of its outer chunk (or the last place, where the run
 itself is the first) and reported if it then has ``MIN_WORDS`` words or more. So a passage of
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -46,6 +49,10 @@ SEED_WORDS = 4
 #: Code points around a run that are compared: more than a chunk and what decides a cut.
 AROUND = 160
 MIN_WORDS = 25
+#: Texts of the sample, and places in it from which a chunk is dealt to several tasks, and to how many.
+SAMPLE = 4096
+OFTEN = 40
+SALTS = 64
 
 
 def _gear() -> np.ndarray:
@@ -90,8 +97,12 @@ def cuts(raw: bytes) -> np.ndarray:
     return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, version, seq, start, end, words, digest) of all chunks of ``docs`` (doc_id, version, text)."""
+def chunks(docs: DataFrame, often: np.ndarray | None = None) -> DataFrame:
+    """Rows (doc_id, version, seq, at, words, h1, h2, salt) of all chunks of ``docs`` (doc_id, version, text).
+
+    ``at`` holds start and end, 32 bits each; ``h1``, ``h2``: the digest; ``salt``: 1 to ``SALTS`` if
+    ``often`` (ascending) has ``h1``, else 0.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -99,7 +110,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at:at + 500]
-                ids, versions, counts, seqs, starts, stops, words, digests = [], [], [], [], [], [], [], []
+                ids, versions, counts, seqs, places, words, digests = [], [], [], [], [], [], []
                 for doc_id, version, text in zip(part["doc_id"], part["version"], part["text"]):
                     raw = text.encode() if isinstance(text, str) else b""
                     if not raw:
@@ -114,22 +125,57 @@ def chunks(docs: DataFrame) -> DataFrame:
                     versions.append(version)
                     counts.append(len(ends))
                     seqs.append(np.arange(len(ends), dtype=np.int32))
-                    starts.append(chars[begins])
-                    stops.append(chars[ends])
+                    places.append(chars[begins] << 32 | chars[ends])
                     words.append(heads[ends] - heads[begins])
                     digests += [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 if counts:
+                    halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                    h1, salt = halves[:, 0], np.zeros(len(halves), np.int32)
+                    if often is not None and len(often):
+                        known = often[np.minimum(np.searchsorted(often, h1), len(often) - 1)] == h1
+                        salt[known] = np.flatnonzero(known) % SALTS + 1
                     yield pd.DataFrame({
                         "doc_id": pd.Series(ids, dtype=part["doc_id"].dtype).repeat(counts).to_numpy(),
-                        "version": np.repeat(np.array(versions, np.int64), counts),
-                        "seq": np.concatenate(seqs), "start": np.concatenate(starts).astype(np.int32),
-                        "end": np.concatenate(stops).astype(np.int32), "words": np.concatenate(words).astype(np.int32),
-                        "digest": digests,
+                        "version": np.repeat(np.array(versions, np.int64), counts), "seq": np.concatenate(seqs),
+                        "at": np.concatenate(places), "words": np.concatenate(words).astype(np.int32), "h1": h1, "h2": halves[:, 1], "salt": salt,
                     })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "version", "text").mapInPandas(
-        run, f"doc_id {kind}, version bigint, seq int, start int, `end` int, words int, digest binary"
+        run, f"doc_id {kind}, version bigint, seq int, at bigint, words int, h1 bigint, h2 bigint, salt int"
+    )
+
+
+def frequent_chunks(docs: DataFrame, sample: int = SAMPLE, often: int = OFTEN) -> np.ndarray:
+    """First halves, ascending, of the digests with ``often`` places or more in ``sample`` texts."""
+    total = docs.count()
+    sampled = docs.sample(False, min(1.0, sample / total), seed=1) if total > sample else docs
+    found = chunks(sampled).groupBy("h1").agg(F.count("*").alias("n")).filter(F.col("n") >= often)
+    return np.sort(found.select("h1").toArrow()["h1"].to_numpy())
+
+
+def repeated_chunks(docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """The chunks with several places: (doc_id, version, seq, at, words, copies, here, other_id, other_version, other_at).
+
+    ``here``: this is the first place; ``other``: the first place, or the last one where this is the first.
+    """
+    place = F.struct("doc_id", "version", "at")
+    alike = W.partitionBy("h1", "h2", "salt")
+    measures = {"copies": F.count("*"), "first": F.min(place), "last": F.max(place)}
+    found = chunks(docs, often)
+    for name, measure in measures.items():
+        found = found.withColumn(name, measure.over(alike))
+    if len(often):
+        # the tasks of a frequent chunk know their part of its places
+        totals = chunks(docs, often).filter("salt > 0").groupBy("h1", "h2").agg(*[m.alias(f"all_{name}") for name, m in measures.items()])
+        found = found.join(F.broadcast(totals), ["h1", "h2"], "left")
+        for name in measures:
+            found = found.withColumn(name, F.coalesce(f"all_{name}", name))
+    here = F.col("first") == place
+    other = F.when(here, F.col("last")).otherwise(F.col("first"))
+    return found.filter("copies > 1").withColumn("other", other).select(
+        "doc_id", "version", "seq", "at", "words", "copies", here.alias("here"),
+        F.col("other.doc_id").alias("other_id"), F.col("other.version").alias("other_version"), F.col("other.at").alias("other_at"),
     )
 
 
@@ -144,24 +190,27 @@ def _runs(docs: DataFrame) -> DataFrame:
     ``low`` and ``high``: the outer chunks that first stand elsewhere, or else the outer ones, with
     the place to compare.
     """
-    all_chunks = chunks(docs)
-    place = F.struct("doc_id", "version", "seq", "start", "end")
-    known = (
-        all_chunks.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last"))
-        .filter("copies > 1")
-    )
-    found = all_chunks.join(known, "digest").withColumn("here", F.col("first") == place)
-    found = found.withColumn("other", F.when(F.col("here"), F.col("last")).otherwise(F.col("first")))
     document = ["doc_id", "version"]
+
+    def start(at: str) -> Column:
+        return F.shiftright(at, 32).cast("int")
+
+    def end(at: str) -> Column:
+        return F.col(at).bitwiseAND(2**32 - 1).cast("int")
+
     # neighbours have the same difference from their number, among all and among their kind
     runs = (
-        found.withColumn("run", F.col("seq") - F.row_number().over(W.partitionBy(*document).orderBy("seq")))
+        repeated_chunks(docs, frequent_chunks(docs))
+        .withColumn("run", F.col("seq") - F.row_number().over(W.partitionBy(*document).orderBy("seq")))
         .withColumn("part", F.col("seq") - F.row_number().over(W.partitionBy(*document, "here").orderBy("seq")))
+        .withColumn("start", start("at")).withColumn("end", end("at"))
+        .withColumn("first_id", F.when(F.col("here"), F.col("doc_id")).otherwise(F.col("other_id")))
     )
-    outer = F.struct("seq", "start", "end", "other")
+    other = F.struct(F.col("other_id").alias("doc_id"), F.col("other_version").alias("version"), start("other_at").alias("start"), end("other_at").alias("end"))
+    outer = F.struct("seq", "start", "end", other.alias("other"))
     parts = runs.groupBy(*document, "run", "here", "part").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"),
-        F.max("copies").alias("copies"), F.min("first.doc_id").alias("first_doc_id"), F.min(outer).alias("low"), F.max(outer).alias("high"),
+        F.max("copies").alias("copies"), F.min("first_id").alias("first_doc_id"), F.min(outer).alias("low"), F.max(outer).alias("high"),
     )
     return parts.groupBy(*document, "run").agg(
         F.sum("words").alias("words"),
@@ -173,7 +222,10 @@ def _runs(docs: DataFrame) -> DataFrame:
 
 
 def _extensions(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, version, run, side, chars, words): how far each run goes on to each side."""
+    """(doc_id, version, run, side, hash, chars, more): how far each run goes on to each side.
+
+    ``hash`` is that of the text; ``version`` may be 0 where ids are told apart without it.
+    """
     def edge(side: int, chunk: str, at: str):
         return runs.select(
             "doc_id", "version", "run", F.lit(side).alias("side"), F.col(f"{chunk}.{at}").alias("at"),
@@ -190,16 +242,16 @@ def _extensions(runs: DataFrame, docs: DataFrame) -> DataFrame:
     around = F.when(p["side"] == 0, F.reverse(F.substring("text", begin + 1, p["at"] - begin))).otherwise(F.substring("text", p["at"] + 1, F.lit(AROUND)))
     # the blank or other character in front tells whether a word begins with the first one
     near = cut(
-        docs.join(lists, own).select("doc_id", "version", "text", F.explode("places").alias("p"))
-        .select("doc_id", "version", p["at"].alias("at"), p["side"].alias("side"), around.alias("near"),
+        docs.join(lists, own).select("doc_id", "version", "text", F.xxhash64("text").alias("hash"), F.explode("places").alias("p"))
+        .select("doc_id", "version", "hash", p["at"].alias("at"), p["side"].alias("side"), around.alias("near"),
                 F.when(p["side"] == 1, F.substring("text", p["at"], F.lit(1))).alias("front"))
     )
     other = near.select(F.col("doc_id").alias("o_id"), F.col("version").alias("other_version"), F.col("at").alias("other_at"), "side", F.col("near").alias("other_near"))
-    mine = near.select(F.col("doc_id").alias("m_id"), "version", "at", "side", "near", "front")
+    mine = near.select(F.col("doc_id").alias("m_id"), "version", "hash", "at", "side", "near", "front")
     both = (
         edges.join(mine, ["version", "at", "side"]).filter(F.col("doc_id").eqNullSafe(F.col("m_id")))
         .join(other, ["other_version", "other_at", "side"]).filter(F.col("other_id").eqNullSafe(F.col("o_id")))
-        .select("doc_id", "version", "run", "side", "near", "other_near", F.when(F.col("at") > 0, F.col("front")).alias("front"))
+        .select("doc_id", "version", "run", "side", "hash", "near", "other_near", F.when(F.col("at") > 0, F.col("front")).alias("front"))
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -207,7 +259,7 @@ def _extensions(runs: DataFrame, docs: DataFrame) -> DataFrame:
         blank = " \t\n\v\f\r"
         for batch in batches:
             chars, words = [], []
-            for side, a, b, front in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True):
+            for side, a, b, front in zip(*(batch.column(i).to_pylist() for i in (3, 5, 6, 7)), strict=True):
                 n = len(os.path.commonprefix([a, b]))
                 # in the text's order, with the character in front of it
                 whole = a[:n + 1][::-1] if side == 0 else (front or "") + a[:n]
@@ -216,10 +268,10 @@ def _extensions(runs: DataFrame, docs: DataFrame) -> DataFrame:
                 chars.append(n)
                 words.append(sum(x in blank and y not in blank for x, y in zip(whole, whole[1:])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(chars, pa.int32()), pa.array(words, pa.int32())], ["doc_id", "version", "run", "side", "chars", "more"]
+                [*batch.columns[:5], pa.array(chars, pa.int32()), pa.array(words, pa.int32())], ["doc_id", "version", "run", "side", "hash", "chars", "more"]
             )
 
-    return both.mapInArrow(run, f"doc_id {kind}, version bigint, run int, side int, chars int, more int")
+    return both.mapInArrow(run, f"doc_id {kind}, version bigint, run int, side int, hash bigint, chars int, more int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -230,14 +282,15 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     they were extended.
     """
     docs = docs.select("doc_id", "text")
-    docs = versioned(docs.dropDuplicates() if has_repeats(docs) else docs)
+    # the hash need not be moved with each chunk where ids tell the rows apart
+    docs = versioned(docs.dropDuplicates()) if has_repeats(docs) else docs.withColumn("version", F.lit(0).cast("bigint"))
     runs = cut(_runs(docs).filter(F.col("words") >= min(SEED_WORDS, min_words)))
 
     def of_side(name: str, side: int):
         return F.coalesce(F.max(F.when(F.col("side") == side, F.col(name))), F.lit(0))
 
     more = _extensions(runs, docs).groupBy(F.col("doc_id").alias("_of"), "version", "run").agg(
-        of_side("chars", 0).alias("left"), of_side("chars", 1).alias("right"),
+        F.max("hash").alias("hash"), of_side("chars", 0).alias("left"), of_side("chars", 1).alias("right"),
         of_side("more", 0).alias("left_words"), of_side("more", 1).alias("right_words"),
     )
     whole = runs.join(more, ["version", "run"]).filter(F.col("doc_id").eqNullSafe(F.col("_of")))
@@ -251,7 +304,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     foot = F.when(F.col("hi") < n - 1, F.get("parts", n - 1)["words"]).otherwise(0)
     joint = F.col("words") + F.greatest(F.col("left_words") - head, F.lit(0)) + F.greatest(F.col("right_words") - foot, F.lit(0))
     rows = whole.filter(joint >= min_words).select(
-        "doc_id", "version", "lo", "hi", "left_words", "right_words",
+        "doc_id", F.col("hash").alias("version"), "lo", "hi", "left_words", "right_words",
         (F.get("parts", F.col("lo"))["start"] - F.col("left")).alias("from"), (F.get("parts", F.col("hi"))["end"] + F.col("right")).alias("to"),
         F.posexplode("parts").alias("i", "p"),
     )

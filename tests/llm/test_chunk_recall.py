@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from calendra.llm import chunk_dedup
 from calendra.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +40,17 @@ def test_common_windows_are_covered(spark):
     hit = sum(covered(*c) for c in common)
     assert len(common) > 1000
     assert hit >= 0.99 * len(common), (hit, len(common))
+
+
+def test_chunks_are_shuffled_once_and_frequent_ones_spread(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(0).cast("bigint").alias("version"))
+    plain = chunk_dedup.repeated_chunks(docs, np.empty(0, np.int64))
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    often = chunk_dedup.frequent_chunks(docs, often=3)
+    assert len(often) > 10 and (np.diff(often) > 0).all()
+    salted = chunk_dedup.chunks(docs, often).filter("salt > 0")
+    assert salted.select("salt").distinct().count() > 10
+    spread = chunk_dedup.repeated_chunks(docs, often)
+    assert plain.count() == spread.count() > 100
+    assert plain.exceptAll(spread).count() == 0
