@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from calendra.llm.common import cut, lower_bytes
+from calendra.llm.common import cut, lower_bytes, shuffles_removed
 
 CORE = 2048
 CLASSES = 64
@@ -319,6 +319,11 @@ def train(texts: DataFrame, *, clustered: int | None = None, classes: int = CLAS
     ``clustered`` limit the words of the model and those with classes; without them all words
     seen twice or more have classes.
     """
+    with shuffles_removed(texts.sparkSession):
+        return _train(texts, clustered, classes, dictionary, rounds, core, head)
+
+
+def _train(texts: DataFrame, clustered: int | None, classes: int, dictionary: int | None, rounds: int, core: int, head: int):
     spark = texts.sparkSession
     whole = clustered is None and dictionary is None
     counts = cut(word_counts(texts))
