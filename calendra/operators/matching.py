@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from calendra.functions import rules as R
 from calendra.functions.grams import prefixes, substrings, suffixes
+from calendra.functions.lineage import cut, spread
 from calendra.functions.numbers import round_to
 from calendra.functions.text import collapse, last_token, match_key, strip_accents
 from calendra.operators.containment import holding_pairs, lowest_holder
@@ -286,32 +287,25 @@ NAMED_ZONES = {
     "OLTREPO": ("OLTREPO", "OLTRE PO", "PESCARITO"),
 }
 ZONE_WEIGHTS = {"zona": 5, "z": 5, "letter": 5, "zletter": 4, "named": 4, "inside": 1}
+# Tasks over which the calendars of one municipality and token are dealt.
+ZONE_SHARES = 16
 
 
-def map_zones(calendars: DataFrame, zones: DataFrame) -> DataFrame:
-    """Best-scoring zones of each calendar within its municipality.
+def zone_scores(tokens: DataFrame, zones: DataFrame) -> DataFrame:
+    """Points of the zones that a token of their municipality has a feature in common with.
 
-    ``calendars`` has comune, calendar and slug (ending ``-z<token>``), ``zones`` comune and
-    zone. Calendars of one municipality and token have the same zones, so each pair of these
-    is scored once and only the result meets the calendars. Every way a token can score is a
-    feature listed by both sides and joined by equality; a zone's own points come on top, and
-    zones without any common feature only count where their own points are the best on offer.
-    ``UNICA`` takes every zone.
+    ``tokens`` has comune and token, ``zones`` comune, zone, zf (folded) and own. Every way a
+    token can score is a feature listed by both sides and joined by equality. A zone has
+    hundreds of features, which Spark takes for one row: zones are spread before they are
+    listed, and both sides are sorted.
     """
-    token = F.upper(F.regexp_extract("slug", r"-z([a-z0-9]+)$", 1))
-    cals = calendars.select("comune", "calendar", token.alias("token"))
-    zf = R.fold_rule(F.col("zone"))
-    own = F.when(F.contains("zf", F.lit("SMART 5")), -1).otherwise(0) + F.when(
-        F.contains("zf", F.lit("SOLO RSU")) | F.contains("zf", F.lit("PORTA")), 1
-    ).otherwise(0)
-    zns = zones.select("comune", "zone", zf.alias("zf")).withColumn("own", own)
 
     def found(pattern: str) -> Column:
         return F.regexp_extract_all("zf", F.lit(pattern), F.lit(1))
 
     def feature(kind: str, keys: Column) -> Column:
         return F.transform(
-            keys,
+            F.array_distinct(keys),
             lambda k: F.struct(
                 F.lit(kind).alias("kind"), k.alias("k"), F.lit(ZONE_WEIGHTS[kind]).alias("w")
             ),
@@ -335,7 +329,7 @@ def map_zones(calendars: DataFrame, zones: DataFrame) -> DataFrame:
         feature("named", named),
         feature("inside", substrings(F.replace("zf", F.lit(" "), F.lit("")))),
     )
-    zrows = zns.distinct().select("comune", "zone", "own", F.inline(F.array_distinct(zone_features)))
+    zrows = spread(zones, "comune", "zone").distinct().select("comune", "zone", "own", F.inline(zone_features))
     asked = F.concat(
         F.transform(
             F.array(*[F.lit(k) for k in ("zona", "z", "letter", "zletter", "inside")]),
@@ -351,35 +345,59 @@ def map_zones(calendars: DataFrame, zones: DataFrame) -> DataFrame:
             ])
         ),
     )
-    pair = ["comune", "token"]
-    tokens = cals.where("token <> 'UNICA'").select(*pair).distinct()
-    hits = (
-        tokens.where("token <> ''").select(*pair, F.inline(asked))
-        .join(zrows, ["comune", "kind", "k"])
-        .groupBy(*pair, "zone")
+    return (
+        tokens.where("token <> ''").select("comune", "token", F.inline(asked))
+        .join(zrows.hint("merge"), ["comune", "kind", "k"])
+        .groupBy("comune", "token", "zone")
         .agg((F.sum("w") + F.max("own")).alias("score"))
     )
+
+
+def map_zones(calendars: DataFrame, zones: DataFrame) -> DataFrame:
+    """Best-scoring zones of each calendar within its municipality.
+
+    ``calendars`` has comune, calendar and slug (ending ``-z<token>``), ``zones`` comune and
+    zone. Calendars of one municipality and token have the same zones, so each pair of these
+    is scored once and only the result meets the calendars. A zone's own points come on top
+    of its ``zone_scores``, and zones without any common feature only count where their own
+    points are the best on offer. ``UNICA`` takes every zone.
+
+    No side is broadcast, as all of them grow with calendars or zones. The calendars of a pair
+    are dealt over ``ZONE_SHARES`` tasks, each with the zones of the pair.
+    """
+    token = F.upper(F.regexp_extract("slug", r"-z([a-z0-9]+)$", 1))
+    cals = calendars.select("comune", "calendar", token.alias("token"))
+    zf = R.fold_rule(F.col("zone"))
+    own = F.when(F.contains("zf", F.lit("SMART 5")), -1).otherwise(0) + F.when(
+        F.contains("zf", F.lit("SOLO RSU")) | F.contains("zf", F.lit("PORTA")), 1
+    ).otherwise(0)
+    zns = zones.select("comune", "zone", zf.alias("zf")).withColumn("own", own)
+    pair = ["comune", "token"]
+    tokens = cals.where("token <> 'UNICA'").select(*pair).distinct()
+    hits = cut(zone_scores(tokens, zns))
     base = zns.groupBy("comune").agg(F.max("own").alias("base"))
     best = (
-        tokens.join(base, "comune")
-        .join(hits.groupBy(*pair).agg(F.max("score").alias("hit")), pair, "left")
+        tokens.join(base.hint("merge"), "comune")
+        .join(hits.groupBy(*pair).agg(F.max("score").alias("hit")).hint("merge"), pair, "left")
         .select(*pair, F.greatest("base", F.coalesce("hit", "base")).alias("best"))
         .where("best > 0")
     )
-    by_hit = hits.join(best, pair).where("score = best").select(*pair, "zone", "score")
+    by_hit = hits.join(best.hint("merge"), pair).where("score = best").select(*pair, "zone", "score")
     # Own points alone: all zones of the municipality that reach the best without a feature.
     by_own = (
         best.where("best = 1")
-        .join(zns.where("own = 1"), "comune")
+        .join(zns.where("own = 1").hint("merge"), "comune")
         .select(*pair, "zone", F.col("own").alias("score"))
-        .join(hits.select(*pair, "zone"), [*pair, "zone"], "left_anti")
+        .join(hits.select(*pair, "zone").hint("merge"), [*pair, "zone"], "left_anti")
     )
     cast = F.col("score").cast("int").alias("score")
-    scored = by_hit.unionByName(by_own).select(*pair, "zone", cast)
-    everything = cals.where("token = 'UNICA'").join(zns, "comune").select(
-        "calendar", "zone", F.lit(None).cast("int").alias("score")
-    )
-    return cals.join(scored, pair).select("calendar", "zone", "score").unionByName(everything)
+    everything = zns.select("comune", F.lit("UNICA").alias("token"), "zone", F.lit(None).cast("int").alias("score"))
+    taken = by_hit.unionByName(by_own).select(*pair, "zone", cast).unionByName(everything)
+    shares = F.explode(F.sequence(F.lit(0), F.lit(ZONE_SHARES - 1)))
+    share = F.pmod(F.xxhash64("calendar"), F.lit(ZONE_SHARES)).cast("int")
+    asking = spread(cals.withColumn("_share", share), *pair, "_share")
+    given = spread(taken.withColumn("_share", shares), *pair, "_share")
+    return asking.join(given.hint("merge"), [*pair, "_share"]).select("calendar", "zone", "score")
 
 
 # --- votes --------------------------------------------------------------------------

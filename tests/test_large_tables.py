@@ -47,6 +47,25 @@ def test_zones_are_scored_once_a_token(spark):
         assert "calendar" not in aggregate
 
 
+def test_zones_and_calendars_meet_without_broadcast(spark):
+    calendars = spark.createDataFrame([(1, i, "c-za") for i in range(40)] + [(1, 900, "c-zunica"), (1, 901, "c"), (2, 902, "c-zest")], "comune int, calendar int, slug string")
+    zones = spark.createDataFrame([(1, "Zona A"), (1, "Porta A"), (1, "Zona B SMART 5"), (2, "Zona East"), (2, "Porta")], "comune int, zone string")
+    out = M.map_zones(calendars, zones)
+    assert "Broadcast" not in shown(out)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = sorted(((r.calendar, r.zone, r.score) for r in out.collect()), key=repr)
+    every = [(900, zone, None) for zone in ("Zona A", "Porta A", "Zona B SMART 5")]
+    assert found == sorted([(i, "Zona A", 11) for i in range(40)] + [(901, "Porta A", 1), (902, "Zona East", 4)] + every, key=repr)
+
+
+def test_features_of_zones_are_not_broadcast(spark):
+    tokens = spark.createDataFrame([(1, "A"), (1, "")], "comune int, token string")
+    zones = spark.createDataFrame([(1, "Zona A", "ZONA A", 0), (1, "Zona A", "ZONA A", 0), (2, "Zona A", "ZONA A", 0)], "comune int, zone string, zf string, own int")
+    out = M.zone_scores(tokens, zones)
+    assert "Broadcast" not in shown(out)
+    assert {tuple(r) for r in out.collect()} == {(1, "A", "Zona A", 11)}
+
+
 @pytest.mark.parametrize("text, letter", [
     ("  ßachzu", "ẞ"), ("1 ﬁne", "ﬁ"), ("ᾀ", "Α"), ("が", "か"), ("가", "가"), ("éa", "E"), ("é", "E"), ("12", "#"), ("", "#"),
 ])
