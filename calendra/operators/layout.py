@@ -76,22 +76,27 @@ def neighbours(
 
 def nearest_in_reach(
     marks: DataFrame, anchors: DataFrame, keys: Sequence[str], axis: str, payload: str, reach: float, out: str = "anchor",
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Each mark's closest anchor on one axis within ``reach``; the lower one wins a tie.
 
+    The mark gets the anchor's payload, and its columns ``carried`` under their own names.
+
     Anchors go to every bucket of the reach's width that they reach into, so that a mark finds
     them in its own bucket: one exchange, and nothing is carried across buckets.
     """
     keys = list(keys)
     at, value = F.col(axis).cast("double"), F.col(payload)
     low, high = (F.floor((at + d) / reach) for d in (-reach, reach))
+    # keys stay out of the struct, so that marks which are dealt by them are not dealt again
+    mark = F.struct(*[c for c in marks.columns if c not in keys])
     a = anchors.where(at.isNotNull()).select(
-        *keys, F.struct(at.alias("at"), value.alias("value")).alias("_anchor"), F.explode(F.sequence(low, high)).alias("_b"), F.lit(0).alias("_kind"), at.alias("_x"),
-        (-value.cast("bigint")).alias("_tie"), F.lit(None).cast(marks.select(F.struct("*")).schema[0].dataType).alias("_mark"),
+        *keys, F.struct(at.alias("at"), value.alias("value"), *carried).alias("_anchor"), F.explode(F.sequence(low, high)).alias("_b"), F.lit(0).alias("_kind"), at.alias("_x"),
+        (-value.cast("bigint")).alias("_tie"), F.lit(None).cast(marks.select(mark).schema[0].dataType).alias("_mark"),
     )
     m = marks.where(at.isNotNull()).select(
         *keys, F.lit(None).cast(a.schema["_anchor"].dataType).alias("_anchor"), F.floor(at / reach).alias("_b"), F.lit(1).alias("_kind"), at.alias("_x"),
-        F.lit(None).cast("bigint").alias("_tie"), F.struct("*").alias("_mark"),
+        F.lit(None).cast("bigint").alias("_tie"), mark.alias("_mark"),
     )
     inside = W.partitionBy(*keys, "_b").orderBy("_x", "_kind", "_tie")
     follows = F.struct(F.lead("_kind").over(inside).alias("kind"), F.lead("_x").over(inside).alias("x"))
@@ -103,7 +108,8 @@ def nearest_in_reach(
     down, up = F.col("_x") - F.col("_below.at"), F.col("_above.at") - F.col("_x")
     best = F.when(F.col("_below").isNotNull() & (F.col("_above").isNull() | (down <= up)), F.col("_below")).otherwise(F.col("_above"))
     return around.where("_kind = 1").withColumn("_best", best).select(
-        "_mark.*", F.col("_best.value").alias(out), F.abs(F.col("_x") - F.col("_best.at")).alias("dist")
+        *[c if c in keys else f"_mark.{c}" for c in marks.columns],
+        F.col("_best.value").alias(out), F.abs(F.col("_x") - F.col("_best.at")).alias("dist"), *[F.col(f"_best.{c}") for c in carried]
     ).where(F.col("dist") <= reach)
 
 
@@ -193,11 +199,12 @@ def token_rows(tokens: DataFrame, y: str, out: str = "row") -> DataFrame:
 
 
 def token_runs(
-    tokens: DataFrame, keys: Sequence[str], y: str, tie: str, bucket_width: float,
+    tokens: DataFrame, keys: Sequence[str], y: str, tie: str, bucket_width: float | None,
     gap: Column | float = TOKEN_GAP, out: str = "run",
 ) -> DataFrame:
     """Tokens with the number of their run; a gap above the limit starts a new one."""
-    return gap_runs(tokens, list(keys), [y, tie], y, gap, F.floor(F.col(y) / bucket_width), out)
+    bucket = None if bucket_width is None else F.floor(F.col(y) / bucket_width)
+    return gap_runs(tokens, list(keys), [y, tie], y, gap, bucket, out)
 
 
 #: Before the first position of a run, and buckets that are chained at once.
@@ -206,7 +213,7 @@ CHAINED = 256
 
 
 def token_clusters(
-    tokens: DataFrame, keys: Sequence[str], y: str, tie: str, bucket_width: float,
+    tokens: DataFrame, keys: Sequence[str], y: str, tie: str, bucket_width: float | None,
     gap: float = TOKEN_GAP, out: str = "cluster_y",
 ) -> DataFrame:
     """Tokens with the position of their cluster's first token, all within ``gap`` of it.
@@ -218,10 +225,29 @@ def token_clusters(
     ``CHAINED`` buckets make one list, those of a run give the start that each comes after,
     and this goes back down to the buckets, which list their starts. A run of any length is
     many rows; what one row holds is a bucket's positions or ``CHAINED`` short lists.
+
+    Without ``bucket_width`` a key is a page or less, and so is a run: its tokens are gathered
+    and folded. Where tokens are dealt by keys, or by some of them, this moves none of them.
     """
     keys = list(keys)
-    width = max(bucket_width, 2 * gap)
     run = [*keys, "_run"]
+    if bucket_width is None:
+        spot = F.col(y).cast("double")
+        rest = [c for c in tokens.columns if c not in keys]
+        runs = token_runs(tokens, keys, y, tie, None, gap, "_run").groupBy(*run).agg(
+            F.collect_list(F.struct(*rest, spot.alias("_spot"))).alias("_rows"), F.array_sort(F.collect_set(spot)).alias("_ps")
+        )
+        begun = F.aggregate(
+            "_ps", F.array().cast("array<double>"),
+            lambda done, p: F.when((F.size(done) == 0) | (p > F.try_element_at(done, F.lit(-1)) + gap), F.concat(done, F.array(p))).otherwise(done),
+        )
+
+        def placed(row: Column) -> Column:
+            return F.struct(*[row[c].alias(c) for c in rest], F.array_max(F.filter("_begun", lambda s: s <= row["_spot"])).alias(out))
+
+        found = runs.withColumn("_begun", begun).select(*keys, F.inline(F.transform("_rows", placed)))
+        return found.select(*tokens.columns, out)
+    width = max(bucket_width, 2 * gap)
     inside = token_runs(tokens, keys, y, tie, bucket_width, gap, "_run").withColumn("_b", F.floor(F.col(y).cast("double") / width))
     spots = inside.where(F.col(y).isNotNull()).groupBy(*run, "_b").agg(F.array_sort(F.collect_set(F.col(y).cast("double"))).alias("_ps"))
 

@@ -1,8 +1,9 @@
 """Calendar pages read by geometry: month columns under several header rows, and colour chips.
 
-Points meet rectangles and windows through cells of a grid, by equality: a rectangle lists
-the cells it covers, a point its own. Headers of a page are a few dozen at most; only they
-are gathered per page. Words and fills never are.
+Points meet windows through cells of a grid, by equality: a window lists the cells it covers,
+a point its own. Headers of a page and the columns under them are a few dozen at most; only
+they are gathered per page. Words are dealt by page once, and all that is made of them stays
+where its page is; of words only those of a run of lines are gathered.
 """
 
 from __future__ import annotations
@@ -25,14 +26,23 @@ CHIP_FROM, CHIP_TO, CHIP_BAND = 8.0, 58.0, 9.0
 CELL = 60.0
 
 
-def in_rectangles(points: DataFrame, rectangles: DataFrame, keys: Sequence[str], cell: float = CELL) -> DataFrame:
-    """Points (x, y) with every rectangle [x0, x1) x [y0, y1] of their key that holds them."""
+def in_rectangles(points: DataFrame, rectangles: DataFrame, keys: Sequence[str], cell: float | None = CELL) -> DataFrame:
+    """Points (x, y) with every rectangle [x0, x1) x [y0, y1] of their key that holds them.
+
+    Without a cell the rectangles of a key are a few: they become one array a key, which its
+    points meet by key alone, unsorted, and points which are dealt by key stay where they are.
+    """
     keys = list(keys)
 
     def cells(low: str, high: str) -> Column:
         return F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
 
     open_ = rectangles.where("x0 < x1 AND y0 <= y1")
+    if cell is None:
+        few = open_.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in open_.columns if c not in keys])).alias("_few"))
+        x, y = F.col("x"), F.col("y")
+        holding = F.filter("_few", lambda r: (x >= r["x0"]) & (x < r["x1"]) & (y >= r["y0"]) & (y <= r["y1"]))
+        return points.join(few.hint("shuffle_hash"), keys).select(*points.columns, F.inline(holding))
     tiles = open_.withColumn("_cx", F.explode(cells("x0", "x1"))).withColumn("_cy", F.explode(cells("y0", "y1")))
     placed = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
     return placed.join(tiles, [*keys, "_cx", "_cy"]).where("x >= x0 AND x < x1 AND y >= y0 AND y <= y1").drop("_cx", "_cy")
@@ -45,7 +55,7 @@ def paired_headers(words: DataFrame, months: Mapping[str, int]) -> DataFrame:
     """
     top = words.where(F.col("y") < HEADERS_ABOVE).withColumn("text", F.upper(F.trim("text")))
     number = F.coalesce(*[F.when(F.col("text") == name, F.lit(no)) for name, no in months.items()])
-    heads = top.withColumn("month", number).where("month IS NOT NULL").select("page", "seq", "x", "y", "month")
+    heads = top.where(F.col("text").isin(*months)).select("page", "seq", "x", "y", number.alias("month"))
     years = top.where(F.col("text").rlike(r"^20\d{2}$")).select(
         "page", F.col("text").cast("int").alias("year"), F.col("x").alias("yx"), F.col("y").alias("yy"), F.col("seq").alias("yseq"),
         F.floor(F.col("y") / YEAR_BAND).alias("_band"),
@@ -83,10 +93,10 @@ def month_columns(headers: DataFrame, pages: DataFrame) -> DataFrame:
         "page", F.inline(F.aggregate("heads", F.array().cast(f"array<{step}>"), placed))
     )
     in_row = W.partitionBy("page", "row")
-    tops = rows.groupBy("page", "row").agg(F.min("y").alias("top")).withColumn(
-        "next_top", F.lead("top").over(W.partitionBy("page").orderBy("row"))
-    )
-    spread = rows.withColumn("next_x", F.lead("x").over(in_row.orderBy("x", "seq"))).join(tops, ["page", "row"]).join(pages, "page")
+    # rows are numbered without a hole, so the next one is that of the next number
+    next_row = W.partitionBy("page").orderBy("row").rangeBetween(1, 1)
+    tops = rows.withColumns({"top": F.min("y").over(in_row), "next_top": F.min("y").over(next_row)})
+    spread = tops.withColumn("next_x", F.lead("x").over(in_row.orderBy("x", "seq"))).join(pages.hint("merge"), "page")
     y0 = F.col("top") + BELOW_HEADER
     return spread.select(
         "page", F.col("seq").alias("col"), (F.col("x") - LEFT_OF_HEADER).alias("x0"),
@@ -107,7 +117,7 @@ def page_entries(
     """
     columns = month_columns(paired_headers(words, months), pages)
     text = F.regexp_replace(F.trim("text"), r"\s+", " ")
-    inside = in_rectangles(words.withColumn("text", text).where("text <> ''"), columns, ["page"])
+    inside = in_rectangles(words.withColumn("text", text).where("text <> ''"), columns, ["page"], None)
     keys = ["page", "col"]
     number = F.col("text").rlike(r"^\d{1,2}$")
     day = F.col("text").try_cast("int")
@@ -118,11 +128,13 @@ def page_entries(
     plain = ~number & ~upper.isin(*months, *weekdays) & ~F.col("text").rlike(r"^20\d{2}$")
     named = (F.size(bins_of(F.col("text"))) > 0) | F.lower("text").isin(*fillers)
     labels = inside.where(plain & named).select(*keys, "seq", "y", "text")
-    phrases = token_clusters(labels, keys, "y", "seq", CELL, LABEL_CLUSTER).groupBy(*keys, "cluster_y").agg(
+    phrases = token_clusters(labels, keys, "y", "seq", None, LABEL_CLUSTER).groupBy(*keys, "cluster_y").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "text"))), lambda t: t["text"]), " ").alias("phrase")
     )
-    met = nearest_in_reach(days, phrases.withColumn("y", F.col("cluster_y")), keys, "y", "cluster_y", LABEL_NEAR, "cluster_y").where(F.col("dist") < LABEL_NEAR)
-    dated = met.join(phrases, [*keys, "cluster_y"]).withColumn("date", F.try_to_date(F.format_string("%04d-%02d-%02d", "year", "month", "day")))
+    met = nearest_in_reach(
+        days, phrases.withColumn("y", F.col("cluster_y")), keys, "y", "cluster_y", LABEL_NEAR, "cluster_y", ["phrase"]
+    ).where(F.col("dist") < LABEL_NEAR)
+    dated = met.withColumn("date", F.try_to_date(F.format_string("%04d-%02d-%02d", "year", "month", "day")))
     return dated.where("date IS NOT NULL").select("page", "date", F.explode(bins_of(F.col("phrase"))).alias("bin")).distinct()
 
 

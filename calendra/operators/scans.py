@@ -99,17 +99,23 @@ def running_sum(
 
 def gap_runs(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], axis: str, gap: Column | float,
-    bucket: Column, out: str = "run",
+    bucket: Column | None, out: str = "run",
 ) -> DataFrame:
     """Numbers the runs of a key: a new run starts when ``axis`` jumps by more than ``gap``.
 
     A bucket's summary is its first and last position and the starts inside it, so one pass
     over the summaries tells where its first row starts a run and how many came before.
+    Without a bucket a key is scanned as a whole, which suits keys that are a page or less.
     """
     keys, order = list(keys), list(order)
+    limit = gap if isinstance(gap, Column) else F.lit(gap)
+    if bucket is None:
+        whole = _ordered(keys, *order)
+        starts = F.coalesce((F.col(axis) - F.lag(axis).over(whole) > limit).cast("int"), F.lit(0))
+        upto = whole.rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn("_start", starts).withColumn(out, F.sum("_start").over(upto) + 1).drop("_start")
     inside = _ordered([*keys, "_b"], *order)
     at = F.struct(*order)
-    limit = gap if isinstance(gap, Column) else F.lit(gap)
     stepped = df.withColumn("_b", bucket).withColumn("_gap", limit).withColumn(
         "_start", (F.col(axis) - F.lag(axis).over(inside) > F.col("_gap")).cast("int")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calendra.functions.lineage import spread
 from calendra.operators import layout as L
 from calendra.operators import page_grid as G
 from calendra.plans import views as V
@@ -266,29 +267,31 @@ ph AS (SELECT dy.*, CASE WHEN EXISTS (SELECT 1 FROM lb WHERE lb.page = dy.page A
 
 def page_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Words of a page per supplier: headers in four rows, days seven units apart, labels two
-    and three units below their day. Every fourth line has a day and no label."""
-    items = V.table(spark, sf, "lineitem").select(
+    and three units below their day. Every fourth line has a day and no label. All words and
+    pages are dealt by page; the lines are read and dealt once, and both words made of a line."""
+    items = spread(V.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("page"), F.month("l_shipdate").alias("m"), F.dayofmonth("l_shipdate").alias("d"), F.col("l_linenumber").alias("k")
-    ).distinct()
-    pages = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.lit(480.0).alias("width"), F.lit(1500.0).alias("height"))
-    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("text")) for i, n in enumerate(MONTH_NAMES)])
-    row, left = F.floor(F.col("i") / 3), 100.0 + (F.col("i") % 3) * 120.0
-    heads = pages.select("page", F.inline(names)).select("page", F.col("i").alias("seq"), left.alias("x"), (60.0 + row * 300.0).alias("y"), "text")
-    sides = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(x).alias("x"), F.lit(y).alias("year")) for r in range(4) for x, y in ((50.0, 2024 + r), (590.0, 2031))])
-    years = pages.select("page", F.inline(sides)).select(
-        "page", (100 + F.col("r") * 2 + (F.col("x") > 100).cast("int")).alias("seq"), "x", (65.0 + F.col("r") * 300.0).alias("y"), F.col("year").cast("string").alias("text")
-    )
+    ), "page").distinct()
+    suppliers = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.lit(480.0).alias("width"), F.lit(1500.0).alias("height"))
+    pages = spread(suppliers, "page")
+
+    def word(seq: Column, x: Column, y: Column, text: Column) -> Column:
+        return F.struct(seq.cast("bigint").alias("seq"), x.alias("x"), y.alias("y"), text.alias("text"))
+
+    heads = [word(F.lit(i), F.lit(100.0 + (i % 3) * 120.0), F.lit(60.0 + (i // 3) * 300.0), F.lit(n)) for i, n in enumerate(MONTH_NAMES)]
+    years = [
+        word(F.lit(100 + r * 2 + (x > 100)), F.lit(x), F.lit(65.0 + r * 300.0), F.lit(str(year)))
+        for r in range(4) for x, year in ((50.0, 2024 + r), (590.0, 2031))
+    ]
     i = F.col("m") - 1
     hx, hy = 100.0 + (i % 3) * 120.0, 60.0 + F.floor(i / 3) * 300.0
     down = hy + 20.0 + F.col("d") * 7.0
     at = 1000 + F.col("m") * 10_000 + F.col("d") * 100 + F.col("k")
-    days = items.select("page", at.alias("seq"), (hx - 10.0).alias("x"), down.alias("y"), F.col("d").cast("string").alias("text"))
-    word = F.try_element_at(F.array(F.lit("Organico"), F.lit("carta"), F.lit("VETRO")), (F.col("k") % 4 + 1).cast("int"))
-    labels = items.where("k % 4 < 3").select(
-        "page", (at + 50).alias("seq"), (hx + 20.0 + F.col("k")).alias("x"), (down + F.when(F.col("k") % 4 == 2, 3.0).otherwise(2.0)).alias("y"), word.alias("text")
-    )
-    every = [df.withColumn("seq", F.col("seq").cast("bigint")) for df in (heads, years, days, labels)]
-    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]), pages
+    day = word(at, hx - 10.0, down, F.col("d").cast("string"))
+    name = F.try_element_at(F.array(F.lit("Organico"), F.lit("carta"), F.lit("VETRO")), (F.col("k") % 4 + 1).cast("int"))
+    label = word(at + 50, hx + 20.0 + F.col("k"), down + F.when(F.col("k") % 4 == 2, 3.0).otherwise(2.0), name)
+    of_lines = items.select("page", F.inline(F.array(day, F.when(F.col("k") % 4 < 3, label)))).where("seq IS NOT NULL")
+    return pages.select("page", F.inline(F.array(*heads, *years))).unionByName(of_lines), pages
 
 
 def page_bins(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from pathlib import Path
 
 import pytest
@@ -13,6 +14,7 @@ from calendra.functions.text import index_letter, strip_accents
 from calendra.operators import layout as L
 from calendra.operators import matching as M
 from calendra.operators import overlay as O
+from calendra.operators import page_grid as G
 from calendra.operators import recurrence as E
 from calendra.sources import html as H
 
@@ -66,6 +68,39 @@ def test_features_of_zones_are_not_broadcast(spark):
     assert {tuple(r) for r in out.collect()} == {(1, "A", "Zona A", 11)}
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test data not present")
+def test_words_of_pages_are_dealt_once(spark):
+    text = shown(queries()["c07_header_rows"](spark, "/root/testdata/sf0.001"))
+    dealt = [line.split("hashpartitioning(")[1] for line in text.splitlines() if "Exchange hash" in line]
+    assert dealt and len(dealt) <= 40
+    for name in ("col#", "_b#", "_run#", "cluster_y#", " d#"):
+        assert not [keys for keys in dealt if name in keys]
+
+
+def test_small_keys_are_scanned_as_a_whole(spark):
+    rng = random.Random(9)
+    rows = [(i % 3, i, rng.choice([float(rng.randint(0, 150)), rng.uniform(0, 150)]), rng.uniform(0, 90)) for i in range(240)] + [(0, 900, None, 1.0), (1, 901, 2000.0, 1.0)]
+    df = spark.createDataFrame(rows, "page int, id int, y double, x double")
+    for gap in (0.5, 1.5, 4.0):
+        got, want = (L.token_clusters(df, ["page"], "y", "id", width, gap) for width in (None, 20.0))
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        got, want = (L.token_runs(df.where("y IS NOT NULL"), ["page"], "y", "id", width, gap) for width in (None, 20.0))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    rects = spark.createDataFrame([(i % 3, i, 7.0 * i, 7.0 * i + 30, 10.0 * i, 10.0 * i + 25) for i in range(9)] + [(0, 50, 5.0, 5.0, 0.0, 99.0)], "page int, rect int, x0 double, x1 double, y0 double, y1 double")
+    points = df.withColumnRenamed("id", "point")
+    got, want = (sorted((r.point, r.rect, r.x0, r.y1) for r in G.in_rectangles(points, rects, ["page"], cell).collect()) for cell in (None, 11.0))
+    assert got == want and got
+
+
+def test_nearest_anchor_brings_its_columns(spark):
+    marks = spark.createDataFrame([(1, 5.0, "m"), (1, 50.0, "far")], "page int, y double, name string")
+    anchors = spark.createDataFrame([(1, 3.0, 7, "near"), (1, 9.0, 8, "other")], "page int, y double, id int, phrase string")
+    out = L.nearest_in_reach(marks, anchors, ["page"], "y", "id", 8.0, "anchor", ["phrase"])
+    assert out.columns == ["page", "y", "name", "anchor", "dist", "phrase"]
+    assert [tuple(r) for r in out.collect()] == [(1, 5.0, "m", 7, 2.0, "near")]
+
+
 @pytest.mark.parametrize("text, letter", [
     ("  ßachzu", "ẞ"), ("1 ﬁne", "ﬁ"), ("ᾀ", "Α"), ("が", "か"), ("가", "가"), ("éa", "E"), ("é", "E"), ("12", "#"), ("", "#"),
 ])
